@@ -1,8 +1,660 @@
-"""Registered queries of the library itself, with SQL that gives the same rows."""
+"""Registered queries of the library itself, over the star-schema and event tables seen as a graph, each with SQL
+that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import gen
+from ..functions import scalar as fn
+from ..operators import paths
+from ..operators import patterns as P
+from ..operators import similarity as S
+from ..operators.generate import Echo, Mock, Options, candidate_labels, generate
+from ..sources.graph import Graph, ntriples, star_graph
+from ..sources.results import json_lines
+from ..sources.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit
+from . import cost
+
+B = "http://t/"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+def query(sql: str):
+    """Registers a function under its name, with its SQL."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def lexed(sol: P.Solutions, /, *variables: str, **numbers) -> DataFrame:
+    """Variables as text, and more columns by expression."""
+    return P.native(sol, **{v: F.col(f"{v}.lex") for v in variables}, **numbers)
+
+
+def num(v: str):
+    return F.col(f"{v}.lex").cast("double")
+
+
+def long(v: str):
+    return F.col(f"{v}.lex").cast("long")
+
+
+# --- scans and joins -------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'http://t/customer/' || c_custkey AS c, c_name AS name, c_acctbal AS bal FROM customer WHERE c_mktsegment = 'BUILDING'")
+def bgp_star(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["customer"])
+    s = P.bgp(g, ("?c", B + "c_mktsegment", Lit("BUILDING")), ("?c", RDFS_LABEL, "?name"), ("?c", B + "c_acctbal", "?b"))
+    return lexed(s, "c", "name", bal=num("b"))
+
+
+@query("SELECT n_name AS n, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def bgp_join_fk(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["customer", "nation"])
+    s = P.group(P.bgp(g, ("?c", B + "nation", "?x"), ("?x", B + "n_name", "?n")), ["n"], {"k": F.count("*")})
+    return P.native(s, n=F.col("n.lex"), k=F.col("k"))
+
+
+@query("SELECT r_name AS r, count(*) AS orders, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def bgp_chain_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["orders", "customer", "nation", "region"])
+    s = P.bgp(g, ("?o", B + "o_totalprice", "?t"), ("?o", B + "customer", "?c"), ("?c", B + "nation", "?n"), ("?n", B + "region", "?x"), ("?x", B + "r_name", "?r"))
+    s = P.group(s, ["r"], {"orders": F.count("*"), "total": F.sum(fn.number("?t"))})
+    return P.native(s, r=F.col("r.lex"), orders=F.col("orders"), total=F.col("total"))
+
+
+@query("SELECT 'http://t/n_name' AS p, count(*) AS n FROM nation UNION ALL SELECT 'http://t/n_nationkey', count(*) FROM nation UNION ALL SELECT 'http://t/n_regionkey', count(*) FROM nation UNION ALL SELECT 'http://t/region', count(*) FROM nation UNION ALL SELECT 'http://www.w3.org/2000/01/rdf-schema#label', count(*) FROM nation UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', count(*) FROM nation")
+def bgp_var_predicate(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["nation"]), "?s", "?p", "?o")
+    return P.native(P.group(s, ["p"], {"n": F.count("*")}), p=F.col("p.lex"), n=F.col("n"))
+
+
+@query("SELECT 'http://t/part/' || p_partkey AS p FROM part WHERE p_partkey = p_size")
+def repeated_var(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["part"])
+    return lexed(P.bgp(g, ("?p", B + "p_partkey", "?k"), ("?p", B + "p_size", "?k")), "p")
+
+
+@query("SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
+def values_join(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation", "region"])
+    s = P.join(P.bgp(g, ("?x", B + "region", "?y"), ("?x", B + "n_name", "?n"), ("?y", B + "r_name", "?r")), P.values(spark, ["?r"], [[Lit("ASIA")], [Lit("EUROPE")]]))
+    return lexed(s, "n", "r")
+
+
+@query("SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (VALUES ('ASIA', NULL), (NULL, 'FRANCE'), ('AFRICA', 'KENYA')) v(vr, vn) ON (vr IS NULL OR vr = r_name) AND (vn IS NULL OR vn = n_name)")
+def values_undef(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation", "region"])
+    s = P.bgp(g, ("?x", B + "region", "?y"), ("?x", B + "n_name", "?n"), ("?y", B + "r_name", "?r"))
+    v = P.values(spark, ["?r", "?n"], [[Lit("ASIA"), None], [None, Lit("FRANCE")], [Lit("AFRICA"), Lit("KENYA")]])
+    return lexed(P.join(s, v), "n", "r")
+
+
+def _two_graphs(spark: SparkSession, sf: str) -> Graph:
+    customers, suppliers = star_graph(spark, sf, ["customer"]), star_graph(spark, sf, ["supplier"])
+    return Graph(star_graph(spark, sf, ["nation"]).parts, {"http://g/c": customers, "http://g/s": suppliers})
+
+
+@query("SELECT s_name AS name FROM supplier")
+def named_graph_const(spark: SparkSession, sf: str) -> DataFrame:
+    return lexed(P.match(_two_graphs(spark, sf), "?s", RDFS_LABEL, "?name", "http://g/s"), "name")
+
+
+@query("SELECT 'http://g/c' AS g, n_name AS n, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name UNION ALL SELECT 'http://g/s', n_name, count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def named_graph_var(spark: SparkSession, sf: str) -> DataFrame:
+    g = _two_graphs(spark, sf)
+    s = P.join(P.match(g, "?s", B + "nation", "?x", "?g"), P.match(g, "?x", B + "n_name", "?n"))
+    s = P.group(s, ["g", "n"], {"k": F.count("*")})
+    return P.native(s, g=F.col("g.lex"), n=F.col("n.lex"), k=F.col("k"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier)")
+def from_named_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    g = _two_graphs(spark, sf).dataset(["http://g/c", "http://g/s"])
+    return P.native(P.group(P.match(g, "?s", RDFS_LABEL, "?n"), [], {"n": F.count("*")}), n=F.col("n"))
+
+
+# --- filters ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_name AS name, c_acctbal AS bal FROM customer WHERE c_acctbal > 5000 AND c_acctbal <= 7500")
+def filter_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["customer"]), ("?c", RDFS_LABEL, "?name"), ("?c", B + "c_acctbal", "?b"))
+    s = P.where(s, (fn.number("?b") > 5000) & ~(fn.number("?b") > 7500))
+    return lexed(s, "name", bal=num("b"))
+
+
+@query("SELECT p_name AS name FROM part WHERE regexp_matches(p_name, '(?i)^[a-m].*e')")
+def filter_regex(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["part"]), "?p", RDFS_LABEL, "?name")
+    return lexed(P.where(s, fn.regex(fn.lex("?name"), "^[a-m].*e", "i")), "name")
+
+
+@query("SELECT n_name AS n FROM nation WHERE n_regionkey IN (1, 3)")
+def filter_in(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["nation"]), ("?x", B + "n_name", "?n"), ("?x", B + "n_regionkey", "?k"))
+    return lexed(P.where(s, fn.is_in("?k", Lit(1.0).column(), Lit(3).column())), "n")
+
+
+@query("SELECT c_name AS name FROM customer WHERE c_acctbal < 0")
+def filter_error_3vl(spark: SparkSession, sf: str) -> DataFrame:
+    """An error or true is true, an error and true is an error: names are no numbers, so the first test is one."""
+    s = P.bgp(star_graph(spark, sf, ["customer"]), ("?c", RDFS_LABEL, "?name"), ("?c", B + "c_acctbal", "?b"))
+    s = P.where(s, (fn.number("?name") > 0) | (fn.number("?b") < 0))
+    return lexed(P.where(s, ~((fn.number("?name") > 0) & (fn.number("?b") > 0))), "name")
+
+
+# --- optional, union, minus, exists, bind, sub-select ----------------------------------------------------------
+
+
+@query("SELECT c_name AS name, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+def optional_left(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["customer", "orders"])
+    s = P.optional(P.match(g, "?c", RDFS_LABEL, "?name"), P.bgp(g, ("?x", B + "customer", "?c"), ("?x", B + "o_orderkey", "?o")))
+    return lexed(s, "name", o=long("o"))
+
+
+@query("SELECT c_name AS name, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20")
+def optional_filter_inside(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["customer", "orders"])
+    a = P.bgp(g, ("?c", RDFS_LABEL, "?name"), ("?c", B + "c_acctbal", "?b"))
+    b = P.bgp(g, ("?x", B + "customer", "?c"), ("?x", B + "o_orderkey", "?o"), ("?x", B + "o_totalprice", "?t"))
+    return lexed(P.optional(a, b, fn.number("?t") > fn.number("?b") * 20), "name", o=long("o"))
+
+
+@query("SELECT c.c_name AS name, s.s_name AS peer, n.n_name AS n FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND n.n_regionkey = 1 LEFT JOIN supplier s ON (n.n_nationkey IS NULL OR n.n_nationkey = s.s_nationkey) AND s.s_acctbal > 9000 AND c.c_acctbal > 9500 WHERE c.c_acctbal > 9500 AND s.s_name IS NOT NULL")
+def optional_unbound_join(spark: SparkSession, sf: str) -> DataFrame:
+    """A variable that an OPTIONAL leaves unbound joins with anything."""
+    g = star_graph(spark, sf, ["customer", "nation", "supplier"])
+    a = P.where(P.bgp(g, ("?c", RDFS_LABEL, "?name"), ("?c", B + "c_acctbal", "?b")), fn.number("?b") > 9500)
+    some = P.bgp(g, ("?c", B + "nation", "?x"), ("?x", B + "n_regionkey", Lit(1)))
+    left = P.optional(a, some)
+    peers = P.where(P.bgp(g, ("?s", B + "nation", "?x"), ("?s", B + "s_name", "?peer"), ("?s", B + "s_acctbal", "?q")), fn.number("?q") > 9000)
+    both = P.join(left, P.project(peers, "x", "peer"))
+    named = P.optional(P.project(both, "c", "name", "peer"), P.join(some, P.match(g, "?x", B + "n_name", "?n")))
+    return lexed(named, "name", "peer", "n")
+
+
+@query("SELECT c_name AS name FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_name FROM supplier UNION ALL SELECT s_name FROM supplier WHERE s_acctbal > 0")
+def union_bag(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["customer", "supplier"])
+    a = P.where(P.bgp(g, ("?c", B + "c_name", "?name"), ("?c", B + "c_acctbal", "?b")), fn.number("?b") > 9000)
+    b = P.match(g, "?s", B + "s_name", "?name")
+    d = P.where(P.bgp(g, ("?s", B + "s_name", "?name"), ("?s", B + "s_acctbal", "?b")), fn.number("?b") > 0)
+    return lexed(P.each_group([a, b, d]), "name")
+
+
+@query("SELECT n_name AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def minus_shared(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation", "supplier"])
+    poor = P.where(P.bgp(g, ("?s", B + "nation", "?x"), ("?s", B + "s_acctbal", "?b")), fn.number("?b") < 0)
+    return lexed(P.minus(P.match(g, "?x", B + "n_name", "?n"), poor), "n")
+
+
+@query("SELECT n_name AS n FROM nation")
+def minus_nothing_shared(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation", "region"])
+    return lexed(P.minus(P.match(g, "?x", B + "n_name", "?n"), P.match(g, "?y", B + "r_name", "?r")), "n")
+
+
+@query("SELECT c_name AS name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def exists(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["customer", "orders"])
+    return lexed(P.semi(P.match(g, "?c", RDFS_LABEL, "?name"), P.bgp(g, ("?o", B + "customer", "?c"), ("?o", B + "o_orderstatus", Lit("P")))), "name")
+
+
+@query("SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def not_exists(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["customer", "orders"])
+    return lexed(P.anti(P.match(g, "?c", RDFS_LABEL, "?name"), P.match(g, "?o", B + "customer", "?c")), "name")
+
+
+@query("SELECT 'http://t/lineitem/' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS l, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def bind_expr(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["lineitem"]), ("?l", B + "l_extendedprice", "?e"), ("?l", B + "l_discount", "?d"))
+    return lexed(s, "l", net=num("e") * (1 - num("d")))
+
+
+@query("SELECT n_name AS n, k FROM nation JOIN (SELECT c_nationkey AS x, count(*) AS k FROM customer GROUP BY 1) ON x = n_nationkey WHERE k > 5")
+def subselect_local(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["customer", "nation"])
+    inner = P.group(P.match(g, "?s", B + "nation", "?x"), ["x"], {"k": F.count("*")}, F.col("k") > 5)
+    s = P.join(P.match(g, "?x", B + "n_name", "?n"), P.sub_select(inner, "x", "k"))
+    return P.native(s, n=F.col("n.lex"), k=F.col("k"))
+
+
+@query("SELECT r_name AS r, s_name AS s FROM region CROSS JOIN supplier WHERE s_acctbal > 9000")
+def product_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["region", "supplier"])
+    s = P.where(P.bgp(g, ("?y", B + "s_acctbal", "?b"), ("?y", B + "s_name", "?s")), fn.number("?b") > 9000)
+    return lexed(P.product(P.match(g, "?x", B + "r_name", "?r"), s), "r", "s")
+
+
+# --- paths -----------------------------------------------------------------------------------------------------
+
+
+def _hierarchy(spark: SparkSession, sf: str) -> tuple[Graph, DataFrame]:
+    g = star_graph(spark, sf, ["supplier", "nation", "region"])
+    return g, paths.alternative(paths.step(g, B + "nation"), paths.step(g, B + "region"))
+
+
+@query("SELECT 'http://t/supplier/' || s_suppkey AS s, r_name AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def path_seq(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["supplier", "nation", "region"])
+    return lexed(paths.solutions(paths.sequence(*(paths.step(g, B + p) for p in ("nation", "region", "r_name"))), "?s", "?r"), "s", "r")
+
+
+_UP = "SELECT 'http://t/supplier/' || s_suppkey AS s, 'http://t/nation/' || s_nationkey AS o FROM supplier UNION ALL SELECT 'http://t/nation/' || n_nationkey, 'http://t/region/' || n_regionkey FROM nation"
+
+
+@query(_UP)
+def path_alt(spark: SparkSession, sf: str) -> DataFrame:
+    return lexed(paths.solutions(_hierarchy(spark, sf)[1], "?s", "?o"), "s", "o")
+
+
+@query("SELECT 'http://t/region/' || n_regionkey AS s, 'http://t/nation/' || n_nationkey AS o FROM nation")
+def path_inverse(spark: SparkSession, sf: str) -> DataFrame:
+    return lexed(paths.solutions(paths.inverse(paths.step(star_graph(spark, sf, ["nation"]), B + "region")), "?s", "?o"), "s", "o")
+
+
+@query(f"WITH RECURSIVE e AS ({_UP}), r AS (SELECT s, o FROM e UNION SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT s, o FROM r")
+def path_plus(spark: SparkSession, sf: str) -> DataFrame:
+    return lexed(paths.solutions(paths.one_or_more(_hierarchy(spark, sf)[1]), "?s", "?o"), "s", "o")
+
+
+@query(f"WITH RECURSIVE e AS ({_UP}), r AS (SELECT s, s AS o FROM e UNION SELECT o, o FROM e UNION SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT s, o FROM r")
+def path_star(spark: SparkSession, sf: str) -> DataFrame:
+    up = _hierarchy(spark, sf)[1]
+    ends = up.select(F.col("s").alias("n")).unionByName(up.select(F.col("o").alias("n"))).distinct()
+    return lexed(paths.solutions(paths.zero_or_more(up, ends), "?s", "?o"), "s", "o")
+
+
+@query("WITH n AS (SELECT 'http://t/nation/' || n_nationkey AS x, 'http://t/region/' || n_regionkey AS y FROM nation) SELECT x AS s, x AS o FROM n UNION SELECT y, y FROM n UNION SELECT x, y FROM n")
+def path_opt(spark: SparkSession, sf: str) -> DataFrame:
+    up = paths.step(star_graph(spark, sf, ["nation"]), B + "region")
+    ends = up.select(F.col("s").alias("n")).unionByName(up.select(F.col("o").alias("n"))).distinct()
+    return lexed(paths.solutions(paths.zero_or_one(up, ends), "?s", "?o"), "s", "o")
+
+
+@query("SELECT 'http://t/region/' || r_regionkey AS s, CAST(r_regionkey AS VARCHAR) AS o FROM region UNION ALL SELECT 'http://t/region/' || r_regionkey, 'http://t/class/region' FROM region UNION ALL SELECT r_name, 'http://t/region/' || r_regionkey FROM region")
+def path_negset(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["region"])
+    both = paths.negated(g, [B + "r_name", RDFS_LABEL], [B + "r_regionkey", RDF_TYPE, RDFS_LABEL])
+    return lexed(paths.solutions(both, "?s", "?o"), "s", "o")
+
+
+# --- aggregation and modifiers ---------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag AS f, l_linestatus AS st, sum(l_quantity) AS q, avg(l_discount) AS d, count(*) AS n FROM lineitem GROUP BY ALL")
+def group_sum_avg(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["lineitem"]), ("?l", B + "l_returnflag", "?f"), ("?l", B + "l_linestatus", "?st"), ("?l", B + "l_quantity", "?q"), ("?l", B + "l_discount", "?d"))
+    s = P.group(s, ["f", "st"], {"sq": F.sum(fn.number("?q")), "ad": F.avg(fn.number("?d")), "n": F.count("*")})
+    return P.native(s, f=F.col("f.lex"), st=F.col("st.lex"), q=F.col("sq"), d=F.col("ad"), n=F.col("n"))
+
+
+@query("SELECT event_type AS t, count(*) AS n FROM events GROUP BY event_type")
+def group_count(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.group(P.match(star_graph(spark, sf, ["events"]), "?e", B + "event_type", "?t"), ["t"], {"n": F.count("*")})
+    return P.native(s, t=F.col("t.lex"), n=F.col("n"))
+
+
+@query("SELECT event_type AS t, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
+def count_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.group(P.bgp(star_graph(spark, sf, ["events"]), ("?e", B + "event_type", "?t"), ("?e", B + "user_id", "?u")), ["t"], {"n": F.countDistinct("u")})
+    return P.native(s, t=F.col("t.lex"), n=F.col("n"))
+
+
+@query("SELECT r_name AS r, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def group_concat(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["nation", "region"]), ("?x", B + "region", "?y"), ("?x", B + "n_name", "?n"), ("?y", B + "r_name", "?r"))
+    s = P.group(s, ["r"], {"names": fn.group_concat(F.col("n.lex"), ", ")})
+    return P.native(s, r=F.col("r.lex"), names=F.col("names"))
+
+
+@query("SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15 AND avg(o_totalprice) > 200000")
+def having(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["orders"]), ("?o", B + "o_custkey", "?c"), ("?o", B + "o_totalprice", "?t"))
+    s = P.group(s, ["c"], {"n": F.count("*"), "a": F.avg(fn.number("?t"))}, (F.col("n") > 15) & (F.col("a") > 200000))
+    return P.native(s, c=long("c"), n=F.col("n"))
+
+
+@query("SELECT p_brand AS b, min(p_retailprice) AS lo, max(p_retailprice) AS hi, min(p_name) AS first FROM part GROUP BY p_brand")
+def min_max(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["part"]), ("?p", B + "p_brand", "?b"), ("?p", B + "p_retailprice", "?r"), ("?p", B + "p_name", "?n"))
+    s = P.group(s, ["b"], {"lo": fn.least_term("?r"), "hi": fn.greatest_term("?r"), "first": fn.sample("?n")})
+    return P.native(s, b=F.col("b.lex"), lo=num("lo"), hi=num("hi"), first=F.col("first.lex"))
+
+
+@query("SELECT count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_totalprice < 0")
+def implicit_group(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.where(P.match(star_graph(spark, sf, ["orders"]), "?o", B + "o_totalprice", "?t"), fn.number("?t") < 0)
+    return P.native(P.group(s, [], {"n": F.count("*"), "total": F.sum(fn.number("?t"))}), n=F.col("n"), total=F.col("total"))
+
+
+@query("SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1")
+def group_by_expression(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bind(P.match(star_graph(spark, sf, ["orders"]), "?o", B + "o_orderdate", "?d"), "?y", F.year(fn.timestamp("?d")).cast("long"))
+    s = P.group(s, ["y"], {"n": F.count("*")})
+    return P.native(s, y=F.col("y"), n=F.col("n"))
+
+
+@query("SELECT o_orderkey AS o, o_totalprice AS t FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def order_limit_topk(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["orders"]), ("?x", B + "o_orderkey", "?o"), ("?x", B + "o_totalprice", "?t"))
+    s = P.cut(P.order(s, fn.sort_key("?t").desc(), fn.sort_key("?o")), 25)
+    return P.native(s, o=long("o"), t=num("t"))
+
+
+@query("SELECT s_name AS s FROM supplier ORDER BY s_acctbal, s_name LIMIT 20 OFFSET 7")
+def offset(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["supplier"]), ("?x", B + "s_name", "?s"), ("?x", B + "s_acctbal", "?b"))
+    return lexed(P.cut(P.order(s, fn.sort_key("?b"), fn.sort_key("?s")), 20, 7), "s")
+
+
+@query("SELECT DISTINCT p_brand AS b, p_type AS t FROM part")
+def distinct(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["part"]), ("?p", B + "p_brand", "?b"), ("?p", B + "p_type", "?t"))
+    return lexed(P.distinct(P.project(s, "b", "t")), "b", "t")
+
+
+@query("SELECT DISTINCT o_orderpriority AS p FROM orders")
+def reduced(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.reduced(P.project(P.match(star_graph(spark, sf, ["orders"]), "?o", B + "o_orderpriority", "?p"), "p"))
+    return lexed(P.distinct(s), "p")
+
+
+# --- query forms, sinks ----------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) > 0 AS result FROM customer WHERE c_acctbal < -900")
+def ask_true(spark: SparkSession, sf: str) -> DataFrame:
+    return P.ask(P.where(P.match(star_graph(spark, sf, ["customer"]), "?c", B + "c_acctbal", "?b"), fn.number("?b") < -900))
+
+
+@query("SELECT count(*) > 0 AS result FROM customer WHERE c_mktsegment = 'NONE'")
+def ask_false(spark: SparkSession, sf: str) -> DataFrame:
+    return P.ask(P.match(star_graph(spark, sf, ["customer"]), "?c", B + "c_mktsegment", Lit("NONE")))
+
+
+@query("SELECT DISTINCT 'http://t/nation/' || c_nationkey AS s, 'http://x/segment' AS p, c_mktsegment AS o FROM customer")
+def construct_triples(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["customer"]), ("?c", B + "nation", "?n"), ("?c", B + "c_mktsegment", "?m"))
+    t = P.construct(s, ("?n", Iri("http://x/segment"), "?m"))
+    return t.select(F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
+
+
+@query("SELECT 'http://t/nation/' || n_nationkey AS s, 'http://t/' || p AS p, o FROM (SELECT n_nationkey, unnest(['n_name', 'n_nationkey', 'n_regionkey', 'region']) AS p, unnest([n_name, CAST(n_nationkey AS VARCHAR), CAST(n_regionkey AS VARCHAR), 'http://t/region/' || n_regionkey]) AS o FROM nation WHERE n_regionkey = 2)")
+def describe_node(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation"])
+    found = P.describe(g, P.match(g, "?s", B + "n_regionkey", Lit(2)).df)
+    found = found.where(~F.col("p.lex").isin(RDF_TYPE, RDFS_LABEL))
+    return found.select(F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
+
+
+@query("SELECT '<http://t/nation/' || n_nationkey || '> <http://t/n_name> \"' || n_name || '\" .' AS value FROM nation")
+def ntriples_sink(spark: SparkSession, sf: str) -> DataFrame:
+    return ntriples(star_graph(spark, sf, ["nation"]).triples([B + "n_name"]))
+
+
+@query("""SELECT '{"r":{"type":"literal","value":"' || r_name || '"},"x":{"type":"uri","value":"http://t/region/' || r_regionkey || '"}}' AS value FROM region""")
+def json_sink(spark: SparkSession, sf: str) -> DataFrame:
+    return json_lines(P.project(P.match(star_graph(spark, sf, ["region"]), "?x", B + "r_name", "?r"), "r", "x"))
+
+
+# --- scalar functions ------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS k, upper(c_mktsegment) AS up, lower(c_name) AS low, length(c_name) AS len, substr(c_name, 3, 5) AS sub, starts_with(c_name, 'Customer#0000000') AS starts, contains(c_name, '7') AS has, split_part(c_name, '#', 1) AS pre, split_part(c_name, '#', 2) AS post, regexp_replace(c_name, '0+', '-', 'g') AS rep FROM customer WHERE c_name LIKE '%#%'")
+def fn_string(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["customer"]), ("?c", B + "c_custkey", "?k"), ("?c", B + "c_name", "?n"), ("?c", B + "c_mktsegment", "?m"))
+    n = fn.string("?n")
+    s = P.where(s, n.contains("#"))
+    return P.native(s, k=long("k"), up=F.upper(fn.string("?m")), low=F.lower(n), len=F.length(n).cast("long"), sub=fn.substr(n, 3, 5), starts=n.startswith("Customer#0000000"), has=n.contains("7"), pre=fn.before(n, "#"), post=fn.after(n, "#"), rep=fn.replace(n, "0+", "-"))
+
+
+@query("SELECT c_custkey AS k, abs(c_acctbal) AS a, CAST(ceil(c_acctbal) AS DOUBLE) AS c, CAST(floor(c_acctbal) AS DOUBLE) AS f, CAST(floor(c_acctbal + 0.5) AS DOUBLE) AS r FROM customer")
+def fn_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["customer"]), ("?c", B + "c_custkey", "?k"), ("?c", B + "c_acctbal", "?b"))
+    b = fn.number("?b")
+    return P.native(s, k=long("k"), a=F.abs(b), c=F.ceil(b).cast("double"), f=F.floor(b).cast("double"), r=fn.round_half_up(b))
+
+
+@query("SELECT o_orderkey AS o, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, hour(o_orderdate) AS h FROM orders")
+def fn_datetime(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["orders"]), ("?x", B + "o_orderkey", "?o"), ("?x", B + "o_orderdate", "?d"))
+    t = fn.timestamp("?d")
+    return P.native(s, o=long("o"), y=F.year(t).cast("long"), m=F.month(t).cast("long"), d=F.dayofmonth(t).cast("long"), h=F.hour(t).cast("long"))
+
+
+@query("SELECT n_name AS n, md5(n_name) AS m, sha256(n_name) AS s FROM nation")
+def fn_hash(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    return lexed(s, "n", m=fn.hash_of(fn.string("?n"), "md5"), s=fn.hash_of(fn.string("?n"), "sha256"))
+
+
+@query("SELECT 'http://t/' || t AS p, count(*) FILTER (k = 'i') AS iris, count(*) FILTER (k = 'l') AS literals, count(*) FILTER (k = 'n') AS numbers FROM (SELECT 'region' AS t, 'i' AS k FROM nation UNION ALL SELECT 'n_name', 'l' FROM nation UNION ALL SELECT 'n_nationkey', unnest(['l', 'n']) FROM nation) GROUP BY t")
+def fn_term_tests(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.where(P.match(star_graph(spark, sf, ["nation"]), "?s", "?p", "?o"), F.col("p.lex").isin(B + "region", B + "n_name", B + "n_nationkey"))
+    count = lambda c: F.count(F.when(c, 1))
+    s = P.group(s, ["p"], {"iris": count(fn.is_iri("?o")), "literals": count(fn.is_literal("?o")), "numbers": count(fn.is_numeric("?o"))})
+    return P.native(s, p=F.col("p.lex"), iris=F.col("iris"), literals=F.col("literals"), numbers=F.col("numbers"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN 'credit' ELSE 'debt' END AS side, coalesce(NULL, c_name) AS n FROM customer")
+def fn_conditional(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["customer"]), ("?c", B + "c_custkey", "?k"), ("?c", B + "c_acctbal", "?b"), ("?c", B + "c_name", "?n"))
+    return P.native(s, k=long("k"), side=fn.if_(fn.number("?b") > 0, F.lit("credit"), F.lit("debt")), n=F.coalesce(fn.number("?n").cast("string"), fn.string("?n")))
+
+
+# --- generation ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_name AS n, upper(substr(r_name, 1, 20)) AS answer FROM nation JOIN region ON n_regionkey = r_regionkey")
+def genop_context(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation", "region"])
+    s = P.bgp(g, ("?x", B + "n_name", "?n"), ("?x", B + "region", "?y"), ("?y", B + "r_name", "?r"))
+    return lexed(generate(s, "Region of {?n}: [{?r}]", ["answer"], Echo(how="upper")).solutions, "n", "answer")
+
+
+@query("SELECT n_name AS n, a AS answer FROM nation CROSS JOIN (VALUES ('one'), ('two')) t(a)")
+def genop_base(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    return lexed(generate(s, "Name two numbers", ["answer"], Mock(default='["one", "two", "one"]')).solutions, "n", "answer")
+
+
+@query("SELECT n_name AS n, lower(n_name) AS a, lower(n_name) AS b FROM nation")
+def genop_multi_output(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    return lexed(generate(s, "About [{?n}]", ["a", "b"], Echo(how="lower")).solutions, "n", "a", "b")
+
+
+@query("SELECT n_name AS n FROM nation WHERE false")
+def genop_empty(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    return lexed(generate(s, "About [{?n}]", ["a"], Echo(how="none")).solutions, "n")
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS n_solutions, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS n_calls, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS asked")
+def genop_dedup_calls(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["orders"]), "?o", B + "o_orderpriority", "?p")
+    prompt = "What does [{?p}] mean?"
+    made = generate(s, prompt, ["a"], Echo())
+    return cost.call_statistics(s, prompt).withColumn("asked", F.lit(made.calls()).cast("long"))
+
+
+@query("SELECT c_name AS name, CASE WHEN c_acctbal > 9000 THEN upper(c_mktsegment) END AS a FROM customer")
+def genop_optional(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["customer"])
+    rich = P.where(P.bgp(g, ("?c", B + "c_mktsegment", "?m"), ("?c", B + "c_acctbal", "?b")), fn.number("?b") > 9000)
+    made = generate(rich, "Segment [{?m}]", ["a"], Echo(how="upper")).solutions
+    return lexed(P.optional(P.match(g, "?c", RDFS_LABEL, "?name"), P.project(made, "c", "a")), "name", "a")
+
+
+@query("SELECT n_name AS n, reverse(upper(n_name)) AS b FROM nation")
+def genop_chain(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    first = generate(s, "First [{?n}]", ["a"], Echo(how="upper")).solutions
+    return lexed(generate(first, "Then [{?a}]", ["b"], Echo(how="reversed")).solutions, "n", "b")
+
+
+@query("SELECT n_name AS n, upper(n_name) AS a FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_name, lower(n_name) FROM nation WHERE n_regionkey = 1")
+def genop_union(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation"])
+    part = lambda k, how: generate(P.bgp(g, ("?x", B + "n_regionkey", Lit(k)), ("?x", B + "n_name", "?n")), "N [{?n}]", ["a"], Echo(how=how)).solutions
+    return lexed(P.union(part(0, "upper"), part(1, "lower")), "n", "a")
+
+
+@query("SELECT n_name AS n FROM nation WHERE lower(n_name) = lower('kenya')")
+def genop_bound_output(spark: SparkSession, sf: str) -> DataFrame:
+    """An output that is bound already keeps its term where the answer is similar."""
+    g = star_graph(spark, sf, ["nation"])
+    s = P.match(g, "?x", B + "n_name", "?n")
+    return lexed(generate(s, "Which one?", ["n"], Mock(default='["kenya"]'), graph=g).solutions, "n")
+
+
+@query("SELECT n_name AS n, upper(n_name) AS a FROM nation")
+def genop_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers come from records; a provider that would answer otherwise is not asked."""
+    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    first = generate(s, "N [{?n}]", ["a"], Echo(how="upper"))
+    again = generate(s, "N [{?n}]", ["a"], Echo(how="none"), Options(records=first.records(), replay_only=True))
+    return lexed(again.solutions, "n", "a")
+
+
+@query("SELECT r_name AS label FROM region")
+def genop_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation", "region"])
+    found = candidate_labels(g, B + "region")
+    return star_graph(spark, sf, ["region"]).of(RDFS_LABEL).select(F.col("o.lex").alias("label")).where(F.col("label").isin(found))
+
+
+# --- similarity ------------------------------------------------------------------------------------------------
+
+_JACCARD = "CASE WHEN {a} = {b} THEN 1.0 ELSE len(list_intersect(list_distinct(string_split_regex(lower(trim({a})), '\\s+')), list_distinct(string_split_regex(lower(trim({b})), '\\s+')))) / len(list_distinct(list_concat(string_split_regex(lower(trim({a})), '\\s+'), string_split_regex(lower(trim({b})), '\\s+')))) END"
+
+
+def _part_pairs(theta: float):
+    sql = f"WITH t AS (SELECT DISTINCT p_name FROM part), j AS (SELECT a.p_name AS a, b.p_name AS b, {_JACCARD.format(a='a.p_name', b='b.p_name')} AS similarity FROM t a, t b) SELECT a, b, CAST(similarity AS DOUBLE) AS similarity FROM j WHERE similarity >= {theta}"
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        names = P.match(star_graph(spark, sf, ["part"]), "?p", RDFS_LABEL, "?n").df.select(F.col("n.lex").alias("a"))
+        return S.matching_texts(names, names.select(F.col("a").alias("b")), theta)
+
+    return sql, run
+
+
+for _name, _theta in (("simjoin_jaccard_05", 0.5), ("simjoin_jaccard_085", 0.85), ("simjoin_jaccard_1", 1.0)):
+    ORACLE_SQL[_name], QUERIES[_name] = _part_pairs(_theta)
+
+
+@query("SELECT c_name AS c, n_name AS n, 'http://t/nation/' || n_nationkey AS x FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 8000")
+def simjoin_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated names of nations are mapped to the nations by their labels."""
+    g = star_graph(spark, sf, ["customer", "nation"])
+    s = P.where(P.bgp(g, ("?y", RDFS_LABEL, "?c"), ("?y", B + "c_acctbal", "?b"), ("?y", B + "nation", "?z"), ("?z", B + "n_name", "?m")), fn.number("?b") > 8000)
+    made = generate(s, "Where does {?c} live? [{?m}]", ["x"], Echo(how="lower")).solutions
+    joined = S.similarity_join(P.match(g, "?x", B + "n_name", "?n"), made, g)
+    return lexed(joined, "c", "n", "x")
+
+
+@query("SELECT n_name AS n, n_regionkey = 2 AS same FROM nation JOIN region ON n_regionkey = r_regionkey")
+def simfilter_eq_ne(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation", "region"])
+    s = P.bgp(g, ("?x", B + "n_name", "?n"), ("?x", B + "region", "?y"), ("?y", B + "r_name", "?r"))
+    asia = F.lit(spark.read.parquet(f"{sf}/region.parquet").where("r_regionkey = 2").first()["r_name"].lower())
+    made = generate(s, "Region of {?n}: [{?r}]", ["a"], Echo()).solutions
+    target = F.struct(F.lit(2).alias("kind"), asia.alias("lex"))
+    equal = S.jaccard(F.col("a.lex"), target["lex"]) >= S.DEFAULT_THETA
+    yes, no = P.where(made, equal), P.where(made, ~equal)
+    return lexed(yes, "n", same=F.lit(True)).unionByName(lexed(no, "n", same=F.lit(False)))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_name = b.n_name THEN 1.0 ELSE 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) END AS similarity FROM nation a, nation b")
+def levenshtein_sim(spark: SparkSession, sf: str) -> DataFrame:
+    g = star_graph(spark, sf, ["nation"])
+    a, b = P.match(g, "?x", B + "n_name", "?a"), P.match(g, "?y", B + "n_name", "?b")
+    return lexed(P.product(a, b), "a", "b", similarity=S.levenshtein(F.col("a.lex"), F.col("b.lex")))
+
+
+@query("WITH q AS (SELECT vec_id AS q, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q, vec_id AS id, round(greatest(0, least(1, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS similarity, row_number() OVER (PARTITION BY q ORDER BY list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) DESC, vec_id) AS k FROM q, embeddings) SELECT q, id, similarity FROM p WHERE k <= 5")
+def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    index = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = S.nearest(index.where("id % 20 = 0").select(F.col("id").alias("q"), "v"), index, 5)
+    return found.select("q", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT vec_id AS id, round(greatest(0, least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])))), 6) AS similarity FROM embeddings WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) >= 0.2")
+def cosine_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    index = spark.read.parquet(f"{sf}/embeddings.parquet")
+    first = index.where("vec_id = 0").select(F.col("embedding").alias("v"))
+    found = index.crossJoin(F.broadcast(first)).select(F.col("vec_id").alias("id"), S.cosine(F.col("embedding"), F.col("v")).alias("c"))
+    return found.where("c >= 0.2").select("id", F.round("c", 6).alias("similarity"))
+
+
+@query("SELECT 'http://t/region/' || r_regionkey AS term, r_name AS label FROM region UNION ALL SELECT 'http://t/class/region', 'region'")
+def label_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of nodes, and the last part of an IRI where there is none."""
+    g = star_graph(spark, sf, ["region"])
+    terms = g.of(B + "r_name").select(F.col("s").alias("term")).unionByName(g.of(RDF_TYPE).select(F.col("o").alias("term"))).distinct()
+    return S.texts_of(terms, S.labels(g)).select(F.col("term.lex").alias("term"), "label")
+
+
+# --- functions for generated texts, statistics -----------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(floor((ceil(length(text) / 4) + ceil((CASE WHEN trim(text, ' ') = '' THEN 0 ELSE len(string_split_regex(trim(text, ' '), '\\s+')) END) * 1.3)) / 2) AS INTEGER) AS cost FROM documents WHERE n_chars < 2000")
+def gen_token_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 2000").select("doc_id", gen.token_cost(F.col("text")).alias("cost"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
+def gen_parse_json(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", gen.parse_json(F.col("props"), "k").alias("k"))
+
+
+@query(f"SELECT a.p_partkey AS k, {_JACCARD.format(a='a.p_name', b='b.p_name')} >= 0.5 AS similar FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def gen_approx_eq(spark: SparkSession, sf: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    other = part.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("other"))
+    return part.withColumnRenamed("p_partkey", "k").join(other, "k").select("k", gen.approx_equal(F.col("p_name"), F.col("other"), 0.5).alias("similar"))
+
+
+@query("SELECT o_orderkey AS o, lower(o_orderpriority) AS answer, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'urgent' WHEN contains(lower(o_orderpriority), 'high') THEN 'high' ELSE trim(lower(o_orderpriority), ' ') END AS label FROM orders")
+def gen_classify(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("o"), F.lower("o_orderpriority").alias("answer"))
+    return rows.withColumn("label", gen.pick_label(F.col("answer"), ["urgent", "high"]))
+
+
+@query("SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') AS v FROM embeddings")
+def gen_embedding_text(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), gen.embedding_text(F.col("embedding")).alias("v"))
+
+
+@query("SELECT n_name AS n, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 2 = 0 THEN 'http://www.wikidata.org/entity/Q' || n_nationkey ELSE 'http://dbpedia.org/resource/' || replace(n_name, ' ', '_') END AS iri FROM nation")
+def gen_ground(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/nation.parquet")
+    answer = F.when(F.col("n_nationkey") % 5 == 0, "NONE").when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Q"), F.col("n_nationkey"))).otherwise(F.col("n_name"))
+    return rows.select(F.col("n_name").alias("n"), gen.grounded_iri(answer).alias("iri"))
+
+
+@query("SELECT 'http://t/' || p AS p, n, n AS subjects, objects FROM (SELECT 'o_orderstatus' AS p, count(*) AS n, count(DISTINCT o_orderstatus) AS objects FROM orders UNION ALL SELECT 'customer', count(*), count(DISTINCT o_custkey) FROM orders)")
+def kg_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return cost.predicate_statistics(star_graph(spark, sf, ["orders"]).triples([B + "o_orderstatus", B + "customer"]))
+
+
+@query("WITH p AS (SELECT DISTINCT 'Explain ' || o_orderpriority AS p FROM orders) SELECT count(*) AS n_calls, CAST(sum(ceil(length(p) / 4)) AS BIGINT) AS tokens FROM p")
+def prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["orders"]), "?o", B + "o_orderpriority", "?p")
+    return cost.prompt_tokens(s, "Explain {?p}")
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return simjoin_terms(spark, sf)
