@@ -1 +1 @@
-
+"""Generation over streams."""
