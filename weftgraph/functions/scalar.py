@@ -205,3 +205,21 @@ def group_concat(text: Column, separator: str = " ") -> Column:
 
 def sample(x) -> Column:
     return least_term(x)
+
+
+def now() -> Column:
+    """The query's time as a dateTime literal."""
+    return literal(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), XSD + "dateTime")
+
+
+def uuid_iri() -> Column:
+    return iri(F.concat(F.lit("urn:uuid:"), F.uuid()))
+
+
+def uuid_text() -> Column:
+    return F.uuid()
+
+
+def new_bnode(*variables: str) -> Column:
+    """BNODE(): a blank node for each different solution of some variables."""
+    return term(F.lit(BNODE), F.sha2(F.to_json(F.struct(*(c(v) for v in variables))), 256))

@@ -100,6 +100,7 @@ class Options:
     batch: int = 32  # prompts that a provider gets at once
     candidates: Sequence[str] = field(default_factory=tuple)  # texts that answers should be among
     most_candidates: int = 500
+    tag: str | None = None  # of the jobs that ask the model; spark.interruptTag(tag) cancels them
 
     def __post_init__(self):
         if not 0 <= self.theta <= 1:
@@ -219,7 +220,14 @@ def ask_model(prompts: DataFrame, provider, outputs: Sequence[str], options: Opt
         todo = todo.withColumn("key", F.concat(F.lit(prefix), F.sha2("prompt", 256), F.lit(suffix))).join(options.records.select("key", F.col("raw").alias("known")), "key", "left").drop("key")
         if options.replay_only and todo.where("known IS NULL").limit(1).count():
             raise LookupError("a prompt has no record")
-    out = save(todo.mapInPandas(answers, _ANSWERS), "answers")
+    spark = prompts.sparkSession
+    if options.tag:
+        spark.addTag(options.tag)
+    try:
+        out = save(todo.mapInPandas(answers, _ANSWERS), "answers")
+    finally:
+        if options.tag:
+            spark.removeTag(options.tag)
     if options.fail_on_error and out.where("NOT ok").limit(1).count():
         raise RuntimeError("the model failed to answer")
     return out

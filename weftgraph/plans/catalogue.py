@@ -656,5 +656,31 @@ def prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return cost.prompt_tokens(s, "Explain {?p}")
 
 
+@query("WITH p AS (SELECT DISTINCT 'Explain ' || c_mktsegment AS p FROM customer), t AS (SELECT count(*) AS n_calls, CAST(sum(ceil(length(p) / 4)) AS BIGINT) AS tokens FROM p) SELECT n_calls, tokens, n_calls * 100 AS tokens_out, (tokens * 0.5 + n_calls * 100 * 1.5) / 1e6 AS price, ceil(n_calls / 2) * 0.25 AS seconds FROM t")
+def cost_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["customer"]), "?c", B + "c_mktsegment", "?m")
+    return cost.estimate(cost.prompt_tokens(s, "Explain {?m}"), 100, 0.5, 1.5, 0.25, 2)
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_acctbal >= 5000 THEN 'high' WHEN c_acctbal >= 0 THEN 'low' END AS band, length(c_name) > 3 AS valid FROM customer")
+def fn_nested_optional(spark: SparkSession, sf: str) -> DataFrame:
+    """Two BINDs by OPTIONAL parts; a customer in neither has none."""
+    g = star_graph(spark, sf, ["customer"])
+    every = P.bgp(g, ("?c", B + "c_custkey", "?k"), ("?c", B + "c_name", "?n"))
+    balance = P.match(g, "?c", B + "c_acctbal", "?b")
+    high = P.bind(P.where(balance, ~fn.less("?b", Lit(5000).column())), "?band", Lit("high").column())
+    low = P.bind(P.where(balance, fn.less("?b", Lit(5000).column()) & ~fn.less("?b", Lit(0).column())), "?band", Lit("low").column())
+    s = P.optional(every, P.project(P.union(high, low), "c", "band"))
+    return P.native(s, k=long("k"), band=F.col("band.lex"), valid=F.length(fn.string("?n")) > 3)
+
+
+@query("SELECT substr(o_orderpriority, 1, 1) AS p, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1")
+def min_max_dates(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.bgp(star_graph(spark, sf, ["orders"]), ("?o", B + "o_orderpriority", "?p"), ("?o", B + "o_orderdate", "?d"))
+    s = P.bind(s, "?k", fn.substr(fn.string("?p"), 1, 1))
+    s = P.group(s, ["k"], {"first": F.min(fn.timestamp("?d")), "last": F.max(fn.timestamp("?d"))})
+    return P.native(s, p=F.col("k"), first=F.col("first"), last=F.col("last"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return simjoin_terms(spark, sf)

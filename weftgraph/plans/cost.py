@@ -32,3 +32,10 @@ def survivors(expected_rows: Column, theta: float) -> Column:
 def predicate_statistics(rows: DataFrame) -> DataFrame:
     """(p, n, subjects, objects) of triples (s, p, o)."""
     return rows.groupBy(F.col("p.lex").alias("p")).agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"), F.countDistinct("o").alias("objects"))
+
+
+def estimate(statistics: DataFrame, tokens_out: int, per_million_in: float, per_million_out: float, seconds_a_call: float, at_once: int = 1) -> DataFrame:
+    """Adds tokens_out, price and seconds to (n_calls, tokens): what asking would cost, with so many calls at once."""
+    out = statistics.withColumn("tokens_out", F.col("n_calls") * tokens_out)
+    price = (F.col("tokens") * per_million_in + F.col("tokens_out") * per_million_out) / 1e6
+    return out.withColumns({"price": price, "seconds": F.ceil(F.col("n_calls") / at_once) * seconds_a_call})
