@@ -17,23 +17,22 @@ def connected_components(links: DataFrame, staging: Staging) -> DataFrame:
     Links with a null end are ignored. Without links the result is empty.
     """
     kind = links.schema["a"].dataType
-    edges = staging.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = staging.save(edges, "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = staging.save(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = staging.save(small, "edges")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = large.join(low.where("n > 1"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        new = staging.save(small.where("u <> v").distinct(), "edges")
         staging.drop(edges, large)
         edges = new
-        if tuple(now) == before:
+        # done when all edges point to roots and each node has one
+        many = edges.groupBy("u").agg(F.count("*").alias("n"), F.max("v").alias("v"))
+        if not many.where("n > 1").select("u").unionByName(edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")).limit(1).count():
             break
-        before = tuple(now)
     members = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots).select(F.col("id").cast(kind), F.col("component").cast(kind))

@@ -2,10 +2,10 @@
 
 Shingles are ordered by a sketch of their document frequency, rare first; any order that all documents share is
 right, a rough one costs time only. Sets that link share a shingle of the shorter one's index prefix and the
-longer one's probe prefix, so only shingles of prefixes are joined. A pair of Bloom filters keeps back the
+longer one's probe prefix, so only shingles of prefixes are joined. Pairs of Bloom filters keep back the
 prefix shingles that a single document holds, which is most of them. Candidates pass length and positional
-filters in the join, a suffix filter (the hash space in sixteen parts bounds the intersection), and are counted
-once a pair. Equal sets are one class from the start, and their copies are never expanded into pairs.
+filters in the join, a suffix filter (parts of the hash space bound the intersection), and are counted once a
+pair. One more filter of the suspects' shingles leaves out documents too few of whose shingles occur elsewhere. Equal sets are one class from the start, and their copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .arrow_text import SPACES, U, chunks, digest, shingles
 from .columns import Shared
 from .set_links import set_components
-from .sketch import count_ranks, twice_filter
+from .sketch import count_ranks, sifted_filter, twice_filter
 from .staging import Staging, small_batches
 
-_PROFILE = "doc_id long, n_shingles long, id binary, toks array<struct<tok: bigint, pos: int>>, hist array<int>, hashes array<bigint>"
+_PROFILE = "doc_id long, n_shingles long, id binary, m int, toks array<struct<tok: bigint, pos: int>>, hist array<int>, hashes array<bigint>"
 _TOKS = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))
 
 
@@ -56,28 +56,38 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     def ordered(u: np.ndarray) -> np.ndarray:
         return u[np.lexsort((u, shared.value.of(u)))][: length(len(u))]
 
-    filter_ = twice_filter(texts, lambda batch: map(ordered, shingle_sets(batch.column(0), k)), total * (100 - percent) // 100 + 1, probes=1)
+    filter_ = sifted_filter(texts, lambda batch: map(ordered, shingle_sets(batch.column(0), k)), total * (100 - percent) // 100 + 1)
     again = Shared(spark, filter_)
 
+    def suspects(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for u in shingle_sets(batch.column(0), k):
+            if again.value.test(ordered(u)).any():
+                yield u
+
+    held = Shared(spark, twice_filter(texts, suspects, total // 4 + 1, first_probe=4))
+
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, toks, hist, hashes = [], [], [], [], []
+            n, ids, m, toks, hist, hashes = [], [], [], [], [], []
             for u in shingle_sets(batch.column(1), k):
                 prefix = ordered(u)
                 at = np.flatnonzero(again.value.test(prefix))
+                others = u[held.value.test(u)] if len(at) else u[:0]
+                some = len(at) and 100 * len(others) >= percent * len(u)
                 n.append(len(u))
-                ids.append(bytes.fromhex(digest(u)) if len(at) else None)
-                toks.append([{"tok": t, "pos": p} for t, p in zip(prefix[at].view(np.int64).tolist(), at.tolist(), strict=True)] if len(at) else None)
-                hist.append(np.bincount((u >> U(60)).astype(np.int64), minlength=16) if len(at) else None)
-                hashes.append(u.view(np.int64) if len(at) else None)
+                m.append(len(others))
+                ids.append(bytes.fromhex(digest(u)) if some else None)
+                toks.append([{"tok": t, "pos": p} for t, p in zip(prefix[at].view(np.int64).tolist(), at.tolist(), strict=True)] if some else None)
+                hist.append(np.bincount((others >> U(59)).astype(np.int64), minlength=32) if some else None)
+                hashes.append(u.view(np.int64) if some else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(toks, _TOKS), pa.array(hist, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "id", "toks", "hist", "hashes"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(m, pa.int32()), pa.array(toks, _TOKS), pa.array(hist, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "id", "m", "toks", "hist", "hashes"],
             )
 
     rows = staging.save(docs.mapInArrow(profile, _PROFILE), "profile")
     some = rows.where("id is not null")
-    members = staging.save(some.select("id", F.col("n_shingles").cast("int").alias("n"), "toks", "hist", "hashes").dropDuplicates(["id"]), "members")
+    members = staging.save(some.select("id", F.col("n_shingles").cast("int").alias("n"), "m", "toks", "hist", "hashes").dropDuplicates(["id"]), "members")
     comps = set_components(members, staging, percent)
     classed = some.select("doc_id", "n_shingles", "id").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
     least = classed.groupBy("c").agg(F.min("doc_id").alias("component_id"))

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from .arrow_text import _MULT, SPACES, U, chunks, digest, mix, shingles
 from .columns import Shared
 from .set_links import set_components
-from .sketch import twice_filter
+from .sketch import sifted_filter, twice_filter
 from .staging import Staging, small_batches
 
 BANDS, ROWS = 14, 4
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _LINES = np.ones(256, dtype=bool)
 _LINES[10] = False
-_SCHEMA = "doc_id long, para_no int, start_char long, n_chars long, n_words int, id binary, toks array<struct<tok: bigint, pos: int>>, n int, hist array<int>, hashes array<bigint>"
+_SCHEMA = "doc_id long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, hist array<int>, hashes array<bigint>"
 _TOKS = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))
 
 
@@ -78,25 +78,39 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
             yield bands(sets).ravel()
 
     count = docs.select(F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 2 * min_words - 1))).alias("n")).first()[0] or 0
-    again = Shared(spark, twice_filter(docs.select("text"), keys, count * BANDS + 1))
+    again = Shared(spark, sifted_filter(docs.select("text"), keys, count * BANDS + 1))
+
+    def suspected(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Band keys, whether another paragraph may have them, and which sets have one that may."""
+        every = bands(sets)
+        hit = again.value.test(every.ravel()).reshape(every.shape)
+        return every, hit, np.flatnonzero(hit.any(axis=1)).tolist()
+
+    def shared(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for *_, sets in paragraphs(batch.column(0), min_words, k):
+            at = suspected(sets)[2]
+            if at:
+                yield np.concatenate([sets[i] for i in at])
+
+    held = Shared(spark, twice_filter(docs.select("text"), shared, count * BANDS + 1, first_probe=4))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, place, start, n_chars, n_words, sets in paragraphs(batch.column(1), min_words, k):
-                every = bands(sets)
-                hit = again.value.test(every.ravel()).reshape(every.shape)
-                at = np.flatnonzero(hit.any(axis=1)).tolist()
+                every, hit, at = suspected(sets)
+                others = {i: sets[i][held.value.test(sets[i])] for i in at}
+                at = [i for i in at if 100 * len(others[i]) >= percent * len(sets[i])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row[at])), pa.array(place[at], pa.int32()), pa.array(start[at], pa.int64()), pa.array(n_chars[at], pa.int64()), pa.array(n_words[at], pa.int32()),
-                        pa.array([bytes.fromhex(digest(sets[i])) for i in at], pa.binary()), pa.array([[{"tok": int(t), "pos": 0} for t in every[i][hit[i]].view(np.int64)] for i in at], _TOKS),
-                        pa.array([len(sets[i]) for i in at], pa.int32()), pa.array([np.bincount((sets[i] >> U(60)).astype(np.int64), minlength=16) for i in at], pa.list_(pa.int32())), pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64())),
+                        pa.array([bytes.fromhex(digest(sets[i])) for i in at], pa.binary()), pa.array([len(others[i]) for i in at], pa.int32()), pa.array([[{"tok": int(t), "pos": 0} for t in every[i][hit[i]].view(np.int64)] for i in at], _TOKS),
+                        pa.array([len(sets[i]) for i in at], pa.int32()), pa.array([np.bincount((others[i] >> U(59)).astype(np.int64), minlength=32) for i in at], pa.list_(pa.int32())), pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "para_no", "start_char", "n_chars", "n_words", "id", "toks", "n", "hist", "hashes"],
+                    names=["doc_id", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "hist", "hashes"],
                 )
 
     rows = staging.save(docs.mapInArrow(suspects, _SCHEMA), "paragraphs")
-    members = staging.save(rows.select("id", "n", "toks", "hist", "hashes").dropDuplicates(["id"]), "members")
+    members = staging.save(rows.select("id", "n", "m", "toks", "hist", "hashes").dropDuplicates(["id"]), "members")
     comps = set_components(members, staging, percent, positional=False)
     placed = rows.select("doc_id", "para_no", "start_char", "n_chars", "n_words", "id").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
     first = placed.groupBy("c").agg(F.min(F.struct("doc_id", "para_no")).alias("keep"), F.count("*").alias("class_size"))

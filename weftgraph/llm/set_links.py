@@ -1,14 +1,15 @@
 """Links between similar sets of hashes that share a token, without all pairs of a token's group.
 
-members has a row for each different set: id binary, n int (its size), toks array<struct<tok bigint, pos int>>,
-hist array<int> (how many hashes lie in each sixteenth of the hash space) and hashes array<bigint>.
-Two sets link when 100 * intersection >= percent * union.
-
-First come star rounds: in each token's group one pivot is picked by a seeded hash, and each other set is
-compared with the pivot that it meets most often, unless both are in one component already. That is one
-comparison for a set and a round, however large the groups. Groups of copies with small changes become one
-component there. Last, the pairs of a group that are still in different components are compared; a pair within
-one component cannot change the components any more, so these rounds lose none.
+members has a row for each different set: id binary, n int (its size), m int (how many of its hashes another set
+may hold), toks array<struct<tok bigint, pos int>>, hist array<int> (those m hashes by 32 parts of the hash space)
+and hashes array<bigint>. Two sets link when 100 * intersection >= percent * union.
+
+First come star rounds: in each token's group one pivot is picked by a seeded hash. Each set with another
+label is compared with the pivot that it meets most often; a set without a label takes the pivot's if they link.
+That is one comparison for a set and a round, however large the groups; groups of copies with small changes come
+together there. Last, the pairs of a group that are in different components are compared, those that the hist
+allows: the suffix filter, which bounds the intersection by its parts. A pair within one component cannot change
+the components any more, so no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ def _needed(a: str, b: str, percent: int):
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / (100 + percent) - 1e-9)
 
 
+def _most(a: str, b: str):
+    """No intersection is larger than the sum over the parts of the smaller count."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+
+
 def verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link: each is bounded by its parts' sizes first, then counted once."""
     small = members.select("id", "n", "hist")
     left, right = (small.select(*(F.col(c).alias(f"{side}_{c}") for c in small.columns)) for side in "ab")
-    bound = F.aggregate(F.zip_with("a_hist", "b_hist", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
-    near = near.where(bound >= _needed("a_n", "b_n", percent)).select("a", "b", _needed("a_n", "b_n", percent).alias("need"))
+    near = pairs.join(left, F.col("a") == F.col("a_id")).join(right, (F.col("b") == F.col("b_id")) & (_most("a_hist", "b_hist") >= _needed("a_n", "b_n", percent)))
+    near = near.select("a", "b", _needed("a_n", "b_n", percent).alias("need"))
     sets = members.select("id", "hashes")
     near = near.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
     near = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
@@ -45,17 +50,20 @@ def set_components(members: DataFrame, staging: Staging, percent: int = 80, posi
     made where the token lies in the shorter set's index prefix, and where as much is left behind it in both
     sets as a link needs.
     """
-    posts = staging.save(members.select("id", "n", F.explode("toks").alias("t")).select("id", "n", "t.tok", "t.pos"), "posts")
+    posts = staging.save(members.select("id", "n", "m", F.explode("toks").alias("t")).select("id", "n", "m", "t.tok", "t.pos"), "posts")
     links: DataFrame | None = None
-    comps: DataFrame | None = None
+    labels: DataFrame | None = None  # (id, label): sets with one label are connected; a set without one is its own
 
     def posted() -> DataFrame:
-        p = posts if comps is None else posts.join(comps, "id", "left")
-        return p.withColumn("c", F.col("id") if comps is None else F.coalesce("component", "id")).select("tok", "id", "n", "pos", "c")
+        p = posts if labels is None else posts.join(labels, "id", "left")
+        return p.withColumn("c", F.col("id") if labels is None else F.coalesce("label", "id")).select("tok", *columns)
+
+    columns = ["id", "n", "m", "pos", "c"]
 
     def allowed():
         """Of rows of p (columns p_) and q (columns q_) that share a token."""
         ok = (100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n")) & (F.col("p_c") != F.col("q_c"))
+        ok &= F.least("p_m", "q_m") >= _needed("p_n", "q_n", percent)
         if positional:
             p_first = (F.col("p_n") < F.col("q_n")) | ((F.col("p_n") == F.col("q_n")) & (F.col("p_id") < F.col("q_id")))
             n, pos = F.when(p_first, F.col("p_n")).otherwise(F.col("q_n")), F.when(p_first, F.col("p_pos")).otherwise(F.col("q_pos"))
@@ -64,24 +72,30 @@ def set_components(members: DataFrame, staging: Staging, percent: int = 80, posi
         return ok
 
     def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select("tok", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "c")))
+        return df.select("tok", *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "tok"))
 
-    def grown(pairs: DataFrame, name: str) -> None:
-        nonlocal links, comps
-        found = staging.save(verify(pairs, members, percent), name)
+    def linked(pairs: DataFrame) -> DataFrame:
+        nonlocal links
+        found = staging.save(verify(pairs, members, percent), "links")
         links = found if links is None else links.unionByName(found)
-        comps = staging.save(connected_components(links, staging), "comps")
+        return found
 
     for r in range(rounds):
         here = posted()
-        pivots = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "pos", "c")).alias("v"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        pivots = pivots.where("lo <> hi").select("tok", *(F.col(f"v.{c}").alias(f"p_{c}") for c in ("id", "n", "pos", "c")))
+        pivots = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), *columns)).alias("v"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        pivots = pivots.where("lo <> hi").select("tok", *(F.col(f"v.{c}").alias(f"p_{c}") for c in columns))
         met = named(here, "q").join(pivots, "tok").where(allowed()).groupBy("q_id", "p_id").count()
         best = met.groupBy("q_id").agg(F.max(F.struct("count", "p_id")).alias("v"))
-        grown(staging.save(best.select(F.col("q_id").alias("a"), F.col("v.p_id").alias("b")), "stars"), f"links{r}")
+        found = linked(best.select(F.col("q_id").alias("a"), F.col("v.p_id").alias("b")))
+        new = found.select(F.col("a").alias("id"), F.col("b").alias("label"))
+        every = new if labels is None else labels.unionByName(new.join(labels.select("id"), "id", "left_anti"))
+        up = every.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        labels = staging.save(every.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
+    comps = staging.save(connected_components(links, staging), "components")
+    labels = comps.withColumnRenamed("component", "label")
     here = posted()
     mixed = here.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
-    open_ = staging.save(here.join(mixed, "tok", "left_semi"), "open")
-    pairs = named(open_, "p").join(named(open_, "q"), "tok").where((F.col("p_id") < F.col("q_id")) & allowed())
-    grown(staging.save(pairs.select(F.col("p_id").alias("a"), F.col("q_id").alias("b")).distinct(), "rest"), "links_rest")
-    return comps
+    open_ = staging.save(here.join(mixed, "tok", "left_semi").join(members.select("id", "hist"), "id"), "open")
+    pairs = named(open_, "p").join(named(open_, "q"), "tok").where((F.col("p_id") < F.col("q_id")) & allowed() & (_most("p_hist", "q_hist") >= _needed("p_n", "q_n", percent)))
+    rest = linked(pairs.select(F.col("p_id").alias("a"), F.col("q_id").alias("b")).distinct())
+    return connected_components(links, staging) if rest.limit(1).count() else comps

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrow_text import U, mix
+from .columns import Shared
 
 SEGMENTS = 64
-MERGERS = 12  # tasks that merge, each a few segments
 FLUSH = 1 << 21  # hashes that a task holds before it sends them on
 _SCHEMA = "segment int, once binary, again binary"
 _ARROW = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
@@ -48,18 +48,18 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 class TwiceFilter:
     """The filter of hashes seen again."""
 
-    def __init__(self, packed: np.ndarray, bits: int, probes: int):
-        self.packed, self.bits, self.probes = packed, bits, probes
+    def __init__(self, packed: np.ndarray, bits: int, probes: int, first_probe: int):
+        self.packed, self.bits, self.probes, self.first_probe = packed, bits, probes, first_probe
 
     def test(self, hashes: np.ndarray) -> np.ndarray:
         found = np.ones(len(hashes), dtype=bool)
         for k in range(self.probes):
-            at = cells(hashes, self.bits, k)
+            at = cells(hashes, self.bits, self.first_probe + k)
             found &= (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return found
 
 
-def twice_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: int, max_bits: int = 30, probes: int = 2) -> TwiceFilter:
+def twice_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: int, max_bits: int = 30, probes: int = 2, first_probe: int = 0) -> TwiceFilter:
     """The filter over the arrays that hashes_of yields, one array of distinct hashes for each document.
 
     expected: about how many hashes all arrays hold; there are eight bits for each, but 2**max_bits at most
@@ -70,7 +70,7 @@ def twice_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[n
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(held)
-        at, n = np.unique(np.concatenate([cells(every, bits, k) for k in range(probes)]), return_counts=True)
+        at, n = np.unique(np.concatenate([cells(every, bits, first_probe + k) for k in range(probes)]), return_counts=True)
         ends = np.searchsorted(at, np.arange(SEGMENTS + 1) * span)
         return _rows([(s, _pack(at[a:b] - s * span), _pack(at[a:b][n[a:b] > 1] - s * span)) for s, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a])
 
@@ -101,11 +101,42 @@ def twice_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[n
             yield _rows([(s, b"", zlib.compress(np.packbits(again[s], bitorder="little").tobytes(), 1))])
 
     packed = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    merged = df.mapInArrow(send, _SCHEMA).repartition(MERGERS, "segment").mapInArrow(merge, _SCHEMA)
+    merged = df.mapInArrow(send, _SCHEMA).repartition(12, "segment").mapInArrow(merge, _SCHEMA)
     for r in merged.select("segment", "again").collect():
         part = np.frombuffer(zlib.decompress(bytes(r[1])), dtype=np.uint8)
         packed[r[0] * (span // 8) : r[0] * (span // 8) + len(part)] = part
-    return TwiceFilter(packed, bits, probes)
+    return TwiceFilter(packed, bits, probes, first_probe)
+
+
+class Sifted:
+    """Several filters; each was built from the hashes that passed those before."""
+
+    def __init__(self, filters: list[TwiceFilter]):
+        self.filters = filters
+
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.arange(len(hashes))
+        for f in self.filters:
+            at = at[f.test(hashes[at])]
+        found = np.zeros(len(hashes), dtype=bool)
+        found[at] = True
+        return found
+
+
+def sifted_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: int, rounds: int = 2, max_bits: int = 30) -> Sifted:
+    """Like twice_filter, in rounds over the table: what passes by chance in one is sifted again in the next, where
+    far fewer hashes are left. A hash that two documents hold passes all rounds."""
+    filters: list[TwiceFilter] = []
+    for r in range(rounds):
+        before = Shared(df.sparkSession, Sifted(list(filters)))
+
+        def left(batch: pa.RecordBatch, before=before) -> Iterator[np.ndarray]:
+            for h in hashes_of(batch):
+                yield h[before.value.test(h)]
+
+        found = twice_filter(df, left if r else hashes_of, expected, max_bits, first_probe=2 * r)
+        filters.append(found)
+    return Sifted(filters)
 
 
 class Ranks:
@@ -151,7 +182,7 @@ def count_ranks(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np
             yield _rows([(s, zlib.compress(ranks.tobytes(), 1), int(x.sum()).to_bytes(8, "little"))])
 
     table, n = np.zeros(1 << bits, dtype=np.uint8), 0
-    merged = df.mapInArrow(send, _SCHEMA).repartition(MERGERS, "segment").mapInArrow(merge, _SCHEMA)
+    merged = df.mapInArrow(send, _SCHEMA).repartition(12, "segment").mapInArrow(merge, _SCHEMA)
     for r in merged.collect():
         table[r[0] * span : (r[0] + 1) * span] = np.frombuffer(zlib.decompress(bytes(r[1])), dtype=np.uint8)
         n += int.from_bytes(bytes(r[2]), "little")
