@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _own[app]
+from ..plans.staging import shared_dir
 
 
 class Staging:
@@ -29,19 +15,18 @@ class Staging:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.__dict__["_staged_at"] = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:
-            path = self.paths.pop(id(t), None)
+            path = t.__dict__.pop("_staged_at", None)
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
