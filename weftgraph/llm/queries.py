@@ -27,9 +27,14 @@ def held_out():
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
-    """Fitted on the labelled documents that are not held out."""
-    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    """Fitted on the labelled documents that are not held out; of more than MAX_TRAINING_ROWS labels on about that
+    many, by a hash of doc_id. The labels that are used, a bounded number of pairs, are broadcast, so that no text is
+    shuffled to find the labelled ones."""
+    labels = table(spark, sf_dir, "labels").where(~held_out()).where("toxic IN (0, 1)").select("doc_id", F.col("toxic").alias("label"))
+    n = labels.count()
+    if n > toxicity.MAX_TRAINING_ROWS:
+        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * toxicity.MAX_TRAINING_ROWS / n))
+    return toxicity.fit(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
