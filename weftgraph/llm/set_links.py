@@ -4,7 +4,8 @@ members has a row for each different set: id binary, n int (its size), m int (ho
 may hold), toks array<struct<tok bigint, pos int>>, hist array<int> (those m hashes by 32 parts of the hash space)
 and hashes array<bigint>. Two sets link when 100 * intersection >= percent * union.
 
-First come star rounds: in each token's group one pivot is picked by a seeded hash. Each set with another
+First come star rounds: in each token's group one pivot is picked, first the set with the fewest hashes that no
+other set has, which lies in the middle of a group of changed copies, later ones by a seeded hash. Each set with another
 label is compared with the pivot that it meets most often; a set without a label takes the pivot's if they link.
 That is one comparison for a set and a round, however large the groups; groups of copies with small changes come
 together there. Last, the pairs of a group that are in different components are compared, those that the hist
@@ -43,7 +44,7 @@ def verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return near.where(F.size(F.array_intersect("ha", "hb")) >= F.col("need")).select("a", "b")
 
 
-def set_components(members: DataFrame, staging: Staging, percent: int = 80, positional: bool = True, rounds: int = 2) -> DataFrame:
+def set_components(members: DataFrame, staging: Staging, percent: int = 80, positional: bool = True, rounds: int = 3) -> DataFrame:
     """(id, component) for each member that links with another; component is a member's id.
 
     positional: tokens are the rare-first prefix of a set, pos their places in that order. Then a pair is only
@@ -80,9 +81,11 @@ def set_components(members: DataFrame, staging: Staging, percent: int = 80, posi
         links = found if links is None else links.unionByName(found)
         return found
 
+    # the set with the fewest hashes of its own lies nearest to what its group has in common
+    far = [F.col("n") - F.col("m"), F.shiftright(F.col("n") - F.col("m"), 4), F.lit(0)]
     for r in range(rounds):
         here = posted()
-        pivots = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), *columns)).alias("v"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        pivots = here.groupBy("tok").agg(F.min(F.struct(far[min(r, 2)].alias("far"), F.xxhash64("id", F.lit(r)).alias("h"), *columns)).alias("v"), F.min("c").alias("lo"), F.max("c").alias("hi"))
         pivots = pivots.where("lo <> hi").select("tok", *(F.col(f"v.{c}").alias(f"p_{c}") for c in columns))
         met = named(here, "q").join(pivots, "tok").where(allowed()).groupBy("q_id", "p_id").count()
         best = met.groupBy("q_id").agg(F.max(F.struct("count", "p_id")).alias("v"))

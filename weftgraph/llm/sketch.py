@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .arrow_text import U, mix
 from .columns import Shared
@@ -28,6 +28,11 @@ _ARROW = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("again", pa
 _SEEDS = np.arange(1, 9, dtype=U) * U(0xD1342543DE82EF95)
 
 
+def mergers(spark: SparkSession) -> int:
+    """Tasks that merge, each some segments: as many as a shuffle has, but no more than there are segments."""
+    return min(SEGMENTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cells(hashes: np.ndarray, bits: int, probe: int) -> np.ndarray:
     return (mix(hashes + _SEEDS[probe]) >> U(64 - bits)).astype(np.int64)
 
@@ -101,7 +106,7 @@ def twice_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[n
             yield _rows([(s, b"", zlib.compress(np.packbits(again[s], bitorder="little").tobytes(), 1))])
 
     packed = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    merged = df.mapInArrow(send, _SCHEMA).repartition(12, "segment").mapInArrow(merge, _SCHEMA)
+    merged = df.mapInArrow(send, _SCHEMA).repartition(mergers(df.sparkSession), "segment").mapInArrow(merge, _SCHEMA)
     for r in merged.select("segment", "again").collect():
         part = np.frombuffer(zlib.decompress(bytes(r[1])), dtype=np.uint8)
         packed[r[0] * (span // 8) : r[0] * (span // 8) + len(part)] = part
@@ -182,7 +187,7 @@ def count_ranks(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np
             yield _rows([(s, zlib.compress(ranks.tobytes(), 1), int(x.sum()).to_bytes(8, "little"))])
 
     table, n = np.zeros(1 << bits, dtype=np.uint8), 0
-    merged = df.mapInArrow(send, _SCHEMA).repartition(12, "segment").mapInArrow(merge, _SCHEMA)
+    merged = df.mapInArrow(send, _SCHEMA).repartition(mergers(df.sparkSession), "segment").mapInArrow(merge, _SCHEMA)
     for r in merged.collect():
         table[r[0] * span : (r[0] + 1) * span] = np.frombuffer(zlib.decompress(bytes(r[1])), dtype=np.uint8)
         n += int.from_bytes(bytes(r[2]), "little")
