@@ -206,3 +206,39 @@ def test_ties_prefer_earlier_starts():
 def test_columns_replaced(spark):
     out = token_count.count_tokens(frame(spark, [(1, "a b")]).withColumn("n_tokens", F.lit("old")), [("▁", -1.0), ("a", -1.0)], True)
     assert dict(out.dtypes)["n_tokens"] == "bigint" and out.count() == 1
+
+
+def test_passages_across_lines_and_within_them(spark):
+    """Every word of a run of 50 words that is found elsewhere lies in a row; what stays still holds every run."""
+    r = random.Random(3)
+    para = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    passage, inner = para(69), para(51)
+    split = lambda w, n: " ".join(w[:n]) + "\n" + " ".join(w[n:])
+    edited = [*passage[:35], "changed", *passage[36:]]
+    rows = [(1, split(passage, 23)), (2, split(passage, 23)), (3, split(passage, 40)), (4, " ".join(para(60) + inner + para(200))), (5, " ".join(para(20) + inner) + "\n" + " ".join(para(80)))]
+    rows += [(6, " ".join(para(7) + inner[:49] + para(7))), (7, split(edited, 23)), (8, " ".join(para(30)) + "\n\n" + " ".join(passage[:55])), (9, "tick " * 99), (10, "tock " * 160), (None, " ".join(inner[:50]))]
+    got = paragraph_dedup.repeated_paragraphs(frame(spark, rows)).collect()
+    text, held = dict(rows), {i: words(t) for i, t in rows}
+    places = {}
+    for i, w in held.items():
+        for p in range(len(w) - 49):
+            places.setdefault(tuple(w[p : p + 50]), []).append((i, p))
+    want = {i: set() for i in held}
+    for at in places.values():
+        if len({i for i, _ in at}) > 1 or at[-1][1] - at[0][1] >= 50:
+            for i, p in at:
+                want[i] |= set(range(p, p + 50))
+    covered, left = {i: set() for i in held}, {i: set(range(len(w))) for i, w in held.items()}
+    for x in got:
+        t = text[x["doc_id"]]
+        a = len(words(t[: x["start_char"]]))
+        inside = set(range(a, a + x["n_words"]))
+        assert len(words(t[x["start_char"] : x["start_char"] + x["n_chars"]])) == x["n_words"] >= 50
+        covered[x["doc_id"]] |= inside
+        if x["removed"]:
+            left[x["doc_id"]] -= inside
+    assert all(want[i] <= covered[i] for i in held)
+    assert {i for i, c in covered.items() if c} == {1, 2, 3, 4, 5, 7, 8, 10, None}
+    assert covered[7] == set(range(69)) and covered[4] == set(range(60, 111)) and covered[5] == set(range(20, 71))
+    kept = " ".join(" ".join(held[i][p] for p in sorted(left[i])) for i in held)
+    assert " ".join(passage) in kept and " ".join(inner[:50]) in kept and len(left[10]) == 50

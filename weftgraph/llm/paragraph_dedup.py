@@ -1,10 +1,16 @@
-"""Substring dedup: long paragraphs that repeat, exactly or nearly, within and across documents.
+"""Substring dedup: passages that repeat within and across documents, long paragraphs exactly or nearly, any run of
+words exactly.
 
-Paragraphs are lines of at least min_words words. Each gets a MinHash signature of its distinct word shingles;
-bands of it are hashed, and paragraphs that share a band are candidates. With 14 bands of 4 rows a pair at the
-threshold of 0.8 is a candidate with a probability of 0.9994, so that bands lose next to none; the exact Jaccard
-of the shingle sets decides. Equal sets are one class from the start. Of each component of linked classes the
-first paragraph (by doc_id, then place) stays, the others are removed.
+Paragraphs are lines of at least min_words words, and the blocks of shorter lines between them that have as many.
+Each gets a MinHash signature of its distinct word shingles; bands of it are hashed, and paragraphs that share a band
+are candidates. With 14 bands of 4 rows a pair at the threshold of 0.8 is a candidate with a probability of 0.9994, so
+that bands lose next to none; the exact Jaccard of the shingle sets decides. Equal sets are one class from the start.
+Of each component of linked classes the first paragraph (by doc_id, then place) stays, the others are removed.
+
+Runs of words pay no heed to lines. All windows of min_words words are hashed; a window is sought again only if its
+least hash of min_words / 2 words, its key, may be elsewhere. Equal windows have equal keys, so that none is lost; a key
+stays the same over many windows, so that the filter takes about one in thirteen of them. Windows that may repeat are
+counted exactly by their hash. The first place of each stays; neighbours with the same fate are one passage.
 """
 
 from __future__ import annotations
@@ -14,9 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow_text import _MULT, SPACES, U, chunks, digest, mix, shingles
+from .arrow_text import _MULT, SPACES, Chunk, U, chunks, digest, mix, powers, shingles
 from .columns import Shared
 from .set_links import set_components
 from .sketch import sifted_filter, twice_filter
@@ -26,7 +33,8 @@ BANDS, ROWS = 14, 4
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _LINES = np.ones(256, dtype=bool)
 _LINES[10] = False
-_SCHEMA = "doc_id long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, hist array<int>, hashes array<bigint>"
+_SCHEMA = "doc_id long, uid long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, hist array<int>, hashes array<bigint>"
+_WINDOWS = "key long, uid long, doc_id long, pos int, h array<bigint>, start_char array<bigint>, n_chars array<int>, para_no array<int>"
 _TOKS = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))
 
 
@@ -42,43 +50,104 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def paragraphs(column: pa.Array, min_words: int, k: int) -> Iterator[tuple]:
-    """Of each piece of a column: rows, places, byte starts and ends, character counts, words and shingle sets."""
-    for c in chunks(column):
-        starts, ends, _ = c.spans(~SPACES)
-        hashes = c.hashes(starts, ends)
+class Words:
+    """The words of a chunk: byte starts and ends, bounds of the texts among them, hashes."""
+
+    def __init__(self, c: Chunk):
+        self.c = c
+        self.starts, self.ends, self.bounds = c.spans(~SPACES)
+        self.hashes = c.hashes(self.starts, self.ends)
+
+    def paragraphs(self, min_words: int, k: int) -> tuple | None:
+        """Rows, places of their first lines, byte starts and ends, character counts, words and shingle sets."""
+        c, hashes = self.c, self.hashes
         p_starts, p_ends, p_bounds = c.spans(_LINES)
-        first, last = np.searchsorted(starts, p_starts), np.searchsorted(starts, p_ends)
-        long = np.flatnonzero(last - first >= min_words)
-        if not len(long):
-            continue
-        text_of = np.repeat(np.arange(c.n), np.diff(p_bounds))[long]
+        if not len(p_starts):
+            return None
+        first, last = np.searchsorted(self.starts, p_starts), np.searchsorted(self.starts, p_ends)
+        line = last - first >= min_words
+        text_of = np.repeat(np.arange(c.n), np.diff(p_bounds))
+        new = line.copy()
+        new[1:] |= line[:-1] | (text_of[1:] != text_of[:-1])
+        new[0] = True
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(new)) - 1
+        long = last[end] - first[begin] >= min_words
+        begin, end = begin[long], end[long]
+        if not len(begin):
+            return None
+        text_of, first, last = text_of[begin], first[begin], last[end]
         points = c.code_points()
-        sets = [shingles(hashes[a:b], np.array([0, b - a]), k)[0] for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True)]
-        begin = points[p_starts[long]] - points[c.offsets[text_of]]
-        yield text_of + c.first, long - p_bounds[text_of], begin, points[p_ends[long]] - points[p_starts[long]], (last - first)[long], sets
+        sets = [shingles(hashes[a:b], np.array([0, b - a]), k)[0] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        start = points[p_starts[begin]] - points[c.offsets[text_of]]
+        return text_of + c.first, begin - p_bounds[text_of], start, points[p_ends[end]] - points[p_starts[begin]], last - first, sets
+
+    def grams(self, size: int) -> np.ndarray:
+        """A hash of each run of size words."""
+        n = len(self.hashes)
+        if n < size:
+            return np.zeros(0, dtype=U)
+        p, inverse = powers(n)
+        sums = np.zeros(n + 1, dtype=U)
+        np.cumsum(self.hashes * p[:n], out=sums[1:])
+        return mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1] + U(size))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the words where a window of size words of one text starts, and keys of these windows."""
+        text_end = np.repeat(self.bounds[1:], np.diff(self.bounds))
+        at = np.flatnonzero(np.arange(len(text_end)) + size <= text_end)
+        if not len(at):
+            return at, np.zeros(0, dtype=U)
+        part = (size + 1) // 2
+        low, width, step = self.grams(part), size - part + 1, 1
+        while 2 * step <= width:
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        if step < width:
+            low = np.minimum(low[: step - width], low[width - step :])
+        return at, low[at]
+
+    def window_keys(self, size: int) -> np.ndarray:
+        """The keys, once for each run of them in a text, and again after every size windows of a run."""
+        at, key = self.windows(size)
+        text_of = np.searchsorted(self.bounds, at, "right")
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (text_of[1:] != text_of[:-1])
+        k = np.arange(len(at))
+        return key[(k - np.maximum.accumulate(np.where(new, k, 0))) % size == 0]
+
+
+def word_chunks(column: pa.Array) -> Iterator[Words]:
+    for c in chunks(column):
+        yield Words(c)
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each long paragraph that repeats: doc_id, para_no (its place among the text's lines that are not
-    empty), start_char, n_chars, n_words, class_doc_id and class_para_no (the paragraph that stays), class_size,
-    removed.
+    """A row for each long paragraph that repeats, exactly or nearly, and for each other passage that repeats word for
+    word: doc_id, para_no (the place of its first line among the text's lines that are not empty), start_char, n_chars,
+    n_words, class_doc_id and class_para_no (where what stays is), class_size, removed.
 
-    Null and empty texts and shorter lines have no paragraphs. A paragraph that repeats within one document, or in
-    repeated rows of it, counts as often; ties of doc_id and place keep one. A null doc_id sorts first. Other
+    Every word of a run of at least min_words words that is found elsewhere, or again in its text without overlap,
+    lies in a row, whatever the lines are. A passage within a paragraph's row has no row of its own unless it is removed
+    and the paragraph stays. Rows of one text may overlap. class_size of a passage is the most places that a window
+    of it has. Null and empty texts and those of fewer words have no rows. A paragraph that repeats within one document,
+    or in repeated rows of it, counts as often; ties of doc_id and place keep one. A null doc_id sorts first. Other
     columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     staging = Staging(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for *_, sets in paragraphs(batch.column(0), min_words, k):
-            yield bands(sets).ravel()
+        for words in word_chunks(batch.column(0)):
+            found = words.paragraphs(min_words, k)
+            if found:
+                yield bands(found[-1]).ravel()
+            yield words.window_keys(min_words)
 
-    count = docs.select(F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 2 * min_words - 1))).alias("n")).first()[0] or 0
-    again = Shared(spark, sifted_filter(docs.select("text"), keys, count * BANDS + 1))
+    count = (docs.select(F.sum(F.length("text")).alias("n")).first()[0] or 0) // 6  # about how many words
+    again = Shared(spark, sifted_filter(docs.select("text"), keys, count * BANDS // min_words + 4 * count // min_words + 1))
 
     def suspected(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Band keys, whether another paragraph may have them, and which sets have one that may."""
@@ -86,34 +155,106 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
         hit = again.value.test(every.ravel()).reshape(every.shape)
         return every, hit, np.flatnonzero(hit.any(axis=1)).tolist()
 
+    def suspected_windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, hashes and keys of windows whose key may be elsewhere."""
+        at, key = words.windows(min_words)
+        some = again.value.test(key)
+        return at[some], words.grams(min_words)[at[some]], key[some]
+
     def shared(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for *_, sets in paragraphs(batch.column(0), min_words, k):
-            at = suspected(sets)[2]
+        for words in word_chunks(batch.column(0)):
+            found = words.paragraphs(min_words, k)
+            at = suspected(found[-1])[2] if found else []
             if at:
-                yield np.concatenate([sets[i] for i in at])
+                yield np.concatenate([found[-1][i] for i in at])
+            yield suspected_windows(words)[1]
 
-    held = Shared(spark, twice_filter(docs.select("text"), shared, count * BANDS + 1, first_probe=4))
+    held = Shared(spark, twice_filter(docs.select("text"), shared, count // 4 + 1, first_probe=4))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, place, start, n_chars, n_words, sets in paragraphs(batch.column(1), min_words, k):
+            for words in word_chunks(batch.column(1)):
+                found = words.paragraphs(min_words, k)
+                if not found:
+                    continue
+                row, place, start, n_chars, n_words, sets = found
                 every, hit, at = suspected(sets)
                 others = {i: sets[i][held.value.test(sets[i])] for i in at}
                 at = [i for i in at if 100 * len(others[i]) >= percent * len(sets[i])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(row[at])), pa.array(place[at], pa.int32()), pa.array(start[at], pa.int64()), pa.array(n_chars[at], pa.int64()), pa.array(n_words[at], pa.int32()),
+                        batch.column(0).take(pa.array(row[at])), batch.column(2).take(pa.array(row[at])), pa.array(place[at], pa.int32()), pa.array(start[at], pa.int64()), pa.array(n_chars[at], pa.int64()), pa.array(n_words[at], pa.int32()),
                         pa.array([bytes.fromhex(digest(sets[i])) for i in at], pa.binary()), pa.array([len(others[i]) for i in at], pa.int32()), pa.array([[{"tok": int(t), "pos": 0} for t in every[i][hit[i]].view(np.int64)] for i in at], _TOKS),
                         pa.array([len(sets[i]) for i in at], pa.int32()), pa.array([np.bincount((others[i] >> U(59)).astype(np.int64), minlength=32) for i in at], pa.list_(pa.int32())), pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "hist", "hashes"],
+                    names=["doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "hist", "hashes"],
                 )
 
-    rows = staging.save(docs.mapInArrow(suspects, _SCHEMA), "paragraphs")
+    def suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in word_chunks(batch.column(1)):
+                at, h, key = suspected_windows(words)
+                some = held.value.test(h)
+                at, h, key = at[some], h[some], key[some]
+                if not len(at):
+                    continue
+                c = words.c
+                text = np.searchsorted(words.bounds, at, "right") - 1
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+                new = np.flatnonzero(new)
+                row = pa.array(text[new] + c.first)
+                p_starts, _, p_bounds = c.spans(_LINES)
+                line = np.searchsorted(p_starts, words.starts[at], "right") - 1
+                points = c.code_points()
+                start = points[words.starts[at]]
+                lists = pa.array(np.append(new, len(at)), pa.int32())
+                each = [pa.array(h.view(np.int64)), pa.array(start - points[c.offsets[text]], pa.int64()), pa.array(points[words.ends[at + min_words - 1]] - start, pa.int32()), pa.array(line - p_bounds[text], pa.int32())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[new].view(np.int64)), batch.column(2).take(row), batch.column(0).take(row), pa.array((at - words.bounds[text])[new], pa.int32()), *(pa.ListArray.from_arrays(lists, x) for x in each)],
+                    names=["key", "uid", "doc_id", "pos", "h", "start_char", "n_chars", "para_no"],
+                )
+
+    rows = staging.save(docs.select("doc_id", "text", "uid").mapInArrow(suspects, _SCHEMA), "paragraphs")
     members = staging.save(rows.select("id", "n", "m", "toks", "hist", "hashes").dropDuplicates(["id"]), "members")
     comps = set_components(members, staging, percent, positional=False)
-    placed = rows.select("doc_id", "para_no", "start_char", "n_chars", "n_words", "id").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    placed = rows.select("doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
     first = placed.groupBy("c").agg(F.min(F.struct("doc_id", "para_no")).alias("keep"), F.count("*").alias("class_size"))
     out = placed.join(first.where("class_size > 1"), "c")
     here = F.struct("doc_id", "para_no")
-    return out.select("doc_id", "para_no", "start_char", "n_chars", "n_words", F.col("keep.doc_id").alias("class_doc_id"), F.col("keep.para_no").alias("class_para_no"), "class_size", (~here.eqNullSafe(F.col("keep"))).alias("removed"))
+    columns = ["uid", "doc_id", "para_no", "start_char", "n_chars", "n_words", F.col("keep.doc_id").alias("class_doc_id"), F.col("keep.para_no").alias("class_para_no"), "class_size", "removed"]
+    out = staging.save(out.withColumn("removed", ~here.eqNullSafe(F.col("keep"))).select(*columns), "repeated")
+    windows = docs.select("doc_id", "text", "uid").mapInArrow(suspect_windows, _WINDOWS)
+    found = _passages(windows, min_words).select(*columns)
+    lines = out.select(F.col("uid").alias("u"), F.col("start_char").alias("s"), (F.col("start_char") + F.col("n_chars")).alias("e"), F.col("removed").alias("gone"))
+    inside = (F.col("uid") == F.col("u")) & (F.col("start_char") >= F.col("s")) & (F.col("start_char") + F.col("n_chars") <= F.col("e")) & (F.col("gone") | ~F.col("removed"))
+    return out.unionByName(found.join(lines, inside, "left_anti")).drop("uid")
+
+
+def _passages(windows: DataFrame, size: int) -> DataFrame:
+    """Of windows that may repeat, in rows of neighbours with one key: those that do, joined where neighbours stay, or
+    go for the same text. Equal windows have one key, so that its partition settles them."""
+    w = F.posexplode(F.arrays_zip("h", "start_char", "n_chars", "para_no")).alias("j", "w")
+    each = windows.repartition("key").select("key", "uid", "doc_id", "pos", w).select("key", "uid", "doc_id", (F.col("pos") + F.col("j")).alias("pos"), "w.*")
+    same = W.partitionBy("key", "h")
+    seen = each.select(
+        "*", F.count("*").over(same).alias("places"), F.min(F.struct("doc_id", "pos", "uid", "para_no")).over(same).alias("first"),
+        (F.min("uid").over(same) != F.max("uid").over(same)).alias("texts"), (F.max("pos").over(same) - F.min("pos").over(same) >= size).alias("apart"),
+    ).where("texts OR apart")
+    gone = F.when(F.col("first.uid") == F.col("uid"), F.col("pos") - F.col("first.pos") >= size).otherwise(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
+    seen = seen.select("key", "uid", "doc_id", "pos", (F.col("pos") + 1).alias("next"), "para_no", "start_char", (F.col("start_char") + F.col("n_chars")).alias("end_char"), "places", "first", gone.alias("removed"))
+    return _joined(_joined(seen, ["key", "uid"]), ["uid"]).select(
+        "uid", "doc_id", "para_no", "start_char", (F.col("end_char") - F.col("start_char")).alias("n_chars"), (F.col("next") - 1 - F.col("pos") + size).cast("int").alias("n_words"), F.col("first").alias("keep"), F.col("places").alias("class_size"), "removed"
+    )
+
+
+def _joined(pieces: DataFrame, by: list[str]) -> DataFrame:
+    along = W.partitionBy(*by).orderBy("pos")
+    before = lambda c: F.lag(c).over(along)
+    on = (before("next") == F.col("pos")) & (before("removed") == F.col("removed")) & (before("first.uid") == F.col("first.uid"))
+    runs = pieces.withColumn("new", (~F.coalesce(on, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    begin = F.min(F.struct("pos", "first"))
+    return runs.groupBy(*by, "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("pos").alias("pos"), F.max("next").alias("next"), F.min("para_no").alias("para_no"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"),
+        F.max("places").alias("places"), begin["first"].alias("first"), F.first("removed").alias("removed"),
+    ).drop("run")
