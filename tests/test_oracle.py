@@ -33,3 +33,7 @@ def test_same_rows(spark, sf, duck, name):
     want = [tuple(map(plain, r)) for r in cursor.fetchall()]
     rows = [tuple(plain(r[c]) for c in columns) for r in got.collect()]
     assert sorted(map(repr, rows)) == sorted(map(repr, want))
+
+
+def test_token_cost_of_every_document(spark, sf, duck):
+    assert catalogue.QUERIES["gen_token_cost_all"](spark, sf).count() == duck.execute("SELECT count(*) FROM documents").fetchone()[0]

@@ -615,6 +615,12 @@ def gen_token_cost(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 2000").select("doc_id", gen.token_cost(F.col("text")).alias("cost"))
 
 
+@query("SELECT doc_id, CAST(floor((ceil(length(text) / 4) + ceil((CASE WHEN trim(text, ' ') = '' THEN 0 ELSE len(string_split_regex(trim(text, ' '), '\\s+')) END) * 1.3)) / 2) AS INTEGER) AS cost FROM documents")
+def gen_token_cost_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text; gen_token_cost has the short ones only, as its SQL says."""
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", gen.token_cost(F.col("text")).alias("cost"))
+
+
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
 def gen_parse_json(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", gen.parse_json(F.col("props"), "k").alias("k"))
