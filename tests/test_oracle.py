@@ -37,3 +37,8 @@ def test_same_rows(spark, sf, duck, name):
 
 def test_token_cost_of_every_document(spark, sf, duck):
     assert catalogue.QUERIES["gen_token_cost_all"](spark, sf).count() == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+
+
+def test_threshold_asks_with_each_twentieth_vector(spark, sf):
+    got = {r["q"] for r in catalogue.QUERIES["cosine_threshold_all"](spark, sf).collect()}
+    assert got == {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}

@@ -132,9 +132,9 @@ def similar(a: Solutions, x: str, y: Column, theta: float | None = None) -> Colu
     return F.when(v.isNull() | y.isNull(), F.lit(None)).when(v["kind"] == LITERAL, jaccard(v["lex"], y["lex"]) >= limit).otherwise(v == y)
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = 1, theta: float = 0.0, block: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, k: int | None = 1, theta: float = 0.0, block: int = 4096) -> DataFrame:
     """(q, id, similarity): the k nearest vectors of index (id, v) by cosine of each of queries (q, v), if at least
-    theta; ties go to the smaller id.
+    theta; ties go to the smaller id. k of None takes all that reach theta.
 
     Queries are the smaller set: they are gone through in blocks of a fixed number of vectors, each against the
     whole index in matrix products, and each task sends its k best a query on. Null and zero vectors match nothing.
@@ -160,7 +160,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 1, theta: float = 0.0
                     continue
                 ids, v = ids[some], v[some] / length[some, None]
                 score = np.clip(unit @ v.T, 0.0, 1.0)
-                q, i = np.nonzero(score >= np.maximum(theta, np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids)), None]))
+                least = theta if k is None else np.maximum(theta, np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids)), None])
+                q, i = np.nonzero(score >= least)
                 yield pa.RecordBatch.from_pydict({"q": pa.array([names[x] for x in q.tolist()], pa.int64()), "id": pa.array(ids[i], pa.int64()), "similarity": pa.array(score[q, i], pa.float64())})
 
         return index.where("v IS NOT NULL").select(F.col("id").cast("long"), "v").mapInArrow(best, "q long, id long, similarity double")
@@ -173,5 +174,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 1, theta: float = 0.0
     if rows or out is None:
         last = against(rows) if rows else spark.createDataFrame([], "q long, id long, similarity double")
         out = last if out is None else out.unionByName(last)
+    if k is None:
+        return out
     top = out.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "id"))), 1, k).alias("best"))
     return top.select("q", F.explode("best").alias("b")).select("q", F.col("b.id").alias("id"), (-F.col("b.d")).alias("similarity"))
