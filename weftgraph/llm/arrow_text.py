@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK = 1 << 21  # bytes of text that are handled at once, unless one text is longer
+CHUNK = 1 << 20  # bytes of text that are handled at once, unless one text is longer
 _R = U(0x9E3779B97F4A7C15)  # odd, so that powers can be inverted modulo 2**64
 _CODES = np.frombuffer(hashlib.shake_256(b"byte codes").digest(2048), dtype=U).copy()
 _CODES[65:91] = _CODES[97:123]

@@ -46,6 +46,10 @@ class Shared:
         self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
         self.loaded = None
 
+    def release(self) -> None:
+        """Frees it on all machines, once no job needs it any more."""
+        self.sent.destroy()
+
     def __getstate__(self) -> dict:
         return {"sent": self.sent, "loaded": None}
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import SPACES, Chunk, chunks
-from .columns import Shared
 from .sketch import twice_filter
 from .staging import Staging, small_batches
 
@@ -69,13 +68,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
             yield h[new]
 
     size = thin.select(F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= min_chars))).alias("n")).first()[0] or 0
-    again = Shared(spark, twice_filter(thin.select("text"), hashes, size + 1))
+    again = twice_filter(thin.select("text"), hashes, size + 1)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
                 starts, ends, h, text = _keys(c, min_chars)
-                at = np.flatnonzero(again.value.test(h))
+                at = np.flatnonzero(again.test(h))
                 if not len(at):
                     continue
                 seen = {(t, c.data[a:b].tobytes().lower()) for t, a, b in zip(text[at].tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)}

@@ -1,11 +1,13 @@
 """N-gram Jaccard join: documents that share most of their word shingles, by rare-first prefix filtering.
 
-Shingles are ordered by a sketch of their document frequency, rare first; any order that all documents share is
-right, a rough one costs time only. Sets that link share a shingle of the shorter one's index prefix and the
-longer one's probe prefix, so only shingles of prefixes are joined. Pairs of Bloom filters keep back the
-prefix shingles that a single document holds, which is most of them. Candidates pass length and positional
-filters in the join, a suffix filter (parts of the hash space bound the intersection), and are counted once a
-pair. One more filter of the suspects' shingles leaves out documents too few of whose shingles occur elsewhere. Equal sets are one class from the start, and their copies are never expanded into pairs.
+A pair of Bloom filters, built in two passes over the texts, tells which shingles another document may hold. Shingles
+are ordered rare first: those that no other document holds, then the others by a sketch of their document frequency;
+any order that all documents share is right, a rough one costs time only. Sets that link share a shingle of the
+shorter one's index prefix and the longer one's probe prefix, so only shingles of prefixes are joined, and of these
+only those that others may hold: documents with too many shingles of their own have none left. Candidates pass length
+and positional filters in the join and a suffix filter (a lower bound of the number of hashes in which two sets
+differ), and are counted once a pair. Equal sets are one class from the start, and their copies are never expanded
+into pairs. Shingles are compared by 64-bit hashes, which are taken for the shingles.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import SPACES, U, chunks, digest, shingles
-from .columns import Shared
-from .set_links import set_components
-from .sketch import count_ranks, sifted_filter, twice_filter
+from .arrow_text import SPACES, chunks, digest, shingles
+from .set_links import odd_sketch, set_components
+from .sketch import sift
 from .staging import Staging, small_batches
 
-_PROFILE = "doc_id long, n_shingles long, id binary, m int, toks array<struct<tok: bigint, pos: int>>, hist array<int>, hashes array<bigint>"
+SALTS = 8  # parts that the rows of one component are dealt out in
+_PROFILE = "row long, n_shingles long, id binary, m int, toks array<struct<tok: bigint, pos: int>>, odd array<bigint>, hashes array<bigint>"
 _TOKS = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))
 
 
@@ -34,7 +36,8 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links reach, for each row of docs.
+    """doc_id, n_shingles and component_id, the smallest doc_id that links reach, for each row of docs. doc_id has the
+    type of id_col, which may be any that has an order.
 
     Words are runs without white space, A-Z in lower case; a text of fewer than k words has one shingle, and one
     without words (null, empty) has none and links with nothing. Rows with equal texts are in one component,
@@ -44,53 +47,47 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     spark = docs.sparkSession
     small_batches(spark)
     staging = Staging(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     texts = docs.select("text")
-
-    def length(n: int) -> int:
-        return n - -(-percent * n // 100) + 1 if n else 0
-
-    ranks, total = count_ranks(texts, lambda batch: shingle_sets(batch.column(0), k))
-    shared = Shared(spark, ranks)
-
-    def ordered(u: np.ndarray) -> np.ndarray:
-        return u[np.lexsort((u, shared.value.of(u)))][: length(len(u))]
-
-    filter_ = sifted_filter(texts, lambda batch: map(ordered, shingle_sets(batch.column(0), k)), total * (100 - percent) // 100 + 1)
-    again = Shared(spark, filter_)
-
-    def suspects(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for u in shingle_sets(batch.column(0), k):
-            if again.value.test(ordered(u)).any():
-                yield u
-
-    held = Shared(spark, twice_filter(texts, suspects, total // 4 + 1, first_probe=4))
-
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = (texts.select(F.sum(F.length("text")).alias("n")).first()[0] or 0) // 6  # about how many
+    known = sift(texts, lambda batch: shingle_sets(batch.column(0), k), words)
+
+    def profile(column: pa.Array) -> list[pa.Array]:
+        n, ids, m, toks, odd, hashes = [], [], [], [], [], []
+        for u in shingle_sets(column, k):
+            others = u[known.test(u)]
+            alone, prefix = len(u) - len(others), len(u) - -(-percent * len(u) // 100) + 1
+            some = len(u) > 0 and alone < prefix
+            if some:
+                order = np.lexsort((others, known.ranks(others)))[: prefix - alone]
+                toks.append([{"tok": t, "pos": p} for p, t in enumerate(others[order].view(np.int64).tolist(), alone)])
+            else:
+                toks.append(None)
+            n.append(len(u))
+            m.append(len(others))
+            ids.append(bytes.fromhex(digest(u)) if some else None)
+            odd.append(odd_sketch(u) if some else None)
+            hashes.append(u.view(np.int64) if some else None)
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(m, pa.int32()), pa.array(toks, _TOKS), pa.array(odd, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))]
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, m, toks, hist, hashes = [], [], [], [], [], []
-            for u in shingle_sets(batch.column(1), k):
-                prefix = ordered(u)
-                at = np.flatnonzero(again.value.test(prefix))
-                others = u[held.value.test(u)] if len(at) else u[:0]
-                some = len(at) and 100 * len(others) >= percent * len(u)
-                n.append(len(u))
-                m.append(len(others))
-                ids.append(bytes.fromhex(digest(u)) if some else None)
-                toks.append([{"tok": t, "pos": p} for t, p in zip(prefix[at].view(np.int64).tolist(), at.tolist(), strict=True)] if some else None)
-                hist.append(np.bincount((others >> U(59)).astype(np.int64), minlength=32) if some else None)
-                hashes.append(u.view(np.int64) if some else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(m, pa.int32()), pa.array(toks, _TOKS), pa.array(hist, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "id", "m", "toks", "hist", "hashes"],
-            )
-
-    rows = staging.save(docs.mapInArrow(profile, _PROFILE), "profile")
-    some = rows.where("id is not null")
-    members = staging.save(some.select("id", F.col("n_shingles").cast("int").alias("n"), "m", "toks", "hist", "hashes").dropDuplicates(["id"]), "members")
-    comps = set_components(members, staging, percent)
-    classed = some.select("doc_id", "n_shingles", "id").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    least = classed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    linked = classed.join(least, "c").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *profile(batch.column(1))], names=["doc_id", "n_shingles", "id", "m", "toks", "odd", "hashes"])
+
+    rows = staging.save(docs.mapInArrow(run, _PROFILE.replace("row long", f"doc_id {kind}")), "profile")
+    known.release()
+    some = rows.where("id IS NOT NULL")
+    members = staging.save(some.select("id", F.col("n_shingles").cast("int").alias("n"), "m", "toks", "odd").dropDuplicates(["id"]), "members")
+    comps = set_components(members, some.select("id", "hashes"), staging, percent)
+    staging.drop(members)
+    # the least doc_id of each set, of each component, and of each set again: copies are not gathered
+    least = some.groupBy("id").agg(F.min("doc_id").alias("least")).join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    least = staging.save(least.select("id", "c", "least"), "least")
+    parts = least.groupBy("c").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = lambda name: F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")
+    of_set = least.select("id", "c", salt("id").alias("salt")).join(parts, ["c", "salt"]).select("id", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = some.select("doc_id", "n_shingles", "id", salt("doc_id").alias("salt")).join(of_set, ["id", "salt"]).select("doc_id", "n_shingles", "component_id")
+    alone = rows.where("id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

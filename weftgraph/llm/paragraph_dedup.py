@@ -23,33 +23,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow_text import _MULT, SPACES, Chunk, U, chunks, digest, mix, powers, shingles
-from .columns import Shared
-from .set_links import set_components
-from .sketch import sifted_filter, twice_filter
+from .arrow_text import _MULT, SPACES, Chunk, U, chunks, digest, mix, powers
+from .set_links import odd_sketch, set_components
+from .sketch import sift
 from .staging import Staging, small_batches
 
 BANDS, ROWS = 14, 4
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _LINES = np.ones(256, dtype=bool)
 _LINES[10] = False
-_SCHEMA = "doc_id long, uid long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, hist array<int>, hashes array<bigint>"
-_WINDOWS = "key long, uid long, doc_id long, pos int, h array<bigint>, start_char array<bigint>, n_chars array<int>, para_no array<int>"
+_SCHEMA = "uid long, para_no int, start_char long, n_chars long, n_words int, id binary, toks array<struct<tok: bigint, pos: int>>, n int, odd array<bigint>, hashes array<bigint>"
+_WINDOWS = "key long, uid long, pos int, h array<bigint>, start_char array<bigint>, n_chars array<int>, para_no array<int>"
 _TOKS = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """Band keys of sets that are not empty, a row for each."""
-    every = np.concatenate(sets)
-    at = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.zeros((len(sets), BANDS), dtype=U)
+def band_keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Band keys of the sets grams[begin:end], a row for each; none is empty."""
+    every = np.append(grams, U(0))
+    edges = np.stack([begin, end], axis=1).ravel()
+    out = np.zeros((len(begin), BANDS), dtype=U)
     for b in range(BANDS):
         for j in range(ROWS):
-            out[:, b] += mix(np.minimum.reduceat(every * _FACTORS[b * ROWS + j], at)) * _MULT[j]
+            out[:, b] += mix(np.minimum.reduceat(every * _FACTORS[b * ROWS + j], edges)[::2]) * _MULT[j]
         out[:, b] = mix(out[:, b] + U(b))
     return out
 
 
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """Band keys of sets that are not empty, a row for each."""
+    ends = np.cumsum([len(x) for x in sets])
+    return band_keys(np.concatenate(sets), ends - [len(x) for x in sets], ends)
+
+
 class Words:
     """The words of a chunk: byte starts and ends, bounds of the texts among them, hashes."""
 
@@ -58,9 +63,9 @@ class Words:
         self.starts, self.ends, self.bounds = c.spans(~SPACES)
         self.hashes = c.hashes(self.starts, self.ends)
 
-    def paragraphs(self, min_words: int, k: int) -> tuple | None:
-        """Rows, places of their first lines, byte starts and ends, character counts, words and shingle sets."""
-        c, hashes = self.c, self.hashes
+    def paragraphs(self, min_words: int) -> tuple | None:
+        """Rows, places of their first lines, starts and counts of characters, first words and the ends of words."""
+        c = self.c
         p_starts, p_ends, p_bounds = c.spans(_LINES)
         if not len(p_starts):
             return None
@@ -78,9 +83,8 @@ class Words:
             return None
         text_of, first, last = text_of[begin], first[begin], last[end]
         points = c.code_points()
-        sets = [shingles(hashes[a:b], np.array([0, b - a]), k)[0] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
         start = points[p_starts[begin]] - points[c.offsets[text_of]]
-        return text_of + c.first, begin - p_bounds[text_of], start, points[p_ends[end]] - points[p_starts[begin]], last - first, sets
+        return text_of + c.first, begin - p_bounds[text_of], start, points[p_ends[end]] - points[p_starts[begin]], first, last
 
     def grams(self, size: int) -> np.ndarray:
         """A hash of each run of size words."""
@@ -137,68 +141,51 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
     spark = docs.sparkSession
     small_batches(spark)
     staging = Staging(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    if min_words < k:
+        raise ValueError("a paragraph needs as many words as a shingle")
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("uid"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for words in word_chunks(batch.column(0)):
-            found = words.paragraphs(min_words, k)
+            found = words.paragraphs(min_words)
             if found:
-                yield bands(found[-1]).ravel()
+                yield band_keys(words.grams(k), found[-2], found[-1] - k + 1).ravel()
             yield words.window_keys(min_words)
 
     count = (docs.select(F.sum(F.length("text")).alias("n")).first()[0] or 0) // 6  # about how many words
-    again = Shared(spark, sifted_filter(docs.select("text"), keys, count * BANDS // min_words + 4 * count // min_words + 1))
-
-    def suspected(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Band keys, whether another paragraph may have them, and which sets have one that may."""
-        every = bands(sets)
-        hit = again.value.test(every.ravel()).reshape(every.shape)
-        return every, hit, np.flatnonzero(hit.any(axis=1)).tolist()
-
-    def suspected_windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, hashes and keys of windows whose key may be elsewhere."""
-        at, key = words.windows(min_words)
-        some = again.value.test(key)
-        return at[some], words.grams(min_words)[at[some]], key[some]
-
-    def shared(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for words in word_chunks(batch.column(0)):
-            found = words.paragraphs(min_words, k)
-            at = suspected(found[-1])[2] if found else []
-            if at:
-                yield np.concatenate([found[-1][i] for i in at])
-            yield suspected_windows(words)[1]
-
-    held = Shared(spark, twice_filter(docs.select("text"), shared, count // 4 + 1, first_probe=4))
+    again = sift(docs.select("text"), keys, count * BANDS // min_words + 4 * count // min_words + 1)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_chunks(batch.column(1)):
-                found = words.paragraphs(min_words, k)
+                found = words.paragraphs(min_words)
                 if not found:
                     continue
-                row, place, start, n_chars, n_words, sets = found
-                every, hit, at = suspected(sets)
-                others = {i: sets[i][held.value.test(sets[i])] for i in at}
-                at = [i for i in at if 100 * len(others[i]) >= percent * len(sets[i])]
+                row, place, start, n_chars, first, last = found
+                grams = words.grams(k)
+                every = band_keys(grams, first, last - k + 1)
+                hit = again.test(every.ravel()).reshape(every.shape)
+                at = np.flatnonzero(hit.any(axis=1))
+                sets = [np.unique(grams[a : b - k + 1]) for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(row[at])), batch.column(2).take(pa.array(row[at])), pa.array(place[at], pa.int32()), pa.array(start[at], pa.int64()), pa.array(n_chars[at], pa.int64()), pa.array(n_words[at], pa.int32()),
-                        pa.array([bytes.fromhex(digest(sets[i])) for i in at], pa.binary()), pa.array([len(others[i]) for i in at], pa.int32()), pa.array([[{"tok": int(t), "pos": 0} for t in every[i][hit[i]].view(np.int64)] for i in at], _TOKS),
-                        pa.array([len(sets[i]) for i in at], pa.int32()), pa.array([np.bincount((others[i] >> U(59)).astype(np.int64), minlength=32) for i in at], pa.list_(pa.int32())), pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64())),
+                        batch.column(0).take(pa.array(row[at])), batch.column(2).take(pa.array(row[at])), pa.array(place[at], pa.int32()), pa.array(start[at], pa.int64()), pa.array(n_chars[at], pa.int64()), pa.array((last - first)[at], pa.int32()),
+                        pa.array([bytes.fromhex(digest(x)) for x in sets], pa.binary()), pa.array([[{"tok": t, "pos": 0} for t in every[i][hit[i]].view(np.int64).tolist()] for i in at.tolist()], _TOKS),
+                        pa.array([len(x) for x in sets], pa.int32()), pa.array([odd_sketch(x) for x in sets], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "hist", "hashes"],
+                    names=["doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id", "toks", "n", "odd", "hashes"],
                 )
 
     def suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_chunks(batch.column(1)):
-                at, h, key = suspected_windows(words)
-                some = held.value.test(h)
-                at, h, key = at[some], h[some], key[some]
+                at, key = words.windows(min_words)
+                some = again.test(key)
+                at, key = at[some], key[some]
                 if not len(at):
                     continue
-                c = words.c
+                h, c = words.grams(min_words)[at], words.c
                 text = np.searchsorted(words.bounds, at, "right") - 1
                 new = np.ones(len(at), dtype=bool)
                 new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (key[1:] != key[:-1])
@@ -211,20 +198,21 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                 lists = pa.array(np.append(new, len(at)), pa.int32())
                 each = [pa.array(h.view(np.int64)), pa.array(start - points[c.offsets[text]], pa.int64()), pa.array(points[words.ends[at + min_words - 1]] - start, pa.int32()), pa.array(line - p_bounds[text], pa.int32())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[new].view(np.int64)), batch.column(2).take(row), batch.column(0).take(row), pa.array((at - words.bounds[text])[new], pa.int32()), *(pa.ListArray.from_arrays(lists, x) for x in each)],
-                    names=["key", "uid", "doc_id", "pos", "h", "start_char", "n_chars", "para_no"],
+                    [batch.column(0).take(row), pa.array(key[new].view(np.int64)), batch.column(2).take(row), pa.array((at - words.bounds[text])[new], pa.int32()), *(pa.ListArray.from_arrays(lists, x) for x in each)],
+                    names=["doc_id", "key", "uid", "pos", "h", "start_char", "n_chars", "para_no"],
                 )
 
-    rows = staging.save(docs.select("doc_id", "text", "uid").mapInArrow(suspects, _SCHEMA), "paragraphs")
-    members = staging.save(rows.select("id", "n", "m", "toks", "hist", "hashes").dropDuplicates(["id"]), "members")
-    comps = set_components(members, staging, percent, positional=False)
+    rows = staging.save(docs.select("doc_id", "text", "uid").mapInArrow(suspects, f"doc_id {kind}, {_SCHEMA}"), "paragraphs")
+    members = staging.save(rows.select("id", "n", F.col("n").alias("m"), "toks", "odd").dropDuplicates(["id"]), "members")
+    comps = set_components(members, rows.select("id", "hashes"), staging, percent, positional=False)
+    staging.drop(members)
     placed = rows.select("doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
     first = placed.groupBy("c").agg(F.min(F.struct("doc_id", "para_no")).alias("keep"), F.count("*").alias("class_size"))
     out = placed.join(first.where("class_size > 1"), "c")
     here = F.struct("doc_id", "para_no")
     columns = ["uid", "doc_id", "para_no", "start_char", "n_chars", "n_words", F.col("keep.doc_id").alias("class_doc_id"), F.col("keep.para_no").alias("class_para_no"), "class_size", "removed"]
     out = staging.save(out.withColumn("removed", ~here.eqNullSafe(F.col("keep"))).select(*columns), "repeated")
-    windows = docs.select("doc_id", "text", "uid").mapInArrow(suspect_windows, _WINDOWS)
+    windows = docs.select("doc_id", "text", "uid").mapInArrow(suspect_windows, f"doc_id {kind}, {_WINDOWS}")
     found = _passages(windows, min_words).select(*columns)
     lines = out.select(F.col("uid").alias("u"), F.col("start_char").alias("s"), (F.col("start_char") + F.col("n_chars")).alias("e"), F.col("removed").alias("gone"))
     inside = (F.col("uid") == F.col("u")) & (F.col("start_char") >= F.col("s")) & (F.col("start_char") + F.col("n_chars") <= F.col("e")) & (F.col("gone") | ~F.col("removed"))

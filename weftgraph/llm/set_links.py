@@ -1,104 +1,127 @@
 """Links between similar sets of hashes that share a token, without all pairs of a token's group.
 
-members has a row for each different set: id binary, n int (its size), m int (how many of its hashes another set
-may hold), toks array<struct<tok bigint, pos int>>, hist array<int> (those m hashes by 32 parts of the hash space)
-and hashes array<bigint>. Two sets link when 100 * intersection >= percent * union.
-
-First come star rounds: in each token's group one pivot is picked, first the set with the fewest hashes that no
-other set has, which lies in the middle of a group of changed copies, later ones by a seeded hash. Each set with another
-label is compared with the pivot that it meets most often; a set without a label takes the pivot's if they link.
-That is one comparison for a set and a round, however large the groups; groups of copies with small changes come
-together there. Last, the pairs of a group that are in different components are compared, those that the hist
-allows: the suffix filter, which bounds the intersection by its parts. A pair within one component cannot change
-the components any more, so no link that matters is lost.
+members has a row for each different set: id binary, n int (its size), m int (how many of its hashes another set may
+hold), toks array<struct<tok bigint, pos int>> and odd array<bigint>. sets has (id, hashes), repeated for copies.
+Two sets link when 100 * intersection >= percent * union.
+
+odd holds the parity of how many hashes fall into each of a power of two of places (an odd sketch). A hash that is
+in one of two sets only changes one bit, so that two sets differ in at least as many hashes as their sketches differ
+in bits: a suffix filter, which rejects pairs without a look at their hashes and lets few others pass.
+
+First come star rounds: a few tokens of each set, those with the least hash, form groups, and in each group one pivot
+is picked, first the set with the fewest hashes that no other set has, which lies in the middle of a group of changed
+copies, later ones by a seeded hash. Each set with another label is paired with the pivot that it meets most often,
+and takes its label if the filter lets the pair pass. That is one pair for a set and a round, however large the groups.
+These pairs are verified at once, by their hashes, and their components taken. Last, the pairs of all tokens that are
+in different components still and pass the filters are verified. A pair within one component cannot change the
+components any more, so no link that matters is lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import U
 from .components import connected_components
 from .staging import Staging
 
+STAR_TOKENS = 8
 
-def _needed(a: str, b: str, percent: int):
+
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of distinct hashes by their low bits, in a power of two of words: two to four bits for each hash."""
+    words = 1 << max(0, int(np.ceil(np.log2(max(1, 2 * len(hashes)) / 64))))
+    odd = np.bincount((hashes & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _needed(a: str, b: str, percent: int) -> Column:
     """The least intersection of two sets of sizes a and b that link."""
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / (100 + percent) - 1e-9)
 
 
-def _most(a: str, b: str):
-    """No intersection is larger than the sum over the parts of the smaller count."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches of sets a and b let them link. The longer sketch is folded to the length of the other;
+    sizes that may link are too near for more than one fold."""
+    x, y = F.col(f"{a}_odd"), F.col(f"{b}_odd")
+    short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    n = F.size(short)
+    folded = F.when(F.size(long) == n, long).otherwise(F.zip_with(F.slice(long, 1, n), F.slice(long, n + 1, n), lambda p, q: p.bitwiseXOR(q)))
+    apart = F.aggregate(F.zip_with(short, folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return (100 * F.least(f"{a}_n", f"{b}_n") >= percent * F.greatest(f"{a}_n", f"{b}_n")) & (apart <= F.col(f"{a}_n") + F.col(f"{b}_n") - 2 * _needed(f"{a}_n", f"{b}_n", percent))
+
 
+def sketched(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches let them link, and the intersection that they need."""
+    left, right = (members.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("odd").alias(f"{s}_odd")) for s in "ab")
+    return pairs.join(right, "b").join(left, "a").where(_near("a", "b", percent)).select("a", "b", _needed("a_n", "b_n", percent).alias("need"))
 
-def verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: each is bounded by its parts' sizes first, then counted once."""
-    small = members.select("id", "n", "hist")
-    left, right = (small.select(*(F.col(c).alias(f"{side}_{c}") for c in small.columns)) for side in "ab")
-    near = pairs.join(left, F.col("a") == F.col("a_id")).join(right, (F.col("b") == F.col("b_id")) & (_most("a_hist", "b_hist") >= _needed("a_n", "b_n", percent)))
-    near = near.select("a", "b", _needed("a_n", "b_n", percent).alias("need"))
-    sets = members.select("id", "hashes")
-    near = near.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    near = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    return near.where(F.size(F.array_intersect("ha", "hb")) >= F.col("need")).select("a", "b")
 
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, need) with linked: whether the sets share so many hashes."""
+    one = sets.dropDuplicates(["id"])  # sets with one id are equal
+    near = pairs.join(one.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    near = near.join(one.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+    return near.select("a", "b", (F.size(F.array_intersect("ha", "hb")) >= F.col("need")).alias("linked"))
 
-def set_components(members: DataFrame, staging: Staging, percent: int = 80, positional: bool = True, rounds: int = 3) -> DataFrame:
+
+def set_components(members: DataFrame, sets: DataFrame, staging: Staging, percent: int = 80, positional: bool = True, rounds: int = 3) -> DataFrame:
     """(id, component) for each member that links with another; component is a member's id.
 
     positional: tokens are the rare-first prefix of a set, pos their places in that order. Then a pair is only
     made where the token lies in the shorter set's index prefix, and where as much is left behind it in both
     sets as a link needs.
     """
-    posts = staging.save(members.select("id", "n", "m", F.explode("toks").alias("t")).select("id", "n", "m", "t.tok", "t.pos"), "posts")
-    links: DataFrame | None = None
-    labels: DataFrame | None = None  # (id, label): sets with one label are connected; a set without one is its own
-
-    def posted() -> DataFrame:
-        p = posts if labels is None else posts.join(labels, "id", "left")
-        return p.withColumn("c", F.col("id") if labels is None else F.coalesce("label", "id")).select("tok", *columns)
-
-    columns = ["id", "n", "m", "pos", "c"]
-
-    def allowed():
-        """Of rows of p (columns p_) and q (columns q_) that share a token."""
-        ok = (100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n")) & (F.col("p_c") != F.col("q_c"))
-        ok &= F.least("p_m", "q_m") >= _needed("p_n", "q_n", percent)
-        if positional:
-            p_first = (F.col("p_n") < F.col("q_n")) | ((F.col("p_n") == F.col("q_n")) & (F.col("p_id") < F.col("q_id")))
-            n, pos = F.when(p_first, F.col("p_n")).otherwise(F.col("q_n")), F.when(p_first, F.col("p_pos")).otherwise(F.col("q_pos"))
-            ok &= pos <= n - F.ceil(F.lit(2 * percent) * n / (100 + percent) - 1e-9)
-            ok &= F.least(F.col("p_n") - F.col("p_pos"), F.col("q_n") - F.col("q_pos")) >= _needed("p_n", "q_n", percent)
-        return ok
-
-    def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select("tok", *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "tok"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        nonlocal links
-        found = staging.save(verify(pairs, members, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        return found
+    by_hash = F.array_sort(F.transform("toks", lambda t: F.struct(F.xxhash64(t["tok"]).alias("h"), t["tok"].alias("tok"))))
+    few = staging.save(members.select("id", "n", (F.col("n") - F.col("m")).alias("own"), F.explode(F.slice(by_hash, 1, STAR_TOKENS)).alias("t")).select("id", "n", "own", "t.tok"), "few")
+    pairs: DataFrame | None = None
+    labels: DataFrame | None = None  # (id, label): sets with one label pass for connected; one without is its own
+    kept: list[DataFrame] = [few]
+
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.withColumn("c", F.col("id")) if labels is None else df.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id")).drop("label")
 
     # the set with the fewest hashes of its own lies nearest to what its group has in common
-    far = [F.col("n") - F.col("m"), F.shiftright(F.col("n") - F.col("m"), 4), F.lit(0)]
+    far = [F.col("own"), F.shiftright("own", 4), F.lit(0)]
     for r in range(rounds):
-        here = posted()
-        pivots = here.groupBy("tok").agg(F.min(F.struct(far[min(r, 2)].alias("far"), F.xxhash64("id", F.lit(r)).alias("h"), *columns)).alias("v"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        pivots = pivots.where("lo <> hi").select("tok", *(F.col(f"v.{c}").alias(f"p_{c}") for c in columns))
-        met = named(here, "q").join(pivots, "tok").where(allowed()).groupBy("q_id", "p_id").count()
-        best = met.groupBy("q_id").agg(F.max(F.struct("count", "p_id")).alias("v"))
-        found = linked(best.select(F.col("q_id").alias("a"), F.col("v.p_id").alias("b")))
-        new = found.select(F.col("a").alias("id"), F.col("b").alias("label"))
+        here = labelled(few)
+        pivots = here.groupBy("tok").agg(F.min(F.struct(far[min(r, 2)].alias("far"), F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "c")).alias("v"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        pivots = pivots.where("lo <> hi").select("tok", *(F.col(f"v.{c}").alias(f"p_{c}") for c in ("id", "n", "c")))
+        met = here.join(pivots, "tok").where((F.col("c") != F.col("p_c")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")))
+        met = met.groupBy("id", "p_id").agg(F.count("*").alias("k"), F.first("p_c").alias("p_c"))
+        best = met.groupBy("id").agg(F.max(F.struct("k", "p_id", "p_c")).alias("v")).select(F.col("id").alias("a"), F.col("v.p_id").alias("b"), F.col("v.p_c").alias("p_c"))
+        tried = best.select("a", "b") if pairs is None else best.select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        found = staging.save(sketched(tried, members, percent).join(best, ["a", "b"]), "tried")
+        kept.append(found)
+        pairs = found.drop("p_c") if pairs is None else pairs.unionByName(found.drop("p_c"))
+        new = found.select(F.col("a").alias("id"), F.col("p_c").alias("label"))
         every = new if labels is None else labels.unionByName(new.join(labels.select("id"), "id", "left_anti"))
         up = every.select(F.col("id").alias("label"), F.col("label").alias("up"))
         labels = staging.save(every.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
+        kept.append(labels)
+    assert pairs is not None
+    checked = staging.save(verify(pairs, sets), "checked")
+    links = checked.where("linked").select("a", "b")
     comps = staging.save(connected_components(links, staging), "components")
     labels = comps.withColumnRenamed("component", "label")
-    here = posted()
-    mixed = here.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
-    open_ = staging.save(here.join(mixed, "tok", "left_semi").join(members.select("id", "hist"), "id"), "open")
-    pairs = named(open_, "p").join(named(open_, "q"), "tok").where((F.col("p_id") < F.col("q_id")) & allowed() & (_most("p_hist", "q_hist") >= _needed("p_n", "q_n", percent)))
-    rest = linked(pairs.select(F.col("p_id").alias("a"), F.col("q_id").alias("b")).distinct())
-    return connected_components(links, staging) if rest.limit(1).count() else comps
+
+    posts = labelled(members.select("id", "n", "m", "toks")).select("id", "n", "m", "c", F.explode("toks").alias("t")).select("t.tok", "t.pos", "id", "n", "m", "c")
+    mixed = posts.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
+    open_ = staging.save(posts.join(mixed, "tok", "left_semi"), "open")
+    p, q = (open_.select("tok", *(F.col(c).alias(f"{side}_{c}") for c in open_.columns if c != "tok")) for side in "pq")
+    ok = (F.col("p_id") < F.col("q_id")) & (F.col("p_c") != F.col("q_c")) & (100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n"))
+    ok &= F.least("p_m", "q_m") >= _needed("p_n", "q_n", percent)
+    if positional:
+        n, pos = F.when(F.col("p_n") <= F.col("q_n"), F.col("p_n")).otherwise(F.col("q_n")), F.when(F.col("p_n") <= F.col("q_n"), F.col("p_pos")).otherwise(F.col("q_pos"))
+        ok &= pos <= n - F.ceil(F.lit(2 * percent) * n / (100 + percent) - 1e-9)
+        ok &= F.least(F.col("p_n") - F.col("p_pos"), F.col("q_n") - F.col("q_pos")) >= _needed("p_n", "q_n", percent)
+    rest = p.join(q, "tok").where(ok).select(F.col("p_id").alias("a"), F.col("q_id").alias("b")).distinct()
+    failed = checked.where("NOT linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    late = staging.save(sketched(rest.join(failed, ["a", "b"], "left_anti"), members, percent), "late")
+    found = staging.save(verify(late, sets), "found").where("linked").select("a", "b")
+    if found.limit(1).count():
+        comps = staging.save(connected_components(links.unionByName(found), staging), "components")
+    staging.drop(*kept, checked, open_, late)
+    return comps

@@ -1,12 +1,12 @@
 """Fixed-size sketches of all 64-bit hashes of a corpus, built by tasks and merged segment by segment.
 
-Two are offered. Counts: how often the hashes of each cell occur, on a logarithmic scale, as a rough
-document frequency. Twice: a pair of Bloom filters, of hashes seen once and of hashes seen again; a hash
-that two documents hold is always in the second, one that a single document holds seldom is.
+Two are offered. Twice: a pair of Bloom filters, of hashes seen once and of hashes seen again; a hash that two
+documents hold is always in the second, one that a single document holds seldom is. Counts: how often the hashes
+of each cell occur, on a logarithmic scale, as a rough document frequency.
 
-A task sends each segment of its sketch compressed; the segments are dealt out by a shuffle and merged as a
-stream, so that no task holds more than its own segments. Only the merged sketch, whose size is a parameter
-and does not depend on the corpus, goes through the driver.
+A task sends each segment of its sketch compressed; the segments are dealt out by a shuffle, sorted, and merged as
+a stream, so that no task holds more than one segment. Only the merged sketch, whose largest size is a parameter,
+goes through the driver. It is broadcast as bytes that workers read where they lie.
 """
 
 from __future__ import annotations
@@ -19,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrow_text import U, mix
-from .columns import Shared
 
 SEGMENTS = 64
-FLUSH = 1 << 21  # hashes that a task holds before it sends them on
+MAX_BITS = 29  # 64 MB; see sift()
+FLUSH = 1 << 20  # hashes that a task holds before it sends them on
 _SCHEMA = "segment int, once binary, again binary"
 _ARROW = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
 _SEEDS = np.arange(1, 9, dtype=U) * U(0xD1342543DE82EF95)
+_COUNTS = 7  # the probe of the counts
+
+Hashes = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
 
 
 def mergers(spark: SparkSession) -> int:
@@ -38,12 +41,14 @@ def cells(hashes: np.ndarray, bits: int, probe: int) -> np.ndarray:
 
 
 def _pack(positions: np.ndarray) -> bytes:
-    """Sorted positions as compressed differences."""
-    return zlib.compress(np.diff(positions, prepend=0).astype(np.uint32).tobytes(), 1)
+    """Sorted positions as compressed differences, bytes of the same weight together."""
+    apart = np.diff(positions, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4)
+    return zlib.compress(apart.T.tobytes(), 1)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(raw), dtype=np.uint32).astype(np.int64))
+    apart = np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(apart.T).view(np.uint32).ravel().astype(np.int64))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -53,142 +58,139 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 class TwiceFilter:
     """The filter of hashes seen again."""
 
-    def __init__(self, packed: np.ndarray, bits: int, probes: int, first_probe: int):
-        self.packed, self.bits, self.probes, self.first_probe = packed, bits, probes, first_probe
+    def __init__(self, spark: SparkSession, packed: np.ndarray, bits: int, probes: range):
+        self.sent = spark.sparkContext.broadcast(packed.tobytes())
+        self.bits, self.probes = bits, probes
 
     def test(self, hashes: np.ndarray) -> np.ndarray:
+        packed = np.frombuffer(self.sent.value, dtype=np.uint8)
         found = np.ones(len(hashes), dtype=bool)
-        for k in range(self.probes):
-            at = cells(hashes, self.bits, self.first_probe + k)
-            found &= (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        for k in self.probes:
+            at = cells(hashes, self.bits, k)
+            found &= (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return found
 
-
-def twice_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: int, max_bits: int = 30, probes: int = 2, first_probe: int = 0) -> TwiceFilter:
-    """The filter over the arrays that hashes_of yields, one array of distinct hashes for each document.
-
-    expected: about how many hashes all arrays hold; there are eight bits for each, but 2**max_bits at most
-    (128 MB at 30). Beyond that more hashes pass by chance, which callers settle by an exact count.
-    """
-    bits = min(max_bits, max(16, int(np.ceil(np.log2(max(expected, 1) * 8)))))
-    span = 1 << (bits - 6)
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        every = np.concatenate(held)
-        at, n = np.unique(np.concatenate([cells(every, bits, first_probe + k) for k in range(probes)]), return_counts=True)
-        ends = np.searchsorted(at, np.arange(SEGMENTS + 1) * span)
-        return _rows([(s, _pack(at[a:b] - s * span), _pack(at[a:b][n[a:b] > 1] - s * span)) for s, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for h in hashes_of(batch):
-                held.append(h)
-                n += len(h)
-                if n >= FLUSH:
-                    yield flush(held)
-                    held, n = [], 0
-        if n:
-            yield flush(held)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        again: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, o, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s not in once:
-                    once[s], again[s] = np.zeros(span, dtype=bool), np.zeros(span, dtype=bool)
-                at = _unpack(o)
-                again[s][at[once[s][at]]] = True
-                once[s][at] = True
-                again[s][_unpack(a)] = True
-        for s in once:
-            yield _rows([(s, b"", zlib.compress(np.packbits(again[s], bitorder="little").tobytes(), 1))])
-
-    packed = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    merged = df.mapInArrow(send, _SCHEMA).repartition(mergers(df.sparkSession), "segment").mapInArrow(merge, _SCHEMA)
-    for r in merged.select("segment", "again").collect():
-        part = np.frombuffer(zlib.decompress(bytes(r[1])), dtype=np.uint8)
-        packed[r[0] * (span // 8) : r[0] * (span // 8) + len(part)] = part
-    return TwiceFilter(packed, bits, probes, first_probe)
+    def release(self) -> None:
+        self.sent.destroy()
 
 
 class Sifted:
-    """Several filters; each was built from the hashes that passed those before."""
+    """Two filters, the second built from the hashes that passed the first, and about how often those hashes occur:
+    a byte that grows with the logarithm of the count."""
 
-    def __init__(self, filters: list[TwiceFilter]):
-        self.filters = filters
+    def __init__(self, spark: SparkSession, first: TwiceFilter, second: TwiceFilter, ranks: np.ndarray, rank_bits: int):
+        self.first, self.second, self.rank_bits = first, second, rank_bits
+        self.sent = spark.sparkContext.broadcast(ranks.tobytes())
 
     def test(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.arange(len(hashes))
-        for f in self.filters:
-            at = at[f.test(hashes[at])]
-        found = np.zeros(len(hashes), dtype=bool)
-        found[at] = True
+        """Whether another document may hold the hash; true for each that one does."""
+        found = self.first.test(hashes)
+        at = np.flatnonzero(found)
+        found[at] = self.second.test(hashes[at])
         return found
 
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.sent.value, dtype=np.uint8)[cells(hashes, self.rank_bits, _COUNTS)]
 
-def sifted_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: int, rounds: int = 2, max_bits: int = 30) -> Sifted:
-    """Like twice_filter, in rounds over the table: what passes by chance in one is sifted again in the next, where
-    far fewer hashes are left. A hash that two documents hold passes all rounds."""
-    filters: list[TwiceFilter] = []
-    for r in range(rounds):
-        before = Shared(df.sparkSession, Sifted(list(filters)))
+    def release(self) -> None:
+        """Frees the broadcasts, once no job needs them any more."""
+        self.first.release()
+        self.second.release()
+        self.sent.destroy()
 
-        def left(batch: pa.RecordBatch, before=before) -> Iterator[np.ndarray]:
-            for h in hashes_of(batch):
-                yield h[before.value.test(h)]
-
-        found = twice_filter(df, left if r else hashes_of, expected, max_bits, first_probe=2 * r)
-        filters.append(found)
-    return Sifted(filters)
-
-
-class Ranks:
-    """About how often a hash occurs, as a byte that grows with the logarithm of the count."""
-
-    def __init__(self, table: np.ndarray, bits: int):
-        self.table, self.bits = table, bits
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        return self.table[cells(hashes, self.bits, 7)]
+def _build(df: DataFrame, hashes_of: Hashes, bits: int, probes: range, rank_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The packed filter of hashes seen again, and ranks of all hashes if rank_bits."""
+    span, cell_span = 1 << (bits - 6), 1 << max(0, rank_bits - 6)
 
-
-def count_ranks(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = 20) -> tuple[Ranks, int]:
-    """Ranks of all hashes, and how many hashes there were. The sketch has 2**bits cells."""
-    span = 1 << (bits - 6)
-
-    def rows(counts: np.ndarray) -> pa.RecordBatch:
-        return _rows([(s, zlib.compress(counts[s * span : (s + 1) * span].tobytes(), 1), b"") for s in range(SEGMENTS)])
+    def flush(held: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        every = np.concatenate(held)
+        held.clear()
+        if rank_bits:
+            counts += np.bincount(cells(every, rank_bits, _COUNTS), minlength=1 << rank_bits).astype(np.uint32)
+        at = np.concatenate([cells(every, bits, k) for k in probes])
+        at.sort()
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = at[1:] != at[:-1]
+        once, again = at[new], np.unique(at[~new])
+        one, two = (np.searchsorted(x, np.arange(SEGMENTS + 1) * span) for x in (once, again))
+        return _rows([(s, _pack(once[one[s] : one[s + 1]] - s * span), _pack(again[two[s] : two[s + 1]] - s * span)) for s in range(SEGMENTS) if one[s + 1] > one[s]])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, n = np.zeros(1 << bits, dtype=np.uint32), [], 0
-        some = False
+        held: list[np.ndarray] = []
+        counts, n = np.zeros(1 << rank_bits if rank_bits else 0, dtype=np.uint32), 0
         for batch in batches:
             for h in hashes_of(batch):
                 held.append(h)
                 n += len(h)
                 if n >= FLUSH:
-                    counts += np.bincount(cells(np.concatenate(held), bits, 7), minlength=1 << bits).astype(np.uint32)
-                    held, n, some = [], 0, True
+                    n = 0
+                    yield flush(held, counts)
         if n:
-            counts += np.bincount(cells(np.concatenate(held), bits, 7), minlength=1 << bits).astype(np.uint32)
-        if n or some:
-            yield rows(counts)
+            yield flush(held, counts)
+        if rank_bits and counts.any():
+            yield _rows([(SEGMENTS + s, zlib.compress(counts[s * cell_span : (s + 1) * cell_span].tobytes(), 1), b"") for s in range(SEGMENTS)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        now, once, again = -1, np.zeros(0, bool), np.zeros(0, bool)
+
+        def done() -> pa.RecordBatch:
+            if now < SEGMENTS:
+                return _rows([(now, b"", zlib.compress(np.packbits(again, bitorder="little").tobytes(), 1))])
+            return _rows([(now, b"", zlib.compress(np.minimum(255, np.floor(8 * np.log2(once + 1))).astype(np.uint8).tobytes(), 1))])
+
         for batch in batches:
-            for s, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(o), dtype=np.uint32).astype(np.int64)
-                sums[s] = sums[s] + part if s in sums else part
-        for s, x in sums.items():
-            ranks = np.minimum(255, np.floor(8 * np.log2(x + 1))).astype(np.uint8)
-            yield _rows([(s, zlib.compress(ranks.tobytes(), 1), int(x.sum()).to_bytes(8, "little"))])
-
-    table, n = np.zeros(1 << bits, dtype=np.uint8), 0
-    merged = df.mapInArrow(send, _SCHEMA).repartition(mergers(df.sparkSession), "segment").mapInArrow(merge, _SCHEMA)
-    for r in merged.collect():
-        table[r[0] * span : (r[0] + 1) * span] = np.frombuffer(zlib.decompress(bytes(r[1])), dtype=np.uint8)
-        n += int.from_bytes(bytes(r[2]), "little")
-    return Ranks(table, bits), n
+            for s, o, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != now:
+                    if now >= 0:
+                        yield done()
+                    now = s
+                    once, again = (np.zeros(span, dtype=bool), np.zeros(span, dtype=bool)) if s < SEGMENTS else (np.zeros(cell_span, dtype=np.int64), np.zeros(0, bool))
+                if s < SEGMENTS:
+                    at = _unpack(o)
+                    again[at[once[at]]] = True
+                    once[at] = True
+                    again[_unpack(a)] = True
+                else:
+                    once += np.frombuffer(zlib.decompress(o), dtype=np.uint32)
+        if now >= 0:
+            yield done()
+
+    packed, ranks = np.zeros(1 << (bits - 3), dtype=np.uint8), np.zeros(1 << rank_bits, dtype=np.uint8)
+    merged = df.mapInArrow(send, _SCHEMA).repartition(mergers(df.sparkSession), "segment").sortWithinPartitions("segment").mapInArrow(merge, _SCHEMA)
+    for segment, _, raw in merged.collect():
+        part = np.frombuffer(zlib.decompress(bytes(raw)), dtype=np.uint8)
+        into, k = (packed, segment) if segment < SEGMENTS else (ranks, segment - SEGMENTS)
+        into[k * len(part) : (k + 1) * len(part)] = part
+    return packed, ranks
+
+
+def _bits(expected: int, per_hash: int, max_bits: int) -> int:
+    return min(max_bits, max(16, int(np.ceil(np.log2(max(expected, 1) * per_hash)))))
+
+
+def twice_filter(df: DataFrame, hashes_of: Hashes, expected: int, max_bits: int = MAX_BITS) -> TwiceFilter:
+    """The filter over the arrays that hashes_of yields, one array of distinct hashes for each document.
+
+    expected: about how many hashes all arrays hold; there are eight bits for each, but 2**max_bits at most. Beyond
+    that more hashes pass by chance, which callers settle by an exact count.
+    """
+    bits = _bits(expected, 8, max_bits)
+    return TwiceFilter(df.sparkSession, _build(df, hashes_of, bits, range(2))[0], bits, range(2))
+
+
+def sift(df: DataFrame, hashes_of: Hashes, expected: int, max_bits: int = MAX_BITS) -> Sifted:
+    """Two passes over the table: hashes that pass the filter of the first are sifted again, and counted, in the
+    second, where far fewer are left. A hash that two documents hold passes both. There are at least four bits for
+    each hash up to 2**max_bits / 4 hashes; with more of them more pass by chance."""
+    spark = df.sparkSession
+    bits = _bits(expected, 4, max_bits)
+    first = TwiceFilter(spark, _build(df, hashes_of, bits, range(1))[0], bits, range(1))
+
+    def left(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for h in hashes_of(batch):
+            yield h[first.test(h)]
+
+    rank_bits = min(22, bits)
+    packed, ranks = _build(df, left, bits, range(1, 2), rank_bits)
+    return Sifted(spark, first, TwiceFilter(spark, packed, bits, range(1, 2)), ranks, rank_bits)
