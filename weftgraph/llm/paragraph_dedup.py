@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from .arrow_text import _MULT, SPACES, Chunk, U, chunks, digest, mix, powers
 from .set_links import odd_sketch, set_components
-from .sketch import sift
+from .sketch import sift, twice_filter
 from .staging import Staging, small_batches
 
 BANDS, ROWS = 14, 4
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _LINES = np.ones(256, dtype=bool)
 _LINES[10] = False
-_SCHEMA = "uid long, para_no int, start_char long, n_chars long, n_words int, id binary, toks array<struct<tok: bigint, pos: int>>, n int, odd array<bigint>, hashes array<bigint>"
+_SCHEMA = "uid long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, odd array<bigint>, hashes array<bigint>"
 _WINDOWS = "key long, uid long, pos int, h array<bigint>, start_char array<bigint>, n_chars array<int>, para_no array<int>"
 _TOKS = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))
 
@@ -156,6 +156,22 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
     count = (docs.select(F.sum(F.length("text")).alias("n")).first()[0] or 0) // 6  # about how many words
     again = sift(docs.select("text"), keys, count * BANDS // min_words + 4 * count // min_words + 1)
 
+    def suspected(words: Words, found: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Band keys, whether another paragraph may have them, which paragraphs have one that may, and their sets."""
+        grams, first, last = words.grams(k), *found[-2:]
+        every = band_keys(grams, first, last - k + 1)
+        hit = again.test(every.ravel()).reshape(every.shape)
+        at = np.flatnonzero(hit.any(axis=1))
+        return every, hit, at, [np.unique(grams[a : b - k + 1]) for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
+
+    def shared(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for words in word_chunks(batch.column(0)):
+            found = words.paragraphs(min_words)
+            if found:
+                yield from suspected(words, found)[-1]
+
+    held = twice_filter(docs.select("text"), shared, count // 2)  # shingles that two suspects may hold
+
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_chunks(batch.column(1)):
@@ -163,18 +179,17 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                 if not found:
                     continue
                 row, place, start, n_chars, first, last = found
-                grams = words.grams(k)
-                every = band_keys(grams, first, last - k + 1)
-                hit = again.test(every.ravel()).reshape(every.shape)
-                at = np.flatnonzero(hit.any(axis=1))
-                sets = [np.unique(grams[a : b - k + 1]) for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
+                every, hit, at, sets = suspected(words, found)
+                m = np.array([np.count_nonzero(held.test(x)) for x in sets], dtype=np.int64)
+                some = np.flatnonzero(100 * m >= percent * np.array([len(x) for x in sets], dtype=np.int64))
+                at, m, sets = at[some], m[some], [sets[i] for i in some.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row[at])), batch.column(2).take(pa.array(row[at])), pa.array(place[at], pa.int32()), pa.array(start[at], pa.int64()), pa.array(n_chars[at], pa.int64()), pa.array((last - first)[at], pa.int32()),
-                        pa.array([bytes.fromhex(digest(x)) for x in sets], pa.binary()), pa.array([[{"tok": t, "pos": 0} for t in every[i][hit[i]].view(np.int64).tolist()] for i in at.tolist()], _TOKS),
+                        pa.array([bytes.fromhex(digest(x)) for x in sets], pa.binary()), pa.array(m, pa.int32()), pa.array([[{"tok": t, "pos": 0} for t in every[i][hit[i]].view(np.int64).tolist()] for i in at.tolist()], _TOKS),
                         pa.array([len(x) for x in sets], pa.int32()), pa.array([odd_sketch(x) for x in sets], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id", "toks", "n", "odd", "hashes"],
+                    names=["doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "odd", "hashes"],
                 )
 
     def suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +218,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                 )
 
     rows = staging.save(docs.select("doc_id", "text", "uid").mapInArrow(suspects, f"doc_id {kind}, {_SCHEMA}"), "paragraphs")
-    members = staging.save(rows.select("id", "n", F.col("n").alias("m"), "toks", "odd").dropDuplicates(["id"]), "members")
+    members = staging.save(rows.select("id", "n", "m", "toks", "odd").dropDuplicates(["id"]), "members")
     comps = set_components(members, rows.select("id", "hashes"), staging, percent, positional=False)
     staging.drop(members)
     placed = rows.select("doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))

@@ -9,9 +9,9 @@ in one of two sets only changes one bit, so that two sets differ in at least as
 in bits: a suffix filter, which rejects pairs without a look at their hashes and lets few others pass.
 
 First come star rounds: a few tokens of each set, those with the least hash, form groups, and in each group one pivot
-is picked, first the set with the fewest hashes that no other set has, which lies in the middle of a group of changed
-copies, later ones by a seeded hash. Each set with another label is paired with the pivot that it meets most often,
-and takes its label if the filter lets the pair pass. That is one pair for a set and a round, however large the groups.
+is picked, the set with the fewest hashes that no other set has, which lies in the middle of a group of changed
+copies; in later rounds a fixed number of them, by a seeded hash. Each set with another label is paired with the pivot
+whose sketch is nearest, and takes its label if the filter lets the pair pass. That is one pair for a set and a round, however large the groups.
 These pairs are verified at once, by their hashes, and their components taken. Last, the pairs of all tokens that are
 in different components still and pass the filters are verified. A pair within one component cannot change the
 components any more, so no link that matters is lost.
@@ -28,6 +28,7 @@ from .components import connected_components
 from .staging import Staging
 
 STAR_TOKENS = 8
+PIVOTS = 4  # of a group in each round but the first
 
 
 def odd_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -42,21 +43,27 @@ def _needed(a: str, b: str, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / (100 + percent) - 1e-9)
 
 
-def _near(a: str, b: str, percent: int) -> Column:
-    """Whether the sketches of sets a and b let them link. The longer sketch is folded to the length of the other;
+def _apart(a: str, b: str) -> Column:
+    """In how many bits the sketches of sets a and b differ. The longer sketch is folded to the length of the other;
     sizes that may link are too near for more than one fold."""
     x, y = F.col(f"{a}_odd"), F.col(f"{b}_odd")
     short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
     n = F.size(short)
     folded = F.when(F.size(long) == n, long).otherwise(F.zip_with(F.slice(long, 1, n), F.slice(long, n + 1, n), lambda p, q: p.bitwiseXOR(q)))
-    apart = F.aggregate(F.zip_with(short, folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return (100 * F.least(f"{a}_n", f"{b}_n") >= percent * F.greatest(f"{a}_n", f"{b}_n")) & (apart <= F.col(f"{a}_n") + F.col(f"{b}_n") - 2 * _needed(f"{a}_n", f"{b}_n", percent))
+    return F.aggregate(F.zip_with(short, folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
+def _room(a: str, b: str, percent: int) -> Column:
+    """The most hashes that sets a and b that link may differ in."""
+    return F.col(f"{a}_n") + F.col(f"{b}_n") - 2 * _needed(f"{a}_n", f"{b}_n", percent)
 
 
 def sketched(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches let them link, and the intersection that they need."""
+    """The pairs (a, b, ..) whose sketches let them link, the intersection that they need, and in how many bits the
+    sketches differ."""
     left, right = (members.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("odd").alias(f"{s}_odd")) for s in "ab")
-    return pairs.join(right, "b").join(left, "a").where(_near("a", "b", percent)).select("a", "b", _needed("a_n", "b_n", percent).alias("need"))
+    met = pairs.join(right, "b").join(left, "a").withColumn("apart", _apart("a", "b"))
+    return met.where(F.col("apart") <= _room("a", "b", percent)).select(*pairs.columns, _needed("a_n", "b_n", percent).alias("need"), "apart")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -83,17 +90,17 @@ def set_components(members: DataFrame, sets: DataFrame, staging: Staging, percen
     def labelled(df: DataFrame) -> DataFrame:
         return df.withColumn("c", F.col("id")) if labels is None else df.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id")).drop("label")
 
-    # the set with the fewest hashes of its own lies nearest to what its group has in common
-    far = [F.col("own"), F.shiftright("own", 4), F.lit(0)]
     for r in range(rounds):
         here = labelled(few)
-        pivots = here.groupBy("tok").agg(F.min(F.struct(far[min(r, 2)].alias("far"), F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "c")).alias("v"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        pivots = pivots.where("lo <> hi").select("tok", *(F.col(f"v.{c}").alias(f"p_{c}") for c in ("id", "n", "c")))
+        # the set with the fewest hashes of its own lies nearest to what its group has in common
+        order = [F.struct("own", "id", "n", "c")] if r == 0 else [F.struct(F.xxhash64("id", F.lit(PIVOTS * r + k)).alias("h"), "id", "n", "c") for k in range(PIVOTS)]
+        pivots = here.groupBy("tok").agg(*(F.min(o).alias(f"v{k}") for k, o in enumerate(order)), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        pivots = pivots.select("tok", F.explode(F.array_distinct(F.array(*(F.struct(f"v{k}.id", f"v{k}.n", f"v{k}.c") for k in range(len(order)))))).alias("v"))
+        pivots = pivots.select("tok", *(F.col(f"v.{c}").alias(f"p_{c}") for c in ("id", "n", "c")))
         met = here.join(pivots, "tok").where((F.col("c") != F.col("p_c")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")))
-        met = met.groupBy("id", "p_id").agg(F.count("*").alias("k"), F.first("p_c").alias("p_c"))
-        best = met.groupBy("id").agg(F.max(F.struct("k", "p_id", "p_c")).alias("v")).select(F.col("id").alias("a"), F.col("v.p_id").alias("b"), F.col("v.p_c").alias("p_c"))
-        tried = best.select("a", "b") if pairs is None else best.select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        found = staging.save(sketched(tried, members, percent).join(best, ["a", "b"]), "tried")
+        met = sketched(met.select(F.col("id").alias("a"), F.col("p_id").alias("b"), "p_c").distinct(), members, percent)
+        best = met.groupBy("a").agg(F.min(F.struct("apart", "b", "p_c", "need")).alias("v")).select("a", "v.b", "v.p_c", "v.need")
+        found = staging.save(best if pairs is None else best.join(pairs, ["a", "b"], "left_anti"), "tried")
         kept.append(found)
         pairs = found.drop("p_c") if pairs is None else pairs.unionByName(found.drop("p_c"))
         new = found.select(F.col("a").alias("id"), F.col("p_c").alias("label"))
@@ -109,7 +116,8 @@ def set_components(members: DataFrame, sets: DataFrame, staging: Staging, percen
 
     posts = labelled(members.select("id", "n", "m", "toks")).select("id", "n", "m", "c", F.explode("toks").alias("t")).select("t.tok", "t.pos", "id", "n", "m", "c")
     mixed = posts.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
-    open_ = staging.save(posts.join(mixed, "tok", "left_semi"), "open")
+    open_ = posts.join(mixed, "tok", "left_semi").join(members.select("id", "odd"), "id")
+    open_ = staging.save(open_.select("tok", "pos", "id", "n", "m", "c", "odd"), "open")
     p, q = (open_.select("tok", *(F.col(c).alias(f"{side}_{c}") for c in open_.columns if c != "tok")) for side in "pq")
     ok = (F.col("p_id") < F.col("q_id")) & (F.col("p_c") != F.col("q_c")) & (100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n"))
     ok &= F.least("p_m", "q_m") >= _needed("p_n", "q_n", percent)
@@ -117,11 +125,12 @@ def set_components(members: DataFrame, sets: DataFrame, staging: Staging, percen
         n, pos = F.when(F.col("p_n") <= F.col("q_n"), F.col("p_n")).otherwise(F.col("q_n")), F.when(F.col("p_n") <= F.col("q_n"), F.col("p_pos")).otherwise(F.col("q_pos"))
         ok &= pos <= n - F.ceil(F.lit(2 * percent) * n / (100 + percent) - 1e-9)
         ok &= F.least(F.col("p_n") - F.col("p_pos"), F.col("q_n") - F.col("q_pos")) >= _needed("p_n", "q_n", percent)
-    rest = p.join(q, "tok").where(ok).select(F.col("p_id").alias("a"), F.col("q_id").alias("b")).distinct()
+    rest = p.join(q, "tok").where(ok & (_apart("p", "q") <= _room("p", "q", percent))).select(F.col("p_id").alias("a"), F.col("q_id").alias("b"), _needed("p_n", "q_n", percent).alias("need")).distinct()
     failed = checked.where("NOT linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = staging.save(sketched(rest.join(failed, ["a", "b"], "left_anti"), members, percent), "late")
-    found = staging.save(verify(late, sets), "found").where("linked").select("a", "b")
+    found = staging.save(verify(rest.join(failed, ["a", "b"], "left_anti"), sets), "found")
+    kept.append(found)
+    found = found.where("linked").select("a", "b")
     if found.limit(1).count():
         comps = staging.save(connected_components(links.unionByName(found), staging), "components")
-    staging.drop(*kept, checked, open_, late)
+    staging.drop(*kept, checked, open_)
     return comps
