@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import SPACES, Chunk, chunks
+from .columns import map_columns
 from .sketch import twice_filter
 from .staging import Staging, small_batches
 
@@ -22,6 +23,7 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[10] = True
 _SPACE = "\t\n\x0b\x0c\r "
 _LOWER = {c: c + 32 for c in range(65, 91)}
+SALTS = 8  # parts that the documents with one line are dealt out in
 
 
 def line_key(line: str) -> str:
@@ -51,12 +53,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     characters that at least min_docs different doc_ids hold lose all their lines except in the largest doc_id.
     Rows of one doc_id count as one document and keep or lose a line together; null is a doc_id of its own and
     the smallest. A null text counts as one empty line and becomes an empty text. n_lines and n_dropped replace
-    columns of these names.
+    columns of these names. doc_ids may be of any type that has an order.
     """
     spark = docs.sparkSession
     small_batches(spark)
     staging = Staging(spark)
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    thin = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    kind = thin.schema["doc_id"].dataType.simpleString()
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for c in chunks(batch.column(0)):
@@ -81,14 +84,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 rows, keys = zip(*seen, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r + c.first for r in rows])), pa.array([k.decode() for k in keys], pa.string())], names=["doc_id", "key"])
 
-    held = staging.save(thin.mapInArrow(suspects, "doc_id long, key string").distinct(), "held")
+    held = staging.save(thin.mapInArrow(suspects, f"doc_id {kind}, key string").distinct(), "held")
+    again.release()
     repeated = held.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    drops = held.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set("key").alias("__keys"))
-    drops = drops.withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left")
-    kept_columns = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    key = lambda x: F.translate(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    stays = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__keys"), key(x))))
-    out = joined.select(*kept_columns, F.size(lines).cast("long").alias("n_lines"), stays.alias("__lines"))
-    return out.select(*(F.array_join("__lines", "\n").alias(text_col) if c == text_col else c for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", (F.col("n_lines") - F.size("__lines")).alias("n_dropped"))
+    repeated = repeated.select("key", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    drops = salted.join(repeated, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__keys"))
+    joined = docs.drop("n_lines", "n_dropped").join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+
+    def without(columns: list[pa.Array]) -> list[list]:
+        out: list[list] = [[], [], []]
+        for text, keys in zip(*(c.to_pylist() for c in columns), strict=True):
+            lines = (text or "").split("\n")
+            gone = set(keys or ())
+            kept = [x for x in lines if line_key(x) not in gone] if gone else lines
+            for c, v in zip(out, ("\n".join(kept), len(lines), len(lines) - len(kept)), strict=True):
+                c.append(v)
+        return out
+
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    out = map_columns(joined, [F.col(f"`{text_col}`"), F.col("__keys")], without, "__text string, n_lines long, n_dropped long", [c for c in columns if c != text_col])
+    return out.select(*(F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns), "n_lines", "n_dropped")
