@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from .columns import Shared, map_columns
 from .staging import Staging, small_batches
 
 MAX_TRAINING_ROWS = 200_000  # labelled texts that the model is fitted on, the first by a hash of their text
-MAX_TERMS = 20_000  # words and beginnings in the lexicon at most, those in most toxic texts first
-MIN_TOXIC = 3  # toxic texts that must hold a term
+MIN_TOXIC = 3  # toxic texts that must hold a term of the lexicon
+MIN_WEIGHT = 0.7  # and how much likelier, as a logarithm, it must make a text toxic
 _TOKEN = re.compile(r"[^\s.,;:!?\"()\[\]{}<>…«»„“”]+")
 _INNER = re.compile(r"[^\W\d_][\d@$*#!|+]+[^\W\d_]|[^\W\d_][@$*#|]", re.UNICODE)
 _STRETCHED = re.compile(r"(.)\1\1", re.DOTALL)
@@ -41,7 +42,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 #: Digits and symbols that stand for letters.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"})
 NEAR = 5  # words
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 #: Of each byte: 1 capital of ASCII, 2 punctuation of ASCII, 3 exclamation mark, 4 question mark, 0 other.
 _KINDS = np.array([1 if 65 <= c <= 90 else 3 if c == 33 else 4 if c == 63 else 2 if 33 < c < 127 and not chr(c).isalnum() else 0 for c in range(256)])
 FEATURES = ("lexicon", "strong", "sure", "top", "second", "third", "distinct", "beginnings", "near_you", "you", "folded", "capitals", "shouted", "exclaims", "questions", "punctuation", "inner", "stretched", "spelled", "starred", "length", "hits", "weight")
@@ -70,7 +71,7 @@ class Lexicon:
         self.weights: dict[str, tuple[float, float]] = {}
         for term, (toxic, clean) in counts.items():
             weight = math.log((toxic + 0.2) / (n_toxic + 1)) - math.log((clean + 1.0) / (n_clean + 1))
-            if toxic >= MIN_TOXIC and weight > 0.7:
+            if toxic >= MIN_TOXIC and weight > MIN_WEIGHT:
                 self.weights[term] = (weight, math.log(toxic))
         self.seen: dict[str, tuple | int] = {}
 
@@ -153,14 +154,14 @@ class ToxicityModel:
                 return [[features(t, shared.value) for t in columns[0].to_pylist()]]
 
             rows = map_columns(docs, [F.col(text_col)], make, "__x array<double>", keep)
-            scored = _raw(self.trees, rows)
+            scored = _judged(self.trees, rows.withColumn("__features", array_to_vector("__x")))
             scored = self.isotonic.transform(scored).select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "__y")).alias("score"))
         return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def _raw(trees, rows: DataFrame) -> DataFrame:
-    """rows with __p, the trees' probability of label 1."""
-    return trees.transform(rows.withColumn("__features", array_to_vector("__x"))).withColumn("__p", vector_to_array("__probability")[1])
+def _judged(trees, vectors: DataFrame) -> DataFrame:
+    """vectors with __p, the trees' probability of label 1."""
+    return trees.transform(vectors).withColumn("__p", vector_to_array("__probability")[1])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", max_rows: int = MAX_TRAINING_ROWS, seed: int = 7) -> ToxicityModel:
@@ -179,40 +180,35 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
     rows = staging.save(rows.withColumn("half", (F.col("h") % 2).cast("int")), "labelled")
     sizes = {(int(r[0]), int(r[1])): r[2] for r in rows.groupBy("half", "label").count().collect()}
     toxic, clean = (sum(sizes.get((h, k), 0) for h in (0, 1)) for k in (1, 0))
-    if toxic < 5 or clean < 5:
+    if not toxic or not clean:
         return ToxicityModel(None, None, None, toxic / (toxic + clean) if toxic + clean else 0.0)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Terms of toxic texts and how many of them each half has."""
+        """Terms, and how many texts of each label and half have them."""
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"half": pa.array([h for h, _ in counts], pa.int32()), "term": pa.array([t for _, t in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            return pa.RecordBatch.from_pydict({"half": pa.array([h for h, _, _ in counts], pa.int32()), "toxic": pa.array([x for _, x, _ in counts], pa.int32()), "term": pa.array([t for _, _, t in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
         for batch in batches:
-            for half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((half, t) for t in {t for w in set(tokens(text)) if len(w) < 64 for t in terms(w)})
-            if len(counts) > 200_000:
-                yield out()
-                counts = Counter()
+            for half, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts.update((half, toxic, t) for t in {t for w in set(tokens(text)) for t in terms(w)})
+                if len(counts) > 200_000:
+                    yield out()
+                    counts = Counter()
         if counts:
             yield out()
 
-    found = rows.where("label = 1").select("half", "text").mapInArrow(held, "half int, term string, n bigint").groupBy("term").agg(*(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)))
-    found = found.where(F.col("n0") + F.col("n1") >= MIN_TOXIC).orderBy((F.col("n0") + F.col("n1")).desc(), "term").limit(MAX_TERMS).collect()
-    in_toxic = {r["term"]: (r["n0"], r["n1"]) for r in found}
-    wanted = Shared(spark, frozenset(in_toxic))
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((half, t) for t in {t for w in set(tokens(text)) for t in terms(w)} & wanted.value)
-        yield pa.RecordBatch.from_pydict({"half": pa.array([h for h, _ in counts], pa.int32()), "term": pa.array([t for _, t in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-
-    in_clean: dict[str, list[int]] = {t: [0, 0] for t in in_toxic}
-    for r in rows.where("label = 0").select("half", "text").mapInArrow(others, "half int, term string, n bigint").groupBy("half", "term").agg(F.sum("n").alias("n")).collect():
-        in_clean[r["term"]][r["half"]] = r["n"]
+    counted = rows.select("half", F.col("label").cast("int").alias("toxic"), "text").mapInArrow(held, "half int, toxic int, term string, n bigint")
+    each = [(x, h) for x in (1, 0) for h in (0, 1)]
+    counted = counted.groupBy("term").agg(*(F.sum(F.when((F.col("toxic") == x) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"{'tc'[1 - x]}{h}") for x, h in each))
+    # terms that one of the three lexicons keeps, by the rule of Lexicon
+    of_half = [(F.col(f"t{h}"), F.col(f"c{h}"), sizes.get((h, 1), 0), sizes.get((h, 0), 0)) for h in (0, 1)]
+    of_half.append((F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), toxic, clean))
+    kept = reduce(lambda p, q: p | q, ((t >= MIN_TOXIC) & (F.log((t + 0.2) / (nt + 1)) - F.log((c + 1.0) / (nc + 1)) > MIN_WEIGHT - 1e-9) for t, c, nt, nc in of_half))
+    found = counted.where(kept).collect()
+    in_toxic = {r["term"]: (r["t0"], r["t1"]) for r in found}
+    in_clean = {r["term"]: (r["c0"], r["c1"]) for r in found}
     cross = [Lexicon({t: (n[1 - h], in_clean[t][1 - h]) for t, n in in_toxic.items()}, sizes.get((1 - h, 1), 0), sizes.get((1 - h, 0), 0)) for h in (0, 1)]
     final = Lexicon({t: (sum(n), sum(in_clean[t])) for t, n in in_toxic.items()}, toxic, clean)
     shared = Shared(spark, cross)
@@ -221,12 +217,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
         return [[features(t, shared.value[h]) for t, h in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True)]]
 
     seen = staging.save(map_columns(rows, [F.col("text"), F.col("half")], make, "__x array<double>", ["label", "h"]).repartition(max(2, min(32, int(total // 20_000)))), "seen")
-    # trees are fitted on three quarters, the calibration on the rest
-    apart = seen.withColumn("fold", F.floor(F.col("h") / 2) % 4)
-    vectors = apart.withColumn("__features", array_to_vector("__x"))
+    vectors = seen.withColumn("fold", F.floor(F.col("h") / 2) % 2).withColumn("__features", array_to_vector("__x"))
     gbt = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__prediction", maxIter=20, maxDepth=4, stepSize=0.2, maxBins=32, minInstancesPerNode=max(1, min(10, toxic // 10)), subsamplingRate=1.0, seed=seed, cacheNodeIds=False)
     gbt._set(rawPredictionCol="__raw", probabilityCol="__probability")
-    trees = gbt.fit(vectors.where("fold <> 3"))
-    judged = _raw(trees, apart)
-    isotonic = IsotonicRegression(featuresCol="__p", labelCol="label", predictionCol="__y").fit(judged.where("fold = 3") if toxic >= 400 else judged)
+    # the calibration is fitted on probabilities of texts that the trees behind them have not seen
+    unseen = [_judged(gbt.fit(apart), vectors.where(F.col("fold") == k)).select("__p", "label") for k in (0, 1) if (apart := vectors.where(F.col("fold") != k)).limit(1).count()]
+    trees = gbt.fit(vectors)
+    judged = reduce(DataFrame.unionByName, unseen) if len(unseen) == 2 else _judged(trees, vectors)  # rows with one text are in one fold
+    isotonic = IsotonicRegression(featuresCol="__p", labelCol="label", predictionCol="__y").fit(judged)
     return ToxicityModel(final, trees, isotonic, toxic / (toxic + clean))
