@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.graph import Graph
+from ..plans.staging import save
+from ..sources.graph import Graph, not_null
 from ..sources.terms import TERM, Term, iri
 
 MOST_PRODUCT_ROWS = 100_000  # rows of the smaller side of a product at most
@@ -67,6 +68,9 @@ def match(graph: Graph, s, p, o, graph_name: str | None = None) -> Solutions:
         return reduce(union, each) if each else empty_like(match(graph, s, p, o))
     if not is_variable(p):
         name = p.lex if isinstance(p, Term) else p
+        found = star(graph, (s, p, o))
+        if found is not None:
+            return found
         rows = graph.of(name)
         rows = graph.triples([]) if rows is None else rows
         places = [("s", s), ("o", o)]
@@ -85,9 +89,40 @@ def match(graph: Graph, s, p, o, graph_name: str | None = None) -> Solutions:
     return Solutions(rows.select(*(F.col(c).alias(v[1:]) for v, c in seen.items())))
 
 
+def star(graph: Graph, *patterns: Sequence) -> Solutions | None:
+    """Patterns with one subject and constant predicates as one projection of the table that holds them all: each of
+    its rows is a solution at most. None if no single table does."""
+    subject = patterns[0][0]
+    held = [graph.places.get(p.lex if isinstance(p, Term) else p, {}) for _, p, _ in patterns]
+    tables = set.intersection(*map(set, held))
+    if len(tables) != 1:
+        return None
+    places = [h[next(iter(tables))] for h in held]
+    rows = not_null(places[0].rows, *places[0].subject.key, *(c for p in places for c in p.object.key))
+    seen: dict[str, Column] = {}
+    if is_variable(subject):
+        seen[subject] = places[0].subject.column()
+    else:
+        rows = rows.where(places[0].subject.equals(subject, rows))
+    for place, (_, _, o) in zip(places, patterns, strict=True):
+        if not is_variable(o):
+            rows = rows.where(place.object.equals(o, rows))
+        elif o in seen:
+            rows = rows.where(seen[o] == place.object_column())
+        else:
+            seen[o] = place.object_column()
+    return Solutions(rows.select(*(c.alias(v[1:]) for v, c in seen.items())))
+
+
 def bgp(graph: Graph, *patterns: Sequence, graph_name: str | None = None) -> Solutions:
-    """A basic graph pattern: the join of its triple patterns; patterns that share no variable come last."""
-    rest = [match(graph, *p, graph_name=graph_name) for p in patterns]
+    """A basic graph pattern: the join of its triple patterns; patterns that share no variable come last. Patterns
+    of one subject that one table holds are not joined (see star)."""
+    rest, todo = [], list(patterns)
+    while todo:
+        same = [x for x in todo if x[0] == todo[0][0] and not is_variable(x[1])] if graph_name is None and not is_variable(todo[0][1]) else []
+        found = star(graph, *same) if len(same) > 1 else None
+        rest.append(match(graph, *todo[0], graph_name=graph_name) if found is None else found)
+        todo = todo[1:] if found is None else [x for x in todo if x not in same]
     out = rest.pop(0)
     while rest:
         k = next((k for k, m in enumerate(rest) if set(m.variables) & set(out.variables)), 0)
@@ -304,18 +339,18 @@ def construct(a: Solutions, *template: Sequence) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("s.kind IN (0, 1) AND p.kind = 0 AND o IS NOT NULL").distinct()
 
 
-def describe(graph: Graph, resources: DataFrame, rounds: int = 8) -> DataFrame:
-    """(s, p, o) of the resources (s) and of the blank nodes that their triples lead to, up to so many steps."""
+def describe(graph: Graph, resources: DataFrame) -> DataFrame:
+    """(s, p, o) of the resources (s) and of all blank nodes that their triples lead to, step by step; what a step
+    finds is written, so that the next one starts from there."""
     every = graph.triples()
-    todo, found = resources.select("s").distinct(), None
-    for _ in range(rounds):
-        here = every.join(todo, "s", "left_semi")
-        new = here if found is None else here.join(found.select("s").distinct(), "s", "left_anti")
-        found = here if found is None else found.unionByName(new)
-        todo = new.where("o.kind = 1").select(F.col("o").alias("s")).distinct()
-        if not todo.limit(1).count():
-            break
-    return found.select("s", "p", "o").distinct()
+    here = every.join(resources.select("s").distinct(), "s", "left_semi")
+    found = here = save(here, "described")
+    while True:
+        todo = here.where("o.kind = 1").select(F.col("o").alias("s")).distinct().join(found.select("s").distinct(), "s", "left_anti")
+        here = save(every.join(todo, "s", "left_semi"), "described")
+        if not here.limit(1).count():
+            return found.select("s", "p", "o").distinct()
+        found = found.unionByName(here)
 
 
 def native(a: Solutions, /, **columns: Column) -> DataFrame:

@@ -1,27 +1,94 @@
 """Graphs as DataFrames: a DataFrame of subjects and objects for each predicate, tables seen as graphs, N-Triples.
 
 A pattern with a constant predicate reads that predicate's DataFrame only. Over a table this is a projection of
-two of its columns, so that column pruning and pushed filters reach the Parquet scan.
+two of its columns. Patterns with one subject that are read from one table are one projection of it, without a join,
+and constants in them are compared with the table's own columns, so that they reach the Parquet scan.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
-from .terms import BNODE, IRI, LANG_STRING, LITERAL, RDF_TYPE, RDFS_LABEL, XSD, iri, literal, term, typed
+from .terms import BNODE, IRI, LANG_STRING, LITERAL, RDF_TYPE, RDFS_LABEL, XSD, Term, iri, term, typed
+
+
+@dataclass(frozen=True)
+class Node:
+    """The IRI of a row: a prefix and the key columns; null where one of them is null."""
+
+    prefix: str
+    key: tuple[str, ...]
+
+    def column(self) -> Column:
+        return iri(F.concat(F.lit(self.prefix), *(x for k, c in enumerate(self.key) for x in ([F.lit("-")] if k else []) + [F.col(f"`{c}`").cast("string")])))
+
+    def equals(self, t: Term, rows: DataFrame) -> Column:
+        rest = t.lex.removeprefix(self.prefix)
+        if t.kind != IRI or not t.lex.startswith(self.prefix):
+            return F.lit(False)
+        kind = rows.schema[self.key[0]].dataType
+        if len(self.key) == 1 and (isinstance(kind, StringType) or isinstance(kind, IntegralType) and _whole(rest)):
+            return F.col(f"`{self.key[0]}`") == (rest if isinstance(kind, StringType) else int(rest))
+        return self.column()["lex"] == t.lex
+
+
+@dataclass(frozen=True)
+class Value:
+    """A column of a table as a literal, or a constant IRI."""
+
+    name: str | None = None
+    constant: str | None = None
+
+    @property
+    def key(self) -> tuple[str, ...]:
+        return () if self.name is None else (self.name,)
+
+    def column(self, rows: DataFrame) -> Column:
+        return iri(F.lit(self.constant)) if self.name is None else typed(F.col(f"`{self.name}`"), rows.schema[self.name].dataType)
+
+    def equals(self, t: Term, rows: DataFrame) -> Column:
+        if self.name is None:
+            return F.lit(t.kind == IRI and t.lex == self.constant)
+        kind, value = rows.schema[self.name].dataType, self.column(rows)
+        if isinstance(kind, StringType) and t.kind == LITERAL and t.dt == XSD + "string":
+            return F.col(f"`{self.name}`") == t.lex
+        if isinstance(kind, IntegralType) and t.kind == LITERAL and t.dt == XSD + "integer" and _whole(t.lex):
+            return F.col(f"`{self.name}`") == int(t.lex)
+        return (value["kind"] == t.kind) & (value["lex"] == t.lex) & value["dt"].eqNullSafe(F.lit(t.dt)) & value["lang"].eqNullSafe(F.lit(t.lang))
+
+
+def _whole(text: str) -> bool:
+    """Whether the text is how a long is written."""
+    return re.fullmatch(r"0|-?[1-9]\d{0,17}", text) is not None
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a table holds a predicate."""
+
+    rows: DataFrame
+    subject: Node
+    object: Node | Value
+
+    def object_column(self) -> Column:
+        return self.object.column() if isinstance(self.object, Node) else self.object.column(self.rows)
 
 
 @dataclass(frozen=True)
 class Graph:
-    """parts: for each predicate IRI a DataFrame (s, o). named: graphs by IRI; the default graph is the rest."""
+    """parts: for each predicate IRI a DataFrame (s, o). named: graphs by IRI; the default graph is the rest.
+    places: for predicates of tables, by table, where it holds them. The nodes of two tables are never the same."""
 
     parts: Mapping[str, DataFrame]
     named: Mapping[str, Graph] = field(default_factory=dict)
+    places: Mapping[str, Mapping[str, Place]] = field(default_factory=dict)
 
     def of(self, predicate: str) -> DataFrame | None:
         return self.parts.get(predicate)
@@ -39,12 +106,13 @@ class Graph:
         both = dict(self.parts)
         for p, df in other.parts.items():
             both[p] = both[p].unionByName(df).distinct() if p in both else df
-        return Graph(both, {**self.named, **other.named})
+        alone = {**{p: x for p, x in self.places.items() if p not in other.parts}, **{p: x for p, x in other.places.items() if p not in self.parts}}
+        return Graph(both, {**self.named, **other.named}, alone)
 
     def dataset(self, default: Iterable[str] = (), named: Iterable[str] = ()) -> Graph:
         """FROM and FROM NAMED: the default graph becomes the union of some named graphs, and some stay named."""
-        base = reduce(Graph.merge, (Graph(self.named[g].parts) for g in default), Graph({}))
-        return Graph(base.parts, {g: self.named[g] for g in named if g in self.named})
+        base = reduce(Graph.merge, (Graph(self.named[g].parts, places=self.named[g].places) for g in default), Graph({}))
+        return Graph(base.parts, {g: self.named[g] for g in named if g in self.named}, base.places)
 
 
 @dataclass(frozen=True)
@@ -60,31 +128,27 @@ class TableMapping:
     label: str | None = None
 
 
-def node(base: str, table: str, *key: Column) -> Column:
-    """The IRI of a row; null if a part of its key is null."""
-    return iri(F.concat(F.lit(f"{base}{table}/"), *(x for k, c in enumerate(key) for x in ([F.lit("-")] if k else []) + [c.cast("string")])))
-
-
 def table_graph(tables: Mapping[str, DataFrame], mappings: Mapping[str, TableMapping], base: str = "http://t/") -> Graph:
     """The direct mapping of tables to a graph. Null values have no triple."""
     parts: dict[str, DataFrame] = {}
-
-    def add(predicate: str, df: DataFrame) -> None:
-        parts[predicate] = parts[predicate].unionByName(df) if predicate in parts else df
+    places: dict[str, dict[str, Place]] = {}
 
     for name, m in mappings.items():
         df = tables[name]
-        subject = node(base, name, *(F.col(k) for k in m.key)).alias("s")
-        add(RDF_TYPE, df.select(subject, iri(F.lit(f"{base}class/{name}")).alias("o")))
-        for f in df.schema.fields:
-            if f.dataType.typeName() in ("array", "map", "struct"):
-                continue
-            add(f"{base}{f.name}", df.where(F.col(f.name).isNotNull()).select(subject, typed(F.col(f.name), f.dataType).alias("o")))
-        for column, (link, target) in m.links.items():
-            add(f"{base}{link}", df.where(F.col(column).isNotNull()).select(subject, node(base, target, F.col(column)).alias("o")))
-        if m.label:
-            add(RDFS_LABEL, df.where(F.col(m.label).isNotNull()).select(subject, literal(F.col(m.label)).alias("o")))
-    return Graph(parts)
+        held = {RDF_TYPE: Value(constant=f"{base}class/{name}")}
+        held |= {f"{base}{f.name}": Value(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")}
+        held |= {f"{base}{link}": Node(f"{base}{target}/", (column,)) for column, (link, target) in m.links.items()}
+        held |= {RDFS_LABEL: Value(m.label)} if m.label else {}
+        for predicate, value in held.items():
+            place = Place(df, Node(f"{base}{name}/", m.key), value)
+            places.setdefault(predicate, {})[name] = place
+            rows = not_null(df, *value.key, *m.key).select(place.subject.column().alias("s"), place.object_column().alias("o"))
+            parts[predicate] = parts[predicate].unionByName(rows) if predicate in parts else rows
+    return Graph(parts, places=places)
+
+
+def not_null(rows: DataFrame, *names: str) -> DataFrame:
+    return reduce(lambda df, c: df.where(F.col(f"`{c}`").isNotNull()), dict.fromkeys(names), rows)
 
 
 #: The star-schema and event tables as a graph.
