@@ -1,17 +1,18 @@
 """HTML extraction: the main text of pages, with what a site repeats on many pages taken out.
 
-Pages are read as trees of elements. Menus, headers, footers, sidebars, notices, adverts, forms, comments and
-scripts go by their tags, classes, ids and roles. What else a site has on many pages goes by site template
-removal: each element's subtree is hashed, Spark counts the pages of a host that hold each hash, and subtrees
-that recur are deleted. Inside an article the text blocks themselves are no template, as articles may quote the
-same passage; containers in it may be.
+Pages are read as trees of elements. Site template removal comes first, on the whole tree: each element's subtree is
+hashed, Spark counts the pages of a host that hold each hash, and subtrees that recur on many of them are deleted.
+Inside an article text blocks are no template, as articles may quote the same passage; containers in it may be. What a
+site fills anew on each page has no recurring subtree: menus, headers, footers, sidebars, notices, adverts, forms,
+comments and scripts also go by their tags, roles, and classes or ids that consist of the words for such parts. Last,
+where a page marks articles or a main element, what is outside goes.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -23,8 +24,7 @@ from .staging import Staging, small_batches
 
 MIN_PAGES = 5  # pages of a host that a template is on at least
 MIN_SHARE = 0.2  # share of the host's pages
-DEEPEST = 300  # elements deeper than this are read as siblings, text and all
-SMALL_HOSTS = 200_000  # hosts with templates up to which these are broadcast; more are joined by a shuffle
+MOST_KEYS = 4_000_000  # hashes of templates (8 bytes each) up to which they are broadcast; more are joined by a shuffle
 
 # Fixed values of HTML and of common page layouts.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +38,9 @@ _BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation navi menu topbar toolbar header masthead footer sidebar aside rail widget widgets breadcrumb breadcrumbs pagination pager "
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing comment comments disqus replies reply respond related recommended recommendations copyright search skip".split()
 )
+#: Words that stand beside those in names of classes and ids.
+_NEUTRAL = frozenset("site page main top bottom left right global primary secondary user users reader readers visitor post posts article articles entry entries news content list lists item items box bar block section sections wrapper wrap container area link links button buttons icon icons field group inner outer row col column unit slot panel text title head body js is has".split())
+_TITLES = frozenset("header masthead banner".split())  # inside an article these hold its title
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -45,12 +48,14 @@ _PARTS = re.compile(r"[^a-z]+")
 
 
 class Element:
-    __slots__ = ("attributes", "children", "key", "tag")
+    """inside: in an article or main element; holds: has one in it; key: see survey."""
+
+    __slots__ = ("attributes", "children", "holds", "inside", "key", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes = tag, attributes
         self.children: list[Element | str] = []
-        self.key = 0
+        self.key, self.inside, self.holds = 0, False, False
 
 
 def _closed_by(tag: str, opened: str) -> bool:
@@ -107,94 +112,103 @@ def parse(source: str) -> Element:
         if tag in _RAW:
             end = re.compile(f"</{tag}\\s*>", re.IGNORECASE).search(source, at)
             at = end.end() if end else len(source)
-        elif tag not in _VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
+        elif tag not in _VOID and not attributes.endswith("/"):
             stack.append(node)
     if at < len(source):
         stack[-1].children.append(html.unescape(source[at:]))
     return root
 
 
-def _holds_article(node: Element) -> bool:
-    return any(not isinstance(c, str) and (c.tag in ("article", "main") or _holds_article(c)) for c in node.children)
+def elements(page: Element) -> list[Element]:
+    """All elements in page order, however deep."""
+    out, stack = [], [page]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return out
+
+
+def survey(page: Element) -> list[Element]:
+    """All elements in page order, each with what it is in, what it holds, and its key: a hash of its tag, its text and
+    its children's keys; 0 without any text."""
+    every = elements(page)
+    for node in every:
+        inside = node.inside or node.tag in ("article", "main")
+        for c in node.children:
+            if not isinstance(c, str):
+                c.inside = inside
+    for node in reversed(every):
+        h, some = xxhash.xxh64(node.tag), False
+        for c in node.children:
+            if isinstance(c, str):
+                text = " ".join(c.split())
+                if text:
+                    h.update(b"\0" + text.encode("utf-8", "surrogatepass"))
+                    some = True
+            else:
+                node.holds |= c.holds or c.tag in ("article", "main")
+                if c.key:
+                    h.update(b"\1" + c.key.to_bytes(8, "little"))
+                    some = True
+        node.key = h.intdigest() if some else 0
+    return every
+
+
+def candidates(every: list[Element]) -> Iterator[Element]:
+    """Elements that a template may delete."""
+    for c in every:
+        if c.key and not c.holds and c.tag not in ("#page", "html", "body", "article", "main") and not (c.inside and c.tag in _TEXT_BLOCKS):
+            yield c
+
+
+def _named(value: str, titles: bool) -> bool:
+    """Whether a class or an id is made of words for boilerplate."""
+    for name in value.split():
+        parts = [p for p in _PARTS.split(name) if p]
+        words = [p for p in parts if p in _BOILERPLATE and not (titles and p in _TITLES)]
+        if words and all(p in words or p in _NEUTRAL for p in parts):
+            return True
+    return False
 
 
-def is_boilerplate(node: Element, in_article: bool) -> bool:
+def is_boilerplate(node: Element) -> bool:
     if node.tag in ("#page", "html", "body", "main"):
         return False
-    found = node.tag in _DROPPED and not (in_article and node.tag == "header")
+    title = node.inside or node.tag == "article"
+    found = node.tag in _DROPPED and not (title and node.tag == "header")
     if not found and node.attributes:
         for name, *values in _ATTRIBUTE.findall(node.attributes):
-            value = "".join(values).lower()
-            name = name.lower()
+            value, name = "".join(values).lower(), name.lower()
             if name in ("class", "id"):
-                found = any(part in _BOILERPLATE for part in _PARTS.split(value))
+                found = _named(value, title)
             elif name == "role":
                 found = value.strip() in _ROLES
             else:
                 found = name == "hidden" or value == "true"
             if found:
                 break
-    return found and (node.tag == "article" or not _holds_article(node))
+    return found and (node.tag == "article" or not node.holds)
 
 
-def prune(node: Element, in_article: bool = False) -> None:
-    """Takes out what is boilerplate by its marks."""
-    inside = in_article or node.tag in ("article", "main")
-    node.children = [c for c in node.children if isinstance(c, str) or not is_boilerplate(c, inside)]
-    for c in node.children:
-        if not isinstance(c, str):
-            prune(c, inside)
+def take_out(every: list[Element], gone: Callable[[Element], bool]) -> None:
+    for node in every:
+        node.children = [c for c in node.children if isinstance(c, str) or not gone(c)]
 
 
-def roots(page: Element) -> tuple[list[Element], bool]:
-    """The elements that hold the main text, and whether the page marks them as such."""
-    def outermost(node: Element, tag: str) -> Iterator[Element]:
-        for c in node.children:
-            if not isinstance(c, str):
-                if c.tag == tag:
-                    yield c
-                else:
-                    yield from outermost(c, tag)
-
+def roots(page: Element) -> list[Element]:
+    """The outermost articles, else the outermost main elements, else the page."""
     for tag in ("article", "main"):
-        found = list(outermost(page, tag))
+        found, stack = [], [page]
+        while stack:
+            node = stack.pop()
+            if node.tag == tag:
+                found.append(node)
+            else:
+                stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
         if found:
-            return found, True
-    return [page], False
-
-
-def hash_subtrees(node: Element) -> int:
-    """Sets each element's key: a hash of its tag, its text and its children's keys. 0 without any text."""
-    h, some = xxhash.xxh64(node.tag), False
-    for c in node.children:
-        if isinstance(c, str):
-            text = " ".join(c.split())
-            if text:
-                h.update(b"\0" + text.encode("utf-8", "surrogatepass"))
-                some = True
-        elif hash_subtrees(c):
-            h.update(b"\1" + c.key.to_bytes(8, "little"))
-            some = True
-    node.key = h.intdigest() if some else 0
-    return node.key
-
-
-def candidates(root: Element, marked: bool) -> Iterator[Element]:
-    """Elements below a root that a template may delete."""
-    for c in root.children:
-        if not isinstance(c, str):
-            if c.key and not (marked and c.tag in _TEXT_BLOCKS) and c.tag not in ("html", "body"):
-                yield c
-            yield from candidates(c, marked)
-
-
-def _main_text(source: str) -> tuple[list[Element], bool]:
-    page = parse(source)
-    prune(page)
-    found, marked = roots(page)
-    for root in found:
-        hash_subtrees(root)
-    return found, marked
+            return found
+    return [page]
 
 
 def _signed(key: int) -> int:
@@ -203,13 +217,19 @@ def _signed(key: int) -> int:
 
 def template_keys(source: str | None) -> list[int]:
     """The different hashes of subtrees of a page that may be a template."""
-    found, marked = _main_text(source or "")
-    return sorted({_signed(c.key) for root in found for c in candidates(root, marked)})
-
-
-def extract(source: str | None, templates: list[int] | None) -> str:
-    found, marked = _main_text(source or "")
-    deleted = {id(c) for root in found for c in candidates(root, marked) if _signed(c.key) in known} if templates and (known := set(templates)) else set()
+    return sorted({_signed(c.key) for c in candidates(survey(parse(source or "")))})
+
+
+def extract(source: str | None, templates: list[int] | None, marks: bool = True) -> str:
+    """The text of a page without the templates; marks: without what its tags, classes and roles mark as boilerplate."""
+    page = parse(source or "")
+    every = survey(page)
+    if templates:
+        known = set(templates)
+        deleted = {id(c) for c in candidates(every) if _signed(c.key) in known}
+        take_out(every, lambda c: id(c) in deleted)
+    if marks:
+        take_out(every, is_boilerplate)
     blocks: list[str] = []
     now: list[str] = []
 
@@ -219,25 +239,21 @@ def extract(source: str | None, templates: list[int] | None) -> str:
             blocks.append(text)
         now.clear()
 
-    def walk(node: Element) -> None:
-        if id(node) in deleted:
-            return
-        block = node.tag in _BLOCK
-        if block:
+    stack: list[Element | str | None] = list(reversed(roots(page))) if marks else [page]
+    while stack:
+        x = stack.pop()
+        if x is None:  # a block ends
             flush()
-        elif node.tag == "br":
-            now.append(" ")
-        for c in node.children:
-            if isinstance(c, str):
-                now.append(c)
-            else:
-                walk(c)
-        if block:
-            flush()
-
-    for root in found:
-        walk(root)
-        flush()
+        elif isinstance(x, str):
+            now.append(x)
+        else:
+            if x.tag in _BLOCK:
+                flush()
+                stack.append(None)
+            elif x.tag == "br":
+                now.append(" ")
+            stack.extend(reversed(x.children))
+    flush()
     return "\n".join(blocks)
 
 
@@ -267,8 +283,10 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     held = staging.save(held.where(F.col("n") >= min_pages), "held")
     sizes = rows.where("__host is not null").groupBy("__host").agg(F.count("*").alias("pages"))
     templates = held.where("key is not null").join(sizes, "__host").where(F.col("n") >= F.col("pages") * min_share)
+    # each is on a share of its host's pages, so that a host has at most 1 / min_share times the subtrees of a page
     by_host = staging.save(templates.groupBy("__host").agg(F.collect_list("key").alias("__templates")), "templates")
-    if by_host.count() <= SMALL_HOSTS:
+    staging.drop(held)
+    if (by_host.select(F.sum(F.size("__templates") + 2)).first()[0] or 0) <= MOST_KEYS:
         by_host = F.broadcast(by_host)
     joined = rows.join(by_host, "__host", "left")
 
