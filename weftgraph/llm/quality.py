@@ -1,10 +1,13 @@
 """Quality rules: statistics of whole texts, and robust outliers among them for each language and source.
 
-Everything is DataFrame expressions. A group's center and covariance are minimum-covariance-determinant
-estimates: from medians and quartiles as a start, concentration steps fit mean and covariance to the 75 % of
-rows that lie nearest, until they settle; a floor on each variance keeps them regular where nearly all texts of
-a group agree. Rows far out by their Mahalanobis distance are rejected. Moments and quantiles are aggregates
-that combine on the map side, so that a group with most of the rows is no burden.
+Everything is DataFrame expressions. A group's center and covariance are minimum-covariance-determinant estimates: of
+all sets with 75 % of the rows, the one whose covariance has the least determinant is sought. From each of several
+starts (medians and quartiles, and moments of seeded parts of the rows) concentration steps fit mean and covariance to
+the rows that lie nearest, until the determinant gets no smaller; the start that ends lowest counts. Statistics of texts
+are often the same for nearly all texts of a group, so that the determinant would be 0; covariances are therefore
+regularized by target variances that are added to them, as in the minimum regularized covariance determinant. Rows far
+out by their Mahalanobis distance are rejected. Moments and quantiles are aggregates that combine on the map side, so
+that a group with most of the rows is no burden.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from .staging import Staging
 
 MIN_GROUP = 200  # usable rows that a group needs for an estimate of its own
 INNER = 0.75  # share of the rows that an estimate rests on
-STEPS = 3
+STARTS = 3  # parts of the rows, each an eighth, from whose moments concentration also starts
+SETTLED = 1e-4  # a step that lowers the logarithm of the determinant by less is the last
 CUTOFF = 60.0  # squared distance; chi-square with five degrees of freedom exceeds 36 once in a million
 MEDIAN_CHI2 = 4.3515  # fixed value: median of chi-square with five degrees of freedom
-FLOORS = (0.35, 0.06, 0.4, 1.0, 1.0)  # least standard deviations of the transformed statistics
+TARGETS = (0.35, 0.06, 0.4, 0.8, 1.0)  # standard deviations of the transformed statistics that are added to those of a group
 _AXES = range(5)
+_FIT = [*(f"m{i}" for i in _AXES), *(f"l{i}{j}" for i in _AXES for j in range(i + 1)), "logdet"]
 _BLANKS = "\t\n\x0b\x0c\r"
 
 
@@ -72,17 +77,21 @@ def _vector() -> list[Column]:
     ]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean m0.. and lower Cholesky factor l00, l10, .. of each group's covariance, with the floors added."""
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean m0.., lower Cholesky factor l00, l10, .. of each group's regularized covariance, and logdet."""
     sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in _AXES), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in _AXES for j in range(i + 1))]
-    out = rows.groupBy("g").agg(*sums).withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in _AXES})
-    out = out.select("g", "n", *(f"m{i}" for i in _AXES), *((F.greatest(F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)) + F.lit(FLOORS[i] ** 2) if i == j else F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i in _AXES for j in range(i + 1)))
+    out = rows.groupBy(*by).agg(*sums).withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in _AXES})
+    out = out.select(*by, *(f"m{i}" for i in _AXES), *((F.greatest(F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)) + F.lit(TARGETS[i] ** 2) if i == j else F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i in _AXES for j in range(i + 1)))
     for j in _AXES:
         dots = {i: reduce(lambda a, b: a + b, (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0)) for i in range(j, 5)}
         out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - dots[j], F.lit(1e-6))))
         if j < 4:
             out = out.withColumns({f"l{i}{j}": (F.col(f"c{i}{j}") - dots[i]) / F.col(f"l{j}{j}") for i in range(j + 1, 5)})
-    return out.select("g", *(f"m{i}" for i in _AXES), *(f"l{i}{j}" for i in _AXES for j in range(i + 1)))
+    return out.select(*by, *_FIT[:-1], _logdet().alias("logdet"))
+
+
+def _logdet() -> Column:
+    return reduce(lambda a, b: a + b, (2 * F.log(f"l{i}{i}") for i in _AXES))
 
 
 def _distance() -> Column:
@@ -92,6 +101,30 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, (v * v for v in z))
 
 
+def least_determinants(rows: DataFrame, staging: Staging) -> DataFrame:
+    """g, mean, Cholesky factor and logdet of the least determinant that a start ended with, for each g of rows (g, x0..)."""
+    by = ["g", "start"]
+    quartiles = rows.groupBy("g").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i in _AXES))
+    spread = [(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(TARGETS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in _AXES for j in range(i + 1)]
+    part = F.pmod(F.xxhash64(*(f"x{i}" for i in _AXES)), F.lit(8)).cast("int")
+    parts = rows.withColumn("start", part).where(F.col("start") < STARTS)
+    fit = quartiles.select("g", F.lit(-1).alias("start"), *(F.col(f"q{i}")[1].alias(f"m{i}") for i in _AXES), *spread).unionByName(_moments(parts, by).drop("logdet"))
+    # the determinants of the starts are of other sets, so that the first step is always taken
+    going = staging.save(fit.withColumn("logdet", F.lit(float("inf"))), "starts")
+    ended: list[DataFrame] = []
+    while going.limit(1).count():
+        measured = rows.join(going, "g").withColumn("d", _distance())
+        cut = measured.groupBy(*by).agg(F.percentile_approx("d", INNER, 10000).alias("cut"))
+        nearest = measured.select(*by, *(f"x{i}" for i in _AXES), "d").join(cut, by).where(F.col("d") <= F.col("cut"))
+        before = going.select(*by, F.col("logdet").alias("before"))
+        step = staging.save(_moments(nearest, by).join(before, by), "step")
+        ended.append(step.drop("before"))
+        going = step.where(F.col("before") - F.col("logdet") > SETTLED).drop("before")
+    every = reduce(DataFrame.unionByName, ended) if ended else going
+    best = every.groupBy("g").agg(F.min(F.struct("logdet", "start", *_FIT[:-1])).alias("v"))
+    return staging.save(best.select("g", *(F.col(f"v.{c}").alias(c) for c in _FIT)), "fits")
+
+
 def judge_quality(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """The columns keep (doc_id by default) of each row of docs, its statistics, base_failed, distance and kept.
 
@@ -113,18 +146,10 @@ def judge_quality(docs: DataFrame, keep: list[str] | None = None, text_col: str
     axes = [v.alias(f"x{i}") for i, v in enumerate(_vector())]
     rows = staging.save(usable.join(groups, ["__lang", "__source"]).select("g", *axes), "vectors")
 
-    quartiles = rows.groupBy("g").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i in _AXES))
-    start = [F.col(f"q{i}")[1].alias(f"m{i}") for i in _AXES]
-    spread = [(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in _AXES for j in range(i + 1)]
-    fit = quartiles.select("g", *start, *spread)
-    for k in range(STEPS + 1):
-        fit = staging.save(fit, "moments")
-        measured = rows.join(fit, "g").withColumn("d", _distance())
-        cut = staging.save(measured.groupBy("g").agg(F.percentile_approx("d", [INNER, 0.5], 10000).alias("cut")), "cuts")
-        if k < STEPS:
-            inner = measured.select("g", *(f"x{i}" for i in _AXES), "d").join(cut, "g").where(F.col("d") <= F.col("cut")[0])
-            fit = _moments(inner)
-    fit = fit.join(cut, "g").withColumn("scale", F.greatest(F.lit(1.0), F.col("cut")[1] / MEDIAN_CHI2)).drop("cut")
+    fit = least_determinants(rows, staging)
+    measured = rows.join(fit, "g").withColumn("d", _distance())
+    middle = measured.groupBy("g").agg(F.percentile_approx("d", 0.5, 10000).alias("middle"))
+    fit = staging.save(fit.join(middle, "g").withColumn("scale", F.greatest(F.lit(1.0), F.col("middle") / MEDIAN_CHI2)).drop("middle", "logdet"), "fit")
     # equal statistics have equal results, so each row is measured again from its own
     judged = table.join(groups, ["__lang", "__source"], "left").join(fit, "g", "left").withColumns({f"x{i}": v for i, v in enumerate(_vector())})
     failed = base_failed()
