@@ -39,6 +39,15 @@ def map_columns(df: DataFrame, inputs: list[Column], make: Callable[[list[pa.Arr
     return picked.mapInArrow(run, schema)
 
 
+def packed(names: list[str]) -> Column:
+    """The columns as one, __row, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*([F.col(f"`{c}`") for c in names] or [F.lit(0).alias("none")])).alias("__row")
+
+
+def unpacked(df: DataFrame, names: list[str], new: list[str]) -> DataFrame:
+    return df.select(*(F.col("__row")[c].alias(c) for c in names), *new)
+
+
 class Shared:
     """A broadcast of any object, its class included: workers need no copy of this package. Loaded once a task."""
 

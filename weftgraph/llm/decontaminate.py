@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import Shared, map_columns
+from .columns import Shared, map_columns, packed, unpacked
 from .staging import Staging
 
 #: ASCII bytes outside words become spaces, A-Z become a-z; bytes of other characters stay.
@@ -80,7 +80,7 @@ def build(rows: list[tuple[int, str]], window: int = 10) -> list[Patterns]:
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of a bounded number of words; one block is on the driver at a time."""
     block, n = [], 0
-    for item, text in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
+    for item, text in benchmark.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).toLocalIterator():
         size = len(words_of(text))
         if block and n + size > block_words:
             yield block
@@ -92,7 +92,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns keep (all by default) of each row of docs, and n_words, hits (places of the words inside
-    occurrences, sorted) and items (sorted ids of the items that occur).
+    occurrences, sorted) and items (sorted ids of the items that occur, of any type that has an order; items with a null
+    id are not searched for).
 
     The benchmark is searched for in blocks of block_words, one pass over the documents each, so that what is
     broadcast is bounded. Null texts have no words and no hits; repeated rows are searched each; an empty
@@ -100,7 +101,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "hits", "items")]
-    rows = docs.select(*keep, F.col(text_col).alias("__text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<bigint>").alias("items"))
+    ids = f"array<{benchmark.schema[item_col].dataType.simpleString()}>"
+    rows = docs.select(packed(keep), F.col(f"`{text_col}`").alias("__text"), F.array().cast("array<int>").alias("hits"), F.array().cast(ids).alias("items"))
 
     def scan(df: DataFrame, tables, keep: list[str]) -> DataFrame:
         def search(columns: list[pa.Array]) -> list[list]:
@@ -113,14 +115,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                     c.append(x)
             return out
 
-        return map_columns(df, [F.col("__text"), F.col("hits"), F.col("items")], search, "n_words long, hits array<int>, items array<long>", keep)
+        return map_columns(df, [F.col("__text"), F.col("hits"), F.col("items")], search, f"n_words long, hits array<int>, items {ids}", keep)
 
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)
     block, staging, k = next(blocks), Staging(spark), 0
     for following in blocks:
-        rows = staging.save(scan(rows, Shared(spark, build(block, window)), [*keep, "__text"]), f"block{k}")
+        rows = staging.save(scan(rows, Shared(spark, build(block, window)), ["__row", "__text"]), f"block{k}")
         block, k = following, k + 1
-    return scan(rows, Shared(spark, build(block, window)), keep)
+    return unpacked(scan(rows, Shared(spark, build(block, window)), ["__row"]), keep, ["n_words", "hits", "items"])
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import SPACES, Chunk, chunks
-from .columns import map_columns
+from .columns import map_columns, packed
 from .sketch import twice_filter
 from .staging import Staging, small_batches
 
@@ -90,7 +90,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     repeated = repeated.select("key", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     drops = salted.join(repeated, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__keys"))
-    joined = docs.drop("n_lines", "n_dropped").join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text_col)]
+    whole = docs.select(packed(columns), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    joined = whole.join(drops, F.col("__id").eqNullSafe(F.col("__doc")), "left").drop("__doc", "__id")
 
     def without(columns: list[pa.Array]) -> list[list]:
         out: list[list] = [[], [], []]
@@ -102,6 +104,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 c.append(v)
         return out
 
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = map_columns(joined, [F.col(f"`{text_col}`"), F.col("__keys")], without, "__text string, n_lines long, n_dropped long", [c for c in columns if c != text_col])
-    return out.select(*(F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns), "n_lines", "n_dropped")
+    out = map_columns(joined, [F.col("__text"), F.col("__keys")], without, "text string, n_lines long, n_dropped long", ["__row"])
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")

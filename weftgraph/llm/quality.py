@@ -28,6 +28,7 @@ MEDIAN_CHI2 = 4.3515  # fixed value: median of chi-square with five degrees of f
 TARGETS = (0.35, 0.06, 0.4, 0.8, 1.0)  # standard deviations of the transformed statistics that are added to those of a group
 _AXES = range(5)
 _FIT = [*(f"m{i}" for i in _AXES), *(f"l{i}{j}" for i in _AXES for j in range(i + 1)), "logdet"]
+_STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _BLANKS = "\t\n\x0b\x0c\r"
 
 
@@ -131,10 +132,11 @@ def judge_quality(docs: DataFrame, keep: list[str] | None = None, text_col: str
     A text fails the base with fewer than ten words or more than a fifth of them in repeated windows; such rows
     take no part in the estimates and have no distance. Groups of fewer than MIN_GROUP usable rows are judged
     with all such groups of their language, and if these are too few, with all such of any language. A null
-    language or source is a group like any other. An empty table gives an empty result.
+    language or source is a group like any other. Columns with the names of what is added are replaced. An empty table
+    gives an empty result.
     """
     staging = Staging(docs.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in _STATISTICS and c not in ("base_failed", "distance", "kept")]
     base = docs.withColumns({"__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")), "__source": F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))})
     table = staging.save(text_statistics(base, [*keep, "__lang", "__source"], text_col), "statistics")
     usable = table.where(~base_failed())
