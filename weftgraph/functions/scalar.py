@@ -144,7 +144,9 @@ def with_type(text: Column, dt: str) -> Column:
 
 
 def substr(text: Column, start: int, length: int | None = None) -> Column:
-    return F.substring(text, start, (1 << 30) if length is None else length)
+    """The characters from place start, counted from 1, to before start + length; places before the first are none."""
+    first = max(1, start)
+    return F.substring(text, first, (1 << 30) if length is None else max(0, start + length - first))
 
 
 def before(text: Column, mark: str) -> Column:

@@ -123,6 +123,25 @@ def _text(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def _balanced(text: str, at: int) -> int:
+    """Where the bracket at a place of the text is closed; the text's end if it is not."""
+    depth, quoted, k = 0, False, at
+    while k < len(text):
+        c = text[k]
+        if quoted and c == "\\":
+            k += 1
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "[{":
+            depth += 1
+        elif not quoted and c in "]}":
+            depth -= 1
+            if not depth:
+                return k + 1
+        k += 1
+    return len(text)
+
+
 def _values(text: str) -> list:
     """JSON arrays and objects that occur in a text, in order; small faults are mended."""
     fenced = re.findall(r"```(?:\w+)?\s*\n?(.*?)```", text, re.DOTALL)
@@ -130,13 +149,14 @@ def _values(text: str) -> list:
     decoder, found, at = json.JSONDecoder(), [], 0
     while (m := re.search(r"[\[{]", text[at:])) is not None:
         at += m.start()
-        for attempt in (text[at:], re.sub(r"([}\]\"])\s*(?=[{\[])", r"\1,", re.sub(r"//[^\n\"]*(?=\n|$)", "", text[at:]))):
+        piece = text[at : _balanced(text, at)]
+        for attempt in (piece, re.sub(r"([}\]\"])\s*(?=[{\[])", r"\1,", re.sub(r"//[^\n\"]*(?=\n|$)", "", piece))):
             try:
                 value, end = decoder.raw_decode(attempt)
             except ValueError:
                 continue
             found.append(value)
-            at += end if attempt == text[at:] else len(text) - at
+            at += end if attempt == piece else len(piece)
             break
         else:
             if text[at] == "[" and not found:  # cut off: what was whole before the end

@@ -48,11 +48,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def canonical(term: Column) -> Column:
-    """A text for a term without a label: a literal's form, a blank node's label, or an IRI's last part, decoded."""
+    """A text for a term without a label: a literal's form, a blank node's label, or an IRI's last part, decoded, and
+    without the id of names such as m_id__label, m_id_label and concept_label. An IRI that ends in / or # is its own."""
     last = F.regexp_extract(term["lex"], r"([^#/]*)$", 1)
-    last = F.regexp_replace(F.regexp_replace(last, "^concept_", ""), r"^m_\w+?__?Label", "Label")
+    named = F.when(last.rlike("^m_.*?__.+$"), F.regexp_extract(last, "^m_.*?__(.+)$", 1)).when(last.rlike("^m_[^_]*_.+$"), F.regexp_extract(last, "^m_[^_]*_(.+)$", 1))
+    last = F.coalesce(named, F.regexp_replace(last, "^concept_", ""))
     words = F.regexp_replace(F.url_decode(F.replace(F.regexp_replace(last, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))), "[_\\-]+", " ")
-    return F.when(term["kind"] == 0, F.trim(F.regexp_replace(words, r"\s+", " "))).otherwise(term["lex"])
+    return F.when((term["kind"] == 0) & term["lex"].rlike("[#/]$"), term["lex"]).when(term["kind"] == 0, F.trim(F.regexp_replace(words, r"\s+", " "))).otherwise(term["lex"])
 
 
 def labels(graph: Graph) -> DataFrame:

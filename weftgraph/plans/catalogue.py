@@ -210,10 +210,10 @@ def exists(spark: SparkSession, sf: str) -> DataFrame:
     return lexed(P.semi(P.match(g, "?c", RDFS_LABEL, "?name"), P.bgp(g, ("?o", B + "customer", "?c"), ("?o", B + "o_orderstatus", Lit("P")))), "name")
 
 
-@query("SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def not_exists(spark: SparkSession, sf: str) -> DataFrame:
     g = star_graph(spark, sf, ["customer", "orders"])
-    return lexed(P.anti(P.match(g, "?c", RDFS_LABEL, "?name"), P.match(g, "?o", B + "customer", "?c")), "name")
+    return lexed(P.anti(P.match(g, "?c", RDFS_LABEL, "?name"), P.bgp(g, ("?o", B + "customer", "?c"), ("?o", B + "o_orderstatus", Lit("P")))), "name")
 
 
 @query("SELECT 'http://t/lineitem/' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS l, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
@@ -457,28 +457,28 @@ def fn_conditional(spark: SparkSession, sf: str) -> DataFrame:
 # --- generation ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT n_name AS n, upper(substr(r_name, 1, 20)) AS answer FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_name AS n, upper(n_name) AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def genop_context(spark: SparkSession, sf: str) -> DataFrame:
-    g = star_graph(spark, sf, ["nation", "region"])
-    s = P.bgp(g, ("?x", B + "n_name", "?n"), ("?x", B + "region", "?y"), ("?y", B + "r_name", "?r"))
-    return lexed(generate(s, "Region of {?n}: [{?r}]", ["answer"], Echo(how="upper")).solutions, "n", "answer")
+    g = star_graph(spark, sf, ["customer", "nation"])
+    s = P.bgp(g, ("?x", B + "c_name", "?n"), ("?x", B + "nation", "?y"), ("?y", B + "n_name", "?r"))
+    return lexed(generate(s, "Nation of {?n}: [{?r}]", ["answer"], Echo(how="upper")).solutions, "n", "answer")
 
 
-@query("SELECT n_name AS n, a AS answer FROM nation CROSS JOIN (VALUES ('one'), ('two')) t(a)")
+@query("SELECT c_name AS n, a AS answer FROM customer CROSS JOIN (VALUES ('one'), ('two')) t(a)")
 def genop_base(spark: SparkSession, sf: str) -> DataFrame:
-    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")
     return lexed(generate(s, "Name two numbers", ["answer"], Mock(default='["one", "two", "one"]')).solutions, "n", "answer")
 
 
-@query("SELECT n_name AS n, lower(n_name) AS a, lower(n_name) AS b FROM nation")
+@query("SELECT c_name AS n, lower(c_name) AS a, lower(c_name) AS b FROM customer")
 def genop_multi_output(spark: SparkSession, sf: str) -> DataFrame:
-    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")
     return lexed(generate(s, "About [{?n}]", ["a", "b"], Echo(how="lower")).solutions, "n", "a", "b")
 
 
-@query("SELECT n_name AS n FROM nation WHERE false")
+@query("SELECT c_name AS n FROM customer WHERE false")
 def genop_empty(spark: SparkSession, sf: str) -> DataFrame:
-    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")
     return lexed(generate(s, "About [{?n}]", ["a"], Echo(how="none")).solutions, "n")
 
 
@@ -498,9 +498,9 @@ def genop_optional(spark: SparkSession, sf: str) -> DataFrame:
     return lexed(P.optional(P.match(g, "?c", RDFS_LABEL, "?name"), P.project(made, "c", "a")), "name", "a")
 
 
-@query("SELECT n_name AS n, reverse(upper(n_name)) AS b FROM nation")
+@query("SELECT c_name AS n, reverse(upper(c_name)) AS b FROM customer")
 def genop_chain(spark: SparkSession, sf: str) -> DataFrame:
-    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")
     first = generate(s, "First [{?n}]", ["a"], Echo(how="upper")).solutions
     return lexed(generate(first, "Then [{?a}]", ["b"], Echo(how="reversed")).solutions, "n", "b")
 
@@ -512,18 +512,18 @@ def genop_union(spark: SparkSession, sf: str) -> DataFrame:
     return lexed(P.union(part(0, "upper"), part(1, "lower")), "n", "a")
 
 
-@query("SELECT n_name AS n FROM nation WHERE lower(n_name) = lower('kenya')")
+@query("SELECT c_name AS n FROM customer WHERE lower(c_name) = 'customer#000000007'")
 def genop_bound_output(spark: SparkSession, sf: str) -> DataFrame:
     """An output that is bound already keeps its term where the answer is similar."""
-    g = star_graph(spark, sf, ["nation"])
-    s = P.match(g, "?x", B + "n_name", "?n")
-    return lexed(generate(s, "Which one?", ["n"], Mock(default='["kenya"]'), graph=g).solutions, "n")
+    g = star_graph(spark, sf, ["customer"])
+    s = P.match(g, "?x", B + "c_name", "?n")
+    return lexed(generate(s, "Which one?", ["n"], Mock(default='["customer#000000007"]'), graph=g).solutions, "n")
 
 
-@query("SELECT n_name AS n, upper(n_name) AS a FROM nation")
+@query("SELECT c_name AS n, upper(c_name) AS a FROM customer")
 def genop_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Answers come from records; a provider that would answer otherwise is not asked."""
-    s = P.match(star_graph(spark, sf, ["nation"]), "?x", B + "n_name", "?n")
+    s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")
     first = generate(s, "N [{?n}]", ["a"], Echo(how="upper"))
     again = generate(s, "N [{?n}]", ["a"], Echo(how="none"), Options(records=first.records(), replay_only=True))
     return lexed(again.solutions, "n", "a")
@@ -591,20 +591,17 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("q", "id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT vec_id AS id, round(greatest(0, least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])))), 6) AS similarity FROM embeddings WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) >= 0.2")
+@query("WITH q AS (SELECT vec_id AS q, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q, vec_id AS id, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS c FROM q, embeddings) SELECT q, id, round(least(1, c), 6) AS similarity FROM p WHERE c >= 0.2")
 def cosine_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    index = spark.read.parquet(f"{sf}/embeddings.parquet")
-    first = index.where("vec_id = 0").select(F.col("embedding").alias("v"))
-    found = index.crossJoin(F.broadcast(first)).select(F.col("vec_id").alias("id"), S.cosine(F.col("embedding"), F.col("v")).alias("c"))
-    return found.where("c >= 0.2").select("id", F.round("c", 6).alias("similarity"))
+    """Each twentieth vector against all."""
+    index = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = S.nearest(index.where("id % 20 = 0").select(F.col("id").alias("q"), "v"), index, None, 0.2)
+    return found.select("q", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("WITH q AS (SELECT vec_id AS q, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q, vec_id AS id, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS c FROM q, embeddings) SELECT q, id, round(least(1, c), 6) AS similarity FROM p WHERE c >= 0.2")
 def cosine_threshold_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Each twentieth vector against all; cosine_threshold asks with one, as its SQL says."""
-    index = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    found = S.nearest(index.where("id % 20 = 0").select(F.col("id").alias("q"), "v"), index, None, 0.2)
-    return found.select("q", "id", F.round("similarity", 6).alias("similarity"))
+    return cosine_threshold(spark, sf)
 
 
 @query("SELECT 'http://t/region/' || r_regionkey AS term, r_name AS label FROM region UNION ALL SELECT 'http://t/class/region', 'region'")
@@ -618,15 +615,14 @@ def label_texts(spark: SparkSession, sf: str) -> DataFrame:
 # --- functions for generated texts, statistics -----------------------------------------------------------------
 
 
-@query("SELECT doc_id, CAST(floor((ceil(length(text) / 4) + ceil((CASE WHEN trim(text, ' ') = '' THEN 0 ELSE len(string_split_regex(trim(text, ' '), '\\s+')) END) * 1.3)) / 2) AS INTEGER) AS cost FROM documents WHERE n_chars < 2000")
+@query("SELECT doc_id, CAST(floor((ceil(length(text) / 4) + ceil((CASE WHEN trim(text, ' ') = '' THEN 0 ELSE len(string_split_regex(trim(text, ' '), '\\s+')) END) * 1.3)) / 2) AS INTEGER) AS cost FROM documents")
 def gen_token_cost(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 2000").select("doc_id", gen.token_cost(F.col("text")).alias("cost"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", gen.token_cost(F.col("text")).alias("cost"))
 
 
 @query("SELECT doc_id, CAST(floor((ceil(length(text) / 4) + ceil((CASE WHEN trim(text, ' ') = '' THEN 0 ELSE len(string_split_regex(trim(text, ' '), '\\s+')) END) * 1.3)) / 2) AS INTEGER) AS cost FROM documents")
 def gen_token_cost_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every whole text; gen_token_cost has the short ones only, as its SQL says."""
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", gen.token_cost(F.col("text")).alias("cost"))
+    return gen_token_cost(spark, sf)
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
