@@ -42,7 +42,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 #: Digits and symbols that stand for letters.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"})
 NEAR = 5  # words
-KEPT_WORDS = 100_000
+KEPT_WORDS = 150_000  # words whose part in the features a worker remembers, and as many from before those
 #: Of each byte: 1 capital of ASCII, 2 punctuation of ASCII, 3 exclamation mark, 4 question mark, 0 other.
 _KINDS = np.array([1 if 65 <= c <= 90 else 3 if c == 33 else 4 if c == 63 else 2 if 33 < c < 127 and not chr(c).isalnum() else 0 for c in range(256)])
 FEATURES = ("lexicon", "strong", "sure", "top", "second", "third", "distinct", "beginnings", "near_you", "you", "folded", "capitals", "shouted", "exclaims", "questions", "punctuation", "inner", "stretched", "spelled", "starred", "length", "hits", "weight")
@@ -74,6 +74,7 @@ class Lexicon:
             if toxic >= MIN_TOXIC and weight > MIN_WEIGHT:
                 self.weights[term] = (weight, math.log(toxic))
         self.seen: dict[str, tuple | int] = {}
+        self.before: dict[str, tuple | int] = {}
 
     def lookup(self, word: str) -> tuple[float, float, bool]:
         """Weight and strength of a word, and whether only a beginning of it is in the lexicon."""
@@ -106,13 +107,15 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
     words = text.split()
     n, chars = max(1, len(words)), max(1, len(text))
-    seen, of, found = lexicon.seen, lexicon.of, []
+    seen, before, of, found = lexicon.seen, lexicon.before, lexicon.of, []
     for i, raw in enumerate(words):
         x = seen.get(raw)
         if x is None:
             if len(seen) >= KEPT_WORDS:
-                seen.clear()
-            x = seen[raw] = of(raw)
+                before, seen = seen, {}
+                lexicon.before, lexicon.seen = before, seen
+            x = before.get(raw)
+            x = seen[raw] = of(raw) if x is None else x
         if x:
             found.append((i, x))
     hits = [(x[0], x[1], x[2], i, words[i].lower()) for i, x in found if x[0]]
@@ -183,30 +186,39 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
     if not toxic or not clean:
         return ToxicityModel(None, None, None, toxic / (toxic + clean) if toxic + clean else 0.0)
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Terms, and how many texts of each label and half have them."""
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"half": pa.array([h for h, _, _ in counts], pa.int32()), "toxic": pa.array([x for _, x, _ in counts], pa.int32()), "term": pa.array([t for _, _, t in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-
-        for batch in batches:
-            for half, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts.update((half, toxic, t) for t in {t for w in set(tokens(text)) for t in terms(w)})
-                if len(counts) > 200_000:
-                    yield out()
-                    counts = Counter()
-        if counts:
-            yield out()
-
-    counted = rows.select("half", F.col("label").cast("int").alias("toxic"), "text").mapInArrow(held, "half int, toxic int, term string, n bigint")
-    each = [(x, h) for x in (1, 0) for h in (0, 1)]
-    counted = counted.groupBy("term").agg(*(F.sum(F.when((F.col("toxic") == x) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"{'tc'[1 - x]}{h}") for x, h in each))
+    def counting(wanted: Shared | None):
+        """Counts, for each half, the texts that hold each term, of all terms or of those wanted."""
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: Counter = Counter()
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict({"half": pa.array([h for h, _ in counts], pa.int32()), "term": pa.array([t for _, t in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+            for batch in batches:
+                for half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held = {t for w in set(tokens(text)) for t in terms(w)}
+                    counts.update((half, t) for t in (held if wanted is None else held & wanted.value))
+                    if len(counts) > 200_000:
+                        yield out()
+                        counts = Counter()
+            if counts:
+                yield out()
+
+        return count
+
+    def counted(label: int, name: str, wanted: Shared | None = None) -> DataFrame:
+        each = rows.where(F.col("label") == label).select("half", "text").mapInArrow(counting(wanted), "half int, term string, n bigint")
+        return each.groupBy("term").agg(*(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"{name}{h}") for h in (0, 1)))
+
+    # a term in fewer toxic texts is in none of the lexicons
+    often = counted(1, "t").where(F.col("t0") + F.col("t1") >= MIN_TOXIC)
+    in_clean = counted(0, "c", Shared(spark, frozenset(r[0] for r in often.select("term").collect())))
+    counts = often.join(in_clean, "term", "left").fillna(0)
     # terms that one of the three lexicons keeps, by the rule of Lexicon
     of_half = [(F.col(f"t{h}"), F.col(f"c{h}"), sizes.get((h, 1), 0), sizes.get((h, 0), 0)) for h in (0, 1)]
     of_half.append((F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), toxic, clean))
     kept = reduce(lambda p, q: p | q, ((t >= MIN_TOXIC) & (F.log((t + 0.2) / (nt + 1)) - F.log((c + 1.0) / (nc + 1)) > MIN_WEIGHT - 1e-9) for t, c, nt, nc in of_half))
-    found = counted.where(kept).collect()
+    found = counts.where(kept).collect()
     in_toxic = {r["term"]: (r["t0"], r["t1"]) for r in found}
     in_clean = {r["term"]: (r["c0"], r["c1"]) for r in found}
     cross = [Lexicon({t: (n[1 - h], in_clean[t][1 - h]) for t, n in in_toxic.items()}, sizes.get((1 - h, 1), 0), sizes.get((1 - h, 0), 0)) for h in (0, 1)]
