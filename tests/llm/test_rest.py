@@ -241,3 +241,55 @@ def test_pipeline(spark, sf):
     assert 0 < before
     again = corpus_pipeline.run(spark, sf)
     assert sorted(r[0] for r in again.select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
+
+
+# --- later rules ---
+
+
+def test_html_depth_classes_and_whole_page_templates():
+    deep = "<div>" * 400 + "<nav>MENU</nav>x" + "</div>" * 400
+    assert html.extract(deep, None) == "x" and html.extract("<nav>" * 5000 + "a", None) == ""
+    assert html.extract("<article class='entry-header'><h1>T</h1><p>b</p></article>", None) == "T\nb"
+    assert html.extract("<article><div class='post-header'><h1>T</h1></div><section class='related-work'>w</section><p class='skip-a'>s</p></article>", None) == "T\nw\ns"
+    assert html.extract("<article><p>a</p><div class='related-posts'>no</div><div id='comment-list'>no</div></article>", None) == "a"
+    page = "<body><table><tr><td>Home</td></tr></table><article><div><p>Sign up here</p></div><p>own {}</p></article><p>Imprint</p></body>"
+    pages = [page.format(i) for i in range(6)]
+    keys = set.intersection(*(set(html.template_keys(p)) for p in pages))
+    assert html.extract(pages[3], sorted(keys), marks=False) == "own 3"  # the templates alone leave the article
+
+
+def test_quality_verdicts_are_those_of_a_plain_estimate(spark):
+    """The least determinant of many random starts in numpy gives the same verdicts."""
+    import numpy as np
+
+    r = random.Random(6)
+    texts = [" ".join("w" * r.randrange(2, 8) + str(r.randrange(900)) + ("%" if r.random() < 0.02 else "") for _ in range(r.randrange(30, 160))) for _ in range(400)]
+    texts += [" ".join(f"w{r.randrange(900)}" + "#%"[i % 2] * 4 for _ in range(70)) for i in range(12)] + [" ".join("x" * 60 + str(r.randrange(900)) for _ in range(60)) for _ in range(6)]
+    got = {x["doc_id"]: x["kept"] for x in quality.judge_quality(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    s = np.array([plain_statistics(t) for t in texts], dtype=float)
+    n = s[:, 0] + 1
+    x = np.stack([np.log1p(s[:, 0]), np.log((s[:, 1] + 1) / n), np.log1p(1000 * s[:, 2] / (s[:, 1] + 1)), np.log1p(1000 * s[:, 3] / n), np.log1p(1000 * s[:, 4] / n)], axis=1)
+    g, best = np.random.default_rng(1), (np.inf, None)
+    h, target = int(np.ceil(quality.INNER * len(x))), np.diag(np.square(quality.TARGETS))
+
+    def fit(rows):
+        mean = rows.mean(axis=0)
+        return mean, np.cov(rows.T, bias=True) + target
+
+    def distances(f):
+        d = x - f[0]
+        return (d @ np.linalg.inv(f[1]) * d).sum(axis=1)
+
+    for _ in range(30):
+        f, last = fit(x[g.choice(len(x), 20, replace=False)]), np.inf
+        while True:
+            f = fit(x[np.argsort(distances(f), kind="stable")[:h]])
+            now = np.linalg.slogdet(f[1])[1]
+            if last - now <= 1e-9:
+                break
+            last = now
+        if now < best[0]:
+            best = (now, distances(f))
+    d = best[1] / max(1.0, float(np.median(best[1])) / quality.MEDIAN_CHI2)
+    clear = [i for i in range(len(texts)) if abs(d[i] - quality.CUTOFF) > 2]
+    assert len(clear) > 410 and all(got[i] == (d[i] <= quality.CUTOFF) for i in clear) and not all(got.values())

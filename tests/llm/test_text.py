@@ -242,3 +242,32 @@ def test_passages_across_lines_and_within_them(spark):
     assert covered[7] == set(range(69)) and covered[4] == set(range(60, 111)) and covered[5] == set(range(20, 71))
     kept = " ".join(" ".join(held[i][p] for p in sorted(left[i])) for i in held)
     assert " ".join(passage) in kept and " ".join(inner[:50]) in kept and len(left[10]) == 50
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    long = "A line of more than twenty characters"
+    rows = [(f"d{i}", f"{long}\nown words of number {i}", 7, "x") for i in range(4)] + [("d9", None, 7, None), (None, "", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, __text int, __keys string").withColumn("__row", F.lit("r"))
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[f"d{i}"]["n_dropped"] for i in range(4)] == [1, 1, 1, 0] and got["d0"]["__text"] == 7 and got["d0"]["__row"] == "r" and got["d9"]["text"] == ""
+    bench = spark.createDataFrame([("q1", "own words of"), ("q2", "none")], "item_id string, text string")
+    found = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert found["d0"]["items"] == ["q1"] and found["d0"]["__text"] == 7 and found["d9"]["items"] == []
+    same = spark.createDataFrame([("b", "one two three four five six"), ("a", "One two three four five SIX"), ("c", None)], "doc_id string, text string")
+    assert sorted(map(tuple, ngram_join.ngram_components(same).collect())) == [("a", 2, "a"), ("b", 2, "a"), ("c", 0, "c")]
+
+
+def test_odd_sketches_bound_the_difference():
+    import numpy as np
+
+    from weftgraph.llm.set_links import odd_sketch
+
+    g = np.random.default_rng(8)
+    for n in (1, 7, 60, 1000):
+        u = np.unique(g.integers(0, 2**63, n, dtype=np.uint64))
+        v = np.unique(np.concatenate([u[: max(1, n * 3 // 4)], g.integers(0, 2**63, n // 4, dtype=np.uint64)]))
+        x, y = odd_sketch(u), odd_sketch(v)
+        if len(x) != len(y):
+            continue
+        apart = sum(((int(p) ^ int(q)) & (2**64 - 1)).bit_count() for p, q in zip(x, y, strict=True))
+        assert apart <= len(set(u.tolist()) ^ set(v.tolist()))
