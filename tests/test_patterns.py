@@ -8,9 +8,9 @@ from weftgraph.operators import paths
 from weftgraph.operators import patterns as P
 from weftgraph.operators import similarity as S
 from weftgraph.operators.generate import Mock, Options, generate, parse_answer, placeholders
-from weftgraph.sources.graph import Graph, ntriples, quads_graph, read_ntriples
+from weftgraph.sources.graph import Graph, TableMapping, ntriples, quads_graph, read_ntriples, table_graph
 from weftgraph.sources.results import json_document
-from weftgraph.sources.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit
+from weftgraph.sources.terms import RDF_TYPE, RDFS_LABEL, XSD, Iri, Lit, Term, iri
 
 EX = "http://e/"
 LINES = """<http://e/p1> <http://e/name> "Messi" .
@@ -236,3 +236,29 @@ def test_nearest_matches_brute_force(spark):
     for q in range(5):
         best = sorted(((-cos(data[q][1], v), i) for i, v in data if v and any(v)), key=lambda t: (round(t[0], 6), t[1]))[:3]
         assert [r["id"] for r in got.where(f"q = {q}").orderBy(F.desc("similarity"), "id").collect()] == [i for _, i in best]
+
+
+def test_answers_after_a_mended_one_count():
+    raw = '[{"a":"1"}{"a":"2"}] and ["x","y"] and [{"a": "}]"}]'
+    assert parse_answer(raw, ["a"]) == [["1"], ["2"], ["x"], ["y"], ["}]"]]
+
+
+def test_canonical_labels_and_substrings(spark):
+    names = {"http://x/m_0407yj__Cars_2": "Cars 2", "http://x/m_0abc_New-York": "New York", "http://x/concept_city_rome": "city rome", "http://x/a/": "http://x/a/", "http://x/m_0abc": "m 0abc"}
+    df = spark.createDataFrame([(k,) for k in names], "k string")
+    got = {r["k"]: r["v"] for r in df.select("k", S.canonical(iri(F.col("k"))).alias("v")).collect()}
+    assert got == names
+    cut = spark.range(1).select(*(fn.substr(F.lit("abcde"), a, n).alias(f"c{k}") for k, (a, n) in enumerate([(0, 2), (-1, 4), (2, 3), (4, None), (1, 0)]))).first()
+    assert tuple(cut) == ("a", "ab", "bcd", "de", "")
+
+
+def test_star_is_one_solution_a_row(spark):
+    """Rows that share a key are no product of their values; constants are compared as terms are."""
+    t = spark.createDataFrame([(1, "a", 2.5), (1, "b", 3.5), (2, None, 1.0), (3, "a", None)], "k int, x string, y double")
+    g = table_graph({"t": t}, {"t": TableMapping(("k",), label="x")})
+    both = P.bgp(g, ("?s", "http://t/x", "?x"), ("?s", "http://t/y", "?y"))
+    assert sorted((r["s"]["lex"], r["x"]["lex"], r["y"]["lex"]) for r in both.df.collect()) == [("http://t/t/1", "a", "2.5"), ("http://t/t/1", "b", "3.5")]
+    count = lambda *patterns: P.bgp(g, *patterns).df.count()
+    assert count(("?s", "http://t/k", Lit(3)), ("?s", "http://t/x", "?x")) == 1 and count(("?s", "http://t/k", Term(2, "03", XSD + "integer")), ("?s", "http://t/x", "?x")) == 0
+    assert count((Iri("http://t/t/1"), "http://t/x", "?x")) == 2 and count((Iri("http://t/t/01"), "http://t/x", "?x")) == 0 and count((Iri("http://t/u/1"), "http://t/x", "?x")) == 0
+    assert count(("?s", "http://t/y", Lit(2.5)), ("?s", "http://t/x", Lit("a"))) == 1 and count(("?s", "http://t/x", Lit("a", "en"))) == 0
