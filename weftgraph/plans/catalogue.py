@@ -565,23 +565,21 @@ def simjoin_terms(spark: SparkSession, sf: str) -> DataFrame:
     return lexed(joined, "c", "n", "x")
 
 
-@query("SELECT n_name AS n, n_regionkey = 2 AS same FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_name AS n, c_mktsegment = 'BUILDING' AS same FROM customer")
 def simfilter_eq_ne(spark: SparkSession, sf: str) -> DataFrame:
-    g = star_graph(spark, sf, ["nation", "region"])
-    s = P.bgp(g, ("?x", B + "n_name", "?n"), ("?x", B + "region", "?y"), ("?y", B + "r_name", "?r"))
-    asia = F.lit(spark.read.parquet(f"{sf}/region.parquet").where("r_regionkey = 2").first()["r_name"].lower())
-    made = generate(s, "Region of {?n}: [{?r}]", ["a"], Echo()).solutions
-    target = F.struct(F.lit(2).alias("kind"), asia.alias("lex"))
-    equal = S.jaccard(F.col("a.lex"), target["lex"]) >= S.DEFAULT_THETA
+    s = P.bgp(star_graph(spark, sf, ["customer"]), ("?x", B + "c_name", "?n"), ("?x", B + "c_mktsegment", "?m"))
+    made = generate(s, "Segment of {?n}: [{?m}]", ["a"], Echo(how="lower")).solutions
+    equal = S.similar(made, "?a", Lit("BUILDING ").column())
     yes, no = P.where(made, equal), P.where(made, ~equal)
     return lexed(yes, "n", same=F.lit(True)).unionByName(lexed(no, "n", same=F.lit(False)))
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_name = b.n_name THEN 1.0 ELSE 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) END AS similarity FROM nation a, nation b")
+@query("SELECT a.p_name AS a, b.p_name AS b, CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) END AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def levenshtein_sim(spark: SparkSession, sf: str) -> DataFrame:
-    g = star_graph(spark, sf, ["nation"])
-    a, b = P.match(g, "?x", B + "n_name", "?a"), P.match(g, "?y", B + "n_name", "?b")
-    return lexed(P.product(a, b), "a", "b", similarity=S.levenshtein(F.col("a.lex"), F.col("b.lex")))
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    other = part.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("b"))
+    pairs = part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a")).join(other, "k")
+    return pairs.select("a", "b", S.levenshtein(F.col("a"), F.col("b")).alias("similarity"))
 
 
 @query("WITH q AS (SELECT vec_id AS q, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q, vec_id AS id, round(greatest(0, least(1, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS similarity, row_number() OVER (PARTITION BY q ORDER BY list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) DESC, vec_id) AS k FROM q, embeddings) SELECT q, id, similarity FROM p WHERE k <= 5")
@@ -648,11 +646,11 @@ def gen_embedding_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), gen.embedding_text(F.col("embedding")).alias("v"))
 
 
-@query("SELECT n_name AS n, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 2 = 0 THEN 'http://www.wikidata.org/entity/Q' || n_nationkey ELSE 'http://dbpedia.org/resource/' || replace(n_name, ' ', '_') END AS iri FROM nation")
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'http://www.wikidata.org/entity/Q' || p_partkey ELSE 'http://dbpedia.org/resource/' || replace(p_name, ' ', '_') END AS iri FROM part")
 def gen_ground(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/nation.parquet")
-    answer = F.when(F.col("n_nationkey") % 5 == 0, "NONE").when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Q"), F.col("n_nationkey"))).otherwise(F.col("n_name"))
-    return rows.select(F.col("n_name").alias("n"), gen.grounded_iri(answer).alias("iri"))
+    rows = spark.read.parquet(f"{sf}/part.parquet")
+    answer = F.when(F.col("p_partkey") % 5 == 0, "NONE").when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Q"), F.col("p_partkey"))).otherwise(F.col("p_name"))
+    return rows.select(F.col("p_partkey").alias("k"), gen.grounded_iri(answer).alias("iri"))
 
 
 @query("SELECT 'http://t/' || p AS p, n, n AS subjects, objects FROM (SELECT 'o_orderstatus' AS p, count(*) AS n, count(DISTINCT o_orderstatus) AS objects FROM orders UNION ALL SELECT 'customer', count(*), count(DISTINCT o_custkey) FROM orders)")
