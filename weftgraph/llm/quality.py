@@ -29,20 +29,21 @@ TARGETS = (0.35, 0.06, 0.4, 0.8, 1.0)  # standard deviations of the transformed
 _AXES = range(5)
 _FIT = [*(f"m{i}" for i in _AXES), *(f"l{i}{j}" for i in _AXES for j in range(i + 1)), "logdet"]
 _STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_BLANKS = "\t\n\x0b\x0c\r"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def text_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long).
 
     Words are runs without white space. A window is five consecutive words; windows are compared by a 64-bit hash
-    of their words within one text. A null text has no words.
+    of their words' hashes within one text. A null text has no words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), text.alias("__text"))
-    rows = rows.withColumn("__words", F.split(F.trim(F.translate("__text", _BLANKS, " " * len(_BLANKS))), " +"))
+    rows = rows.withColumn("__words", F.split(F.trim("__text", F.lit(_BLANKS)), f"[{_BLANKS}]+"))
     at = F.when(F.size("__words") >= 5, F.sequence(F.lit(0), F.size("__words") - 5)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("__windows", F.transform(at, lambda i: F.xxhash64(*(F.get("__words", i + j) for j in range(5)))))
+    rows = rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("__windows", F.transform(at, lambda i: F.xxhash64(*(F.get("__hashes", i + j) for j in range(5)))))
     windows = F.col("__windows")
     some = F.size(F.array_distinct(windows)) < F.size(windows)
     rows = rows.withColumn("__sorted", F.when(some, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -50,14 +51,14 @@ def text_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") ->
     again = F.transform(order, lambda x, k: F.when((F.get(order, k - 1)["h"] == x["h"]) | (F.get(order, k + 1)["h"] == x["h"]), x["i"]))
     places = F.sort_array(F.filter(again, lambda i: i.isNotNull()))
     covered = F.aggregate(places, F.struct(F.lit(-5).alias("last"), F.lit(0).alias("total")), lambda s, i: F.struct(i.alias("last"), (s["total"] + F.least(F.lit(5), i - s["last"])).alias("total")), lambda s: s["total"])
-    lines = F.filter(F.split("__text", "\n"), lambda x: F.length(F.trim(F.translate(x, _BLANKS, " " * len(_BLANKS)))) > 0)
+    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{_BLANKS}]"))
     empty = F.get("__words", F.lit(0)) == ""
     rows = rows.withColumn("__lines", lines)
     return rows.select(
         *(F.col(f"`{c}`") for c in keep),
         F.when(empty, 0).otherwise(F.size("__words")).cast("long").alias("n_words"),
-        F.length(F.translate("__text", _BLANKS + " ", "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.when(order.isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
     )
