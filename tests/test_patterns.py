@@ -262,3 +262,29 @@ def test_star_is_one_solution_a_row(spark):
     assert count(("?s", "http://t/k", Lit(3)), ("?s", "http://t/x", "?x")) == 1 and count(("?s", "http://t/k", Term(2, "03", XSD + "integer")), ("?s", "http://t/x", "?x")) == 0
     assert count((Iri("http://t/t/1"), "http://t/x", "?x")) == 2 and count((Iri("http://t/t/01"), "http://t/x", "?x")) == 0 and count((Iri("http://t/u/1"), "http://t/x", "?x")) == 0
     assert count(("?s", "http://t/y", Lit(2.5)), ("?s", "http://t/x", Lit("a"))) == 1 and count(("?s", "http://t/x", Lit("a", "en"))) == 0
+
+
+def test_several_prompts_in_one_request(graph):
+    from weftgraph.operators.generate import plausible, provider_named, taken_apart
+
+    class Some(Mock):
+        def complete(self, prompts, outputs):
+            assert len(prompts) == 1
+            return ['[{"prompt_id": 1, "x": "b"}, {"prompt_id": "0", "x": "a"}, {"prompt_id": 1, "x": "c"}]']
+
+    s = P.bgp(graph, ("?p", EX + "name", "?name"))
+    s = s.with_(s.df.coalesce(1))
+    made = generate(s, "Q {?name}", ["x"], Some(), Options(together=3))
+    assert sorted(r["x"]["lex"] for r in made.solutions.df.collect()) == ["a", "b"]
+    assert made.metrics().first()["n_failed"] == 1 and made.records().count() == 2
+    assert taken_apart("no JSON", 2) == [None, None]
+    assert provider_named("mock", default="[]") == Mock()
+    with pytest.raises(ValueError):
+        provider_named("none")
+    assert plausible("Paris, France") and plausible("1,000") and not plausible("def f(x): return [x](){};") and not plausible(", x")
+
+
+def test_expected_rows():
+    from weftgraph.plans.cost import fan_out
+
+    assert [fan_out(p) for p in ("List 7 towns", "name the three", "What is the capital?", "all rivers", "Tell me", "list 500 names", None)] == [7, 3, 1, 10, 5, 10, 5]

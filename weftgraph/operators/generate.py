@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -26,7 +27,8 @@ from .similarity import DEFAULT_THETA, jaccard, labels, nearest, texts_of
 
 _PLACE = re.compile(r"\{\?(\w+)\}")
 _ROWS = "array<array<string>>"
-_ANSWERS = f"prompt string, key string, ok boolean, raw string, rows {_ROWS}, tokens int"
+_NUMBERED = r"\n### \d+\n"
+_ANSWERS = f"prompt string, key string, ok boolean, raw string, rows {_ROWS}, tokens int, tokens_out int, seconds double, together int"
 
 
 @dataclass
@@ -58,15 +60,22 @@ class Echo:
     def complete(self, prompts: list[str], outputs: Sequence[str]) -> list[str | None]:
         out = []
         for p in prompts:
-            text = p.partition(self.start)[2].partition(self.end)[0]
-            text = {"same": text, "upper": text.upper(), "lower": text.lower(), "reversed": text[::-1], "none": ""}[self.how]
-            out.append(json.dumps([text] if len(outputs) == 1 else [{o: text for o in outputs}]))
+            several = [self.text(x) for x in re.split(_NUMBERED, p)[1:]]
+            if several:
+                out.append(json.dumps([{"prompt_id": k, **dict.fromkeys(outputs, x)} for k, x in enumerate(several)]))
+            else:
+                out.append(json.dumps([self.text(p)] if len(outputs) == 1 else [dict.fromkeys(outputs, self.text(p))]))
         return out
 
+    def text(self, prompt: str) -> str:
+        text = prompt.partition(self.start)[2].partition(self.end)[0]
+        return {"same": text, "upper": text.upper(), "lower": text.lower(), "reversed": text[::-1], "none": ""}[self.how]
+
 
 @dataclass
 class ChatCompletions:
-    """A service with the widespread /chat/completions interface; a failed request is no answer."""
+    """A service with the widespread /chat/completions interface; a request that fails is sent again if the service
+    was busy or out of reach, and is no answer in the end."""
 
     base: str
     model: str
@@ -75,6 +84,8 @@ class ChatCompletions:
     temperature: float = 0.0
     max_tokens: int = 1000
     name: str = "http"
+    retries: int = 2
+    wait: float = 1.0  # seconds before the first retry; twice as many before each next
 
     def complete(self, prompts: list[str], outputs: Sequence[str]) -> list[str | None]:
         import urllib.request
@@ -83,14 +94,30 @@ class ChatCompletions:
         for p in prompts:
             body = {"model": self.model, "messages": [{"role": "user", "content": p}], "temperature": self.temperature, "max_tokens": self.max_tokens}
             request = urllib.request.Request(f"{self.base}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.key}"} if self.key else {})})
-            try:
-                with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                    out.append(json.load(r)["choices"][0]["message"]["content"])
-            except Exception:  # noqa: BLE001 - any failure is no answer
-                out.append(None)
+            answer = None
+            for k in range(self.retries + 1):
+                try:
+                    with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                        answer = json.load(r)["choices"][0]["message"]["content"]
+                    break
+                except Exception as e:  # noqa: BLE001 - any failure is no answer
+                    if 400 <= getattr(e, "code", 0) < 500 and e.code != 429:
+                        break
+                    time.sleep(self.wait * 2**k if k < self.retries else 0)
+            out.append(answer)
         return out
 
 
+PROVIDERS = {"mock": Mock, "echo": Echo, "http": ChatCompletions}
+
+
+def provider_named(name: str, **settings):
+    """A provider by its name in PROVIDERS, to which callers may add their own."""
+    if name not in PROVIDERS:
+        raise ValueError(f"no provider {name}; there are {sorted(PROVIDERS)}")
+    return PROVIDERS[name](**settings)
+
+
 @dataclass
 class Options:
     theta: float = DEFAULT_THETA
@@ -98,6 +125,8 @@ class Options:
     replay_only: bool = False  # a prompt without a record is an error
     fail_on_error: bool = False
     batch: int = 32  # prompts that a provider gets at once
+    together: int = 1  # different prompts in one request
+    plausible: bool = False  # leave out rows with a value that looks like code or garbage
     candidates: Sequence[str] = field(default_factory=tuple)  # texts that answers should be among
     most_candidates: int = 500
     tag: str | None = None  # of the jobs that ask the model; spark.interruptTag(tag) cancels them
@@ -197,6 +226,44 @@ def parse_answer(raw: str | None, outputs: Sequence[str]) -> list[list[str | Non
     return rows
 
 
+def in_one(prompts: Sequence[str], outputs: Sequence[str]) -> str:
+    """One request for several prompts, each under its number."""
+    fields = ", ".join(outputs)
+    return f"Answer each of the numbered prompts on its own, with a JSON array of one object for each: its number as prompt_id, and {fields}." + "".join(f"\n### {k}\n{p}" for k, p in enumerate(prompts))
+
+
+def taken_apart(raw: str | None, n: int) -> list[str | None]:
+    """The answers to n prompts of one request: the first object of each; None for a prompt that has none, and for all
+    if the answer cannot be read."""
+    found: dict[str, str] = {}
+    for v in _values(raw or ""):
+        for x in v if isinstance(v, list) else [v]:
+            if isinstance(x, dict) and "prompt_id" in x:
+                found.setdefault(str(x["prompt_id"]), json.dumps([{k: y for k, y in x.items() if k != "prompt_id"}], ensure_ascii=False))
+    return [found.get(str(k)) for k in range(n)]
+
+
+_CODE = ("lambda", "def ", "print(", "except:", "import ", "return ", "if __name__", "class ", "->")  # fixed values
+
+
+def plausible(value: str | None) -> bool:
+    """Whether a value reads like an answer: not mostly brackets or symbols, no code, words among its parts."""
+    text = (value or "").strip()
+    words = text.split()
+    brackets = sum(c in "{}()[]" for c in text)
+    symbols = sum(not (c.isalnum() or c.isspace() or c in ".,;:!?-'\"") for c in text)
+    wordlike = sum(sum(c.isalpha() for c in w) >= 2 for w in words)
+    faults = (
+        brackets > len(text) // 10 and sum(c in "{}()[];," for c in text) >= 3,
+        sum(k in text.lower() for k in _CODE) >= 2,
+        len(text) > 50 and symbols > 0.3 * len(text),
+        len(words) > 10 and wordlike < 0.3 * len(words),
+        re.search(r",\d+\}\}|[,\s]{3,}.*[,\s]{3,}", text) is not None,
+        text.startswith((", ", "=, ")),
+    )
+    return not text or not any(faults)
+
+
 def record_key(provider, prompt: str, outputs: Sequence[str]) -> str:
     sha = hashlib.sha256(prompt.encode()).hexdigest()
     return f"{provider.name}:{getattr(provider, 'model', '')}:{sha}:{provider.temperature}:{provider.max_tokens}:{','.join(outputs)}"
@@ -220,19 +287,24 @@ def ask_model(prompts: DataFrame, provider, outputs: Sequence[str], options: Opt
     hint = format_hint(outputs)
     if options.candidates:
         hint = "\nChoose from: " + "; ".join(sorted(set(options.candidates))[: options.most_candidates]) + hint
-    names, size = list(outputs), options.batch
-    work = cloudpickle.dumps((provider, parse_answer, record_key))
+    names, size, together, strict = list(outputs), options.batch, options.together, options.plausible
+    work = cloudpickle.dumps((provider, parse_answer, record_key, in_one, taken_apart, plausible))
 
     def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider, parse, key = cloudpickle.loads(work)
+        provider, parse, key, joined, apart, plausible = cloudpickle.loads(work)
         for pdf in batches:
             for i in range(0, len(pdf), size):
                 asked = pdf["prompt"].iloc[i : i + size].tolist()
                 known = pdf["known"].iloc[i : i + size].tolist() if "known" in pdf else [None] * len(asked)
                 new = [p for p, k in zip(asked, known, strict=True) if k is None]
-                got = iter(provider.complete([p + hint for p in new], names) if new else [])
+                began = time.perf_counter()
+                groups = [new[k : k + together] for k in range(0, len(new), together)]
+                replies = provider.complete([g[0] + hint if len(g) == 1 else joined(g, names) for g in groups], names) if new else []
+                got = iter([a for g, r in zip(groups, replies, strict=True) for a in ([r] if len(g) == 1 else apart(r, len(g)))])
+                each = (time.perf_counter() - began) / max(1, len(new))
                 raws = [k if k is not None else next(got) for k in known]
-                yield pd.DataFrame({"prompt": asked, "key": [key(provider, p, names) for p in asked], "ok": [r is not None for r in raws], "raw": raws, "rows": [parse(r, names) for r in raws], "tokens": [-(-len(p) // 4) for p in asked]})
+                rows = [[x for x in parse(r, names) if not strict or all(map(plausible, x))] for r in raws]
+                yield pd.DataFrame({"prompt": asked, "key": [key(provider, p, names) for p in asked], "ok": [r is not None for r in raws], "raw": raws, "rows": rows, "tokens": [-(-len(p) // 4) for p in asked], "tokens_out": [-(-len(r or "") // 4) for r in raws], "seconds": [each if k is None else 0.0 for k in known], "together": [min(together, len(new)) if k is None else 0 for k in known]})
 
     todo = prompts.select("prompt").where("prompt IS NOT NULL").distinct()
     if options.records is not None:
@@ -259,9 +331,13 @@ class Generated:
     answers: DataFrame
 
     def calls(self) -> int:
-        """Requests: one for each different prompt."""
+        """Different prompts that were asked; Options.together of them share a request."""
         return self.answers.count()
 
+    def metrics(self) -> DataFrame:
+        """(n_prompts, n_failed, n_rows, tokens, tokens_out, seconds) of all answers; answers has them for each prompt."""
+        return self.answers.agg(F.count("*").alias("n_prompts"), F.count_if(~F.col("ok")).alias("n_failed"), F.sum(F.size("rows")).alias("n_rows"), F.sum("tokens").alias("tokens"), F.sum("tokens_out").alias("tokens_out"), F.sum("seconds").alias("seconds"))
+
     def records(self) -> DataFrame:
         """What Options.records takes: the answers that were given."""
         return self.answers.where("ok").select("key", "raw")

@@ -11,6 +11,7 @@ from ..functions import scalar as fn
 from ..operators import paths
 from ..operators import patterns as P
 from ..operators import similarity as S
+from ..operators.embed import LetterCounts, compared, embed_texts
 from ..operators.generate import Echo, Mock, Options, candidate_labels, generate
 from ..sources.graph import Graph, ntriples, star_graph
 from ..sources.results import json_lines
@@ -529,6 +530,22 @@ def genop_replay(spark: SparkSession, sf: str) -> DataFrame:
     return lexed(again.solutions, "n", "a")
 
 
+@query("SELECT c_name AS n, upper(c_name) AS a, upper(c_name) AS b FROM customer")
+def genop_together(spark: SparkSession, sf: str) -> DataFrame:
+    """Five prompts share a request."""
+    s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")
+    return lexed(generate(s, "N [{?n}]", ["a", "b"], Echo(how="upper"), Options(together=5)).solutions, "n", "a", "b")
+
+
+@query("SELECT count(*) AS n_prompts, 0 AS n_failed, count(*) AS n_rows, CAST(sum(ceil((length(n) + 4) / 4)) AS BIGINT) AS tokens, CAST(sum(ceil((length(n) + 4) / 4)) AS BIGINT) AS tokens_out, CAST(5 * 3 + count(*) AS DOUBLE) / (3 + count(*)) AS fan_out FROM (SELECT DISTINCT c_name AS n FROM customer)")
+def genop_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")
+    prompt = "N [{?n}]"
+    made = generate(s, prompt, ["a"], Echo())
+    seen = cost.observed_fan_out(cost.fan_out(prompt), made.answers).first()[0]
+    return made.metrics().drop("seconds").withColumn("fan_out", F.lit(seen))
+
+
 @query("SELECT r_name AS label FROM region")
 def genop_candidates(spark: SparkSession, sf: str) -> DataFrame:
     g = star_graph(spark, sf, ["nation", "region"])
@@ -610,6 +627,19 @@ def label_texts(spark: SparkSession, sf: str) -> DataFrame:
     return S.texts_of(terms, S.labels(g)).select(F.col("term.lex").alias("term"), "label")
 
 
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: CAST(length({x}) - length(replace({x}, c, '')) AS DOUBLE))"
+
+
+@query(f"""WITH t AS (SELECT a.p_partkey AS k, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), m AS (SELECT *, starts_with(a, 'b') OR starts_with(b, 'b') AS words FROM t)
+SELECT k, CASE WHEN words THEN 'words' ELSE 'cosine' END AS measure, CASE WHEN words THEN round({_JACCARD.format(a='a', b='b')}, 6) ELSE round(list_cosine_similarity({_LETTERS.format(x='a')}, {_LETTERS.format(x='b')}), 6) END AS similarity FROM m""")
+def sim_embedded(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine of vectors that a provider gives, and words where it gives none."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    pairs = part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a")).join(part.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("b")), "k")
+    vectors = embed_texts(part.select(F.col("p_name").alias("text")), LetterCounts("b"))
+    return compared(pairs, vectors).select("k", "measure", F.round("similarity", 6).alias("similarity"))
+
+
 # --- functions for generated texts, statistics -----------------------------------------------------------------
 
 
@@ -641,6 +671,27 @@ def gen_classify(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("label", gen.pick_label(F.col("answer"), ["urgent", "high"]))
 
 
+@query("SELECT o_orderkey AS o, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'urgent' WHEN contains(lower(o_orderpriority), 'high') THEN 'high' ELSE '[\"' || lower(o_orderpriority) || '\"]' END AS label FROM orders")
+def gen_classify_asked(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("o"), "o_orderpriority")
+    return gen.classify(rows, F.col("o_orderpriority"), ["urgent", "high"], Echo("Text: ", "\n")).select("o", "label")
+
+
+@query("SELECT c_custkey AS k, '[\"' || c_name || '\"]' AS fields FROM customer")
+def gen_extract(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"), "c_name")
+    return gen.extract(rows, F.col("c_name"), ["name"], Echo(" from: ", "\n")).select("k", "fields")
+
+
+@query("SELECT c_custkey AS k, c_acctbal > 0 AS valid, c_acctbal > 1000 AS entailed FROM customer WHERE c_acctbal IS NOT NULL")
+def gen_validate_entail(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal IS NOT NULL")
+    said = lambda least, yes, no: F.concat(F.when(F.col("c_acctbal") > least, yes).otherwise(no), F.lit(" "), F.col("c_name"))
+    found = gen.validate(rows, said(0, "valid", "not valid"), "a name", Echo("Value: ", "\n"))
+    found = gen.entail(found, F.col("c_name"), said(1000, "yes", "nothing"), Echo("Hypothesis: ", "\n"))
+    return found.select(F.col("c_custkey").alias("k"), "valid", "entailed")
+
+
 @query("SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') AS v FROM embeddings")
 def gen_embedding_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), gen.embedding_text(F.col("embedding")).alias("v"))

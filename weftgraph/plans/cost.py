@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,28 @@ def estimate(statistics: DataFrame, tokens_out: int, per_million_in: float, per_
     out = statistics.withColumn("tokens_out", F.col("n_calls") * tokens_out)
     price = (F.col("tokens") * per_million_in + F.col("tokens_out") * per_million_out) / 1e6
     return out.withColumns({"price": price, "seconds": F.ceil(F.col("n_calls") / at_once) * seconds_a_call})
+
+
+# fixed values: words that tell how many answers a prompt asks for
+_COUNTS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twenty": 20, "fifty": 50}
+_VERBS = "list top name give select provide generate return find".split()
+_SINGLE = ("the capital of", "which ", "what is the", "who is the", "the name of")
+_MANY = "list all enumerate several examples kinds types many".split()
+
+
+def fan_out(prompt: str | None) -> float:
+    """Rows that an answer is expected to have: the number that the prompt asks for (1 to 100), 1 if it asks for a single
+    thing, 10 if for a list, else 5."""
+    low = (prompt or "").lower()
+    asked = re.search(rf"\b(?:{'|'.join(_VERBS)})\s+(?:(?:up to|the)\s+)?(\d{{1,3}}|{'|'.join(_COUNTS)})\b", low)
+    n = (_COUNTS.get(asked[1]) or int(asked[1])) if asked else 0
+    if 1 <= n <= 100:
+        return float(n)
+    if any(x in low for x in _SINGLE):
+        return 1.0
+    return 10.0 if re.search(rf"\b(?:{'|'.join(_MANY)})\b", low) else 5.0
+
+
+def observed_fan_out(prior: float, answers: DataFrame) -> DataFrame:
+    """(fan_out): the prior, counted as three answers, and the rows of the answers that were given."""
+    return answers.where("ok").agg(((F.lit(3 * prior) + F.coalesce(F.sum(F.size("rows")), F.lit(0))) / (F.count("*") + 3)).alias("fan_out"))
