@@ -537,7 +537,7 @@ def genop_together(spark: SparkSession, sf: str) -> DataFrame:
     return lexed(generate(s, "N [{?n}]", ["a", "b"], Echo(how="upper"), Options(together=5)).solutions, "n", "a", "b")
 
 
-@query("SELECT count(*) AS n_prompts, 0 AS n_failed, count(*) AS n_rows, CAST(sum(ceil((length(n) + 4) / 4)) AS BIGINT) AS tokens, CAST(sum(ceil((length(n) + 4) / 4)) AS BIGINT) AS tokens_out, CAST(5 * 3 + count(*) AS DOUBLE) / (3 + count(*)) AS fan_out FROM (SELECT DISTINCT c_name AS n FROM customer)")
+@query("SELECT count(*) AS n_prompts, CAST(0 AS BIGINT) AS n_failed, count(*) AS n_rows, CAST(sum(ceil((length(n) + 4) / 4)) AS BIGINT) AS tokens, CAST(sum(ceil((length(n) + 4) / 4)) AS BIGINT) AS tokens_out, CAST(5 * 3 + count(*) AS DOUBLE) / (3 + count(*)) AS fan_out FROM (SELECT DISTINCT c_name AS n FROM customer)")
 def genop_metrics(spark: SparkSession, sf: str) -> DataFrame:
     s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")
     prompt = "N [{?n}]"
