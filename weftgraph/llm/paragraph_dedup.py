@@ -11,11 +11,13 @@ Runs of words pay no heed to lines. All windows of min_words words are hashed; a
 least hash of min_words / 2 words, its key, may be elsewhere. Equal windows have equal keys, so that none is lost; a key
 stays the same over many windows, so that the filter takes about one in thirteen of them. Windows that may repeat are
 counted exactly by their hash. The first place of each stays; neighbours with the same fate are one passage.
+Windows of a key with many rows are dealt out by text: they are counted with partial sums, and meet the counts by part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ from .sketch import sift, twice_filter
 from .staging import Staging, small_batches
 
 BANDS, ROWS = 14, 4
+CROWD = 2_000  # rows of windows with one key that one task takes
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _LINES = np.ones(256, dtype=bool)
 _LINES[10] = False
 _SCHEMA = "uid long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, odd array<bigint>, hashes array<bigint>"
-_WINDOWS = "key long, uid long, pos int, h array<bigint>, start_char array<bigint>, n_chars array<int>, para_no array<int>"
+_WINDOWS = "key long, salt int, uid long, pos int, h array<bigint>, start_char array<bigint>, n_chars array<int>, para_no array<int>"
 _TOKS = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))
 
 
@@ -126,7 +129,7 @@ def word_chunks(column: pa.Array) -> Iterator[Words]:
         yield Words(c)
 
 
-def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50, k: int = 5, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """A row for each long paragraph that repeats, exactly or nearly, and for each other passage that repeats word for
     word: doc_id, para_no (the place of its first line among the text's lines that are not empty), start_char, n_chars,
     n_words, class_doc_id and class_para_no (where what stays is), class_size, removed.
@@ -136,7 +139,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
     and the paragraph stays. Rows of one text may overlap. class_size of a passage is the most places that a window
     of it has. Null and empty texts and those of fewer words have no rows. A paragraph that repeats within one document,
     or in repeated rows of it, counts as often; ties of doc_id and place keep one. A null doc_id sorts first. Other
-    columns are ignored. An empty table gives an empty result.
+    columns are ignored. An empty table gives an empty result. crowd: of a key with more rows of windows a task takes
+    about so many; it has no effect on the rows of the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -192,12 +196,17 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                     names=["doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "odd", "hashes"],
                 )
 
-    def suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    crowd = max(1, crowd, 4 * again.typical)  # counts are by cell, which on a large corpus many keys share
+
+    def suspect_windows(batches: Iterator[pa.RecordBatch], dealt: bool) -> Iterator[pa.RecordBatch]:
+        """Windows of the keys that are dealt out, or of the others; salt is the part, by text, that a row falls to."""
         for batch in batches:
             for words in word_chunks(batch.column(1)):
                 at, key = words.windows(min_words)
-                some = again.test(key)
-                at, key = at[some], key[some]
+                some = np.flatnonzero(again.test(key))
+                rows_of = again.counts(key[some])
+                mine = (rows_of > crowd) == dealt
+                at, key, rows_of = at[some[mine]], key[some[mine]], rows_of[mine]
                 if not len(at):
                     continue
                 h, c = words.grams(min_words)[at], words.c
@@ -206,6 +215,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                 new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (key[1:] != key[:-1])
                 new = np.flatnonzero(new)
                 row = pa.array(text[new] + c.first)
+                uid = batch.column(2).take(row)
+                salt = mix(uid.to_numpy().astype(U)) % (rows_of[new] // crowd + 1).astype(U)
                 p_starts, _, p_bounds = c.spans(_LINES)
                 line = np.searchsorted(p_starts, words.starts[at], "right") - 1
                 points = c.code_points()
@@ -213,8 +224,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                 lists = pa.array(np.append(new, len(at)), pa.int32())
                 each = [pa.array(h.view(np.int64)), pa.array(start - points[c.offsets[text]], pa.int64()), pa.array(points[words.ends[at + min_words - 1]] - start, pa.int32()), pa.array(line - p_bounds[text], pa.int32())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), pa.array(key[new].view(np.int64)), batch.column(2).take(row), pa.array((at - words.bounds[text])[new], pa.int32()), *(pa.ListArray.from_arrays(lists, x) for x in each)],
-                    names=["doc_id", "key", "uid", "pos", "h", "start_char", "n_chars", "para_no"],
+                    [batch.column(0).take(row), pa.array(key[new].view(np.int64)), pa.array(salt.astype(np.int32)), uid, pa.array((at - words.bounds[text])[new], pa.int32()), *(pa.ListArray.from_arrays(lists, x) for x in each)],
+                    names=["doc_id", "key", "salt", "uid", "pos", "h", "start_char", "n_chars", "para_no"],
                 )
 
     rows = staging.save(docs.select("doc_id", "text", "uid").mapInArrow(suspects, f"doc_id {kind}, {_SCHEMA}"), "paragraphs")
@@ -227,30 +238,41 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
     here = F.struct("doc_id", "para_no")
     columns = ["uid", "doc_id", "para_no", "start_char", "n_chars", "n_words", F.col("keep.doc_id").alias("class_doc_id"), F.col("keep.para_no").alias("class_para_no"), "class_size", "removed"]
     out = staging.save(out.withColumn("removed", ~here.eqNullSafe(F.col("keep"))).select(*columns), "repeated")
-    windows = docs.select("doc_id", "text", "uid").mapInArrow(suspect_windows, f"doc_id {kind}, {_WINDOWS}")
-    found = _passages(windows, min_words).select(*columns)
+    windows, crowded = (docs.select("doc_id", "text", "uid").mapInArrow(partial(suspect_windows, dealt=d), f"doc_id {kind}, {_WINDOWS}") for d in (False, True))
+    found = _passages(windows, staging.save(crowded, "crowded"), min_words).select(*columns)
     lines = out.select(F.col("uid").alias("u"), F.col("start_char").alias("s"), (F.col("start_char") + F.col("n_chars")).alias("e"), F.col("removed").alias("gone"))
     inside = (F.col("uid") == F.col("u")) & (F.col("start_char") >= F.col("s")) & (F.col("start_char") + F.col("n_chars") <= F.col("e")) & (F.col("gone") | ~F.col("removed"))
     return out.unionByName(found.join(lines, inside, "left_anti")).drop("uid")
 
 
-def _passages(windows: DataFrame, size: int) -> DataFrame:
+def _passages(windows: DataFrame, crowded: DataFrame, size: int) -> DataFrame:
     """Of windows that may repeat, in rows of neighbours with one key: those that do, joined where neighbours stay, or
-    go for the same text. Equal windows have one key, so that its partition settles them."""
-    w = F.posexplode(F.arrays_zip("h", "start_char", "n_chars", "para_no")).alias("j", "w")
-    each = windows.repartition("key").select("key", "uid", "doc_id", "pos", w).select("key", "uid", "doc_id", (F.col("pos") + F.col("j")).alias("pos"), "w.*")
+    go for the same text. Equal windows have one key, so that its partition settles them; those of crowded keys are
+    counted with partial sums and meet their counts in the parts where they are."""
+    counts = {"places": F.count("*"), "first": F.min(F.struct("doc_id", "pos", "uid", "para_no")), "low": F.min("uid"), "high": F.max("uid"), "begin": F.min("pos"), "end": F.max("pos")}
+    repeats = (F.col("low") != F.col("high")) | (F.col("end") - F.col("begin") >= size)
     same = W.partitionBy("key", "h")
-    seen = each.select(
-        "*", F.count("*").over(same).alias("places"), F.min(F.struct("doc_id", "pos", "uid", "para_no")).over(same).alias("first"),
-        (F.min("uid").over(same) != F.max("uid").over(same)).alias("texts"), (F.max("pos").over(same) - F.min("pos").over(same) >= size).alias("apart"),
-    ).where("texts OR apart")
-    gone = F.when(F.col("first.uid") == F.col("uid"), F.col("pos") - F.col("first.pos") >= size).otherwise(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
-    seen = seen.select("key", "uid", "doc_id", "pos", (F.col("pos") + 1).alias("next"), "para_no", "start_char", (F.col("start_char") + F.col("n_chars")).alias("end_char"), "places", "first", gone.alias("removed"))
-    return _joined(_joined(seen, ["key", "uid"]), ["uid"]).select(
+    seen = _each(windows.repartition("key")).select("*", *(c.over(same).alias(n) for n, c in counts.items())).where(repeats)
+    totals = _each(crowded).groupBy("key", "h").agg(*(c.alias(n) for n, c in counts.items()), F.collect_set("salt").alias("salts")).where(repeats)
+    met = _each(crowded).join(totals.select("key", "h", F.explode("salts").alias("salt"), "places", "first"), ["key", "salt", "h"])
+    pieces = (_joined(_fates(x, size), ["key", "uid"]) for x in (seen, met))
+    return _joined(reduce(DataFrame.unionByName, pieces), ["uid"]).select(
         "uid", "doc_id", "para_no", "start_char", (F.col("end_char") - F.col("start_char")).alias("n_chars"), (F.col("next") - 1 - F.col("pos") + size).cast("int").alias("n_words"), F.col("first").alias("keep"), F.col("places").alias("class_size"), "removed"
     )
 
 
+def _each(windows: DataFrame) -> DataFrame:
+    """A row for each window of rows of neighbours."""
+    w = F.posexplode(F.arrays_zip("h", "start_char", "n_chars", "para_no")).alias("j", "w")
+    return windows.select("key", "salt", "uid", "doc_id", "pos", w).select("key", "salt", "uid", "doc_id", (F.col("pos") + F.col("j")).alias("pos"), "w.*")
+
+
+def _fates(seen: DataFrame, size: int) -> DataFrame:
+    """Windows that repeat, as pieces of one window each that stay or go."""
+    gone = F.when(F.col("first.uid") == F.col("uid"), F.col("pos") - F.col("first.pos") >= size).otherwise(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
+    return seen.select("key", "uid", "doc_id", "pos", (F.col("pos") + 1).alias("next"), "para_no", "start_char", (F.col("start_char") + F.col("n_chars")).alias("end_char"), "places", "first", gone.alias("removed"))
+
+
 def _joined(pieces: DataFrame, by: list[str]) -> DataFrame:
     along = W.partitionBy(*by).orderBy("pos")
     before = lambda c: F.lag(c).over(along)

@@ -80,6 +80,7 @@ class Sifted:
 
     def __init__(self, spark: SparkSession, first: TwiceFilter, second: TwiceFilter, ranks: np.ndarray, rank_bits: int):
         self.first, self.second, self.rank_bits = first, second, rank_bits
+        self.typical = int(2 ** (float(np.median(ranks)) / 8)) - 1  # the count of a cell in the middle
         self.sent = spark.sparkContext.broadcast(ranks.tobytes())
 
     def test(self, hashes: np.ndarray) -> np.ndarray:
@@ -92,6 +93,10 @@ class Sifted:
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         return np.frombuffer(self.sent.value, dtype=np.uint8)[cells(hashes, self.rank_bits, _COUNTS)]
 
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """About how often each hash occurs; hashes of one cell are counted together."""
+        return np.rint(2 ** (self.ranks(hashes) / 8)).astype(np.int64) - 1
+
     def release(self) -> None:
         """Frees the broadcasts, once no job needs them any more."""
         self.first.release()
