@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, line_dedup, mixing, ngram_join, paragraph_dedup, quality, token_count, toxicity
+from . import chat, decontaminate, html, line_dedup, mixing, ngram_join, paragraph_dedup, quality, token_count, toxicity, vector_codes
+from .staging import Staging
 
 TOKENIZERS = "/opt/tokenizers"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,7 +95,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_format, op7_html_extraction, op8_line_dedup, op9_ngram_jaccard, op10_substring_dedup)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    out = vector_codes.with_label_error(coded, Staging(spark)).drop("label")
+    return out.withColumn("codebooks_sha256", F.lit(books.digest() if books else None).cast("string"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_format, op7_html_extraction, op8_line_dedup, op9_ngram_jaccard, op10_substring_dedup, op13_vector_codes)}
 
 ORACLE_SQL = {
     "op1_decontamination": rf"""
@@ -145,4 +152,20 @@ k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D
 r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 m AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.keeper AS gone FROM k LEFT JOIN r ON k.key = r.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op13_vector_codes": r"""
+WITH kept AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT vec_id, p, list_transform(range(len(v) // 16), lambda k: CAST(floor(256 * CAST(v[p * (len(v) // 16) + k + 1] AS DOUBLE)) AS BIGINT)) AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+b0 AS MATERIALIZED (SELECT p, e, x AS c FROM x JOIN first USING (vec_id)),
+a0 AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min({'d': d, 'e': e}) AS m FROM (SELECT vec_id, x.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b0 ON x.p = b0.p) GROUP BY vec_id, p),
+n1 AS (SELECT p, e, list(s ORDER BY k) AS c FROM (SELECT p, m.e AS e, k, CAST(floor(sum(x[k]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS s FROM a0, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM x))) AS k) GROUP BY p, m.e, k) GROUP BY p, e),
+b1 AS MATERIALIZED (SELECT p, e, coalesce(n1.c, b0.c) AS c FROM b0 LEFT JOIN n1 USING (p, e)),
+a1 AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min({'d': d, 'e': e}) AS m FROM (SELECT vec_id, x.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b1 ON x.p = b1.p) GROUP BY vec_id, p),
+n2 AS (SELECT p, e, list(s ORDER BY k) AS c FROM (SELECT p, m.e AS e, k, CAST(floor(sum(x[k]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS s FROM a1, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM x))) AS k) GROUP BY p, m.e, k) GROUP BY p, e),
+b2 AS MATERIALIZED (SELECT p, e, coalesce(n2.c, b1.c) AS c FROM b1 LEFT JOIN n2 USING (p, e)),
+a2 AS (SELECT vec_id, p, min({'d': d, 'e': e}) AS m FROM (SELECT vec_id, x.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b2 ON x.p = b2.p) GROUP BY vec_id, p),
+coded AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+whole AS (SELECT coded.*, label FROM coded JOIN kept USING (vec_id)),
+book AS (SELECT sha256(string_agg(CAST(i AS VARCHAR), ',' ORDER BY p, e, k)) AS s FROM (SELECT p, e, unnest(c) AS i, unnest(range(len(c))) AS k FROM b2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM whole, book""",
 }
