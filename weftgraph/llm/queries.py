@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, line_dedup, mixing, ngram_join, paragraph_dedup, quality, token_count, toxicity, vector_codes
+from . import chat, decontaminate, html, line_dedup, mixing, ngram_join, paragraph_dedup, periodic_runs, quality, token_count, toxicity, vector_codes
 from .staging import Staging
 
 TOKENIZERS = "/opt/tokenizers"
@@ -95,13 +95,34 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The texts of documents whose crc32(doc_id) divides by ten, from some word on, repeat the words that follow it."""
+    blanks = " \t\n\x0b\x0c\r"
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.split(F.trim("text", F.lit(blanks)), f"[{blanks}]+")
+    rows = docs.withColumn("words", F.when(h % 10 == 0, F.filter(words, lambda w: w != ""))).withColumn("g", F.floor(h / 10))
+    n = F.size("words")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    changed = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    listed = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = found.withColumns({"best": best, "listed": F.sha2(F.array_join(listed, ""), 256), "collapsed": F.sha2("collapsed", 256)})
+    start, length, period = F.col("best.start"), -F.col("best.less"), F.col("best.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.col("listed").alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
     out = vector_codes.with_label_error(coded, Staging(spark)).drop("label")
     return out.withColumn("codebooks_sha256", F.lit(books.digest() if books else None).cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_format, op7_html_extraction, op8_line_dedup, op9_ngram_jaccard, op10_substring_dedup, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_format, op7_html_extraction, op8_line_dedup, op9_ngram_jaccard, op10_substring_dedup, op12_periodic_runs, op13_vector_codes)}
 
 ORACLE_SQL = {
     "op1_decontamination": rf"""
