@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, line_dedup, mixing, ngram_join, paragraph_dedup, periodic_runs, quality, token_count, toxicity, vector_codes
+from . import attention_lm, chat, decontaminate, html, line_dedup, mixing, ngram_join, paragraph_dedup, periodic_runs, quality, token_count, toxicity, vector_codes
 from .staging import Staging
 
 TOKENIZERS = "/opt/tokenizers"
@@ -95,6 +95,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    staging = Staging(spark)
+    model = attention_lm.fit(docs.where(~held), attention_lm.read_ranks(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"), staging)
+    scored = model.score(docs, staging, keep=["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """The texts of documents whose crc32(doc_id) divides by ten, from some word on, repeat the words that follow it."""
     blanks = " \t\n\x0b\x0c\r"
@@ -122,7 +131,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("codebooks_sha256", F.lit(books.digest() if books else None).cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_format, op7_html_extraction, op8_line_dedup, op9_ngram_jaccard, op10_substring_dedup, op12_periodic_runs, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_format, op7_html_extraction, op8_line_dedup, op9_ngram_jaccard, op10_substring_dedup, op11_lm_scores, op12_periodic_runs, op13_vector_codes)}
 
 ORACLE_SQL = {
     "op1_decontamination": rf"""
