@@ -273,3 +273,48 @@ def test_odd_sketches_bound_the_difference():
             continue
         apart = sum(((int(p) ^ int(q)) & (2**64 - 1)).bit_count() for p, q in zip(x, y, strict=True))
         assert apart <= len(set(u.tolist()) ^ set(v.tolist()))
+
+
+def remaining(rows, got):
+    """The words that stay of each text, by doc_id."""
+    text = dict(rows)
+    left = {i: set(range(len(words(t)))) for i, t in text.items()}
+    for x in got:
+        if x["removed"]:
+            a = len(words(text[x["doc_id"]][: x["start_char"]]))
+            left[x["doc_id"]] -= set(range(a, a + x["n_words"]))
+    return {i: [words(t)[p] for p in sorted(left[i])] for i, t in text.items()}
+
+
+def test_what_a_removed_row_is_kept_for_stays(spark):
+    """Near copies that hold passages of other documents, in all orders: no word of a passage goes everywhere."""
+    r = random.Random(8)
+    block = lambda n, k: [f"{n}_{j}" for j in range(k)]
+    head, tail, x, y = block("head", 220), block("tail", 300), block("x", 52), block("y", 52)
+    rows = [(0, " ".join(head + x + tail)), (1, " ".join(head + y + tail)), (2, " ".join(block("a", 60) + y + block("b", 60)))]
+    got = paragraph_dedup.repeated_paragraphs(frame(spark, rows)).collect()
+    left = remaining(rows, got)
+    assert " ".join(y) in " ".join(left[2]) and len(left[1]) == 0 and len(left[0]) == 572
+    blocks = [block(f"p{n}", r.randrange(52, 70)) for n in range(12)]
+    big = [block(f"big{n}", 420) for n in range(3)]
+    rows = []
+    for i in range(40):
+        parts = [list(b) for b in r.sample(blocks, r.randrange(1, 4))]
+        if r.random() < 0.6:
+            near = list(r.choice(big))
+            at = r.randrange(len(near) - 60)
+            near[at : at + r.choice((0, 3))] = r.choice((["new"], parts[0][:1]))
+            if r.random() < 0.5:
+                near[200:200] = parts.pop()
+            parts.append(near)
+        r.shuffle(parts)
+        text = ""
+        for p in parts:
+            text += " ".join(p) + r.choice((" ", "\n", "\nshort line\n"))
+        rows.append((i, text))
+    got = paragraph_dedup.repeated_paragraphs(frame(spark, rows)).collect()
+    stays = {w for ws in remaining(rows, got).values() for w in ws}
+    held = {w for _, t in rows for w in words(t) if w[0] == "p"}  # a near copy that is kept may lack words of the others
+    assert held <= stays, sorted(held - stays)
+    gone = {(x["doc_id"], x["para_no"]) for x in got if x["removed"] and x["class_para_no"] is not None}
+    assert gone
