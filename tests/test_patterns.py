@@ -7,7 +7,7 @@ from weftgraph.functions import scalar as fn
 from weftgraph.operators import paths
 from weftgraph.operators import patterns as P
 from weftgraph.operators import similarity as S
-from weftgraph.operators.generate import Mock, Options, generate, parse_answer, placeholders
+from weftgraph.operators.generate import Echo, Mock, Options, generate, parse_answer, placeholders
 from weftgraph.sources.graph import Graph, TableMapping, ntriples, quads_graph, read_ntriples, table_graph
 from weftgraph.sources.results import json_document
 from weftgraph.sources.terms import RDF_TYPE, RDFS_LABEL, XSD, Iri, Lit, Term, iri
@@ -275,16 +275,30 @@ def test_several_prompts_in_one_request(graph):
     s = P.bgp(graph, ("?p", EX + "name", "?name"))
     s = s.with_(s.df.coalesce(1))
     made = generate(s, "Q {?name}", ["x"], Some(), Options(together=3))
-    assert sorted(r["x"]["lex"] for r in made.solutions.df.collect()) == ["a", "b"]
+    assert sorted(r["x"]["lex"] for r in made.solutions.df.collect()) == ["a", "b", "c"]  # a prompt may have several
     assert made.metrics().first()["n_failed"] == 1 and made.records().count() == 2
     assert taken_apart("no JSON", 2) == [None, None]
     assert provider_named("mock", default="[]") == Mock()
     with pytest.raises(ValueError):
         provider_named("none")
     assert plausible("Paris, France") and plausible("1,000") and not plausible("def f(x): return [x](){};") and not plausible(", x")
+    assert plausible("Río de la Plata (1516)") and plausible("x = unknown quantity") and plausible("") and not plausible('{"a": 1}') and not plausible("ha" * 40) and not plausible("Berlin\nimport os") and not plausible("#*+~ a")
+    assert taken_apart('[{"prompt_id": 0}, {"prompt_id": 1, "x": 1}, {"prompt_id": 1, "x": 2}]', 3) == ["[]", '[{"x": 1}, {"x": 2}]', None]
+
+
+def test_prompts_that_look_like_numbered_ones(graph):
+    s = P.bgp(graph, ("?p", EX + "name", "?name"))
+    prompt = "\n### 1\nAnswer each prompt below [{?name} {?name}]\n0\n"
+    rows = []
+    for k in (1, 2, 3, 7):
+        made = generate(s, prompt, ["x", "y"], Echo(several="z"), Options(together=k))
+        rows.append(sorted((r["name"]["lex"], r["x"]["lex"], r["y"]["lex"]) for r in made.solutions.df.collect()))
+        assert made.metrics().first()["n_failed"] == 0
+    assert rows[0] and all(r == rows[0] for r in rows)
 
 
 def test_expected_rows():
     from weftgraph.plans.cost import fan_out
 
     assert [fan_out(p) for p in ("List 7 towns", "name the three", "What is the capital?", "all rivers", "Tell me", "list 500 names", None)] == [7, 3, 1, 10, 5, 10, 5]
+    assert [fan_out(p) for p in ("Which player was born in 1990?", "Give me twelve old towns", "Who are its members", "Where's the bridge over 2 km", "a single word")] == [1, 12, 10, 1, 1]

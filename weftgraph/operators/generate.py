@@ -7,11 +7,12 @@ evaluated again asks nothing again; records of earlier runs can be replayed.
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import json
 import re
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -27,7 +28,6 @@ from .similarity import DEFAULT_THETA, jaccard, labels, nearest, texts_of
 
 _PLACE = re.compile(r"\{\?(\w+)\}")
 _ROWS = "array<array<string>>"
-_NUMBERED = r"\n### \d+\n"
 _ANSWERS = f"prompt string, key string, ok boolean, raw string, rows {_ROWS}, tokens int, tokens_out int, seconds double, together int"
 
 
@@ -42,7 +42,7 @@ class Mock:
     max_tokens: int = 1000
 
     def complete(self, prompts: list[str], outputs: Sequence[str]) -> list[str | None]:
-        return [next((a for part, a in self.rules if part in p), self.default) for p in prompts]
+        return [each_alone(p, outputs, lambda x: next((a for part, a in self.rules if part in x), self.default)) for p in prompts]
 
 
 @dataclass
@@ -56,16 +56,15 @@ class Echo:
     name: str = "echo"
     temperature: float = 0.0
     max_tokens: int = 1000
+    several: str | None = None  # what separates several answers in the text
 
     def complete(self, prompts: list[str], outputs: Sequence[str]) -> list[str | None]:
-        out = []
-        for p in prompts:
-            several = [self.text(x) for x in re.split(_NUMBERED, p)[1:]]
-            if several:
-                out.append(json.dumps([{"prompt_id": k, **dict.fromkeys(outputs, x)} for k, x in enumerate(several)]))
-            else:
-                out.append(json.dumps([self.text(p)] if len(outputs) == 1 else [dict.fromkeys(outputs, self.text(p))]))
-        return out
+        return [each_alone(p, outputs, lambda x: self.answer(x, outputs)) for p in prompts]
+
+    def answer(self, prompt: str, outputs: Sequence[str]) -> str:
+        text = self.text(prompt)
+        parts = [text] if self.several is None else [x for x in text.split(self.several) if x]
+        return json.dumps([x if len(outputs) == 1 else dict.fromkeys(outputs, x) for x in parts])
 
     def text(self, prompt: str) -> str:
         text = prompt.partition(self.start)[2].partition(self.end)[0]
@@ -226,42 +225,67 @@ def parse_answer(raw: str | None, outputs: Sequence[str]) -> list[list[str | Non
     return rows
 
 
-def in_one(prompts: Sequence[str], outputs: Sequence[str]) -> str:
-    """One request for several prompts, each under its number."""
-    fields = ", ".join(outputs)
-    return f"Answer each of the numbered prompts on its own, with a JSON array of one object for each: its number as prompt_id, and {fields}." + "".join(f"\n### {k}\n{p}" for k, p in enumerate(prompts))
+def in_one(prompts: Sequence[str], outputs: Sequence[str], choices: str = "") -> str:
+    """One request for several prompts. Each stands under a mark, made from all of them so that none can hold it, and its
+    number."""
+    mark = hashlib.sha256("\0".join(prompts).encode()).hexdigest()[:16]
+    fields = ", ".join(f'"{o}"' for o in outputs)
+    rule = f'Answer each prompt below on its own; each begins after a line "{mark} number". Answer with one JSON array for all. Each row of an answer is an object in it with the number of its prompt as "prompt_id" and {fields}; a prompt without an answer has one object with "prompt_id" alone.'
+    return rule + choices + "".join(f"\n{mark} {k}\n{p}" for k, p in enumerate(prompts))
+
+
+def each_alone(request: str, outputs: Sequence[str], answer: Callable[[str], str | None]) -> str | None:
+    """How a test provider answers a request: each of its prompts by answer, joined as in_one asks for."""
+    found = re.match(r'Answer each prompt below on its own; each begins after a line "([0-9a-f]{16}) number"', request)
+    if not found:
+        return answer(request)
+    objects: list[dict] = []
+    for k, prompt in enumerate(re.split(rf"\n{found[1]} \d+\n", request)[1:]):
+        rows = parse_answer(answer(prompt), outputs)
+        objects += [{"prompt_id": k, **{o: v for o, v in zip(outputs, r, strict=True) if v is not None}} for r in rows] or [{"prompt_id": k}]
+    return json.dumps(objects, ensure_ascii=False)
 
 
 def taken_apart(raw: str | None, n: int) -> list[str | None]:
-    """The answers to n prompts of one request: the first object of each; None for a prompt that has none, and for all
+    """The answers to n prompts of one request, each with all its objects; None for a prompt that has none, and for all
     if the answer cannot be read."""
-    found: dict[str, str] = {}
+    found: dict[str, list[dict]] = {}
     for v in _values(raw or ""):
         for x in v if isinstance(v, list) else [v]:
             if isinstance(x, dict) and "prompt_id" in x:
-                found.setdefault(str(x["prompt_id"]), json.dumps([{k: y for k, y in x.items() if k != "prompt_id"}], ensure_ascii=False))
-    return [found.get(str(k)) for k in range(n)]
+                row = {k: y for k, y in x.items() if k != "prompt_id"}
+                found.setdefault(str(x["prompt_id"]), []).extend([row] if row else [])
+    return [json.dumps(found[str(k)], ensure_ascii=False) if str(k) in found else None for k in range(n)]
+
 
+LONGEST_LOOP = 12  # times that a short piece may follow itself in a plausible value
 
-_CODE = ("lambda", "def ", "print(", "except:", "import ", "return ", "if __name__", "class ", "->")  # fixed values
+
+def _is_code(text: str) -> bool:
+    """Whether a text is a program: it can be parsed as one, and calls, defines, imports, assigns or returns something."""
+    try:
+        nodes = list(ast.walk(ast.parse(text)))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return any(isinstance(x, (ast.Call, ast.FunctionDef, ast.ClassDef, ast.Lambda, ast.Import, ast.ImportFrom, ast.Assign, ast.Return)) for x in nodes)
 
 
 def plausible(value: str | None) -> bool:
-    """Whether a value reads like an answer: not mostly brackets or symbols, no code, words among its parts."""
+    """Whether a value reads like an answer: letters and digits are half of it at least, it begins like a text and does not end like a statement, and it is
+    no JSON container, no program (also line by line), and no endless loop of one piece."""
     text = (value or "").strip()
-    words = text.split()
-    brackets = sum(c in "{}()[]" for c in text)
-    symbols = sum(not (c.isalnum() or c.isspace() or c in ".,;:!?-'\"") for c in text)
-    wordlike = sum(sum(c.isalpha() for c in w) >= 2 for w in words)
-    faults = (
-        brackets > len(text) // 10 and sum(c in "{}()[];," for c in text) >= 3,
-        sum(k in text.lower() for k in _CODE) >= 2,
-        len(text) > 50 and symbols > 0.3 * len(text),
-        len(words) > 10 and wordlike < 0.3 * len(words),
-        re.search(r",\d+\}\}|[,\s]{3,}.*[,\s]{3,}", text) is not None,
-        text.startswith((", ", "=, ")),
-    )
-    return not text or not any(faults)
+    if not text:
+        return True
+    if 2 * sum(map(str.isalnum, text)) < sum(not c.isspace() for c in text) or text[0] in ",;:.!?)]}>|=/" or text[-1] in ";{}":
+        return False
+    if text[0] in "[{":
+        try:
+            return not isinstance(json.loads(text), (dict, list))
+        except ValueError:
+            pass
+    if re.search(rf"(.{{1,20}}?)\1{{{LONGEST_LOOP},}}", text, re.DOTALL):
+        return False
+    return not any(_is_code(x.strip()) for x in [text, *text.splitlines()] if x.strip())
 
 
 def record_key(provider, prompt: str, outputs: Sequence[str]) -> str:
@@ -284,9 +308,8 @@ def resolved(prompt: str) -> Column:
 
 def ask_model(prompts: DataFrame, provider, outputs: Sequence[str], options: Options) -> DataFrame:
     """(prompt, key, ok, raw, rows, tokens) of distinct prompts, each asked once; written before use."""
-    hint = format_hint(outputs)
-    if options.candidates:
-        hint = "\nChoose from: " + "; ".join(sorted(set(options.candidates))[: options.most_candidates]) + hint
+    choices = "\nChoose from: " + "; ".join(sorted(set(options.candidates))[: options.most_candidates]) if options.candidates else ""
+    hint = choices + format_hint(outputs)
     names, size, together, strict = list(outputs), options.batch, options.together, options.plausible
     work = cloudpickle.dumps((provider, parse_answer, record_key, in_one, taken_apart, plausible))
 
@@ -299,7 +322,7 @@ def ask_model(prompts: DataFrame, provider, outputs: Sequence[str], options: Opt
                 new = [p for p, k in zip(asked, known, strict=True) if k is None]
                 began = time.perf_counter()
                 groups = [new[k : k + together] for k in range(0, len(new), together)]
-                replies = provider.complete([g[0] + hint if len(g) == 1 else joined(g, names) for g in groups], names) if new else []
+                replies = provider.complete([g[0] + hint if len(g) == 1 else joined(g, names, choices) for g in groups], names) if new else []
                 got = iter([a for g, r in zip(groups, replies, strict=True) for a in ([r] if len(g) == 1 else apart(r, len(g)))])
                 each = (time.perf_counter() - began) / max(1, len(new))
                 raws = [k if k is not None else next(got) for k in known]

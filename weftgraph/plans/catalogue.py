@@ -90,11 +90,11 @@ def values_join(spark: SparkSession, sf: str) -> DataFrame:
     return lexed(s, "n", "r")
 
 
-@query("SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (VALUES ('ASIA', NULL), (NULL, 'FRANCE'), ('AFRICA', 'KENYA')) v(vr, vn) ON (vr IS NULL OR vr = r_name) AND (vn IS NULL OR vn = n_name)")
+@query("SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (VALUES ('ASIA', NULL), (NULL, 'NATION_7'), ('AFRICA', 'NATION_10')) v(vr, vn) ON (vr IS NULL OR vr = r_name) AND (vn IS NULL OR vn = n_name)")
 def values_undef(spark: SparkSession, sf: str) -> DataFrame:
     g = star_graph(spark, sf, ["nation", "region"])
     s = P.bgp(g, ("?x", B + "region", "?y"), ("?x", B + "n_name", "?n"), ("?y", B + "r_name", "?r"))
-    v = P.values(spark, ["?r", "?n"], [[Lit("ASIA"), None], [None, Lit("FRANCE")], [Lit("AFRICA"), Lit("KENYA")]])
+    v = P.values(spark, ["?r", "?n"], [[Lit("ASIA"), None], [None, Lit("NATION_7")], [Lit("AFRICA"), Lit("NATION_10")]])
     return lexed(P.join(s, v), "n", "r")
 
 
@@ -537,6 +537,18 @@ def genop_together(spark: SparkSession, sf: str) -> DataFrame:
     return lexed(generate(s, "N [{?n}]", ["a", "b"], Echo(how="upper"), Options(together=5)).solutions, "n", "a", "b")
 
 
+@query("SELECT CAST(k AS INTEGER) AS together, count(*) AS rows, CAST(sum(length(w)) AS BIGINT) AS chars FROM (SELECT unnest([1, 2, 5]) AS k), (SELECT DISTINCT p, w FROM (SELECT p_partkey AS p, unnest(string_split(p_name || ' ' || p_brand, ' ')) AS w FROM part) WHERE w <> '') GROUP BY k")
+def genop_together_several(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts with several answers and candidates give the same rows however many share a request."""
+    g = star_graph(spark, sf, ["part"])
+    s = P.bgp(g, ("?p", RDFS_LABEL, "?n"), ("?p", B + "p_brand", "?b"))
+    each = []
+    for k in (1, 2, 5):
+        made = generate(s, "N [{?n} {?b}]", ["w"], Echo(several=" "), Options(together=k, candidates=["plain", "gold"]))
+        each.append(made.solutions.df.agg(F.lit(k).alias("together"), F.count("*").alias("rows"), F.sum(F.length("w.lex")).alias("chars")))
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 @query("SELECT count(*) AS n_prompts, CAST(0 AS BIGINT) AS n_failed, count(*) AS n_rows, CAST(sum(ceil((length(n) + 4) / 4)) AS BIGINT) AS tokens, CAST(sum(ceil((length(n) + 4) / 4)) AS BIGINT) AS tokens_out, CAST(5 * 3 + count(*) AS DOUBLE) / (3 + count(*)) AS fan_out FROM (SELECT DISTINCT c_name AS n FROM customer)")
 def genop_metrics(spark: SparkSession, sf: str) -> DataFrame:
     s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")

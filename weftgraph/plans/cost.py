@@ -43,24 +43,30 @@ def estimate(statistics: DataFrame, tokens_out: int, per_million_in: float, per_
     return out.withColumns({"price": price, "seconds": F.ceil(F.col("n_calls") / at_once) * seconds_a_call})
 
 
-# fixed values: words that tell how many answers a prompt asks for
-_COUNTS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twenty": 20, "fifty": 50}
-_VERBS = "list top name give select provide generate return find".split()
-_SINGLE = ("the capital of", "which ", "what is the", "who is the", "the name of")
-_MANY = "list all enumerate several examples kinds types many".split()
+_NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
+#: What asks for a single thing: forms of be that a question word governs in the singular, and plain words for one.
+_ASKS_ONE = re.compile(r"\b(?:who|what|which|where|when|how)(?:\s+\w+)?(?:'s|\s+(?:is|was))\b|\b(?:only one|exactly one|a single|the single)\b")
+#: What asks for a list: the plural forms, imperatives for lists, and words for more than one.
+_ASKS_MANY = re.compile(r"\b(?:who|what|which|where)(?:\s+\w+)?\s+(?:are|were)\b|\b(?:list|enumerate|mention|all|every|each|several|some|various|different|multiple)\b")
+
+
+def _asked_number(low: str) -> int:
+    """The first number, in digits or as a word, that a plural follows within two words or that ends the text; 0 if none."""
+    words = re.findall(r"[\w']+", low)
+    for k, w in enumerate(words):
+        n = int(w) if w.isdecimal() else _NUMBER_WORDS.index(w) + 1 if w in _NUMBER_WORDS else 0
+        if 1 <= n <= 100 and (k == len(words) - 1 or any(x.endswith("s") for x in words[k + 1 : k + 3])):
+            return n
+    return 0
 
 
 def fan_out(prompt: str | None) -> float:
     """Rows that an answer is expected to have: the number that the prompt asks for (1 to 100), 1 if it asks for a single
     thing, 10 if for a list, else 5."""
     low = (prompt or "").lower()
-    asked = re.search(rf"\b(?:{'|'.join(_VERBS)})\s+(?:(?:up to|the)\s+)?(\d{{1,3}}|{'|'.join(_COUNTS)})\b", low)
-    n = (_COUNTS.get(asked[1]) or int(asked[1])) if asked else 0
-    if 1 <= n <= 100:
+    if n := _asked_number(low):
         return float(n)
-    if any(x in low for x in _SINGLE):
-        return 1.0
-    return 10.0 if re.search(rf"\b(?:{'|'.join(_MANY)})\b", low) else 5.0
+    return 1.0 if _ASKS_ONE.search(low) else 10.0 if _ASKS_MANY.search(low) else 5.0
 
 
 def observed_fan_out(prior: float, answers: DataFrame) -> DataFrame:
