@@ -3,6 +3,8 @@ that gives the same rows."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ from ..operators import patterns as P
 from ..operators import similarity as S
 from ..operators.embed import LetterCounts, compared, embed_texts
 from ..operators.generate import Echo, Mock, Options, candidate_labels, generate
-from ..sources.graph import Graph, ntriples, star_graph
+from ..sources.graph import Graph, ntriples, quads_graph, star_graph
 from ..sources.results import json_lines
 from ..sources.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit
+from ..sources.turtle import read_turtle, turtle_text, write_turtle
 from . import cost
+from .staging import shared_dir
 
 B = "http://t/"
 QUERIES: dict = {}
@@ -46,6 +50,26 @@ def long(v: str):
     return F.col(f"{v}.lex").cast("long")
 
 
+# --- files -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'http://t/customer/' || c_custkey AS c, c_name AS name, c_acctbal AS bal, c_nationkey AS home, upper(c_mktsegment) AS first, lower(c_mktsegment) AS second FROM customer")
+def turtle_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as Turtle, with prefixes, blank nodes, lists and strings over lines, read back."""
+    quoted = lambda c: F.concat(F.lit('"""'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"""'))
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    text = turtle_text(
+        F.concat(F.lit("c:"), "c_custkey"), ("a", F.lit("t:Customer")), ("rdfs:label", quoted(F.col("c_name"))), ("t:about", F.concat(F.lit('"""one line .\n@prefix t: <http://other/> .\n'), "c_mktsegment", F.lit('"""@en'))),
+        ("t:bal", F.format_string("%.2fE0", F.col("c_acctbal"))), ("t:home", F.concat(F.lit("[ t:nation "), "c_nationkey", F.lit(" ]"))), ("t:segments", F.concat(F.lit("( "), quoted(F.upper("c_mktsegment")), F.lit("\n "), quoted(F.lower("c_mktsegment")), F.lit(" )"))),
+    )
+    path = f"{shared_dir(spark)}/turtle-{uuid.uuid4().hex}"
+    write_turtle(rows.select(text), path, {"c": B + "customer/", "t": B, "rdfs": RDFS_LABEL[: -len("label")]})
+    rdf = RDF_TYPE[: -len("type")]
+    g = quads_graph(read_turtle(spark, path).quads, [RDFS_LABEL, B + "bal", B + "home", B + "nation", B + "segments", rdf + "first", rdf + "rest"])
+    s = P.bgp(g, ("?c", RDFS_LABEL, "?name"), ("?c", B + "bal", "?bal"), ("?c", B + "home", "?h"), ("?h", B + "nation", "?home"), ("?c", B + "segments", "?l"), ("?l", rdf + "first", "?first"), ("?l", rdf + "rest", "?m"), ("?m", rdf + "first", "?second"), ("?m", rdf + "rest", Iri(rdf + "nil")))
+    return lexed(s, "c", "name", "first", "second", bal=num("bal"), home=F.col("home.lex").cast("int"))
+
+
 # --- scans and joins -------------------------------------------------------------------------------------------
 
 

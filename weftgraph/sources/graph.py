@@ -178,7 +178,18 @@ def _unescape(lex: Column) -> Column:
     out = F.replace(lex, F.lit("\\\\"), F.lit("\0"))
     for a, b in _ESCAPES:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.replace(out, F.lit("\0"), F.lit("\\"))
+    return F.replace(_code_points(out), F.lit("\0"), F.lit("\\"))
+
+
+def _code_points(text: Column) -> Column:
+    """The text with its \\uXXXX and \\UXXXXXXXX as the characters they stand for."""
+    def one(x: Column) -> Column:
+        n = F.when(x.startswith("\\U"), 8).otherwise(4)
+        return F.concat(F.decode(F.unhex(F.lpad(F.substr(x, F.lit(3), n), 8, "0")), "UTF-32"), F.substr(x, n + 3))
+
+    escape = r"\\(?:u[0-9A-Fa-f]{4}|U000[0-9A-Fa-f]{5}|U0010[0-9A-Fa-f]{4})"
+    pieces = F.transform(F.split(text, f"(?={escape})"), lambda x: F.when(x.rlike(f"^{escape}"), one(x)).otherwise(x))
+    return F.when(text.contains("\\u") | text.contains("\\U"), F.array_join(pieces, "")).otherwise(text)
 
 
 def _parsed(text: Column) -> Column:
@@ -187,7 +198,7 @@ def _parsed(text: Column) -> Column:
     dt, lang = F.regexp_extract(text, r'"\^\^<([^>]*)>$', 1), F.regexp_extract(text, r'"@([A-Za-z0-9\-]+)$', 1)
     kind = F.when(dt != "", dt).when(lang != "", LANG_STRING).otherwise(XSD + "string")
     return (
-        F.when(text.startswith("<"), term(F.lit(IRI), F.regexp_extract(text, "^<(.*)>$", 1)))
+        F.when(text.startswith("<"), term(F.lit(IRI), _code_points(F.regexp_extract(text, "^<(.*)>$", 1))))
         .when(text.startswith("_:"), term(F.lit(BNODE), F.substring(text, 3, 1 << 20)))
         .otherwise(term(F.lit(LITERAL), lex, kind, F.when(lang != "", lang)))
     )
@@ -196,13 +207,18 @@ def _parsed(text: Column) -> Column:
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """(g, s, p, o) of N-Triples or N-Quads files, without repeats; g is null in the default graph.
 
-    Lines that are no statements (comments, blank lines, faulty ones) are left out.
+    Lines that are no statements (comments, blank lines, faulty ones) are left out; see read_ntriples_faults.
     """
     lines = spark.read.text(path).where(F.col("value").rlike(_STATEMENT))
     part = lambda k: F.regexp_extract("value", _STATEMENT, k)
     return lines.select(F.when(part(4) != "", part(4)).alias("g"), _parsed(part(1)).alias("s"), part(2).alias("p"), _parsed(part(3)).alias("o")).distinct()
 
 
+def read_ntriples_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(value) lines of N-Triples or N-Quads files that are neither statements nor comments nor blank."""
+    return spark.read.text(path).where(~F.col("value").rlike(_STATEMENT) & ~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+
+
 def quads_graph(quads: DataFrame, predicates: Iterable[str], graphs: Iterable[str] = ()) -> Graph:
     """A graph over stored quads; predicates and named graphs are those a query names."""
     of = lambda rows: {p: rows.where(F.col("p") == p).select("s", "o") for p in predicates}
