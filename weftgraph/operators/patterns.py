@@ -153,7 +153,7 @@ def _risky(a: Solutions, b: Solutions) -> str | None:
     return next((v for v in shared(a, b) if v in a.maybe or v in b.maybe), None)
 
 
-def _split(x: Solutions, v: str) -> tuple[Solutions, Solutions | None]:
+def split_by(x: Solutions, v: str) -> tuple[Solutions, Solutions | None]:
     """Rows that bind v, and rows that do not, without the column; None if all rows bind it."""
     if v not in x.maybe:
         return x, None
@@ -185,7 +185,7 @@ def join(a: Solutions, b: Solutions) -> Solutions:
         on = shared(a, b)
         return _both(a, b, a.df.join(b.df, on), a.maybe | b.maybe) if on else product(a, b)
     names = a.variables + [n for n in b.variables if n not in a.variables]
-    (a1, a0), (b1, b0) = _split(a, v), _split(b, v)
+    (a1, a0), (b1, b0) = split_by(a, v), split_by(b, v)
     parts = [join(a1, b1)]
     if a0:
         parts.append(join(a0, b1))
@@ -204,7 +204,7 @@ def semi(a: Solutions, b: Solutions) -> Solutions:
         on = shared(a, b)
         return a.with_(a.df.join(b.df.select(*on), on, "left_semi") if on else a.df if b.df.limit(1).count() else a.df.limit(0))
     names = a.variables
-    (a1, a0), (b1, b0) = _split(a, v), _split(b, v)
+    (a1, a0), (b1, b0) = split_by(a, v), split_by(b, v)
     parts = [semi(a1, b1)]
     if b0:
         parts.append(semi(anti(a1, b1), b0))
@@ -220,7 +220,7 @@ def anti(a: Solutions, b: Solutions) -> Solutions:
         on = shared(a, b)
         return a.with_(a.df.join(b.df.select(*on), on, "left_anti") if on else a.df.limit(0) if b.df.limit(1).count() else a.df)
     names = a.variables
-    (a1, a0), (b1, b0) = _split(a, v), _split(b, v)
+    (a1, a0), (b1, b0) = split_by(a, v), split_by(b, v)
     rest = anti(a1, b1)
     if b0:
         rest = anti(rest, b0)
@@ -237,7 +237,7 @@ def minus(a: Solutions, b: Solutions) -> Solutions:
     if v is None:
         return a.with_(a.df.join(b.df.select(*on), on, "left_anti"))
     names = a.variables
-    (a1, a0), (b1, b0) = _split(a, v), _split(b, v)
+    (a1, a0), (b1, b0) = split_by(a, v), split_by(b, v)
     rest = anti(a1, b1)  # v is bound on both sides
     if b0:
         rest = minus(rest, b0)

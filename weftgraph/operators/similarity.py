@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.staging import save
 from ..sources.graph import Graph
 from ..sources.terms import LABEL_PROPERTIES, LITERAL
-from .patterns import Solutions, join, product, shared
+from .patterns import Solutions, join, product, shared, split_by, union
+from .vectors import BLOCK, VectorIndex, build_index, search
 
 DEFAULT_THETA = 0.85
 _TRIM = r"^[\x00-\x20]+|[\x00-\x20]+\z"
@@ -100,30 +99,93 @@ def matching_texts(left: DataFrame, right: DataFrame, theta: float) -> DataFrame
     return near.withColumn("similarity", jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= theta)
 
 
-def term_matches(generated: DataFrame, terms: DataFrame, label_table: DataFrame, theta: float) -> DataFrame:
+def text_matches(left: DataFrame, right: DataFrame, theta: float, measure: str = "words", vectors: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity, reason) of texts of left (a) and right (b) that are similar by a measure: words (Jaccard of word
+    sets), edit (edit distance), or vectors: the cosine of vectors (text, v), 1 for equal texts, and words where one of
+    the texts has no vector. reason is the measure that a pair was compared by."""
+    if measure == "words":
+        return matching_texts(left, right, theta).withColumn("reason", F.lit("words"))
+    if measure == "edit":
+        from .edits import edit_matches
+
+        return edit_matches(left, right, theta).withColumn("reason", F.lit("edit"))
+    if measure != "vectors" or vectors is None:
+        raise ValueError("measures are words, edit, and vectors with a table of them")
+    a, b = (rows.select(c).where(f"{c} IS NOT NULL").distinct() for rows, c in ((left, "a"), (right, "b")))
+    has = vectors.where("v IS NOT NULL").dropDuplicates(["text"])
+    with_a, with_b = (rows.join(has.withColumnRenamed("text", c), c) for rows, c in ((a, "a"), (b, "b")))
+    without_a, without_b = (rows.join(has.select(F.col("text").alias(c)), c, "left_anti") for rows, c in ((a, "a"), (b, "b")))
+    equal = a.join(b, F.col("a") == F.col("b")).select("a", "b", F.lit(1.0).alias("similarity"), F.lit("equal").alias("reason"))
+    near = search(with_a.select(F.col("a").alias("q"), "v"), build_index(with_b.select(F.col("b").alias("id"), "v")), None, theta).select(F.col("q").alias("a"), F.col("id").alias("b"), "similarity", F.lit("vectors").alias("reason"))
+    words = matching_texts(without_a, b, theta).unionByName(matching_texts(with_a.select("a"), without_b, theta)).withColumn("reason", F.lit("words"))
+    return equal.unionByName(near.unionByName(words).where("a <> b"))
+
+
+def term_matches(generated: DataFrame, terms: DataFrame, label_table: DataFrame, theta: float, measure: str = "words", vectors: DataFrame | None = None) -> DataFrame:
     """(value, term, similarity): generated texts (value) and terms of which a label is similar enough; the most
     similar label counts."""
     named = texts_of(terms.select("term").distinct(), label_table)
-    pairs = matching_texts(generated.select(F.col("value").alias("a")), named.select(F.col("label").alias("b")), theta)
+    pairs = text_matches(generated.select(F.col("value").alias("a")), named.select(F.col("label").alias("b")), theta, measure, vectors)
     found = pairs.join(named.select("term", F.col("label").alias("b")), "b")
     return found.groupBy(F.col("a").alias("value"), "term").agg(F.max("similarity").alias("similarity"))
 
 
-def similarity_join(pattern: Solutions, made: Solutions, graph: Graph, theta: float = DEFAULT_THETA) -> Solutions:
-    """Solutions of a pattern that agree with solutions of a generative one; merged rows keep the graph's terms.
-
-    Shared variables that the generative side holds as generated literals are compared by similarity of their text
-    with the labels of the pattern's term, others by equality.
+def _compatible(pattern: Solutions, made: Solutions, v: str, label_table: DataFrame, theta: float, measure: str, vectors: DataFrame | None) -> DataFrame:
+    """(p, m): terms of both sides for a variable that at least one of them generates, where they agree: a generated
+    literal by its similarity with a generated one, or with a label of another term; all others are the same term."""
+    mine, theirs = (x.df.select(F.col(v).alias(c)).where(F.col(c).isNotNull()).distinct() for x, c in ((pattern, "p"), (made, "m")))
+    split = lambda rows, c, of: (rows.where(F.col(f"{c}.kind") == LITERAL), rows.where(F.col(f"{c}.kind") != LITERAL)) if v in of.generated else (rows.limit(0), rows)
+    (p_made, p_other), (m_made, m_other) = split(mine, "p", pattern), split(theirs, "m", made)
+    parts = [p_other.join(m_other, F.col("p") == F.col("m"))]
+    values = lambda rows, c: rows.select(F.col(f"{c}.lex").alias("value")).distinct()
+    if v in made.generated:
+        found = term_matches(values(m_made, "m"), p_other.select(F.col("p").alias("term")), label_table, theta, measure, vectors).select("value", F.col("term").alias("p"))
+        parts.append(m_made.withColumn("value", F.col("m.lex")).join(found, "value").select("p", "m"))
+    if v in pattern.generated:
+        found = term_matches(values(p_made, "p"), m_other.select(F.col("m").alias("term")), label_table, theta, measure, vectors).select("value", F.col("term").alias("m"))
+        parts.append(p_made.withColumn("value", F.col("p.lex")).join(found, "value").select("p", "m"))
+    if v in made.generated and v in pattern.generated:
+        pairs = text_matches(values(p_made, "p").toDF("a"), values(m_made, "m").toDF("b"), theta, measure, vectors).select("a", "b")
+        parts.append(p_made.withColumn("a", F.col("p.lex")).join(pairs, "a").join(m_made.withColumn("b", F.col("m.lex")), "b").select("p", "m"))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def similarity_join(pattern: Solutions, made: Solutions, graph: Graph, theta: float = DEFAULT_THETA, measure: str = "words", vectors: DataFrame | None = None) -> Solutions:
+    """Solutions of a pattern that agree with solutions of a generative one on all variables that both bind; merged rows
+    keep the graph's terms, and the pattern's of two generated ones.
+
+    Variables that either side holds as generated literals are compared by similarity (see text_matches), others by
+    equality. With several of them the one that the fewest pairs of rows agree on gives the candidates, which the others
+    then verify.
     """
+    similar_ones = [x for x in shared(pattern, made) if x in made.generated | pattern.generated]
+    open_ = next((v for v in similar_ones if v in pattern.maybe or v in made.maybe), None)
+    if open_ is not None:  # unbound on one side: that side's rows agree with all
+        (p1, p0), (m1, m0) = split_by(pattern, open_), split_by(made, open_)
+        parts = [similarity_join(x, y, graph, theta, measure, vectors) for x, y in ((p1, m1), (p0, m1), (p1, m0), (p0, m0)) if x is not None and y is not None]
+        return reduce(union, parts)
+    if not similar_ones:
+        return join(pattern, made)
     label_table = labels(graph)
-    out = made
-    for v in [x for x in shared(pattern, made) if x in made.generated]:
-        values = out.df.where(F.col(f"{v}.kind") == LITERAL).select(F.col(f"{v}.lex").alias("value")).distinct()
-        found = term_matches(values, pattern.df.where(F.col(v).isNotNull()).select(F.col(v).alias("term")), label_table, theta).select("value", "term")
-        mapped = out.df.where(F.col(f"{v}.kind") == LITERAL).withColumn("value", F.col(f"{v}.lex")).drop(v).join(found, "value").drop("value").withColumnRenamed("term", v)
-        as_is = out.df.where(F.col(f"{v}.kind") != LITERAL)
-        out = Solutions(mapped.unionByName(as_is), out.maybe, out.generated - {v}, out.thetas)
-    return join(pattern, out)
+    agree = {v: save(_compatible(pattern, made, v, label_table, theta, measure, vectors), "agree") for v in similar_ones}
+    if len(similar_ones) > 1:
+        def pairs_of(v: str) -> int:
+            p, m = (x.df.groupBy(F.col(v).alias(c)).agg(F.count("*").cast("decimal(38,0)").alias(f"n_{c}")) for x, c in ((pattern, "p"), (made, "m")))
+            return agree[v].join(p, "p").join(m, "m").agg(F.coalesce(F.sum(F.col("n_p") * F.col("n_m")), F.lit(0))).first()[0]
+
+        similar_ones.sort(key=pairs_of)
+    first, rest = similar_ones[0], similar_ones[1:]
+    theirs = made.df.withColumnsRenamed({v: f"__{v}" for v in similar_ones})
+    theirs = theirs.join(agree[first].select(F.col("p").alias(first), F.col("m").alias(f"__{first}")), f"__{first}")
+    met = join(pattern, Solutions(theirs, made.maybe, made.generated - set(similar_ones), made.thetas))
+    df = met.df
+    for v in rest:
+        df = df.join(agree[v].select(F.col("p").alias(v), F.col("m").alias(f"__{v}")), [v, f"__{v}"], "left_semi")
+    from_made = [v for v in similar_ones if v in pattern.generated and v not in made.generated]
+    out = df.select(*(F.coalesce(f"__{v}", v).alias(v) if v in from_made else F.col(v) for v in [*pattern.variables, *(x for x in made.variables if x not in pattern.variables)]))
+    both = {v for v in similar_ones if v in pattern.generated and v in made.generated}
+    mapped = set(similar_ones) - both
+    return Solutions(out, frozenset(v for v in met.maybe if v in out.columns), frozenset((pattern.generated | made.generated) & set(out.columns)) - mapped, {**made.thetas, **pattern.thetas})
 
 
 def similar(a: Solutions, x: str, y: Column, theta: float | None = None) -> Column:
@@ -134,49 +196,7 @@ def similar(a: Solutions, x: str, y: Column, theta: float | None = None) -> Colu
     return F.when(v.isNull() | y.isNull(), F.lit(None)).when(v["kind"] == LITERAL, jaccard(v["lex"], y["lex"]) >= limit).otherwise(v == y)
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int | None = 1, theta: float = 0.0, block: int = 4096) -> DataFrame:
-    """(q, id, similarity): the k nearest vectors of index (id, v) by cosine of each of queries (q, v), if at least
-    theta; ties go to the smaller id. k of None takes all that reach theta.
-
-    Queries are the smaller set: they are gone through in blocks of a fixed number of vectors, each against the
-    whole index in matrix products, and each task sends its k best a query on. Null and zero vectors match nothing.
-    """
-    spark = index.sparkSession
-    out = None
-    asked = queries.where("v IS NOT NULL").orderBy("q").select("q", "v")
-    rows: list = []
-
-    def against(rows: list) -> DataFrame:
-        names, vectors = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-        length = np.linalg.norm(vectors, axis=1, keepdims=True)
-        sent = spark.sparkContext.broadcast((names, np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, unit = sent.value
-            for batch in batches:
-                ids = np.array(batch.column(0).to_pylist())
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-                length = np.linalg.norm(v, axis=1)
-                some = length > 0
-                if not some.any():
-                    continue
-                ids, v = ids[some], v[some] / length[some, None]
-                score = np.clip(unit @ v.T, 0.0, 1.0)
-                least = theta if k is None else np.maximum(theta, np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids)), None])
-                q, i = np.nonzero(score >= least)
-                yield pa.RecordBatch.from_pydict({"q": pa.array([names[x] for x in q.tolist()], pa.int64()), "id": pa.array(ids[i], pa.int64()), "similarity": pa.array(score[q, i], pa.float64())})
-
-        return index.where("v IS NOT NULL").select(F.col("id").cast("long"), "v").mapInArrow(best, "q long, id long, similarity double")
-
-    for r in asked.toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            out = against(rows) if out is None else out.unionByName(against(rows))
-            rows = []
-    if rows or out is None:
-        last = against(rows) if rows else spark.createDataFrame([], "q long, id long, similarity double")
-        out = last if out is None else out.unionByName(last)
-    if k is None:
-        return out
-    top = out.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "id"))), 1, k).alias("best"))
-    return top.select("q", F.explode("best").alias("b")).select("q", F.col("b.id").alias("id"), (-F.col("b.d")).alias("similarity"))
+def nearest(queries: DataFrame, index: DataFrame | VectorIndex, k: int | None = 1, theta: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """(q, id, similarity): the k nearest vectors of an index, or of a table (id, v) that an index is built of, by cosine of
+    each of queries (q, v), if at least theta; ties go to the smaller id. k of None takes all that reach theta."""
+    return search(queries, build_index(index, block=block) if isinstance(index, DataFrame) else index, k, theta, block)

@@ -17,7 +17,7 @@ from ..operators.embed import LetterCounts, compared, embed_texts
 from ..operators.generate import Echo, Mock, Options, candidate_labels, generate
 from ..sources.graph import Graph, ntriples, quads_graph, star_graph
 from ..sources.results import json_lines
-from ..sources.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit
+from ..sources.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit, literal
 from ..sources.turtle import read_turtle, turtle_text, write_turtle
 from . import cost
 from .staging import shared_dir
@@ -594,18 +594,60 @@ def genop_candidates(spark: SparkSession, sf: str) -> DataFrame:
 _JACCARD = "CASE WHEN {a} = {b} THEN 1.0 ELSE len(list_intersect(list_distinct(string_split_regex(lower(trim({a})), '\\s+')), list_distinct(string_split_regex(lower(trim({b})), '\\s+')))) / len(list_distinct(list_concat(string_split_regex(lower(trim({a})), '\\s+'), string_split_regex(lower(trim({b})), '\\s+')))) END"
 
 
-def _part_pairs(theta: float):
-    sql = f"WITH t AS (SELECT DISTINCT p_name FROM part), j AS (SELECT a.p_name AS a, b.p_name AS b, {_JACCARD.format(a='a.p_name', b='b.p_name')} AS similarity FROM t a, t b) SELECT a, b, CAST(similarity AS DOUBLE) AS similarity FROM j WHERE similarity >= {theta}"
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: CAST(length({x}) - length(replace({x}, c, '')) AS DOUBLE))"
+
+
+def _part_pairs(theta: float, left: list[str], right: list[str]):
+    """Texts made of columns of part and words; those of left and right may differ in their order."""
+    of = lambda parts: " || ' ' || ".join(x if x.startswith("p_") else f"'{x}'" for x in parts)
+    sql = f"WITH x AS (SELECT DISTINCT {of(left)} AS a FROM part), y AS (SELECT DISTINCT {of(right)} AS b FROM part), j AS (SELECT a, b, {_JACCARD.format(a='a', b='b')} AS similarity FROM x, y) SELECT a, b, CAST(similarity AS DOUBLE) AS similarity FROM j WHERE similarity >= {theta}"
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        names = P.match(star_graph(spark, sf, ["part"]), "?p", RDFS_LABEL, "?n").df.select(F.col("n.lex").alias("a"))
-        return S.matching_texts(names, names.select(F.col("a").alias("b")), theta)
+        g = star_graph(spark, sf, ["part"])
+        s = P.bgp(g, *(("?p", B + c, f"?{c}") for c in sorted({*left, *right}) if c.startswith("p_"))).df
+        text = lambda parts: F.concat_ws(" ", *(F.col(f"{x}.lex") if x.startswith("p_") else F.lit(x) for x in parts))
+        return S.matching_texts(s.select(text(left).alias("a")), s.select(text(right).alias("b")), theta)
 
     return sql, run
 
 
-for _name, _theta in (("simjoin_jaccard_05", 0.5), ("simjoin_jaccard_085", 0.85), ("simjoin_jaccard_1", 1.0)):
-    ORACLE_SQL[_name], QUERIES[_name] = _part_pairs(_theta)
+_SHORT = ["p_name", "p_brand", "p_type"]
+_LONG = ["p_name", "p_type", "of", "p_brand", "sold by the piece, at retail price, in size", "p_size"]
+for _name, _theta, _left, _right in (("simjoin_jaccard_05", 0.5, _SHORT, _SHORT), ("simjoin_jaccard_085", 0.85, _LONG, _LONG), ("simjoin_jaccard_1", 1.0, _SHORT, _SHORT[::-1])):
+    ORACLE_SQL[_name], QUERIES[_name] = _part_pairs(_theta, _left, _right)
+
+
+@query("WITH x AS (SELECT DISTINCT p_type || ' ' || p_name || ' ' || p_brand AS a FROM part), y AS (SELECT DISTINCT substr(t, 1, p_size % 20) || 'x' || substr(t, p_size % 20 + 2) AS b FROM (SELECT p_type || ' ' || p_name || ' ' || p_brand AS t, p_size FROM part)), j AS (SELECT a, b, CASE WHEN a = b THEN 1.0 WHEN lower(trim(a)) = lower(trim(b)) THEN 0.98 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END AS similarity FROM x, y) SELECT a, b, CAST(similarity AS DOUBLE) AS similarity FROM j WHERE similarity >= 0.9")
+def simjoin_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """Names, and names with a typing error, by edit distance."""
+    part = spark.read.parquet(f"{sf}/part.parquet").select(F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("a"), (F.col("p_size") % 20).alias("n"))
+    typed = part.select(F.concat(F.expr("substr(a, 1, n)"), F.lit("x"), F.expr("substr(a, n + 2)")).alias("b"))
+    return S.text_matches(part.select("a"), typed, 0.9, "edit").drop("reason")
+
+
+@query(f"""WITH x AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS a FROM part), y AS (SELECT DISTINCT p_brand || ' ' || p_type || ' ' || p_name AS b FROM part),
+p AS (SELECT a, {_LETTERS.format(x='a')} AS v, starts_with(a, 'b') AS none FROM x), q AS (SELECT b, {_LETTERS.format(x='b')} AS w FROM y),
+j AS (SELECT a, b, CASE WHEN none THEN 'words' ELSE 'vectors' END AS reason, CASE WHEN none THEN {_JACCARD.format(a='a', b='b')} ELSE least(1.0, list_cosine_similarity(v, w)) END AS similarity FROM p, q)
+SELECT a, reason, count(*) AS n, round(avg(similarity), 6) AS similarity FROM j WHERE similarity >= 0.913 GROUP BY a, reason""")
+def simjoin_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts by the cosine of their vectors, and by words where they have none."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    left, right = part.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("a")), part.select(F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("b"))
+    vectors = embed_texts(left.toDF("text").unionByName(right.toDF("text")), LetterCounts("b"))
+    found = S.text_matches(left, right, 0.913, "vectors", vectors)
+    return found.groupBy("a", "reason").agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 6).alias("similarity"))
+
+
+@query("SELECT s_name AS s, count(*) AS n FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_mktsegment = CASE WHEN s_acctbal > 4000 THEN 'BUILDING' ELSE 'MACHINERY' END GROUP BY s_name")
+def simjoin_two_variables(spark: SparkSession, sf: str) -> DataFrame:
+    """A generated nation and a generated segment must both agree with a customer's."""
+    g = star_graph(spark, sf, ["supplier", "customer", "nation"])
+    s = P.bgp(g, ("?y", RDFS_LABEL, "?s"), ("?y", B + "s_acctbal", "?b"), ("?y", B + "nation", "?z"), ("?z", B + "n_name", "?m"))
+    made = generate(s, "Home of {?s}: [{?m}]", ["x"], Echo(how="lower")).solutions
+    made = P.bind(made, "?w", literal(F.when(fn.number("?b") > 4000, "Building").otherwise(" machinery ")))
+    made = P.project(generate(made, "Segment for {?s}: [{?w}]", ["seg"], Echo()).solutions, "s", "x", "seg")
+    found = S.similarity_join(P.bgp(g, ("?c", B + "nation", "?x"), ("?c", B + "c_mktsegment", "?seg")), made, g)
+    return P.native(P.group(found, ["s"], {"n": F.count("*")}), s=F.col("s.lex"), n=F.col("n"))
 
 
 @query("SELECT c_name AS c, n_name AS n, 'http://t/nation/' || n_nationkey AS x FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 8000")
@@ -663,7 +705,6 @@ def label_texts(spark: SparkSession, sf: str) -> DataFrame:
     return S.texts_of(terms, S.labels(g)).select(F.col("term.lex").alias("term"), "label")
 
 
-_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: CAST(length({x}) - length(replace({x}, c, '')) AS DOUBLE))"
 
 
 @query(f"""WITH t AS (SELECT a.p_partkey AS k, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), m AS (SELECT *, starts_with(a, 'b') OR starts_with(b, 'b') AS words FROM t)
