@@ -34,17 +34,15 @@ def _candidates(a: DataFrame, b: DataFrame, theta: float, q: int) -> DataFrame:
     rank = every.groupBy("g").agg(F.count("*").alias("often"))
 
     def prefix(rows: DataFrame, c: str) -> DataFrame:
-        each = rows.select(c, f"n_{c}", F.posexplode(f"g_{c}").alias(f"at_{c}", "g")).join(rank, "g")
+        each = rows.select(c, f"n_{c}", F.array_distinct(f"g_{c}").alias(f"d_{c}"), F.posexplode(f"g_{c}").alias(f"at_{c}", "g")).join(rank, "g")
         most = q * _edits(F.col(f"n_{c}") / theta, theta) + 1  # the longer text of a pair may have n / theta characters
         place = F.rank().over(W.partitionBy(c).orderBy("often", "g"))  # equal grams have one place
-        return each.withColumn("place", place).where(F.col("place") <= most).select("g", c, f"n_{c}", f"at_{c}")
+        return each.withColumn("place", place).where(F.col("place") <= most).select("g", c, f"n_{c}", f"at_{c}", f"d_{c}")
 
     met = prefix(left, "a").join(prefix(right, "b"), "g")
     most = _edits(F.greatest("n_a", "n_b"), theta)
-    met = met.where((F.abs(F.col("n_a") - F.col("n_b")) <= most) & (F.abs(F.col("at_a") - F.col("at_b")) <= most)).select("a", "b").distinct()
-    x, y = F.array_distinct(_grams(F.col("a"), q)), F.array_distinct(_grams(F.col("b"), q))
-    most = _edits(F.greatest(F.length("a"), F.length("b")), theta)
-    return met.where(F.size(F.array_intersect(x, y)) >= F.greatest(F.size(x), F.size(y)) - q * most)
+    met = met.where((F.abs(F.col("n_a") - F.col("n_b")) <= most) & (F.abs(F.col("at_a") - F.col("at_b")) <= most))
+    return met.where(F.size(F.array_intersect("d_a", "d_b")) >= F.greatest(F.size("d_a"), F.size("d_b")) - q * most).select("a", "b").distinct()
 
 
 def edit_matches(left: DataFrame, right: DataFrame, theta: float) -> DataFrame:

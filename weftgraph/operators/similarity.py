@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.staging import save
@@ -79,7 +78,7 @@ def matching_texts(left: DataFrame, right: DataFrame, theta: float) -> DataFrame
 
     Texts that are equal after normal() meet by an equi-join. Others share a word among the rarest of each: words
     are ranked by how many texts of right hold them, and only the prefix that a match must reach is joined, within
-    the lengths that a match can have. theta of 0 matches all pairs.
+    the lengths that a match can have, and where as many words are left in both texts as it needs. theta of 0 matches all pairs.
     """
     a = left.select("a").where("a IS NOT NULL").distinct()
     b = right.select("b").where("b IS NOT NULL").distinct()
@@ -90,13 +89,20 @@ def matching_texts(left: DataFrame, right: DataFrame, theta: float) -> DataFrame
     counts = words_b.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n_texts"))
 
     def prefixes(rows: DataFrame, name: str) -> DataFrame:
-        each = rows.select(name, F.size("w").alias("n"), F.explode("w").alias("t")).join(counts, "t", "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(0)))
-        place = F.row_number().over(W.partitionBy(name).orderBy("n_texts", "t"))
-        return each.withColumn("k", place).where(F.col("k") <= F.col("n") - F.ceil(F.lit(theta) * F.col("n") - 1e-9) + 1).select(name, "t", F.col("n").alias(f"n_{name}"))
+        each = rows.select(name, F.explode("w").alias("t")).join(counts, "t", "left")
+        ranked = each.groupBy(name).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), "t"))).alias("w"))
+        words = F.col("w.t")
+        most = F.size("w") - F.ceil(F.lit(theta) * F.size("w") - 1e-9) + 1
+        prefix = F.slice(words, F.lit(1), most.cast("int"))
+        return ranked.select(name, words.alias(f"w_{name}"), F.size("w").alias(f"n_{name}"), prefix.alias(f"p_{name}"), F.posexplode(prefix).alias(f"k_{name}", "t"))
 
     near = prefixes(words_a, "a").join(prefixes(words_b, "b"), "t")
-    near = near.where((F.col("n_a") >= F.lit(theta) * F.col("n_b") - 1e-9) & (F.col("n_b") >= F.lit(theta) * F.col("n_a") - 1e-9)).select("a", "b").distinct()
-    return near.withColumn("similarity", jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= theta)
+    near = near.where((F.col("n_a") >= F.lit(theta) * F.col("n_b") - 1e-9) & (F.col("n_b") >= F.lit(theta) * F.col("n_a") - 1e-9))
+    # a pair is made at the first word that both prefixes have, where enough words are left for the similarity
+    needed = F.ceil(F.lit(theta) / (1 + theta) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    near = near.where((F.least(F.col("n_a") - F.col("k_a"), F.col("n_b") - F.col("k_b")) >= needed) & (F.get(F.array_intersect("p_a", "p_b"), F.lit(0)) == F.col("t")))
+    both = F.size(F.array_intersect("w_a", "w_b"))
+    return near.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(both / (F.col("n_a") + F.col("n_b") - both)).alias("similarity")).where(F.col("similarity") >= theta)
 
 
 def text_matches(left: DataFrame, right: DataFrame, theta: float, measure: str = "words", vectors: DataFrame | None = None) -> DataFrame:
