@@ -188,6 +188,38 @@ def test_extract(source, want):
     assert html.extract(source, None) == want
 
 
+def test_articles_in_remarks_and_prose_beside_articles():
+    remark = '<div class="comments"><article><p>no</p></article></div>'
+    assert html.extract(f"<article><p>a</p>{remark}</article>", None) == "a" and html.extract(f"<main><article><p>a</p></article>{remark}</main>", None) == "a"
+    assert html.extract("<main><article><p>a</p></article><p>b</p></main>", None) == "a\nb"
+    assert html.extract("<main><article><p>a</p></article><div><p><a href=x>more</a></p></div></main>", None) == "a"
+    assert html.extract('<body class="comments"><article><p>a</p></article></body>', None) == "a" and html.extract('<div class="comments"><article><p>a</p></article></div>', None) == "a"
+
+
+def test_templates_alone_take_menus_out_of_the_given_pages(spark):
+    """Counted plainly by host; Spark takes the same subtrees out, and menus go on most pages before any mark is read."""
+    import re
+    from collections import Counter, defaultdict
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    host = lambda u: (re.match(r"\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]+)", u or "") or [None, ""])[1].lower()
+    size = Counter(host(r["url"]) for r in rows)
+    held = Counter((host(r["url"]), k) for r in rows for k in html.template_keys(r["html"]))
+    known = defaultdict(list)
+    for (h, k), n in held.items():
+        if h and n >= html.MIN_PAGES and n >= html.MIN_SHARE * size[h]:
+            known[h].append(k)
+    got = {r["page_id"]: r["text"] for r in html.extract_text(pages).collect()}
+    assert got == {r["page_id"]: html.extract(r["html"], known.get(host(r["url"]))) for r in rows}
+    many = [r for r in rows if size[host(r["url"])] >= 2 * html.MIN_PAGES]
+    changed = [r for r in many if html.extract(r["html"], known[host(r["url"])], marks=False) != html.extract(r["html"], None, marks=False)]
+    assert not many or len(changed) > 0.8 * len(many)
+    menu = "<body><nav class='m{0}'><ul><li><a>x{0}</a></li><li><a>y{0}</a></li></ul></nav><div><p>Prose {0} without <a>link</a></p></div></body>"
+    keys = set.intersection(*(set(html.template_keys(menu.format(i))) for i in range(5)))
+    assert html.extract(menu.format(9), sorted(keys), marks=False) == "Prose 9 without link"
+
+
 def test_site_templates(spark):
     page = lambda i: f"<body><div class='x'><p>Same on all pages of this site {i % 2}</p></div><div><p>Text {i}</p></div></body>"
     rows = [(i, f"https://H.example.com/{i}", page(i)) for i in range(12)] + [(20, "http://other.example.com/", page(0)), (21, None, page(0)), (22, "http://h.example.com/", None)]

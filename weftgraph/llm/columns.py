@@ -24,7 +24,11 @@ def map_columns(df: DataFrame, inputs: list[Column], make: Callable[[list[pa.Arr
     new = _parse_datatype_string(fields)
     assert isinstance(new, StructType)
     names = [c for c in (df.columns if keep is None else keep) if c not in new.names]
-    picked = df.select(*(F.col(f"`{c}`") for c in names), *(c.alias(f"__in{k}") for k, c in enumerate(inputs)))
+    df, names, back = set_aside(df, names, lambda c: "." in c)
+    prefix = "__in"
+    while any(c.startswith(prefix) for c in names):
+        prefix += "_"
+    picked = df.select(*(F.col(f"`{c}`") for c in names), *(c.alias(f"{prefix}{k}") for k, c in enumerate(inputs)))
     n = len(names)
     schema = StructType([*picked.schema.fields[:n], *new.fields])
     arrow = to_arrow_schema(new)
@@ -36,7 +40,7 @@ def map_columns(df: DataFrame, inputs: list[Column], make: Callable[[list[pa.Arr
             out = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(make(batch.columns[n:]), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out], names=[*names, *arrow.names])
 
-    return picked.mapInArrow(run, schema)
+    return back(picked.mapInArrow(run, schema))
 
 
 def packed(names: list[str]) -> Column:
@@ -48,6 +52,16 @@ def unpacked(df: DataFrame, names: list[str], new: list[str]) -> DataFrame:
     return df.select(*(F.col("__row")[c].alias(c) for c in names), *new)
 
 
+def set_aside(df: DataFrame, keep: list[str], reserved: Callable[[str], bool] = lambda c: c.startswith("__") or "." in c) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """df with copies, under names that no operator uses, of the columns of keep whose names are reserved; the names to
+    keep instead; and what gives a result their own names back. Nothing changes where no name is reserved."""
+    aside = {c: f"kept column {k}" for k, c in enumerate(keep) if reserved(c)}
+    if not aside:
+        return df, keep, lambda out: out
+    back = {v: c for c, v in aside.items()}
+    return df.withColumns({v: F.col(f"`{c}`") for c, v in aside.items()}), [aside.get(c, c) for c in keep], lambda out: out.withColumnsRenamed(back)
+
+
 class Shared:
     """A broadcast of any object, its class included: workers need no copy of this package. Loaded once a task."""
 

@@ -1,9 +1,11 @@
 """HTML extraction: the main text of pages, with what a site repeats on many pages taken out.
 
 Pages are read as trees of elements. Site template removal comes first, on the whole tree: each element's subtree is
-hashed, Spark counts the pages of a host that hold each hash, and subtrees that recur on many of them are deleted.
-Inside an article text blocks are no template, as articles may quote the same passage; containers in it may be. What a
-site fills anew on each page has no recurring subtree: menus, headers, footers, sidebars, notices, adverts, forms,
+hashed, Spark counts the pages of a host that hold each hash, and subtrees that recur on many of them are deleted. A
+subtree has two hashes: one of its words, and one of its shape, in which texts and digits are masked and repeated parts
+count once. A menu that is filled anew on each page recurs by its shape; only subtrees whose text is mostly links and
+that lie outside of articles go by that. Inside an article text blocks are no template, as articles may quote the same passage; containers in it may be. What a
+site fills anew on each page without links has no recurring subtree: menus, headers, footers, sidebars, notices, adverts, forms,
 comments and scripts also go by their tags, roles, and classes or ids that consist of the words for such parts. Last,
 where a page marks articles or a main element, what is outside goes.
 """
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import map_columns
+from .columns import map_columns, set_aside
 from .staging import Staging, small_batches
 
 MIN_PAGES = 5  # pages of a host that a template is on at least
@@ -45,17 +47,22 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-z]+")
+_MASKED = re.compile(r"\d+")
+#: Of those words the ones for what readers add, which may be articles of their own.
+_REMARKS = frozenset("comment comments disqus replies reply respond".split())
 
 
 class Element:
-    """inside: in an article or main element; holds: has one in it; key: see survey."""
+    """inside: in an article or main element; within: in an article; holds: has an article or main in it; articles: how many
+    outermost articles; key, shape, chars, links: see survey."""
 
-    __slots__ = ("attributes", "children", "holds", "inside", "key", "tag")
+    __slots__ = ("articles", "attributes", "chars", "children", "holds", "inside", "key", "links", "shape", "tag", "within")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes = tag, attributes
         self.children: list[Element | str] = []
-        self.key, self.inside, self.holds = 0, False, False
+        self.key, self.shape, self.chars, self.links, self.articles = 0, 0, 0, 0, 0
+        self.inside, self.within, self.holds = False, False, False
 
 
 def _closed_by(tag: str, opened: str) -> bool:
@@ -130,31 +137,49 @@ def elements(page: Element) -> list[Element]:
 
 
 def survey(page: Element) -> list[Element]:
-    """All elements in page order, each with what it is in, what it holds, and its key: a hash of its tag, its text and
-    its children's keys; 0 without any text."""
+    """All elements in page order, each with what it is in, what it holds, how many characters of text it has, how many of
+    them in links, and its key: a hash of its tag, its text and its children's keys; 0 without any text; and its shape: a
+    hash of its tag, its class and id without digits, and the shapes of its children, runs of equal ones once."""
     every = elements(page)
     for node in every:
-        inside = node.inside or node.tag in ("article", "main")
+        inside, within = node.inside or node.tag in ("article", "main"), node.within or node.tag == "article"
         for c in node.children:
             if not isinstance(c, str):
-                c.inside = inside
+                c.inside, c.within = inside, within
     for node in reversed(every):
         h, some = xxhash.xxh64(node.tag), False
+        named = sorted((n.lower(), _MASKED.sub("", "".join(v).lower())) for n, *v in _ATTRIBUTE.findall(node.attributes)) if node.attributes else []
+        shape, last = xxhash.xxh64(f"{node.tag} {named}", seed=1), None
         for c in node.children:
             if isinstance(c, str):
                 text = " ".join(c.split())
                 if text:
                     h.update(b"\0" + text.encode("utf-8", "surrogatepass"))
                     some = True
+                    node.chars += len(text)
+                now = 0 if text else last
             else:
                 node.holds |= c.holds or c.tag in ("article", "main")
+                node.articles += 1 if c.tag == "article" else c.articles
+                node.chars += c.chars
+                node.links += c.chars if c.tag == "a" else c.links
                 if c.key:
                     h.update(b"\1" + c.key.to_bytes(8, "little"))
                     some = True
+                now = c.shape
+            if now != last:
+                shape.update(now.to_bytes(8, "little"))
+                last = now
         node.key = h.intdigest() if some else 0
+        node.shape = shape.intdigest()
     return every
 
 
+def _linked(node: Element) -> bool:
+    """Whether links are most of an element's text and it lies outside of articles."""
+    return not node.inside and 2 * node.links > node.chars
+
+
 def candidates(every: list[Element]) -> Iterator[Element]:
     """Elements that a template may delete."""
     for c in every:
@@ -162,33 +187,34 @@ def candidates(every: list[Element]) -> Iterator[Element]:
             yield c
 
 
-def _named(value: str, titles: bool) -> bool:
+def _named(value: str, titles: bool, of: frozenset[str] = _BOILERPLATE) -> bool:
     """Whether a class or an id is made of words for boilerplate."""
     for name in value.split():
         parts = [p for p in _PARTS.split(name) if p]
-        words = [p for p in parts if p in _BOILERPLATE and not (titles and p in _TITLES)]
+        words = [p for p in parts if p in of and not (titles and p in _TITLES)]
         if words and all(p in words or p in _NEUTRAL for p in parts):
             return True
     return False
 
 
-def is_boilerplate(node: Element) -> bool:
+def is_boilerplate(node: Element, articles: int = 0) -> bool:
+    """Whether its marks say so. What holds articles that are in no other is none, but for readers' remarks; articles: how
+    many the page has, of which remarks do not hold all."""
     if node.tag in ("#page", "html", "body", "main"):
         return False
     title = node.inside or node.tag == "article"
-    found = node.tag in _DROPPED and not (title and node.tag == "header")
-    if not found and node.attributes:
+    found, remarks = node.tag in _DROPPED and not (title and node.tag == "header"), False
+    if node.attributes:
         for name, *values in _ATTRIBUTE.findall(node.attributes):
             value, name = "".join(values).lower(), name.lower()
             if name in ("class", "id"):
-                found = _named(value, title)
+                found |= _named(value, title)
+                remarks |= _named(value, title, _REMARKS)
             elif name == "role":
-                found = value.strip() in _ROLES
+                found |= value.strip() in _ROLES
             else:
-                found = name == "hidden" or value == "true"
-            if found:
-                break
-    return found and (node.tag == "article" or not node.holds)
+                found |= name == "hidden" or value == "true"
+    return found and (node.tag == "article" or node.within or not node.holds or remarks and node.articles < articles)
 
 
 def take_out(every: list[Element], gone: Callable[[Element], bool]) -> None:
@@ -196,13 +222,27 @@ def take_out(every: list[Element], gone: Callable[[Element], bool]) -> None:
         node.children = [c for c in node.children if isinstance(c, str) or not gone(c)]
 
 
+def _prose_beside(main: Element) -> bool:
+    """Whether a main element has paragraphs, that are not mostly links, outside of its articles."""
+    stack = list(main.children)
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or node.tag == "article":
+            continue
+        if node.tag in ("p", "blockquote", "pre") and 2 * node.links < node.chars:
+            return True
+        stack.extend(node.children)
+    return False
+
+
 def roots(page: Element) -> list[Element]:
-    """The outermost articles, else the outermost main elements, else the page."""
-    for tag in ("article", "main"):
+    """The outermost articles, or a main element that has prose beside its own; else the outermost main elements, else the
+    page."""
+    for tags in (("article",), ("main",)):
         found, stack = [], [page]
         while stack:
             node = stack.pop()
-            if node.tag == tag:
+            if node.tag in tags or node.tag == "main" and node.articles and _prose_beside(node):
                 found.append(node)
             else:
                 stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
@@ -216,8 +256,10 @@ def _signed(key: int) -> int:
 
 
 def template_keys(source: str | None) -> list[int]:
-    """The different hashes of subtrees of a page that may be a template."""
-    return sorted({_signed(c.key) for c in candidates(survey(parse(source or "")))})
+    """The different hashes of subtrees of a page that may be a template: of all their words, of those that may go by their
+    shape that, too."""
+    found = list(candidates(survey(parse(source or ""))))
+    return sorted({_signed(c.key) for c in found} | {_signed(c.shape) for c in found if _linked(c)})
 
 
 def extract(source: str | None, templates: list[int] | None, marks: bool = True) -> str:
@@ -226,10 +268,10 @@ def extract(source: str | None, templates: list[int] | None, marks: bool = True)
     every = survey(page)
     if templates:
         known = set(templates)
-        deleted = {id(c) for c in candidates(every) if _signed(c.key) in known}
+        deleted = {id(c) for c in candidates(every) if _signed(c.key) in known or _linked(c) and _signed(c.shape) in known}
         take_out(every, lambda c: id(c) in deleted)
     if marks:
-        take_out(every, is_boilerplate)
+        take_out(every, lambda c: is_boilerplate(c, page.articles))
     blocks: list[str] = []
     now: list[str] = []
 
@@ -273,12 +315,13 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     small_batches(spark)
     staging = Staging(spark)
     keep = [c for c in (pages.columns if keep is None else keep) if c != "text"]
-    rows = pages.withColumn("__host", host_key(F.col(url_col)))
+    pages, keep, back = set_aside(pages, keep)
+    rows = pages.select(*(F.col(f"`{c}`") for c in keep), host_key(F.col(f"`{url_col}`")).alias("__host"), F.col(f"`{html_col}`").alias("__html"))
 
     def keys(columns: list[pa.Array]) -> list:
         return [[template_keys(x) for x in columns[0].to_pylist()]]
 
-    hashed = map_columns(rows.where("__host is not null"), [F.col(html_col)], keys, "__keys array<long>", ["__host"])
+    hashed = map_columns(rows.where("__host is not null"), [F.col("__html")], keys, "__keys array<long>", ["__host"])
     held = hashed.select("__host", F.explode_outer("__keys").alias("key")).groupBy("__host", "key").agg(F.count("*").alias("n"))
     held = staging.save(held.where(F.col("n") >= min_pages), "held")
     sizes = rows.where("__host is not null").groupBy("__host").agg(F.count("*").alias("pages"))
@@ -293,4 +336,4 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     def texts(columns: list[pa.Array]) -> list:
         return [[extract(x, t) for x, t in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True)]]
 
-    return map_columns(joined, [F.col(html_col), F.col("__templates")], texts, "text string", keep)
+    return back(map_columns(joined, [F.col("__html"), F.col("__templates")], texts, "text string", keep))

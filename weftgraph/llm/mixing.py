@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .columns import set_aside
 from .staging import Staging
 
 LEVELS = ("domain", "lang", "source")
@@ -85,9 +86,11 @@ def mix_sources(docs: DataFrame, budget_share: float = 0.5, budget: int | None =
     spark = docs.sparkSession
     staging = Staging(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("domain", "n_tokens", "copies")]
+    docs, keep, back = set_aside(docs, keep)
     name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    rows = docs.withColumns({"__domain": name(F.lit("all") if domain is None else domain), "__lang": name(F.col(lang_col)), "__source": name(F.col(source_col)), "__tokens": token_count(text_col)})
-    thin = staging.save(rows.select(F.col(id_col).alias("id"), F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens")), "tokens")
+    own = {"__domain": name(F.lit("all") if domain is None else domain), "__lang": name(F.col(lang_col)), "__source": name(F.col(source_col)), "__tokens": token_count(text_col), "__id": F.col(f"`{id_col}`")}
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *(c.alias(n) for n, c in own.items()))
+    thin = staging.save(rows.select(F.col("__id").alias("id"), F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens")), "tokens")
     levels = list(LEVELS)
     leaves = thin.groupBy(*levels).agg(F.sum("tokens").alias("tokens"))
     if budget is None:
@@ -120,6 +123,6 @@ def mix_sources(docs: DataFrame, budget_share: float = 0.5, budget: int | None =
     cut = staging.save(cut.select(F.col("domain").alias("__domain"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("upto").alias("__upto")), "cuts")
 
     chosen = rows.join(bounded(cut), ["__domain", "__lang", "__source"])
-    copies = F.col("__whole") + (order_key(F.col(id_col), F.lit(seed) + F.col("__whole")) <= F.col("__upto")).cast("int")
+    copies = F.col("__whole") + (order_key(F.col("__id"), F.lit(seed) + F.col("__whole")) <= F.col("__upto")).cast("int")
     chosen = chosen.withColumn("copies", copies).where(F.col("copies") > 0)
-    return chosen.select(*keep, F.col("__domain").alias("domain"), F.col("__tokens").alias("n_tokens"), "copies")
+    return back(chosen.select(*(F.col(f"`{c}`") for c in keep), F.col("__domain").alias("domain"), F.col("__tokens").alias("n_tokens"), "copies"))

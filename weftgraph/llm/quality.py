@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import set_aside
 from .staging import Staging
 
 MIN_GROUP = 200  # usable rows that a group needs for an estimate of its own
@@ -29,6 +30,7 @@ TARGETS = (0.35, 0.06, 0.4, 0.8, 1.0)  # standard deviations of the transformed
 _AXES = range(5)
 _FIT = [*(f"m{i}" for i in _AXES), *(f"l{i}{j}" for i in _AXES for j in range(i + 1)), "logdet"]
 _STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_OWN = {*_FIT, *(f"x{i}" for i in _AXES), "g", "scale", "d"}
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -138,6 +140,7 @@ def judge_quality(docs: DataFrame, keep: list[str] | None = None, text_col: str
     """
     staging = Staging(docs.sparkSession)
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in _STATISTICS and c not in ("base_failed", "distance", "kept")]
+    docs, keep, back = set_aside(docs, keep, lambda c: c.startswith("__") or "." in c or c in _OWN)
     base = docs.withColumns({"__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")), "__source": F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))})
     table = staging.save(text_statistics(base, [*keep, "__lang", "__source"], text_col), "statistics")
     usable = table.where(~base_failed())
@@ -157,4 +160,5 @@ def judge_quality(docs: DataFrame, keep: list[str] | None = None, text_col: str
     judged = table.join(groups, ["__lang", "__source"], "left").join(fit, "g", "left").withColumns({f"x{i}": v for i, v in enumerate(_vector())})
     failed = base_failed()
     distance = F.when(~failed, _distance() / F.col("scale"))
-    return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), distance.alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
+    out = judged.select(*(F.col(f"`{c}`") for c in keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), distance.alias("distance"))
+    return back(out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)))

@@ -27,7 +27,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import Shared, map_columns
+from .columns import Shared, map_columns, set_aside
 from .staging import Staging, small_batches
 
 MAX_TRAINING_ROWS = 200_000  # labelled texts that the model is fitted on, the first by a hash of their text
@@ -148,8 +148,9 @@ class ToxicityModel:
         Null and empty texts get the score of a text without words. Columns named score or predicted are replaced.
         """
         keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+        docs, keep, back = set_aside(docs, keep)
         if self.trees is None:
-            scored = docs.select(*keep, F.lit(float(self.prior)).alias("score"))
+            scored = docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(float(self.prior)).alias("score"))
         else:
             shared = Shared(docs.sparkSession, self.lexicon)
 
@@ -158,8 +159,8 @@ class ToxicityModel:
 
             rows = map_columns(docs, [F.col(text_col)], make, "__x array<double>", keep)
             scored = _judged(self.trees, rows.withColumn("__features", array_to_vector("__x")))
-            scored = self.isotonic.transform(scored).select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "__y")).alias("score"))
-        return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+            scored = self.isotonic.transform(scored).select(*(F.col(f"`{c}`") for c in keep), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "__y")).alias("score"))
+        return back(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
 def _judged(trees, vectors: DataFrame) -> DataFrame:
