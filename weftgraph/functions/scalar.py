@@ -200,6 +200,47 @@ def greatest_term(x) -> Column:
     return F.max_by(c(x), F.when(c(x).isNotNull(), sort_key(x)))
 
 
+def _exact(value: Column, dt: str) -> Column:
+    """A decimal's shortest form as a literal."""
+    text = F.regexp_replace(value.cast("string"), r"\.?0+$", "") if dt == XSD + "decimal" else value.cast("string")
+    text = F.when(value.cast("string").contains("."), text).otherwise(value.cast("string"))
+    return literal(text, dt)
+
+
+def _added(x, mean: bool) -> Column:
+    """Integers, decimals and doubles are added apart, so that each sum is exact for its type; the widest type that a
+    group has is the result's."""
+    t = c(x)
+    is_number = (t["kind"] == LITERAL) & t["dt"].isin(*NUMERICS)
+    whole, wide = t["dt"].isin(*INTEGERS), t["dt"].isin(XSD + "double", XSD + "float")
+    value = lambda kind: t["lex"].try_cast(kind)
+    right = F.coalesce(is_number & F.when(whole, value("decimal(38,0)").isNotNull()).when(wide, value("double").isNotNull()).otherwise(value("decimal(38,10)").isNotNull()), F.lit(False))
+    n, n_whole, n_wide = F.count(t), F.count_if(right & whole), F.count_if(right & wide)
+    zero = lambda kind: F.lit(0).cast(kind)
+    ints = F.coalesce(F.sum(F.when(right & whole, value("decimal(38,0)"))), zero("decimal(38,0)"))
+    decimals = F.coalesce(F.sum(F.when(right & ~whole & ~wide, value("decimal(38,10)"))), zero("decimal(38,10)"))
+    doubles = F.coalesce(F.sum(F.when(right & wide, value("double"))), F.lit(0.0)) + ints.cast("double") + decimals.cast("double")
+    exact = (ints.cast("decimal(38,10)") + decimals).cast("decimal(38,10)")
+    if mean:
+        by = F.when(n > 0, n)
+        typed = F.when(n_wide > 0, literal(doubles / by, XSD + "double")).otherwise(_exact((exact / by.cast("decimal(20,0)")).cast("decimal(38,10)"), XSD + "decimal"))
+        typed = F.when(n == 0, literal(F.lit("0"), XSD + "integer")).otherwise(typed)
+    else:
+        typed = F.when(n_wide > 0, literal(doubles, XSD + "double")).when(n_whole == n, _exact(ints, XSD + "integer")).otherwise(_exact(exact, XSD + "decimal"))
+    return F.when(F.count_if(t.isNotNull() & ~right) == 0, typed)
+
+
+def total(x) -> Column:
+    """SUM as a term: an integer of integers (exact to 38 digits), a decimal if there are decimals, a double if there are
+    doubles; 0 of nothing. A value that is no number is an error. Unbound ones do not count."""
+    return _added(x, False)
+
+
+def mean(x) -> Column:
+    """AVG as a term: a decimal of integers and decimals (ten places), a double if there are doubles; 0 of nothing."""
+    return _added(x, True)
+
+
 def group_concat(text: Column, separator: str = " ") -> Column:
     """Texts of a group in sorted order."""
     return F.array_join(F.array_sort(F.collect_list(text)), separator)

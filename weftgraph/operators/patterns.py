@@ -323,20 +323,36 @@ def ask(a: Solutions) -> DataFrame:
     return a.df.limit(1).agg((F.count("*") > 0).alias("result"))
 
 
-def construct(a: Solutions, *template: Sequence) -> DataFrame:
-    """(s, p, o) of the template's triples for each solution, without repeats; triples with an unbound or an
-    impossible term are left out. A template's "_:name" is a new blank node for each different solution."""
+def _templated(a: Solutions, templates: Sequence[Sequence]) -> DataFrame:
+    """A row of terms for each template and solution. A template's "_:name" is a new blank node for each different
+    solution."""
     rows = a.df.withColumn("__row", F.sha2(F.to_json(F.struct(*a.variables)) if a.variables else F.lit(""), 256))
 
     def value(x) -> Column:
+        if x is None:
+            return F.lit(None).cast(TERM)
         if is_variable(x):
             return F.col(x[1:])
         if isinstance(x, Term):
             return x.column()
         return F.struct(F.lit(1).cast("tinyint").alias("kind"), F.concat(F.lit(x[2:] + "-"), "__row").alias("lex"), F.lit(None).cast("string").alias("dt"), F.lit(None).cast("string").alias("lang"))
 
-    parts = [rows.select(value(s).alias("s"), value(p).alias("p"), value(o).alias("o")) for s, p, o in template]
-    return reduce(DataFrame.unionByName, parts).where("s.kind IN (0, 1) AND p.kind = 0 AND o IS NOT NULL").distinct()
+    return reduce(DataFrame.unionByName, (rows.select(*(value(x).alias(n) for n, x in zip("spog", t, strict=False))) for t in templates))
+
+
+def construct(a: Solutions, *template: Sequence) -> DataFrame:
+    """(s, p, o) of the template's triples for each solution, without repeats; triples with an unbound or an
+    impossible term are left out. A template's "_:name" is a new blank node for each different solution."""
+    return _templated(a, template).where("s.kind IN (0, 1) AND p.kind = 0 AND o IS NOT NULL").distinct()
+
+
+def construct_quads(a: Solutions, *template: Sequence) -> DataFrame:
+    """(g, s, p, o) of templates (s, p, o, graph) as of construct; graph is None for the default graph, whose g is null,
+    and else an IRI or a variable. Quads whose graph is unbound or no IRI are left out."""
+    named = [t for t in template if t[3] is not None]
+    plain = [t for t in template if t[3] is None]
+    found = [_templated(a, x).where("s.kind IN (0, 1) AND p.kind = 0 AND o IS NOT NULL" + (" AND g.kind = 0" if x is named else "")) for x in (named, plain) if x]
+    return reduce(DataFrame.unionByName, (x.select(F.col("g.lex").alias("g"), "s", "p", "o") for x in found)).distinct()
 
 
 def describe(graph: Graph, resources: DataFrame) -> DataFrame:

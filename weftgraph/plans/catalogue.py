@@ -15,9 +15,9 @@ from ..operators import patterns as P
 from ..operators import similarity as S
 from ..operators.embed import LetterCounts, compared, embed_texts
 from ..operators.generate import Echo, Mock, Options, candidate_labels, generate
-from ..sources.graph import Graph, ntriples, quads_graph, star_graph
+from ..sources.graph import Graph, ntriples, quads_graph, read_ntriples, star_graph, write_nquads
 from ..sources.results import json_lines
-from ..sources.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit, literal
+from ..sources.terms import RDF_TYPE, RDFS_LABEL, XSD, Iri, Lit, iri, literal
 from ..sources.turtle import read_turtle, turtle_text, write_turtle
 from . import cost
 from .staging import shared_dir
@@ -70,6 +70,17 @@ def turtle_source(spark: SparkSession, sf: str) -> DataFrame:
     return lexed(s, "c", "name", "first", "second", bal=num("bal"), home=F.col("home.lex").cast("int"))
 
 
+@query("SELECT 'http://g/' || lower(c_mktsegment) AS g, 'http://t/customer/' || c_custkey AS s, c_name AS o FROM customer UNION ALL SELECT NULL, 'http://t/customer/' || c_custkey, 'http://t/nation/' || c_nationkey FROM customer")
+def nquads_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers constructed into a graph for each segment, written by graph and read back."""
+    g = star_graph(spark, sf, ["customer"])
+    s = P.bgp(g, ("?c", RDFS_LABEL, "?name"), ("?c", B + "c_mktsegment", "?m"), ("?c", B + "nation", "?n"))
+    s = P.bind(s, "?g", iri(F.concat(F.lit("http://g/"), F.lower("m.lex"))))
+    path = f"{shared_dir(spark)}/quads-{uuid.uuid4().hex}"
+    write_nquads(P.construct_quads(s, ("?c", Iri(RDFS_LABEL), "?name", "?g"), ("?c", Iri(B + "nation"), "?n", None)), path)
+    return read_ntriples(spark, path).select("g", F.col("s.lex").alias("s"), F.col("o.lex").alias("o"))
+
+
 # --- scans and joins -------------------------------------------------------------------------------------------
 
 
@@ -149,6 +160,18 @@ def from_named_graphs(spark: SparkSession, sf: str) -> DataFrame:
 # --- filters ---------------------------------------------------------------------------------------------------
 
 
+@query("SELECT o_orderstatus AS st, CAST(sum(CAST(o_custkey AS HUGEINT) * 100000000000000) AS VARCHAR) AS ints, round(avg(o_custkey), 6) AS mean, round(sum(o_totalprice), 2) AS dbl, CASE WHEN min(o_orderkey % 3) < 2 THEN 'decimal' ELSE 'integer' END AS kind, CAST(sum(CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_custkey AS DECIMAL(38,2)) + 0.25 ELSE o_custkey END) AS DOUBLE) AS mixed FROM orders GROUP BY o_orderstatus")
+def group_sum_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of integers beyond 2^53, of doubles, and of integers among decimals keep their types."""
+    g = star_graph(spark, sf, ["orders"])
+    s = P.bgp(g, ("?o", B + "o_orderstatus", "?st"), ("?o", B + "o_custkey", "?k"), ("?o", B + "o_totalprice", "?t"), ("?o", B + "o_orderkey", "?n"))
+    s = P.bind(s, "?big", literal(F.concat("k.lex", F.lit("00000000000000")), XSD + "integer"))
+    s = P.bind(s, "?mix", F.when(long("n") % 3 < 2, literal(F.concat("k.lex", F.lit(".25")), XSD + "decimal")).otherwise(F.col("k")))
+    s = P.group(s, ["st"], {"ints": fn.total("?big"), "mean": fn.mean("?k"), "dbl": fn.total("?t"), "mixed": fn.total("?mix")})
+    exact = F.when(F.col("ints.dt") == XSD + "integer", F.col("ints.lex"))
+    return P.native(s, st=F.col("st.lex"), ints=exact, mean=F.round(F.when(F.col("mean.dt") == XSD + "decimal", num("mean")), 6), dbl=F.round(F.when(F.col("dbl.dt") == XSD + "double", num("dbl")), 2), kind=F.substring_index("mixed.dt", "#", -1), mixed=num("mixed"))
+
+
 @query("SELECT c_name AS name, c_acctbal AS bal FROM customer WHERE c_acctbal > 5000 AND c_acctbal <= 7500")
 def filter_numeric(spark: SparkSession, sf: str) -> DataFrame:
     s = P.bgp(star_graph(spark, sf, ["customer"]), ("?c", RDFS_LABEL, "?name"), ("?c", B + "c_acctbal", "?b"))

@@ -237,3 +237,11 @@ def token(t: Column) -> Column:
 def ntriples(triples: DataFrame) -> DataFrame:
     """(value) lines of N-Triples of (s, p, o), ready for write.text."""
     return triples.select(F.concat_ws(" ", token(F.col("s")), token(F.col("p")), token(F.col("o")), F.lit(".")).alias("value"))
+
+
+def write_nquads(quads: DataFrame, path: str) -> None:
+    """(g, s, p, o), p a term, as files of N-Quads: a folder for each graph, by its IRI, holds its quads only; those of the
+    default graph lie in graph=default. A graph's quads are dealt to as many files as there are tasks."""
+    graph = F.when(F.col("g").isNull(), F.lit("default")).otherwise(F.concat(F.lit("<"), "g", F.lit(">")))
+    tail = F.when(F.col("g").isNull(), F.lit(".")).otherwise(F.concat(F.lit("<"), "g", F.lit("> .")))
+    quads.select(F.concat_ws(" ", token(F.col("s")), token(F.col("p")), token(F.col("o")), tail).alias("value"), graph.alias("graph")).write.partitionBy("graph").text(path)
