@@ -10,16 +10,16 @@ Of each component of linked classes the first paragraph (by doc_id, then place)
 Runs of words pay no heed to lines. All windows of min_words words are hashed; a window is sought again only if its
 least hash of min_words / 2 words, its key, may be elsewhere. Equal windows have equal keys, so that none is lost; a key
 stays the same over many windows, so that the filter takes about one in thirteen of them. Windows that may repeat are
-counted exactly by their hash. The first place of each stays; neighbours with the same fate are one passage. What
-stays must be there in the end: a window that meets a removed paragraph is first of none, and one that has no other
-places stays wherever it is.
+counted exactly by their hash. The first place of each stays; neighbours with the same fate are one passage. Where the
+first place meets a removed paragraph, what stays is the first of the passages that would go for it and hold it all, so
+that nothing goes for a text that goes itself.
 Windows of a key with many rows are dealt out by text: they are counted with partial sums, and meet the counts by part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ CROWD = 2_000  # rows of windows with one key that one task takes
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _LINES = np.ones(256, dtype=bool)
 _LINES[10] = False
-_SCHEMA = "uid long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, odd array<bigint>, hashes array<bigint>"
+_SCHEMA = "uid long, word long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, odd array<bigint>, hashes array<bigint>"
 _WINDOWS = "key long, salt int, uid long, pos int, h array<bigint>, start_char array<bigint>, n_chars array<int>, para_no array<int>"
 _TOKS = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))
 
@@ -139,8 +139,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
     Every word of a run of at least min_words words that is found elsewhere, or again in its text without overlap,
     lies in a row, whatever the lines are. A passage within a paragraph's row has no row of its own unless it is removed
     and the paragraph stays. Rows of one text may overlap. class_size of a passage is the most places that a window
-    of it has. What a removed row names as its keeper meets no removed paragraph; a passage all of whose places meet one is
-    not removed, and is its own keeper. Null and empty texts and those of fewer words have no rows. A paragraph that repeats within one document,
+    of it has. What a removed row names as its keeper meets no removed paragraph. Null and empty texts and those of fewer words have no rows. A paragraph that repeats within one document,
     or in repeated rows of it, counts as often; ties of doc_id and place keep one. A null doc_id sorts first. Other
     columns are ignored. An empty table gives an empty result. crowd: of a key with more rows of windows a task takes
     about so many; it has no effect on the rows of the result.
@@ -192,11 +191,11 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                 at, m, sets = at[some], m[some], [sets[i] for i in some.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(row[at])), batch.column(2).take(pa.array(row[at])), pa.array(place[at], pa.int32()), pa.array(start[at], pa.int64()), pa.array(n_chars[at], pa.int64()), pa.array((last - first)[at], pa.int32()),
+                        batch.column(0).take(pa.array(row[at])), batch.column(2).take(pa.array(row[at])), pa.array((first - words.bounds[row - words.c.first])[at], pa.int64()), pa.array(place[at], pa.int32()), pa.array(start[at], pa.int64()), pa.array(n_chars[at], pa.int64()), pa.array((last - first)[at], pa.int32()),
                         pa.array([bytes.fromhex(digest(x)) for x in sets], pa.binary()), pa.array(m, pa.int32()), pa.array([[{"tok": t, "pos": 0} for t in every[i][hit[i]].view(np.int64).tolist()] for i in at.tolist()], _TOKS),
                         pa.array([len(x) for x in sets], pa.int32()), pa.array([odd_sketch(x) for x in sets], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "odd", "hashes"],
+                    names=["doc_id", "uid", "word", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "odd", "hashes"],
                 )
 
     crowd = max(1, crowd, 4 * again.typical)  # counts are by cell, which on a large corpus many keys share
@@ -235,56 +234,58 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
     members = staging.save(rows.select("id", "n", "m", "toks", "odd").dropDuplicates(["id"]), "members")
     comps = set_components(members, rows.select("id", "hashes"), staging, percent, positional=False)
     staging.drop(members)
-    placed = rows.select("doc_id", "uid", "para_no", "start_char", "n_chars", "n_words", "id").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    placed = rows.select("doc_id", "uid", "word", "para_no", "start_char", "n_chars", "n_words", "id").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
     first = placed.groupBy("c").agg(F.min(F.struct("doc_id", "para_no")).alias("keep"), F.count("*").alias("class_size"))
     out = placed.join(first.where("class_size > 1"), "c")
     here = F.struct("doc_id", "para_no")
     columns = ["uid", "doc_id", "para_no", "start_char", "n_chars", "n_words", F.col("keep.doc_id").alias("class_doc_id"), F.col("keep.para_no").alias("class_para_no"), "class_size", "removed"]
-    out = staging.save(out.withColumn("removed", ~here.eqNullSafe(F.col("keep"))).select(*columns), "repeated")
+    out = staging.save(out.withColumn("removed", ~here.eqNullSafe(F.col("keep"))).select("word", *columns), "repeated")
+    staging.drop(rows)
     windows, crowded = (docs.select("doc_id", "text", "uid").mapInArrow(partial(suspect_windows, dealt=d), f"doc_id {kind}, {_WINDOWS}") for d in (False, True))
-    crowded = staging.save(crowded, "crowded")
-    placed = staging.save(_placed(windows, crowded, min_words), "placed")
-    staging.drop(crowded)
-    removed = out.where("removed").select(F.col("uid").alias("u"), F.col("start_char").alias("s"), (F.col("start_char") + F.col("n_chars")).alias("e"))
-    found = _passages(_kept_first(placed, removed, staging), min_words).select(*columns)
     lines = out.select(F.col("uid").alias("u"), F.col("start_char").alias("s"), (F.col("start_char") + F.col("n_chars")).alias("e"), F.col("removed").alias("gone"))
     inside = (F.col("uid") == F.col("u")) & (F.col("start_char") >= F.col("s")) & (F.col("start_char") + F.col("n_chars") <= F.col("e")) & (F.col("gone") | ~F.col("removed"))
-    return out.unionByName(found.join(lines, inside, "left_anti")).drop("uid")
-
-
-def _placed(windows: DataFrame, crowded: DataFrame, size: int) -> DataFrame:
-    """Windows that repeat, of those that may, which come in rows of neighbours with one key: places, how many there are of
-    each, and first, the first of them. Equal windows have one key, so that its partition settles them; those of crowded
-    keys are counted with partial sums and meet their counts in the parts where they are."""
+    crowded = staging.save(crowded, "crowded")
+    found = staging.save(_passages(windows, crowded, min_words).join(lines, inside, "left_anti"), "passages")
+    staging.drop(crowded)
+    return out.drop("word").unionByName(_that_stay(found, out.where("removed"), min_words, staging).select(*columns)).drop("uid")
+
+
+def _that_stay(found: DataFrame, paragraphs: DataFrame, size: int, staging: Staging) -> DataFrame:
+    """Passages, where none is removed for a place that meets a removed paragraph: of those that were, the first that
+    holds the same words or more and meets none stays, and the others go for it; without such a one they stay. lo and hi:
+    the first and last of the windows that a passage was removed for; where these are not in step with its own, as in
+    periodic text, it stays."""
+    gone = paragraphs.select(F.col("uid").alias("u"), F.col("word").alias("w"), (F.col("word") + F.col("n_words")).alias("x"))
+    begin, end = F.col("lo"), F.col("hi") + size
+    in_step = (F.col("keep.pos") == F.col("lo")) & (F.col("hi") - F.col("lo") == F.col("n_words") - size)
+    open_ = found.where("removed").join(gone, (F.col("keep.uid") == F.col("u")) & (begin < F.col("x")) & (end > F.col("w")), "left_semi")
+    open_ = staging.save(open_.withColumns({"of": F.col("keep.uid"), "begin": begin, "end": end, "here": F.struct("doc_id", "pos", "uid", "para_no")}), "open")
+    # what may stay meets no removed paragraph either; for each stretch of the place at hand the first by (doc_id, place)
+    whole = open_.where(in_step).join(gone, (F.col("uid") == F.col("u")) & (F.col("pos") < F.col("x")) & (F.col("pos") + F.col("n_words") > F.col("w")), "left_anti")
+    held = whole.groupBy(F.col("of").alias("o"), F.col("begin").alias("b"), F.col("end").alias("e")).agg(F.min("here").alias("h"))
+    within = open_.select("of", "begin", "end").distinct().join(held, (F.col("of") == F.col("o")) & (F.col("b") <= F.col("begin")) & (F.col("e") >= F.col("end")))
+    best = within.groupBy("of", "begin", "end").agg(F.min(F.struct("h", "b")).alias("v"))
+    moved = open_.join(best, ["of", "begin", "end"], "left")
+    stays = F.col("v").isNull() | ~in_step | F.col("here").eqNullSafe(F.col("v.h"))
+    there = F.struct(F.col("v.h.doc_id").alias("doc_id"), (F.col("v.h.pos") + F.col("begin") - F.col("v.b")).cast("int").alias("pos"), F.col("v.h.uid").alias("uid"), F.col("v.h.para_no").alias("para_no"))
+    moved = moved.withColumns({"removed": ~stays, "keep": F.when(stays, F.col("here")).otherwise(there)})
+    rest = found.join(open_.select("uid", "pos"), ["uid", "pos"], "left_anti")
+    return rest.unionByName(moved.select(*found.columns))
+
+
+def _passages(windows: DataFrame, crowded: DataFrame, size: int) -> DataFrame:
+    """Of windows that may repeat, in rows of neighbours with one key: those that do, joined where neighbours stay, or
+    go for the same text. Equal windows have one key, so that its partition settles them; those of crowded keys are
+    counted with partial sums and meet their counts in the parts where they are."""
     counts = {"places": F.count("*"), "first": F.min(F.struct("doc_id", "pos", "uid", "para_no")), "low": F.min("uid"), "high": F.max("uid"), "begin": F.min("pos"), "end": F.max("pos")}
     repeats = (F.col("low") != F.col("high")) | (F.col("end") - F.col("begin") >= size)
     same = W.partitionBy("key", "h")
     seen = _each(windows.repartition("key")).select("*", *(c.over(same).alias(n) for n, c in counts.items())).where(repeats)
     totals = _each(crowded).groupBy("key", "h").agg(*(c.alias(n) for n, c in counts.items()), F.collect_set("salt").alias("salts")).where(repeats)
     met = _each(crowded).join(totals.select("key", "h", F.explode("salts").alias("salt"), "places", "first"), ["key", "salt", "h"])
-    columns = ["key", "h", "uid", "doc_id", "pos", "para_no", "start_char", "n_chars", "places", "first"]
-    return seen.select(*columns).unionByName(met.select(*columns))
-
-
-def _meets(windows: DataFrame, removed: DataFrame, how: str) -> DataFrame:
-    """Windows that meet one of the removed paragraphs (u, s, e), or do not, by how they are joined."""
-    return windows.join(removed, (F.col("uid") == F.col("u")) & (F.col("start_char") < F.col("e")) & (F.col("start_char") + F.col("n_chars") > F.col("s")), how)
-
-
-def _kept_first(placed: DataFrame, removed: DataFrame, staging: Staging) -> DataFrame:
-    """placed, where first is a place that meets no removed paragraph; null where there is no such place."""
-    firsts = placed.where((F.col("uid") == F.col("first.uid")) & (F.col("pos") == F.col("first.pos")))
-    lost = staging.save(_meets(firsts, removed, "left_semi").select("key", "h").distinct(), "lost")
-    here = placed.join(lost, ["key", "h"], "left_semi")
-    again = _meets(here, removed, "left_anti").groupBy("key", "h").agg(F.min(F.struct("doc_id", "pos", "uid", "para_no")).alias("other"))
-    other = staging.save(lost.join(again, ["key", "h"], "left").withColumn("moved", F.lit(True)), "moved")
-    return placed.join(other, ["key", "h"], "left").withColumn("first", F.when(F.col("moved"), F.col("other")).otherwise(F.col("first"))).drop("other", "moved")
-
-
-def _passages(placed: DataFrame, size: int) -> DataFrame:
-    """Windows that repeat, joined where neighbours stay, or go for the same text."""
-    return _joined(_joined(_fates(placed, size), ["key", "uid"]), ["uid"]).select(
-        "uid", "doc_id", "para_no", "start_char", (F.col("end_char") - F.col("start_char")).alias("n_chars"), (F.col("next") - 1 - F.col("pos") + size).cast("int").alias("n_words"), F.coalesce("first", F.struct("doc_id", "pos", "uid", "para_no")).alias("keep"), F.col("places").alias("class_size"), "removed"
+    pieces = (_joined(_fates(x, size), ["key", "uid"]) for x in (seen, met))
+    return _joined(reduce(DataFrame.unionByName, pieces), ["uid"]).select(
+        "uid", "doc_id", "pos", "lo", "hi", "para_no", "start_char", (F.col("end_char") - F.col("start_char")).alias("n_chars"), (F.col("next") - 1 - F.col("pos") + size).cast("int").alias("n_words"), F.col("first").alias("keep"), F.col("places").alias("class_size"), "removed"
     )
 
 
@@ -296,17 +297,17 @@ def _each(windows: DataFrame) -> DataFrame:
 
 def _fates(seen: DataFrame, size: int) -> DataFrame:
     """Windows that repeat, as pieces of one window each that stay or go."""
-    gone = F.when(F.col("first").isNull(), False).when(F.col("first.uid") == F.col("uid"), F.col("pos") - F.col("first.pos") >= size).otherwise(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
-    return seen.select("key", "uid", "doc_id", "pos", (F.col("pos") + 1).alias("next"), "para_no", "start_char", (F.col("start_char") + F.col("n_chars")).alias("end_char"), "places", "first", gone.alias("removed"))
+    gone = F.when(F.col("first.uid") == F.col("uid"), F.col("pos") - F.col("first.pos") >= size).otherwise(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
+    return seen.select("key", "uid", "doc_id", "pos", (F.col("pos") + 1).alias("next"), "para_no", "start_char", (F.col("start_char") + F.col("n_chars")).alias("end_char"), "places", "first", F.col("first.pos").alias("lo"), F.col("first.pos").alias("hi"), gone.alias("removed"))
 
 
 def _joined(pieces: DataFrame, by: list[str]) -> DataFrame:
     along = W.partitionBy(*by).orderBy("pos")
     before = lambda c: F.lag(c).over(along)
-    on = (before("next") == F.col("pos")) & (before("removed") == F.col("removed")) & before("first.uid").eqNullSafe(F.col("first.uid"))
+    on = (before("next") == F.col("pos")) & (before("removed") == F.col("removed")) & (before("first.uid") == F.col("first.uid"))
     runs = pieces.withColumn("new", (~F.coalesce(on, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)))
     begin = F.min(F.struct("pos", "first"))
     return runs.groupBy(*by, "run").agg(
         F.first("doc_id").alias("doc_id"), F.min("pos").alias("pos"), F.max("next").alias("next"), F.min("para_no").alias("para_no"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"),
-        F.max("places").alias("places"), begin["first"].alias("first"), F.first("removed").alias("removed"),
+        F.max("places").alias("places"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), begin["first"].alias("first"), F.first("removed").alias("removed"),
     ).drop("run")
