@@ -14,7 +14,7 @@ from ..operators import paths
 from ..operators import patterns as P
 from ..operators import similarity as S
 from ..operators.embed import LetterCounts, compared, embed_texts
-from ..operators.generate import Echo, Mock, Options, candidate_labels, generate
+from ..operators.generate import Echo, Mock, Options, candidate_labels, generate, ground
 from ..sources.graph import Graph, ntriples, quads_graph, read_ntriples, star_graph, write_nquads
 from ..sources.results import json_lines
 from ..sources.terms import RDF_TYPE, RDFS_LABEL, XSD, Iri, Lit, iri, literal
@@ -605,6 +605,37 @@ def genop_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return made.metrics().drop("seconds").withColumn("fan_out", F.lit(seen))
 
 
+@query("SELECT c_name AS n, c_mktsegment = 'BUILDING' AS low, false AS high FROM customer")
+def genop_theta(spark: SparkSession, sf: str) -> DataFrame:
+    """A filter compares a generated variable by the threshold of the generation that made it, whatever later ones say."""
+    s = P.bgp(star_graph(spark, sf, ["customer"]), ("?x", B + "c_name", "?n"), ("?x", B + "c_mktsegment", "?m"))
+    low = generate(s, "Segment of {?n}: [{?m} goods]", ["a"], Echo(how="lower"), Options(theta=0.5)).solutions
+    both = generate(low, "Again, {?n}: [{?m} goods]", ["b"], Echo(how="lower"), Options(theta=0.9)).solutions
+    building = Lit("building").column()
+    return lexed(both, "n", low=S.similar(both, "?a", building), high=S.similar(both, "?b", building))
+
+
+@query("SELECT c_name AS n, 'alpha' AS first FROM customer")
+def genop_choices(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates are part of the request, in order."""
+    s = P.match(star_graph(spark, sf, ["customer"]), "?x", B + "c_name", "?n")
+    made = generate(s, "Pick one for {?n}", ["first"], Echo(start="Choose from: ", end="; "), Options(candidates=["beta", "alpha", "gamma"])).solutions
+    return lexed(made, "n", "first")
+
+
+@query("SELECT c_name AS n, 'http://t/region/' || r_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def ground_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated names of regions become the regions whose labels have the nearest vectors."""
+    g = star_graph(spark, sf, ["customer", "nation", "region"])
+    s = P.bgp(g, ("?c", B + "nation", "?y"), ("?c", B + "c_name", "?n"), ("?y", B + "region", "?z"), ("?z", B + "r_name", "?m"))
+    made = generate(s, "Region of {?n}: [{?m}]", ["r"], Echo(how="lower")).solutions
+    named = g.of(RDFS_LABEL).where("s.lex LIKE 'http://t/region/%'").select(F.col("s").alias("term"), F.lower("o.lex").alias("text"))
+    values = made.df.select(F.col("r.lex").alias("text")).distinct()
+    vectors = embed_texts(values.unionByName(named.select("text")), LetterCounts())
+    entities = named.join(vectors, "text").select("term", F.col("term.lex").alias("id"), "v")
+    return lexed(ground(made, "?r", vectors.select(F.col("text").alias("value"), F.col("text").alias("q"), "v"), entities, 0.99), "n", "r")
+
+
 @query("SELECT r_name AS label FROM region")
 def genop_candidates(spark: SparkSession, sf: str) -> DataFrame:
     g = star_graph(spark, sf, ["nation", "region"])
