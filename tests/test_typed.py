@@ -37,3 +37,16 @@ def test_quads_lie_in_their_graphs_folder(spark, tmp_path):
     assert len(folders) == 3
     for d in folders:
         assert len({r["g"] for r in read_ntriples(spark, str(tmp_path / "q" / d)).collect()}) == 1
+
+
+def test_json_values_keep_their_types(spark):
+    from weftgraph.functions.gen import parse_json_term
+
+    raw = '{"a": {"b": [1, 2.5, true, "x y", null, {"c": [1]}, 12345678901234567890, 1e3]}}'
+    want = [("1", "integer"), ("2.5", "double"), ("true", "boolean"), ("x y", "string"), ("", "string"), ('{"c":[1]}', "string"), ("12345678901234567890", "integer"), ("1000.0", "double")]
+    df = spark.createDataFrame([(raw,), ("no json",), (None,)], "raw string")
+    from pyspark.sql import functions as F
+
+    for k, (lex, kind) in enumerate(want):
+        rows = df.select(parse_json_term(F.col("raw"), f"a.b[{k}]").alias("t")).collect()
+        assert [(r["t"]["lex"], r["t"]["dt"][len(XSD) :]) for r in rows] == [(lex, kind), ("", "string"), ("", "string")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.generate import Options, ask_model
 from ..operators.similarity import jaccard
+from ..sources.terms import XSD, literal
 
 
 def approx_equal(a: Column, b: Column, theta: float) -> Column:
@@ -25,6 +26,24 @@ def parse_json(raw: Column, path: str) -> Column:
     return F.coalesce(F.get_json_object(raw, path if path.startswith("$") else f"$.{path}"), F.lit(""))
 
 
+def parse_json_term(raw: Column, path: str) -> Column:
+    """The value at a path such as a.b[0] as a term of its type: an integer, a double, a boolean or a string; objects and
+    arrays as strings of JSON; an empty string where there is none or the text is no JSON. Reads the text once, as a
+    variant."""
+    found = F.try_variant_get(F.try_parse_json(raw), path if path.startswith("$") else f"$.{path}", "variant")
+    kind = F.schema_of_variant(found)
+    as_type = lambda t: F.try_variant_get(found, "$", t)
+    return (
+        F.when(found.isNull() | F.is_variant_null(found), literal(F.lit("")))
+        .when(kind == "BIGINT", literal(as_type("bigint"), XSD + "integer"))
+        .when(kind.startswith("DECIMAL") & kind.endswith(",0)"), literal(as_type("decimal(38,0)"), XSD + "integer"))
+        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), literal(as_type("double"), XSD + "double"))
+        .when(kind == "BOOLEAN", literal(as_type("boolean"), XSD + "boolean"))
+        .when(kind == "STRING", literal(as_type("string")))
+        .otherwise(literal(F.to_json(found)))
+    )
+
+
 def embedding_text(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ",")
 

@@ -789,6 +789,19 @@ def gen_parse_json(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", gen.parse_json(F.col("props"), "k").alias("k"))
 
 
+@query("SELECT event_id AS e, p AS path, CASE p WHEN 'k' THEN json_extract_string(props, '$.k') WHEN 'b' THEN CASE WHEN value > 100 THEN 'true' ELSE 'false' END WHEN 's' THEN event_type WHEN 'o' THEN props WHEN 'none' THEN '' END AS lex, CASE p WHEN 'k' THEN 'integer' WHEN 'd' THEN 'double' WHEN 'b' THEN 'boolean' ELSE 'string' END AS kind, CASE WHEN p = 'd' THEN value END AS number FROM (SELECT event_id, replace(props, ' ', '') AS props, value, event_type, unnest(['k', 'd', 'b', 's', 'o', 'none']) AS p FROM events)")
+def gen_parse_json_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of a JSON text keep their types."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    text = F.concat(F.lit('{"in": [{"k": '), F.get_json_object("props", "$.k"), F.lit(', "d": '), F.format_string("%.2fe0", F.col("value")), F.lit(', "b": '), (F.col("value") > 100).cast("string"), F.lit(', "s": "'), F.col("event_type"), F.lit('", "o": '), F.col("props"), F.lit("}]}"))
+    each = [e.select(F.col("event_id").alias("e"), F.lit(p).alias("path"), gen.parse_json_term(text, f"in[0].{p}").alias("t")) for p in ("k", "d", "b", "s", "o", "none")]
+    rows = each[0]
+    for x in each[1:]:
+        rows = rows.unionByName(x)
+    kind = F.substring_index("t.dt", "#", -1)
+    return rows.select("e", "path", F.when(kind != "double", F.col("t.lex")).alias("lex"), kind.alias("kind"), F.when(kind == "double", F.col("t.lex").cast("double")).alias("number"))
+
+
 @query(f"SELECT a.p_partkey AS k, {_JACCARD.format(a='a.p_name', b='b.p_name')} >= 0.5 AS similar FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def gen_approx_eq(spark: SparkSession, sf: str) -> DataFrame:
     part = spark.read.parquet(f"{sf}/part.parquet")
