@@ -36,6 +36,7 @@ _CLOSES_P = _BLOCK - frozenset("body caption dd dt html legend li tbody td tfoot
 _DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg canvas object button select input textarea dialog menu head title math audio video noembed noframes".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TEXT_BLOCKS = _HEADINGS | frozenset("p li blockquote pre td th tr table tbody thead ul ol dl dt dd figure figcaption b i em strong a span code br caption sub sup u s small mark q cite abbr time".split())
+_INLINE = frozenset("b i em strong a span code br sub sup u s small mark q cite abbr time".split())
 _BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation navi menu topbar toolbar header masthead footer sidebar aside rail widget widgets breadcrumb breadcrumbs pagination pager "
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing comment comments disqus replies reply respond related recommended recommendations copyright search skip".split()
@@ -181,9 +182,9 @@ def _linked(node: Element) -> bool:
 
 
 def candidates(every: list[Element]) -> Iterator[Element]:
-    """Elements that a template may delete."""
+    """Elements that a template may delete; never a part of a line."""
     for c in every:
-        if c.key and not c.holds and c.tag not in ("#page", "html", "body", "article", "main") and not (c.inside and c.tag in _TEXT_BLOCKS):
+        if c.key and c.tag not in _INLINE and not c.holds and c.tag not in ("#page", "html", "body", "article", "main") and not (c.inside and c.tag in _TEXT_BLOCKS):
             yield c
 
 
