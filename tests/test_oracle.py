@@ -42,3 +42,13 @@ def test_token_cost_of_every_document(spark, sf, duck):
 def test_threshold_asks_with_each_twentieth_vector(spark, sf):
     got = {r["q"] for r in catalogue.QUERIES["cosine_threshold_all"](spark, sf).collect()}
     assert got == {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+
+
+def test_embedding_text_rounds_as_its_sql(spark, tmp_path, duck):
+    """Exact ties of the sixth decimal, components that are null or not finite, and vectors without any."""
+    rows = [(1, [0.0078125, 0.0234375, -0.0078125]), (2, [None, -0.0, float("nan"), float("inf"), 1e30]), (3, []), (4, [None]), (5, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r["v"] for r in catalogue.QUERIES["gen_embedding_text"](spark, str(tmp_path)).collect()}
+    sql = catalogue.ORACLE_SQL["gen_embedding_text"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == dict(duck.execute(sql).fetchall())
+    assert got[1] == "0.007812,0.023438,-0.007812"

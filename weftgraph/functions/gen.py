@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,16 @@ def parse_json_term(raw: Column, path: str) -> Column:
 
 
 def embedding_text(vector: Column) -> Column:
-    return F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ",")
+    """Components with six decimals, rounded by their exact binary values, so that a tie goes to the even digit (Java's
+    format rounds it up). Null components are left out; nothing but such ones is null."""
+
+    @F.arrow_udf("string")
+    def text(vectors: pa.Array) -> pa.Array:
+        rows = vectors.to_pylist()
+        known = ([x for x in v if x is not None] if v else v for v in rows)
+        return pa.array([None if v is None or (full and not v) else ",".join(["%.6f" % x for x in v]) for full, v in zip(rows, known, strict=True)], pa.string())
+
+    return text(vector)
 
 
 def _whole_word(answer: Column, label: str) -> Column:
