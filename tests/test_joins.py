@@ -159,3 +159,26 @@ def test_several_generated_variables_equal_all_pairs(spark):
             assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)), (theta, pg, mg)
     assert math.isclose(jac("a b", "b a"), 1)
     assert S.similarity_join(a.with_(a.df.limit(0)), b, graph).df.count() == 0 and F is not None
+
+
+def test_texts_of_frequent_words_meet_seldom(spark):
+    """Words that many texts hold, each in few of the same sets: the pairs that meet stay near the matching ones."""
+    rng = random.Random(7)
+    texts = {f"{rng.choice('abcdefgh')}1 {rng.choice('abcdefgh')}2 K{rng.randrange(6)} of Brand#{rng.randrange(25)} sold by the piece, at retail price, in size {rng.randrange(50)}" for _ in range(3000)}
+    a, b = (spark.createDataFrame([(t,) for t in sorted(texts)], f"{c} string") for c in "ab")
+    found = {(r["a"], r["b"]) for r in S.matching_texts(a, b, 0.85).collect()}
+    words = {t: set(t.lower().split()) for t in texts}
+    some = sorted(texts)[:40]
+    assert {(x, y) for x in some for y in texts if len(words[x] & words[y]) >= 0.85 * len(words[x] | words[y])} == {p for p in found if p[0] in set(some)}
+    assert S._meetings(a, b, 0.85).count() < 10 * len(found)
+
+
+@pytest.mark.parametrize("theta", [0.3, 0.5, 0.85, 1.0])
+def test_words_of_short_and_long_texts(spark, theta):
+    rng = random.Random(5)
+    words = [f"W{i}" for i in range(12)] + [f"v{i}" for i in range(30)]
+    left = [" ".join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 5, 8, 15, 20, 24, 25, 26, 30]))) for _ in range(60)]
+    right = [" ".join([w for w in t.split(" ") if rng.random() < 0.95] + ["v3"] * rng.randrange(2)) for t in left for _ in range(2)]
+    got = sorted((r["a"], r["b"]) for r in S.matching_texts(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"), theta).collect())
+    of = lambda t: set(t.lower().strip().split(" "))
+    assert got == sorted((a, b) for a in set(left) for b in set(right) if a == b or len(of(a) & of(b)) / len(of(a) | of(b)) >= theta - 1e-12)
