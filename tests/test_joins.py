@@ -182,3 +182,18 @@ def test_words_of_short_and_long_texts(spark, theta):
     got = sorted((r["a"], r["b"]) for r in S.matching_texts(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"), theta).collect())
     of = lambda t: set(t.lower().strip().split(" "))
     assert got == sorted((a, b) for a in set(left) for b in set(right) if a == b or len(of(a) & of(b)) / len(of(a) | of(b)) >= theta - 1e-12)
+
+
+def test_rows_of_several_variables_meet_where_all_agree(spark, monkeypatch):
+    """Rows of the same terms are matched once, whatever their number: only different combinations are written as such."""
+    term = lambda c, kind=LITERAL: F.struct(F.lit(kind).cast("tinyint").alias("kind"), F.col(c).alias("lex"), F.lit(None).cast("string").alias("dt"), F.lit(None).cast("string").alias("lang"))
+    rows = spark.range(600).select(F.concat(F.lit("row "), "id").alias("r"), F.concat(F.lit("place "), F.col("id") % 2).alias("u"), F.concat(F.lit("kind "), F.col("id") % 3).alias("v")).withColumns({"up": F.upper("u"), "vp": F.upper("v")})
+    pattern = P.Solutions(rows.select(term("r").alias("r"), term("u").alias("u"), term("v").alias("v")))
+    made = P.Solutions(rows.select(term("r").alias("t"), term("up").alias("u"), term("vp").alias("v")), generated=frozenset({"u", "v"}))
+    written = {}
+    plain = S.save
+    monkeypatch.setattr(S, "save", lambda df, name: written.setdefault(name, plain(df, name)) if name == "combos" else plain(df, name))
+    g = table_graph({"n": spark.createDataFrame([("1", "one")], "k string, label string")}, {"n": TableMapping(("k",), label="label")})
+    out = S.similarity_join(pattern, made, g, 0.85).df
+    assert out.count() == 600 * 100
+    assert written["combos"].count() == 6
