@@ -197,3 +197,11 @@ def test_rows_of_several_variables_meet_where_all_agree(spark, monkeypatch):
     out = S.similarity_join(pattern, made, g, 0.85).df
     assert out.count() == 600 * 100
     assert written["combos"].count() == 6
+
+
+def test_products_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(P, "PRODUCT_ROWS", 100)
+    a, b = (P.Solutions(spark.range(n).coalesce(1).toDF(c)) for n, c in ((50, "x"), (40, "y")))
+    for pairs in (P.product(a, b), P.product(b, a), P.product(a, b, 45)):
+        rows = [r[0] for r in pairs.df.select(F.spark_partition_id()).collect()]
+        assert len(rows) == 2000 and max(map(rows.count, set(rows))) <= 500
