@@ -205,3 +205,18 @@ def test_products_are_dealt_out(spark, monkeypatch):
     for pairs in (P.product(a, b), P.product(b, a), P.product(a, b, 45)):
         rows = [r[0] for r in pairs.df.select(F.spark_partition_id()).collect()]
         assert len(rows) == 2000 and max(map(rows.count, set(rows))) <= 500
+
+
+def test_search_by_few_distances_at_once(spark, monkeypatch):
+    """Distances from pivots are held for few vectors at once, with the same results."""
+    from weftgraph.operators import vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    table = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    asked = table.where("id % 20 = 0").withColumnRenamed("id", "q")
+    monkeypatch.setattr(vectors, "_DISTANCES", 16)
+    got = sorted((r["q"], r["id"]) for r in search(asked, build_index(table, cells=5), 3).collect())
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert got == sorted((q, int(i)) for q in range(0, 400, 20) for i in np.argsort(-(x @ x[q]), kind="stable")[:3])
