@@ -125,3 +125,23 @@ def test_edges(spark, ranks, monkeypatch):
     by = {r["doc_id"]: r for r in got}
     assert abs(by["a"]["score"] - by["b"]["score"]) < 1e-6 and abs(by["b"]["score"] - by["c"]["score"]) < 1e-6
     assert by["d"]["score"] > blind["d"]["score"]
+
+
+def test_every_training_text_is_trained_on(spark, ranks, monkeypatch, tmp_path):
+    rows = [(i, " ".join(f"w{i * j % 97} x" for j in range(5 * i))) for i in range(60)] + [(60, None), (61, "y " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 2_000)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 8_000)
+    folder, batch = str(tmp_path), lm.BATCH
+
+    def noted(w, inputs, ids, outputs, steps, seed, rate):
+        assert steps * batch >= len(ids)
+        np.save(f"{folder}/{seed}-{np.random.default_rng().integers(1 << 60)}", ids[ids >= 0])
+        return w
+
+    monkeypatch.setattr(lm, "train", noted)
+    lm.fit(docs, ranks, Staging(spark))
+    subwords = lm.Subwords(ranks)
+    want = Counter(x for _, t in rows for ids in [*subwords.ids([w.encode() for w in WORD.findall(t or "")]), [subwords.end]] for x in ids)
+    found = [np.load(f) for f in tmp_path.glob("*.npy")]
+    assert len(found) > 3 and Counter(np.concatenate(found).tolist()) == want  # each id once, in some shard and round

@@ -3,9 +3,9 @@
 Counts of words are gathered from all training texts; the subword ids of each different word, times its count, give the
 frequencies of ids. The frequent ids are outputs of their own, the others share outputs by kind (whether they begin a
 word) and frequency, within which the counts of all training texts decide. The model, one layer of attention with
-relative places and a small feed-forward layer, is trained in numpy: training texts are dealt to shards, each task trains
-from the same weights on its own shard, the weights are averaged by Spark, and so on for some rounds. The share of texts
-that are trained on is a fixed rate, so that training grows with the corpus.
+relative places and a small feed-forward layer, is trained in numpy on every id of every training text: these are dealt to shards
+and rounds, each task trains from the same weights on its own shard, the weights are averaged by Spark, and so on for all
+rounds.
 
 A text's ids are scored in windows of SCORED ids with CONTEXT ids before them, so that each id is scored once, and with at
 least so much context; windows go through attention in batches under one causal mask. As embeddings carry no places,
@@ -35,9 +35,8 @@ SMALL, N_SMALL, LARGE = 16, 8, 256  # outputs of a group: of the first groups of
 NEARBY = 24  # windows whose attention weights fit a processor's cache
 KNOWN_IDS = 8192  # ids with an embedding of their own, the most frequent ones; rarer ones have that of their output
 TOP_WORDS = 1 << 19  # words whose counts are broadcast, the most frequent; counts of others are joined
-RATE = 1 / 64  # share of the training texts that the weights are trained on ..
-LEAST_TOKENS = 3_000_000  # .. but so many ids in all, or all texts; shorter corpora are gone through again
-SHARD_TOKENS = 2_000_000  # ids of a shard
+LEAST_TOKENS = 3_000_000  # ids that the weights are trained on at least; shorter corpora are gone through again
+SHARD_TOKENS = 2_000_000  # ids of a shard in all rounds
 ROUNDS = 3
 BATCH = 64  # windows of a training step
 LEARNING = 0.01
@@ -241,27 +240,35 @@ def _chosen(flat: np.ndarray, weights: np.ndarray, bias: np.ndarray, want: np.nd
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, outputs: Outputs) -> tuple[dict[str, np.ndarray], float]:
     """Gradients of the mean negative logarithm over ids (-1 for none), and its value."""
     part, g = DIM // HEADS, {}
-    x = w["embed"][inputs]
-    xq = x[:, CONTEXT:]
+    count = len(inputs)
+    x = w["embed"].take(inputs.ravel(), axis=0)  # rows of all windows one below the other, as products of whole tables are faster
+    xq = x.reshape(count, -1, DIM)[:, CONTEXT:].reshape(-1, DIM)
     root = np.float32(part**-0.5)
-    mixed, kept = [], []
+    kept = []
+    o = np.empty((count, SCORED, DIM), dtype=np.float32)
     for h in range(HEADS):
-        q, k, v = xq @ w["q"][h], x @ w["k"][h], x @ w["v"][h]
-        s = q @ k.transpose(0, 2, 1) * root + w["near"][h][_AWAY]
-        s = np.where(_SEEN_BY, s, np.float32(-1e9))
-        a = np.exp(s - s.max(axis=2, keepdims=True))
+        q, k, v = ((t @ w[c][h]).reshape(count, -1, part) for t, c in ((xq, "q"), (x, "k"), (x, "v")))
+        q *= root
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(_SEEN_BY, w["near"][h][_AWAY], np.float32(-1e9))
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
-        mixed.append(a @ v)
+        o[:, :, h * part : (h + 1) * part] = a @ v
         kept.append((q, k, v, a))
-    o = np.concatenate(mixed, axis=2)
-    h1 = xq + o @ w["o"]
-    u = np.maximum(h1 @ w["w1"] + w["b1"], 0)
-    h2 = h1 + u @ w["w2"]
+    o2 = o.reshape(-1, DIM)
+    h1 = o2 @ w["o"]
+    h1 += xq
+    u = h1 @ w["w1"]
+    u += w["b1"]
+    np.maximum(u, 0, out=u)
+    h2 = u @ w["w2"]
+    h2 += h1
     want = ids.ravel()
     some = np.flatnonzero(want >= 0)
     some = some[np.argsort(outputs.group[want[some]], kind="stable")]
     want = want[some]
-    flat, group, column = h2.reshape(-1, DIM)[some], outputs.group[want], outputs.column[want]
+    flat, group, column = h2.take(some, axis=0), outputs.group[want], outputs.column[want]
     found, p = _chosen(flat, w["group"], w["group_bias"], group)
     g["group"], g["group_bias"] = flat.T @ p, p.sum(axis=0)
     back = p @ w["group"].T
@@ -276,50 +283,70 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, out
     loss = float(-found.mean())
     for k in ("group", "group_bias", "out", "bias"):
         g[k] /= len(want)
-    d2 = np.zeros((h2.shape[0] * SCORED, DIM), dtype=np.float32)
-    d2[some] = back / np.float32(len(want))
-    d2 = d2.reshape(h2.shape)
-    g["w2"] = np.tensordot(u, d2, ([0, 1], [0, 1]))
-    du = (d2 @ w["w2"].T) * (u > 0)
-    g["w1"], g["b1"] = np.tensordot(h1, du, ([0, 1], [0, 1])), du.sum(axis=(0, 1))
-    d1 = d2 + du @ w["w1"].T
-    g["o"] = np.tensordot(o, d1, ([0, 1], [0, 1]))
-    do, dx = d1 @ w["o"].T, np.zeros_like(x)
-    dx[:, CONTEXT:] += d1
+    d2 = np.zeros_like(h2)
+    back /= np.float32(len(want))
+    d2[some] = back
+    g["w2"] = u.T @ d2
+    du = d2 @ w["w2"].T
+    du *= u > 0
+    g["w1"], g["b1"] = h1.T @ du, du.sum(axis=0)
+    d1 = du @ w["w1"].T
+    d1 += d2
+    g["o"] = o2.T @ d1
+    do, dx = (d1 @ w["o"].T).reshape(o.shape), np.zeros_like(x)
+    dxq = d1
     for c in ("q", "k", "v", "near"):
         g[c] = np.zeros_like(w[c])
     for h, (q, k, v, a) in enumerate(kept):
-        dm = do[:, :, h * part : (h + 1) * part]
-        da, dv = dm @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        g["near"][h] = np.bincount(_AWAY.ravel(), weights=np.where(_SEEN_BY, ds.sum(axis=0), 0).ravel(), minlength=CONTEXT + SCORED)
-        dq, dk = ds @ k * root, ds.transpose(0, 2, 1) @ q * root
-        g["q"][h], g["k"][h], g["v"][h] = np.tensordot(xq, dq, ([0, 1], [0, 1])), np.tensordot(x, dk, ([0, 1], [0, 1])), np.tensordot(x, dv, ([0, 1], [0, 1]))
-        dx[:, CONTEXT:] += dq @ w["q"][h].T
-        dx += dk @ w["k"][h].T + dv @ w["v"][h].T
+        mine = slice(h * part, (h + 1) * part)
+        dm = do[:, :, mine]
+        dv = (a.transpose(0, 2, 1) @ dm).reshape(-1, part)
+        ds = dm @ v.transpose(0, 2, 1)
+        ds -= (dm * o[:, :, mine]).sum(axis=2, keepdims=True)  # the mean of a row by its weights
+        ds *= a
+        g["near"][h] = np.bincount(_AWAY.ravel(), weights=ds.sum(axis=0).ravel(), minlength=CONTEXT + SCORED)
+        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, part)
+        dq = (ds @ k).reshape(-1, part)
+        dq *= root
+        g["q"][h], g["k"][h], g["v"][h] = xq.T @ dq, x.T @ dk, x.T @ dv
+        dxq += dq @ w["q"][h].T
+        dx += dk @ w["k"][h].T
+        dx += dv @ w["v"][h].T
+    dx.reshape(count, -1, DIM)[:, CONTEXT:] += dxq.reshape(count, SCORED, DIM)
     rows, by = inputs.ravel(), np.argsort(inputs.ravel(), kind="stable")
     ordered = rows[by]
     new = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     g["embed"] = np.zeros_like(w["embed"])
-    g["embed"][ordered[new]] = np.add.reduceat(dx.reshape(-1, DIM)[by], new, axis=0)
+    g["embed"][ordered[new]] = np.add.reduceat(dx.take(by, axis=0), new, axis=0)
     return g, loss
 
 
 def train(w: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, outputs: Outputs, steps: int, seed: int, rate: float) -> dict[str, np.ndarray]:
     """Weights after so many steps of Adam on batches of windows, gone through in a seeded order again and again."""
     w = {k: v.astype(np.float32) for k, v in w.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    m, s, free = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(3))
     rng, order = np.random.default_rng(seed), np.zeros(0, dtype=np.int64)
     for t in range(1, steps + 1):
         while len(order) < BATCH:
             order = np.append(order, rng.permutation(len(inputs)))
         at, order = order[:BATCH], order[BATCH:]
         g, _ = gradients(w, inputs[at], ids[at], outputs)
-        now = np.float32(rate * min(1.0, t / 20) * (1 - 0.9 * t / steps))
+        now = rate * min(1.0, t / 20) * (1 - 0.9 * t / steps)
+        root = (1 - 0.99**t) ** 0.5
+        ratio, least = np.float32(now * root / (1 - 0.9**t)), np.float32(1e-8 * root)
         for k, x in g.items():
-            m[k] += np.float32(0.1) * (x - m[k])
-            s[k] += np.float32(0.01) * (x * x - s[k])
-            w[k] -= now * (m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(s[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+            x, buf = x.astype(np.float32, copy=False), free[k]
+            m[k] *= np.float32(0.9)
+            m[k] += np.multiply(x, np.float32(0.1), out=buf)
+            s[k] *= np.float32(0.99)
+            np.multiply(x, x, out=buf)
+            buf *= np.float32(0.01)
+            s[k] += buf
+            np.sqrt(s[k], out=buf)
+            buf += least
+            np.divide(m[k], buf, out=buf)
+            buf *= ratio
+            w[k] -= buf
     return w
 
 
@@ -505,8 +532,9 @@ class LanguageModel:
         return unpacked(out, names, added)
 
 
-def fit(docs: DataFrame, ranks: dict[bytes, int], staging: Staging, text_col: str = "text", id_col: str = "doc_id", seed: int = 11, rate: float = RATE) -> LanguageModel:
-    """A model of all rows of docs: counts of all their words, weights from the share rate of them, by a hash of the id."""
+def fit(docs: DataFrame, ranks: dict[bytes, int], staging: Staging, text_col: str = "text", id_col: str = "doc_id", seed: int = 11) -> LanguageModel:
+    """A model of all rows of docs: counts of all their words, and weights trained on all their ids, a window in one round
+    (in each, if they have LEAST_TOKENS at most)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -536,9 +564,6 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], staging: Staging, text_col: st
     words = Words(top["h"].to_numpy().view(U), top["word"].to_pylist(), top["c"].to_numpy(), subwords)
     rare = counts.where(step < least) if least is not None else counts
 
-    ids = int(n.sum())
-    share = min(1.0, max(rate * ids, LEAST_TOKENS) / max(1, ids))
-    n_shards = max(1, round(share * ids / SHARD_TOKENS))
     known = Shared(spark, words)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -551,14 +576,17 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], staging: Staging, text_col: st
                     out += cut
                     key += [f"{k}/{j}" for j in range(len(cut))]
                     at += m
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.string()), "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    hashed = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))
-    drawn = rows.where(hashed < int(share * (1 << 30))).mapInArrow(pieces, "key string, ids array<int>")
-    drawn = staging.save(drawn.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")), "pieces")
+                n_windows = [-(-len(x) // SCORED) for x in out]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.string()), "ids": pa.array(out, pa.list_(pa.int32())), "n_windows": pa.array(n_windows, pa.int32())})
+
+    dealt = staging.save(rows.mapInArrow(pieces, "key string, ids array<int>, n_windows int"), "pieces")
+    room = SCORED * (dealt.agg(F.sum("n_windows")).first()[0] or 0)  # ids if all windows were full
+    n_shards = max(1, -(-room // SHARD_TOKENS))
+    cell = F.pmod(F.xxhash64("key", "ids", F.lit(seed)), F.lit(n_shards * ROUNDS))
+    drawn = dealt.select("key", "ids", (cell % n_shards).alias("shard"), F.floor(cell / n_shards).alias("round"))
     weights = first_weights(outputs, seed)
     shapes = {k: v.shape for k, v in weights.items()}
-    steps_each = max(1, int(max(share * ids, LEAST_TOKENS) / (n_shards * BATCH * SCORED * ROUNDS)))
+    least_steps = int(LEAST_TOKENS / (n_shards * BATCH * SCORED * ROUNDS))
     for r in range(ROUNDS):
         start = Shared(spark, (weights, outputs, subwords.end))
 
@@ -570,11 +598,13 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], staging: Staging, text_col: st
             ids = lists.flatten().to_numpy().astype(np.int64)
             scored, inputs = windows(lengths)
             rows = np.append(outputs.row[ids], outputs.row[end])
-            new = train(weights, rows[inputs], np.append(ids, -1)[scored], outputs, steps_each, seed + r, LEARNING * 0.6**r)
+            steps = max(least_steps, -(-len(scored) // BATCH))  # each window once at least
+            new = train(weights, rows[inputs], np.append(ids, -1)[scored], outputs, steps, seed + r, LEARNING * 0.6**r)
             flat = np.concatenate([new[k].ravel() for k in weights]).astype(np.float64)
             return pa.table({"at": pa.array(np.arange(len(flat)), pa.int32()), "total": flat * len(ids), "n": pa.array(np.full(len(flat), len(ids)), pa.int64())})
 
-        each = drawn.groupBy("shard").applyInArrow(shard, "at int, total double, n bigint")
+        mine = drawn.where(F.col("round") == r) if room > LEAST_TOKENS else drawn
+        each = mine.groupBy("shard").applyInArrow(shard, "at int, total double, n bigint")
         mean = each.groupBy("at").agg((F.sum("total") / F.sum("n")).alias("v")).toArrow().sort_by([("at", "ascending")])  # as many rows as weights
         if len(mean):
             flat, at = mean["v"].to_numpy().astype(np.float32), 0
@@ -584,5 +614,5 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], staging: Staging, text_col: st
         start.release()
     for s in (shared, known):
         s.release()
-    staging.drop(drawn)
+    staging.drop(dealt)
     return LanguageModel(words, rare, total, different, ends, outputs, weights, subwords)
