@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.operators import edits
 from weftgraph.operators import patterns as P
 from weftgraph.operators import similarity as S
 from weftgraph.operators.edits import edit_matches
@@ -52,6 +53,29 @@ def test_edit_matches_equal_all_pairs(spark, theta):
     assert {(x["a"], x["b"]): round(x["similarity"], 9) for x in got} == {k: round(v, 9) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("theta", [0.72, 0.85, 0.9, 0.97])
+def test_edit_matches_of_texts_made_of_few_parts(spark, theta, monkeypatch):
+    """Pairs at every length about the bounds for halves equal all pairs, and frequent grams make no pairs of their own."""
+    r = random.Random(int(1000 * theta))
+    made = lambda: " ".join([r.choice(["LARGE", "SMALL", "ÜBER"]), r.choice(["hot ring", "old bolt", "cold gear", "é"]), f"B#{r.randrange(1, 26)}"])[r.randrange(3) :] + "z" * r.choice([0, 0, 0, 9, 30])
+
+    def typed(w):
+        for _ in range(r.randrange(5)):
+            at = r.choice([0, 1, len(w) // 2, len(w) // 2 + 1, len(w) - 1, len(w), r.randrange(len(w) + 1)])
+            w = w[:at] + r.choice(["", "x", "q", "xy"]) + w[at + r.randrange(3) :]
+        return w
+
+    left = {made() for _ in range(110)}
+    right = {typed(made()) for _ in range(140)} | {typed(w) for w in left}
+    by_grams = []
+    monkeypatch.setattr(edits, "_candidates", lambda a, b, *more, old=edits._candidates: by_grams.extend([*a.collect(), *b.collect()]) or old(a, b, *more))
+    got = edit_matches(spark.createDataFrame([(w,) for w in left], "a string"), spark.createDataFrame([(w,) for w in right], "b string"), theta).collect()
+    want = {(a, b): edit_similarity(a, b) for a in left for b in right if edit_similarity(a, b) >= theta - 1e-12}
+    assert len(got) == len(want) and len(want) > 20
+    assert {(x["a"], x["b"]): round(x["similarity"], 9) for x in got} == {k: round(v, 9) for k, v in want.items()}
+    assert all(len(t) < edits.LEAST or (1 - theta) * len(t) / theta + 1e-9 >= edits.MOST + 1 for (t,) in by_grams)
+
+
 @pytest.mark.parametrize("cells", [1, 7, None])
 def test_index_equals_all_pairs(spark, cells):
     rng = np.random.default_rng(1)
