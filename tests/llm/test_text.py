@@ -259,6 +259,38 @@ def test_ids_of_any_type_and_clashing_names(spark):
     assert sorted(map(tuple, ngram_join.ngram_components(same).collect())) == [("a", 2, "a"), ("b", 2, "a"), ("c", 0, "c")]
 
 
+def test_filters_take_what_they_need_and_leave_the_workers(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from weftgraph.llm.sketch import sift
+
+    # 4,000 arrays of 49 hashes of their own and one that the next array holds, too
+    arrays = spark.range(0, 4000, 1, 4).repartition(4)
+
+    def hashes(batch):
+        for i in batch.column(0).to_pylist():
+            yield np.append(np.arange(i * 100, i * 100 + 49, dtype=np.uint64), np.uint64(10**9 + i // 2))
+
+    known = sift(arrays, hashes, 200_000, per_cell=8)
+    assert known.first.bits == 20 and known.second.bits < 20
+
+    def run(batches):
+        missed = passed = 0
+        for batch in batches:
+            for u in hashes(batch):
+                found = known.test(u)
+                missed, passed = missed + (not found[-1]), passed + int(found[:-1].sum())
+        known.forget()
+        kept = sum("_value" in vars(f) for f in (known.first.sent, known.second.sent, known.sent))
+        yield pa.RecordBatch.from_pydict({"missed": [missed], "passed": [passed], "kept": [kept]})
+
+    for _ in range(2):  # workers read them again
+        got = arrays.mapInArrow(run, "missed long, passed long, kept long").groupBy().sum().first()
+        assert got[0] == 0 and got[1] < 0.03 * 49 * 4000 and got[2] == 0
+    known.release()
+
+
 def test_odd_sketches_bound_the_difference():
     import numpy as np
 

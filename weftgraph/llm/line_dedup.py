@@ -83,6 +83,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 seen = {(t, c.data[a:b].tobytes().lower()) for t, a, b in zip(text[at].tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)}
                 rows, keys = zip(*seen, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r + c.first for r in rows])), pa.array([k.decode() for k in keys], pa.string())], names=["doc_id", "key"])
+        again.forget()
 
     held = staging.save(thin.mapInArrow(suspects, f"doc_id {kind}, key string").distinct(), "held")
     again.release()

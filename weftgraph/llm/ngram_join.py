@@ -50,7 +50,7 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     texts = docs.select("text")
     words = (texts.select(F.sum(F.length("text")).alias("n")).first()[0] or 0) // 6  # about how many
-    known = sift(texts, lambda batch: shingle_sets(batch.column(0), k), words)
+    known = sift(texts, lambda batch: shingle_sets(batch.column(0), k), words, per_cell=8)
 
     def profile(column: pa.Array) -> list[pa.Array]:
         n, ids, m, toks, odd, hashes = [], [], [], [], [], []
@@ -75,6 +75,7 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *profile(batch.column(1))], names=["doc_id", "n_shingles", "id", "m", "toks", "odd", "hashes"])
+        known.forget()
 
     rows = staging.save(docs.mapInArrow(run, _PROFILE.replace("row long", f"doc_id {kind}")), "profile")
     known.release()

@@ -197,6 +197,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                     ],
                     names=["doc_id", "uid", "word", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "odd", "hashes"],
                 )
+        again.forget()
+        held.forget()
 
     crowd = max(1, crowd, 4 * again.typical)  # counts are by cell, which on a large corpus many keys share
 
@@ -229,6 +231,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                     [batch.column(0).take(row), pa.array(key[new].view(np.int64)), pa.array(salt.astype(np.int32)), uid, pa.array((at - words.bounds[text])[new], pa.int32()), *(pa.ListArray.from_arrays(lists, x) for x in each)],
                     names=["doc_id", "key", "salt", "uid", "pos", "h", "start_char", "n_chars", "para_no"],
                 )
+        again.forget()
 
     rows = staging.save(docs.select("doc_id", "text", "uid").mapInArrow(suspects, f"doc_id {kind}, {_SCHEMA}"), "paragraphs")
     members = staging.save(rows.select("id", "n", "m", "toks", "odd").dropDuplicates(["id"]), "members")

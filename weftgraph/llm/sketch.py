@@ -70,6 +70,11 @@ class TwiceFilter:
             found &= (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return found
 
+    def forget(self) -> None:
+        """For the end of a task: the worker, which waits for others, holds the filter no longer. The next task that
+        needs it reads it again from the executor's disk."""
+        vars(self.sent).pop("_value", None)
+
     def release(self) -> None:
         self.sent.destroy()
 
@@ -97,6 +102,12 @@ class Sifted:
         """About how often each hash occurs; hashes of one cell are counted together."""
         return np.rint(2 ** (self.ranks(hashes) / 8)).astype(np.int64) - 1
 
+    def forget(self) -> None:
+        """As TwiceFilter.forget."""
+        self.first.forget()
+        self.second.forget()
+        vars(self.sent).pop("_value", None)
+
     def release(self) -> None:
         """Frees the broadcasts, once no job needs them any more."""
         self.first.release()
@@ -184,18 +195,22 @@ def twice_filter(df: DataFrame, hashes_of: Hashes, expected: int, max_bits: int
     return TwiceFilter(df.sparkSession, _build(df, hashes_of, bits, range(2))[0], bits, range(2))
 
 
-def sift(df: DataFrame, hashes_of: Hashes, expected: int, max_bits: int = MAX_BITS) -> Sifted:
+def sift(df: DataFrame, hashes_of: Hashes, expected: int, max_bits: int = MAX_BITS, per_cell: int | None = None) -> Sifted:
     """Two passes over the table: hashes that pass the filter of the first are sifted again, and counted, in the
     second, where far fewer are left. A hash that two documents hold passes both. There are at least four bits for
-    each hash up to 2**max_bits / 4 hashes; with more of them more pass by chance."""
+    each hash up to 2**max_bits / 4 hashes; with more of them more pass by chance. The second filter is as
+    large as the first, or has per_cell bits for each cell that the first has seen again, if that is less: there two
+    hashes lie as a rule."""
     spark = df.sparkSession
     bits = _bits(expected, 4, max_bits)
-    first = TwiceFilter(spark, _build(df, hashes_of, bits, range(1))[0], bits, range(1))
+    packed, _ = _build(df, hashes_of, bits, range(1))
+    first = TwiceFilter(spark, packed, bits, range(1))
+    left_bits = _bits(int(np.bitwise_count(packed).sum(dtype=np.int64)), per_cell, bits) if per_cell else bits
 
     def left(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for h in hashes_of(batch):
             yield h[first.test(h)]
 
     rank_bits = min(22, bits)
-    packed, ranks = _build(df, left, bits, range(1, 2), rank_bits)
-    return Sifted(spark, first, TwiceFilter(spark, packed, bits, range(1, 2)), ranks, rank_bits)
+    packed, ranks = _build(df, left, left_bits, range(1, 2), rank_bits)
+    return Sifted(spark, first, TwiceFilter(spark, packed, left_bits, range(1, 2)), ranks, rank_bits)
