@@ -84,6 +84,31 @@ def test_training_lowers_the_loss(made):
     assert mean(new) > mean(w) + 2
 
 
+def test_steps_are_taken_by_the_rows_that_occur(made, monkeypatch):
+    outputs, w = made
+    ids = np.random.default_rng(6).integers(0, 300, 4000)
+    scored, inputs = lm.windows(np.array([len(ids)]))
+    rows = np.append(outputs.row[ids], outputs.row[4999])[inputs]
+    sizes, plain = [], lm.gradients
+    monkeypatch.setattr(lm, "gradients", lambda w, *rest: (sizes.append(len(w["embed"])), plain(w, *rest))[1])
+    new = lm.train(w, rows, np.append(ids, -1)[scored], outputs, 5, 1, 0.01)
+    seen = np.unique(rows)
+    assert set(sizes) == {len(seen)} and new["embed"].shape == w["embed"].shape
+    moved = np.flatnonzero((new["embed"] != w["embed"]).any(axis=1))
+    assert set(moved.tolist()) <= set(seen.tolist()) and len(moved) > 0.9 * len(seen)
+
+
+def test_large_logits_have_finite_gradients(made):
+    outputs, w = made
+    ids = np.random.default_rng(7).integers(0, 5000, 64)
+    scored, inputs = lm.windows(np.array([64]))
+    rows = np.append(outputs.row[ids], outputs.row[4999])[inputs]
+    for shift in (500, -500):  # the same for all outputs, so that nothing changes
+        far = {**w, "bias": w["bias"] + np.float32(shift), "group_bias": w["group_bias"] + np.float32(shift)}
+        (g, loss), (f, far_loss) = lm.gradients(w, rows, ids[scored], outputs), lm.gradients(far, rows, ids[scored], outputs)
+        assert abs(loss - far_loss) < 1e-3 and all(np.abs(g[k] - f[k]).max() < 1e-3 for k in g)
+
+
 def test_base_scores_with_rare_words_joined(spark, sf, ranks, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = docs.collect()

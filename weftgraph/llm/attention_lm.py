@@ -227,11 +227,18 @@ def _chosen(flat: np.ndarray, weights: np.ndarray, bias: np.ndarray, want: np.nd
     """Logarithms of the softmax of flat @ weights + bias at want, and the softmax less one there."""
     z = flat @ weights
     z += bias
-    z -= z.max(axis=1, keepdims=True)
     here = np.arange(len(want))
     found = z[here, want]
     np.exp(z, out=z)
-    total = z.sum(axis=1)
+    total = z @ np.ones(len(bias), np.float32)
+    if not (np.isfinite(total).all() and total.min() > 0):  # far from zero: once more, less the largest
+        z = flat @ weights
+        z += bias
+        most = z.max(axis=1)
+        found = found - most
+        z -= most[:, None]
+        np.exp(z, out=z)
+        total = z.sum(axis=1)
     z /= total[:, None]
     z[here, want] -= 1
     return found - np.log(total), z
@@ -322,8 +329,12 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, out
 
 
 def train(w: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, outputs: Outputs, steps: int, seed: int, rate: float) -> dict[str, np.ndarray]:
-    """Weights after so many steps of Adam on batches of windows, gone through in a seeded order again and again."""
-    w = {k: v.astype(np.float32) for k, v in w.items()}
+    """Weights after so many steps of Adam on batches of windows, gone through in a seeded order again and again.
+
+    Embedding rows that inputs do not name have no gradient; they stay as they are and take no part in the steps."""
+    used = np.bincount(inputs.ravel(), minlength=len(w["embed"])) > 0
+    whole, inputs = w["embed"].astype(np.float32), (np.cumsum(used) - 1)[inputs]
+    w = {k: (v[used] if k == "embed" else v).astype(np.float32) for k, v in w.items()}
     m, s, free = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(3))
     rng, order = np.random.default_rng(seed), np.zeros(0, dtype=np.int64)
     for t in range(1, steps + 1):
@@ -347,7 +358,8 @@ def train(w: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, outputs
             np.divide(m[k], buf, out=buf)
             buf *= ratio
             w[k] -= buf
-    return w
+    whole[used] = w["embed"]
+    return {**w, "embed": whole}
 
 
 class Scorer:
