@@ -246,6 +246,37 @@ def test_passages_across_lines_and_within_them(spark):
     assert " ".join(passage) in kept and " ".join(inner[:50]) in kept and len(left[10]) == 50
 
 
+def test_texts_are_taken_apart_four_times(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(120))) for i in range(30)] + [(30, None)]
+    rows += [(31, rows[0][1]), (31, rows[1][1] + " x")]
+    folder, plain = str(tmp_path), paragraph_dedup.word_chunks
+
+    def noted(column):
+        with open(f"{folder}/{random.SystemRandom().getrandbits(60)}", "w") as f:
+            f.write(str(len(column)))
+        yield from plain(column)
+
+    monkeypatch.setattr(paragraph_dedup, "word_chunks", noted)
+    got = paragraph_dedup.repeated_paragraphs(frame(spark, rows)).collect()
+    assert {x["doc_id"] for x in got} == {0, 1, 31} and sum(x["removed"] for x in got) == 2
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 4 * len(rows)
+
+
+def test_keys_stay_whole_and_windows_repeat_by_any_id():
+    import pyarrow as pa
+
+    keys = [1, 1, 1, 1, 1, 2, 3, 3]
+    rows = pa.table({"key": keys, "uid": [4, 5, 6, 7, 8, 9, 10, 11], "doc_id": [None, None, "b", "b", "c", "c", "a", "b"], "pos": [0, 3, 60, 0, 1, 5, 7, 7], "h": [[5, 6], [6], [5], [5, 9], [], [5], [7], [7, 8]]})
+    for c in ("start_char", "n_chars", "para_no"):
+        rows = rows.append_column(c, rows["h"])
+    tables = list(paragraph_dedup.whole_keys(rows.to_batches(max_chunksize=2), 3))
+    assert [t["key"].to_pylist() for t in tables] == [[1] * 5 + [2], [3, 3]]
+    found = [x for t in tables for x in paragraph_dedup.repeated_windows(t, 50).to_pylist()]
+    want = [(4, 0, 2, False, 4, 3), (5, 3, 4, True, 4, 2), (6, 60, 61, True, 4, 3), (7, 0, 1, True, 4, 3), (10, 7, 8, False, 10, 2), (11, 7, 8, True, 10, 2)]
+    assert [(x["uid"], x["pos"], x["next"], x["removed"], x["first"]["uid"], x["places"]) for x in found] == want
+
+
 def test_ids_of_any_type_and_clashing_names(spark):
     long = "A line of more than twenty characters"
     rows = [(f"d{i}", f"{long}\nown words of number {i}", 7, "x") for i in range(4)] + [("d9", None, 7, None), (None, "", None, "x")]

@@ -13,13 +13,15 @@ stays the same over many windows, so that the filter takes about one in thirteen
 counted exactly by their hash. The first place of each stays; neighbours with the same fate are one passage. Where the
 first place meets a removed paragraph, what stays is the first of the passages that would go for it and hold it all, so
 that nothing goes for a text that goes itself.
-Windows of a key with many rows are dealt out by text: they are counted with partial sums, and meet the counts by part.
+The windows of a key meet in one task, which settles them as arrays, table by table in the order of keys. Windows of a key
+with many rows are dealt out by text: they are counted with partial sums, and meet the counts by part.
+Band keys and keys of windows are written once for both passes of the filter, so that texts are taken apart four times.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,17 @@ from .staging import Staging, small_batches
 
 BANDS, ROWS = 14, 4
 CROWD = 2_000  # rows of windows with one key that one task takes
+PIECE = 1 << 18  # bytes of text that are taken apart at once: their arrays fit a processor's cache better than larger ones
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _LINES = np.ones(256, dtype=bool)
 _LINES[10] = False
-_SCHEMA = "uid long, word long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, odd array<bigint>, hashes array<bigint>"
-_WINDOWS = "key long, salt int, uid long, pos int, h array<bigint>, start_char array<bigint>, n_chars array<int>, para_no array<int>"
+_ROWS = "uid long, word long, para_no int, start_char long, n_chars long, n_words int, id binary, m int, toks array<struct<tok: bigint, pos: int>>, n int, odd array<bigint>, hashes array<bigint>, window struct<{}>"
+_WINDOWS = "key: bigint, salt: int, pos: int, h: array<bigint>, start_char: array<bigint>, n_chars: array<int>, para_no: array<int>"
+_PIECES = "pos int, next int, para_no int, start_char long, end_char long, places long, lo int, hi int, removed boolean"
 _TOKS = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_PARAGRAPH = {"word": pa.int64(), "para_no": pa.int32(), "start_char": pa.int64(), "n_chars": pa.int64(), "n_words": pa.int32(), "id": pa.binary(), "m": pa.int32(), "toks": _TOKS, "n": pa.int32(), "odd": _LONGS, "hashes": _LONGS}
+_WINDOW = pa.struct([("key", pa.int64()), ("salt", pa.int32()), ("pos", pa.int32()), ("h", _LONGS), ("start_char", _LONGS), ("n_chars", _INTS), ("para_no", _INTS)])
 
 
 def band_keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -127,7 +134,7 @@ class Words:
 
 
 def word_chunks(column: pa.Array) -> Iterator[Words]:
-    for c in chunks(column):
+    for c in chunks(column, PIECE):
         yield Words(c)
 
 
@@ -152,15 +159,21 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("uid"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for words in word_chunks(batch.column(0)):
-            found = words.paragraphs(min_words)
-            if found:
-                yield band_keys(words.grams(k), found[-2], found[-1] - k + 1).ravel()
-            yield words.window_keys(min_words)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in word_chunks(batch.column(0)):
+                found = words.paragraphs(min_words)
+                made = [band_keys(words.grams(k), found[-2], found[-1] - k + 1).ravel()] if found else []
+                yield pa.RecordBatch.from_pydict({"keys": pa.array([np.concatenate([*made, words.window_keys(min_words)]).tobytes()], pa.binary())})
+
+    def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for raw in batch.column(0).to_pylist():
+            yield np.frombuffer(raw, dtype=U)
 
     count = (docs.select(F.sum(F.length("text")).alias("n")).first()[0] or 0) // 6  # about how many words
-    again = sift(docs.select("text"), keys, count * BANDS // min_words + 4 * count // min_words + 1)
+    written = staging.save(docs.select("text").mapInArrow(keys, "keys binary"), "keys")
+    again = sift(written, read, count * BANDS // min_words + 4 * count // min_words + 1)
+    staging.drop(written)
 
     def suspected(words: Words, found: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Band keys, whether another paragraph may have them, which paragraphs have one that may, and their sets."""
@@ -178,9 +191,44 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
 
     held = twice_filter(docs.select("text"), shared, count // 2)  # shingles that two suspects may hold
 
+    crowd = max(1, crowd, 4 * again.typical)  # counts are by cell, which on a large corpus many keys share
+
+    def window_rows(words: Words, doc_id: pa.Array, uid: pa.Array, dealt: bool) -> dict[str, pa.Array]:
+        """Windows of the keys that are dealt out, or of the others; salt is the part, by text, that a row falls to."""
+        at, key = words.windows(min_words)
+        some = np.flatnonzero(again.test(key))
+        rows_of = again.counts(key[some])
+        mine = (rows_of > crowd) == dealt
+        at, key, rows_of = at[some[mine]], key[some[mine]], rows_of[mine]
+        if not len(at):
+            return {}
+        h, c = words.grams(min_words)[at], words.c
+        text = np.searchsorted(words.bounds, at, "right") - 1
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+        new = np.flatnonzero(new)
+        row = pa.array(text[new] + c.first)
+        uid = uid.take(row)
+        salt = mix(uid.to_numpy().astype(U)) % (rows_of[new] // crowd + 1).astype(U)
+        p_starts, _, p_bounds = c.spans(_LINES)
+        line = np.searchsorted(p_starts, words.starts[at], "right") - 1
+        points = c.code_points()
+        start = points[words.starts[at]]
+        lists = pa.array(np.append(new, len(at)), pa.int32())
+        each = [pa.array(h.view(np.int64)), pa.array(start - points[c.offsets[text]], pa.int64()), pa.array(points[words.ends[at + min_words - 1]] - start, pa.int32()), pa.array(line - p_bounds[text], pa.int32())]
+        made = [doc_id.take(row), pa.array(key[new].view(np.int64)), pa.array(salt.astype(np.int32)), uid, pa.array((at - words.bounds[text])[new], pa.int32()), *(pa.ListArray.from_arrays(lists, x) for x in each)]
+        return dict(zip(["doc_id", "key", "salt", "uid", "pos", "h", "start_char", "n_chars", "para_no"], made, strict=True))
+
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of paragraphs, and of windows that are dealt out, which have no id."""
         for batch in batches:
+            doc_id, _, uid = batch.columns
             for words in word_chunks(batch.column(1)):
+                dealt = window_rows(words, doc_id, uid, True)
+                if dealt:
+                    n = len(dealt["uid"])
+                    window = pa.StructArray.from_arrays([dealt[f.name] for f in _WINDOW], fields=list(_WINDOW))
+                    yield pa.RecordBatch.from_arrays([dealt["doc_id"], dealt["uid"], *(pa.nulls(n, t) for t in _PARAGRAPH.values()), window], names=["doc_id", "uid", *_PARAGRAPH, "window"])
                 found = words.paragraphs(min_words)
                 if not found:
                     continue
@@ -189,51 +237,29 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
                 m = np.array([np.count_nonzero(held.test(x)) for x in sets], dtype=np.int64)
                 some = np.flatnonzero(100 * m >= percent * np.array([len(x) for x in sets], dtype=np.int64))
                 at, m, sets = at[some], m[some], [sets[i] for i in some.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(row[at])), batch.column(2).take(pa.array(row[at])), pa.array((first - words.bounds[row - words.c.first])[at], pa.int64()), pa.array(place[at], pa.int32()), pa.array(start[at], pa.int64()), pa.array(n_chars[at], pa.int64()), pa.array((last - first)[at], pa.int32()),
-                        pa.array([bytes.fromhex(digest(x)) for x in sets], pa.binary()), pa.array(m, pa.int32()), pa.array([[{"tok": t, "pos": 0} for t in every[i][hit[i]].view(np.int64).tolist()] for i in at.tolist()], _TOKS),
-                        pa.array([len(x) for x in sets], pa.int32()), pa.array([odd_sketch(x) for x in sets], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "uid", "word", "para_no", "start_char", "n_chars", "n_words", "id", "m", "toks", "n", "odd", "hashes"],
-                )
+                values = [
+                    (first - words.bounds[row - words.c.first])[at], place[at], start[at], n_chars[at], (last - first)[at],
+                    [bytes.fromhex(digest(x)) for x in sets], m, [[{"tok": t, "pos": 0} for t in every[i][hit[i]].view(np.int64).tolist()] for i in at.tolist()],
+                    [len(x) for x in sets], [odd_sketch(x) for x in sets], [x.view(np.int64) for x in sets],
+                ]
+                of = pa.array(row[at])
+                columns = [pa.array(v, t) for v, t in zip(values, _PARAGRAPH.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_id.take(of), uid.take(of), *columns, pa.nulls(len(at), _WINDOW)], names=["doc_id", "uid", *_PARAGRAPH, "window"])
         again.forget()
         held.forget()
 
-    crowd = max(1, crowd, 4 * again.typical)  # counts are by cell, which on a large corpus many keys share
-
-    def suspect_windows(batches: Iterator[pa.RecordBatch], dealt: bool) -> Iterator[pa.RecordBatch]:
-        """Windows of the keys that are dealt out, or of the others; salt is the part, by text, that a row falls to."""
+    def other_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_chunks(batch.column(1)):
-                at, key = words.windows(min_words)
-                some = np.flatnonzero(again.test(key))
-                rows_of = again.counts(key[some])
-                mine = (rows_of > crowd) == dealt
-                at, key, rows_of = at[some[mine]], key[some[mine]], rows_of[mine]
-                if not len(at):
-                    continue
-                h, c = words.grams(min_words)[at], words.c
-                text = np.searchsorted(words.bounds, at, "right") - 1
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (key[1:] != key[:-1])
-                new = np.flatnonzero(new)
-                row = pa.array(text[new] + c.first)
-                uid = batch.column(2).take(row)
-                salt = mix(uid.to_numpy().astype(U)) % (rows_of[new] // crowd + 1).astype(U)
-                p_starts, _, p_bounds = c.spans(_LINES)
-                line = np.searchsorted(p_starts, words.starts[at], "right") - 1
-                points = c.code_points()
-                start = points[words.starts[at]]
-                lists = pa.array(np.append(new, len(at)), pa.int32())
-                each = [pa.array(h.view(np.int64)), pa.array(start - points[c.offsets[text]], pa.int64()), pa.array(points[words.ends[at + min_words - 1]] - start, pa.int32()), pa.array(line - p_bounds[text], pa.int32())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), pa.array(key[new].view(np.int64)), pa.array(salt.astype(np.int32)), uid, pa.array((at - words.bounds[text])[new], pa.int32()), *(pa.ListArray.from_arrays(lists, x) for x in each)],
-                    names=["doc_id", "key", "salt", "uid", "pos", "h", "start_char", "n_chars", "para_no"],
-                )
+                made = window_rows(words, batch.column(0), batch.column(2), False)
+                if made:
+                    yield pa.RecordBatch.from_pydict(made)
         again.forget()
 
-    rows = staging.save(docs.select("doc_id", "text", "uid").mapInArrow(suspects, f"doc_id {kind}, {_SCHEMA}"), "paragraphs")
+    texts = docs.select("doc_id", "text", "uid")
+    every = staging.save(texts.mapInArrow(suspects, f"doc_id {kind}, {_ROWS.format(_WINDOWS)}"), "paragraphs")
+    rows = every.where("id IS NOT NULL").drop("window")
+    crowded = staging.save(every.where("id IS NULL").select("doc_id", "uid", "window.*"), "crowded")
     members = staging.save(rows.select("id", "n", "m", "toks", "odd").dropDuplicates(["id"]), "members")
     comps = set_components(members, rows.select("id", "hashes"), staging, percent, positional=False)
     staging.drop(members)
@@ -243,11 +269,10 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 50,
     here = F.struct("doc_id", "para_no")
     columns = ["uid", "doc_id", "para_no", "start_char", "n_chars", "n_words", F.col("keep.doc_id").alias("class_doc_id"), F.col("keep.para_no").alias("class_para_no"), "class_size", "removed"]
     out = staging.save(out.withColumn("removed", ~here.eqNullSafe(F.col("keep"))).select("word", *columns), "repeated")
-    staging.drop(rows)
-    windows, crowded = (docs.select("doc_id", "text", "uid").mapInArrow(partial(suspect_windows, dealt=d), f"doc_id {kind}, {_WINDOWS}") for d in (False, True))
+    staging.drop(every)
+    windows = texts.mapInArrow(other_windows, f"doc_id {kind}, key bigint, salt int, uid bigint, {_WINDOWS.split(', ', 2)[2]}".replace(":", ""))
     lines = out.select(F.col("uid").alias("u"), F.col("start_char").alias("s"), (F.col("start_char") + F.col("n_chars")).alias("e"), F.col("removed").alias("gone"))
     inside = (F.col("uid") == F.col("u")) & (F.col("start_char") >= F.col("s")) & (F.col("start_char") + F.col("n_chars") <= F.col("e")) & (F.col("gone") | ~F.col("removed"))
-    crowded = staging.save(crowded, "crowded")
     found = staging.save(_passages(windows, crowded, min_words).join(lines, inside, "left_anti"), "passages")
     staging.drop(crowded)
     return out.drop("word").unionByName(_that_stay(found, out.where("removed"), min_words, staging).select(*columns)).drop("uid")
@@ -282,16 +307,93 @@ def _passages(windows: DataFrame, crowded: DataFrame, size: int) -> DataFrame:
     counted with partial sums and meet their counts in the parts where they are."""
     counts = {"places": F.count("*"), "first": F.min(F.struct("doc_id", "pos", "uid", "para_no")), "low": F.min("uid"), "high": F.max("uid"), "begin": F.min("pos"), "end": F.max("pos")}
     repeats = (F.col("low") != F.col("high")) | (F.col("end") - F.col("begin") >= size)
-    same = W.partitionBy("key", "h")
-    seen = _each(windows.repartition("key")).select("*", *(c.over(same).alias(n) for n, c in counts.items())).where(repeats)
+    kind = windows.schema["doc_id"].dataType.simpleString()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches):
+            found = repeated_windows(rows, size)
+            if found:
+                yield found
+
+    # a key's rows are in the order of doc_id, whatever its type
+    seen = windows.drop("salt").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(settle, f"uid long, doc_id {kind}, first struct<doc_id: {kind}, pos: int, uid: bigint, para_no: int>, {_PIECES}")
     totals = _each(crowded).groupBy("key", "h").agg(*(c.alias(n) for n, c in counts.items()), F.collect_set("salt").alias("salts")).where(repeats)
     met = _each(crowded).join(totals.select("key", "h", F.explode("salts").alias("salt"), "places", "first"), ["key", "salt", "h"])
-    pieces = (_joined(_fates(x, size), ["key", "uid"]) for x in (seen, met))
-    return _joined(reduce(DataFrame.unionByName, pieces), ["uid"]).select(
+    return _joined(seen.unionByName(_joined(_fates(met, size), ["key", "uid"]).drop("key")), ["uid"]).select(
         "uid", "doc_id", "pos", "lo", "hi", "para_no", "start_char", (F.col("end_char") - F.col("start_char")).alias("n_chars"), (F.col("next") - 1 - F.col("pos") + size).cast("int").alias("n_words"), F.col("first").alias("keep"), F.col("places").alias("class_size"), "removed"
     )
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Iterator[pa.Table]:
+    """Rows in the order of key as tables of about so many rows, or of one key that has more, each with all rows of its keys."""
+    held: list[pa.RecordBatch] = []
+    n, enough = 0, least
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < enough:
+            continue
+        rows = pa.Table.from_batches(held)
+        key = rows["key"].to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield rows.slice(0, cut)
+            held, n = rows.slice(cut).to_batches(), n - cut
+        enough = max(least, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def repeated_windows(rows: pa.Table, size: int) -> pa.RecordBatch | None:
+    """Of windows in rows of neighbours, in the order of key and doc_id, with all rows of their keys: those that repeat,
+    as _fates and _joined by key and uid give them."""
+    rows = rows.combine_chunks()
+    column = {c: rows[c].chunk(0) for c in rows.column_names}
+    offsets = column["h"].offsets.to_numpy()
+    n = np.diff(offsets)
+    h = column["h"].flatten().to_numpy()
+    order = np.argsort(h, kind="stable")
+    twins = h[order[1:]] == h[order[:-1]]
+    twin = np.zeros(len(h), dtype=bool)
+    twin[order[1:]] = twins
+    twin[order[:-1]] |= twins
+    some = np.flatnonzero(twin)
+    if not len(some):
+        return None
+    new_key = np.append(True, np.diff(column["key"].to_numpy()) != 0)
+    ids = column["doc_id"].to_pylist()
+    differ = np.array([True, *(a != b and (a == a or b == b) for a, b in zip(ids[:-1], ids[1:], strict=True))])
+    row = np.repeat(np.arange(len(n)), n)[some]
+    key, doc, uid = np.cumsum(new_key)[row], np.cumsum(new_key | differ)[row], column["uid"].to_numpy()[row]
+    pos = column["pos"].to_numpy()[row] + (some - (offsets[:-1] - offsets[0])[row])
+    h, start, n_chars, para_no = (column[c].flatten().to_numpy()[some] for c in ("h", "start_char", "n_chars", "para_no"))
+
+    order = np.lexsort((uid, pos, doc, h))  # the first place of each window first
+    new = np.append(True, (h[order[1:]] != h[order[:-1]]) | (key[order[1:]] != key[order[:-1]]))
+    begin = np.flatnonzero(new)
+    places = np.diff(np.append(begin, len(order)))
+    least, most = ([f.reduceat(x[order], begin) for x in (uid, pos)] for f in (np.minimum, np.maximum))
+    group = np.repeat(np.arange(len(begin)), places)
+    kept = ((least[0] != most[0]) | (most[1] - least[1] >= size))[group]
+    if not kept.any():
+        return None
+    at, first, places = order[kept], order[begin][group[kept]], places[group[kept]]
+    back = np.lexsort((pos[at], uid[at], key[at]))
+    at, first, places = at[back], first[back], places[back]
+    gone = np.where(uid[first] == uid[at], pos[at] - pos[first] >= size, (doc[first] != doc[at]) | (pos[first] != pos[at]))
+    new = np.append(True, (key[at[1:]] != key[at[:-1]]) | (uid[at[1:]] != uid[at[:-1]]) | (pos[at[1:]] != pos[at[:-1]] + 1) | (gone[1:] != gone[:-1]) | (uid[first[1:]] != uid[first[:-1]]))
+    begin = np.flatnonzero(new)
+    low = lambda x: np.minimum.reduceat(x, begin)
+    high = lambda x: np.maximum.reduceat(x, begin)
+    here, there = at[begin], first[begin]
+    of, to = pa.array(row[here]), pa.array(row[there])
+    keep = pa.StructArray.from_arrays([column["doc_id"].take(to), pa.array(pos[there], pa.int32()), pa.array(uid[there]), pa.array(para_no[there], pa.int32())], names=["doc_id", "pos", "uid", "para_no"])
+    return pa.RecordBatch.from_pydict({
+        "uid": pa.array(uid[here]), "doc_id": column["doc_id"].take(of), "first": keep, "pos": pa.array(pos[here], pa.int32()), "next": pa.array(high(pos[at]) + 1, pa.int32()), "para_no": pa.array(low(para_no[at]), pa.int32()),
+        "start_char": pa.array(low(start[at])), "end_char": pa.array(high((start + n_chars)[at])), "places": pa.array(high(places)), "lo": pa.array(low(pos[first]), pa.int32()), "hi": pa.array(high(pos[first]), pa.int32()), "removed": pa.array(gone[begin]),
+    })
+
+
 def _each(windows: DataFrame) -> DataFrame:
     """A row for each window of rows of neighbours."""
     w = F.posexplode(F.arrays_zip("h", "start_char", "n_chars", "para_no")).alias("j", "w")
